@@ -1,0 +1,293 @@
+"""Step-chain interpreter (PIP-1..3): JSON steps -> one lazy Spark plan.
+
+Plan-building rules (all decided in Python; Catalyst does the rest):
+
+* Row-wise steps become ``withColumns`` on the output frame.
+* Group statistics are computed on a *pure* frame -- the same rows without any
+  join-derived columns -- and joined back to the output frame.  Without this,
+  each group step would re-evaluate every earlier join on both sides of its
+  own join (2^k plan growth; Catalyst does not prune unused left joins).
+* Consecutive group steps with the same key set are fused into one
+  aggregate + one join; consecutive one-row dataset statistics into one
+  broadcast row; ordered-group steps with the same (keys, time, target) into
+  one segmented scan.
+* When a step needs a column that only exists after a join, the chain is
+  sealed with a reliable checkpoint (lineage cut) and continues from it.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+from typing import Any
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import timefn as tf
+from ..operators import grouping as grp
+from ..operators.columns import Step, StepError
+from ..operators.features import STEP_TASK_CATEGORY, compile_feature_step
+from ..operators.preprocess import compile_preprocess_step
+from ..rowid import ROW_ID, with_row_id
+from ..session import reliable_checkpoint
+from .ops import CodeOp, FrameOp, GlobalOp, GroupOp, RowOp, ScanOp
+
+
+@dataclass
+class ChainResult:
+    frame: DataFrame
+    lineage: dict[str, dict[str, Any]] = field(default_factory=dict)
+
+
+class _Chain:
+    def __init__(self, df: DataFrame, rid: str, num_partitions: int | None):
+        self.df = df
+        self.pure = df
+        self.tainted: set[str] = set()
+        self.rid = rid
+        self.n = num_partitions
+        self.counter = 0
+
+    def _fresh(self, base: str) -> str:
+        self.counter += 1
+        return f"__{base}{self.counter}"
+
+    def seal(self) -> None:
+        self.df = reliable_checkpoint(self.df)
+        self.pure = self.df
+        self.tainted = set()
+
+    def _needs_seal(self, inputs) -> bool:
+        return bool(set(inputs) & self.tainted)
+
+    # ---- op handlers
+    def row(self, op: RowOp) -> None:
+        assigns: dict = {}
+        for name, col in op.assigns:
+            assigns.pop(name, None)
+            assigns[name] = col
+        self.df = self.df.withColumns(assigns)
+        outs = set(assigns)
+        if self._needs_seal(op.inputs):
+            self.tainted |= outs
+        else:
+            self.pure = self.pure.withColumns(assigns)
+            self.tainted -= outs
+
+    def frame(self, op: FrameOp) -> None:
+        if op.row_changing:
+            # rows change: pure and output must stay row-aligned
+            if self.tainted:
+                self.seal()
+            self.df = op.fn(self.df)
+            self.pure = self.df
+        elif op.apply_to_pure:
+            self.df = op.fn(self.df)
+            self.pure = op.fn(self.pure)
+            self.tainted = {op.renames.get(c, c) for c in self.tainted}
+        else:
+            self.df = op.fn(self.df)
+        self.tainted &= set(self.df.columns)
+
+    def groups(self, ops: list[GroupOp]) -> None:
+        if any(self._needs_seal(o.inputs) for o in ops):
+            self.seal()
+        aggs, outputs = [], []
+        for o in ops:
+            names = {n: self._fresh("a") for n, _ in o.aggs}
+            aggs += [(names[n], a) for n, a in o.aggs]
+            for out, fn in o.outputs:
+                outputs.append((out, fn(lambda n, names=names: F.col(names[n]))))
+        internal = [n for n, _ in aggs]
+        self.df = grp.join_group_stats(self.df, self.pure, ops[0].keys, aggs)
+        self._attach(outputs, internal)
+
+    def globals_(self, ops: list[GlobalOp]) -> None:
+        if any(self._needs_seal(o.inputs) for o in ops):
+            self.seal()
+        aggs, outputs = [], []
+        for o in ops:
+            names = {n: self._fresh("g") for n, _ in o.aggs}
+            aggs += [(names[n], a) for n, a in o.aggs]
+            for out, fn in o.outputs:
+                outputs.append((out, fn(lambda n, names=names: F.col(names[n]))))
+        self.df = grp.join_global_stats(self.df, self.pure, aggs)
+        self._attach(outputs, [n for n, _ in aggs])
+
+    def _attach(self, outputs, internal) -> None:
+        merged: dict = {}
+        for name, col in outputs:
+            merged.pop(name, None)
+            merged[name] = col
+        self.df = self.df.withColumns(merged).drop(*[c for c in internal if c not in merged])
+        self.tainted |= set(merged)
+
+    def code(self, op: CodeOp) -> None:
+        if self._needs_seal(op.inputs):
+            self.seal()
+        codes = grp.dense_codes(self.pure, op.column, self.n)
+        tmp = self._fresh("v")
+        codes = codes.withColumnRenamed("__val", tmp)
+        joined = self.df.join(codes, F.col(op.column) == F.col(tmp), "left")
+        self.df = joined.withColumn(op.output, F.coalesce(F.col("__code"), F.lit(-1).cast("long"))) \
+            .drop(tmp, "__code")
+        self.tainted.add(op.output)
+
+    def scans(self, ops: list[ScanOp]) -> None:
+        if any(self._needs_seal(o.inputs) for o in ops):
+            self.seal()
+        first = ops[0]
+        rid = self.rid
+        key_alias = [f"__k{i}" for i in range(len(first.keys))]
+        cols = [F.col(rid)] + [F.col(k).alias(a) for k, a in zip(first.keys, key_alias)]
+        t_us = tf.epoch_micros(F.col(first.time_col), self.pure.schema[first.time_col].dataType)
+        cols.append(t_us.alias("__t"))
+        has_value = first.target is not None
+        if has_value:
+            cols.append(F.coalesce(F.col(first.target).cast("string"), F.lit("__missing__")).alias("__v"))
+        has_bucket = first.bucket_minutes is not None
+        if has_bucket:
+            cols.append(tf.bucket_id(t_us, first.bucket_minutes).alias("__b"))
+        narrow = self.pure.select(*cols)
+        res = grp.segmented_scan(narrow, key_alias, rid, has_value=has_value, has_bucket=has_bucket,
+                                 num_partitions=self.n)
+        outs = {}
+        kinds = {k for o in ops for _, k in o.outputs}
+        if "bucket_changes" in kinds:
+            totals = res.groupBy(*[F.col(k).alias("__c" + k) for k in key_alias],
+                                 F.col("__b").alias("__cb")).agg(F.sum("__bchg").alias("__bsum"))
+            cond = F.col("__b").eqNullSafe(F.col("__cb"))
+            for k in key_alias:
+                cond = cond & F.col(k).eqNullSafe(F.col("__c" + k))
+            res = res.join(totals, cond, "left")
+        for o in ops:
+            for name, kind in o.outputs:
+                if kind == "order":
+                    expr = F.col("__order").cast("long")
+                elif kind == "prev":
+                    expr = (F.col("__t") - F.col("__prev_t")).cast("double") / 1e6
+                elif kind == "next":
+                    expr = (F.col("__next_t") - F.col("__t")).cast("double") / 1e6
+                elif kind == "changed":
+                    expr = F.col("__chg").cast("long")
+                else:
+                    expr = F.col("__bsum").cast("long")
+                outs.pop(name, None)
+                outs[name] = expr
+        tmp = self._fresh("r")
+        res = res.select(F.col(rid).alias(tmp), *[e.alias(n) for n, e in outs.items()])
+        existing = [c for c in outs if c in self.df.columns]
+        self.df = self.df.drop(*existing).join(res, F.col(rid) == F.col(tmp), "left").drop(tmp)
+        self.tainted |= set(outs)
+
+
+def _run(df: DataFrame, steps: list, kind: str, rid: str | None, num_partitions: int | None,
+         collect_lineage: bool) -> ChainResult:
+    added = False
+    if rid is None:
+        rid = ROW_ID
+    if rid not in df.columns:
+        df = with_row_id(df, rid)
+        added = True
+    chain = _Chain(df, rid, num_partitions)
+    lineage: dict[str, dict[str, Any]] = {}
+    compile_fn = compile_feature_step if kind == "feature" else compile_preprocess_step
+    for raw in steps:
+        step = Step.of(raw)
+        if not step.enabled:
+            continue
+        before = list(chain.df.columns)
+        ops = compile_fn(chain.df, step, rid)
+        i = 0
+        while i < len(ops):
+            op = ops[i]
+            if isinstance(op, GroupOp):
+                batch = [op]
+                while i + 1 < len(ops) and isinstance(ops[i + 1], GroupOp) and ops[i + 1].sig == op.sig:
+                    i += 1
+                    batch.append(ops[i])
+                chain.groups(batch)
+            elif isinstance(op, GlobalOp):
+                batch = [op]
+                while i + 1 < len(ops) and isinstance(ops[i + 1], GlobalOp):
+                    i += 1
+                    batch.append(ops[i])
+                chain.globals_(batch)
+            elif isinstance(op, ScanOp):
+                batch = [op]
+                while i + 1 < len(ops) and isinstance(ops[i + 1], ScanOp) and ops[i + 1].sig == op.sig:
+                    i += 1
+                    batch.append(ops[i])
+                chain.scans(batch)
+            elif isinstance(op, RowOp):
+                chain.row(op)
+            elif isinstance(op, CodeOp):
+                chain.code(op)
+            elif isinstance(op, FrameOp):
+                chain.frame(op)
+            else:  # pragma: no cover
+                raise StepError(f"unknown plan fragment {op!r}")
+            i += 1
+        if collect_lineage:
+            for c in chain.df.columns:
+                if c not in before and c != rid:
+                    lineage[c] = lineage_entry(c, step)
+    out = chain.df
+    if added:
+        out = out.drop(rid)
+    return ChainResult(out, lineage)
+
+
+def run_preprocess(df: DataFrame, steps: list, rid: str | None = None,
+                   num_partitions: int | None = None) -> DataFrame:
+    """PIP-1: ordered preprocess chain; disabled steps skipped; unknown type -> StepError."""
+    return _run(df, steps, "preprocess", rid, num_partitions, False).frame
+
+
+def run_features(df: DataFrame, steps: list, rid: str | None = None, num_partitions: int | None = None,
+                 collect_lineage: bool = False) -> DataFrame | ChainResult:
+    """PIP-2: feature chain; with ``collect_lineage`` returns frame + lineage of new columns."""
+    res = _run(df, steps, "feature", rid, num_partitions, collect_lineage)
+    return res if collect_lineage else res.frame
+
+
+def lineage_entry(column: str, step: Step) -> dict[str, Any]:
+    sel = step.input_selector
+    sources = list(sel.get("columns") or step.params.get("columns") or
+                   ([step.params["column"]] if step.params.get("column") else []))
+    for key in ("target_column", "time_column"):
+        if step.params.get(key) and step.params[key] not in sources:
+            sources.append(step.params[key])
+    return {
+        "source_columns": sources,
+        "step_type": step.step_type,
+        "step_id": step.step_id,
+        "task_category": STEP_TASK_CATEGORY.get(step.step_type, "custom"),
+        "recipe_id": step.params.get("recipe_id"),
+        "used_for_training": True,
+    }
+
+
+def preview_step(df: DataFrame, steps: list, index: int, kind: str = "feature", limit: int = 20,
+                 rid: str | None = None) -> dict[str, Any]:
+    """PIP-3: run steps before ``index`` then step ``index``; counts, column diff and first rows."""
+    if index < 0 or index >= len(steps):
+        raise StepError("step index out of range")
+    runner = run_features if kind == "feature" else run_preprocess
+    own_rid = rid or ROW_ID
+    base = df if own_rid in df.columns else with_row_id(df, own_rid)
+    before = runner(base, steps[:index], rid=own_rid)
+    after = runner(before, [steps[index]], rid=own_rid)
+    bcols = [c for c in before.columns if c != own_rid]
+    acols = [c for c in after.columns if c != own_rid]
+    head = max(1, min(int(limit), 50))
+    return {
+        "before_count": before.count(),
+        "after_count": after.count(),
+        "before_columns": bcols,
+        "after_columns": acols,
+        "added_columns": [c for c in acols if c not in bcols],
+        "removed_columns": [c for c in bcols if c not in acols],
+        "before_rows": before.orderBy(own_rid).limit(head).select(*bcols),
+        "after_rows": after.orderBy(own_rid).limit(head).select(*acols),
+    }
