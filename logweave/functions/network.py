@@ -74,9 +74,10 @@ def _ipv6_props(values: pd.Series) -> pd.DataFrame:
                          "version": pd.array(ver, dtype="Int64")})
 
 
-def ip_features(c: Column) -> dict[str, Column]:
+def ip_features(c: Column, v4: Column | None = None) -> dict[str, Column]:
+    """is_private / is_loopback / ip_version; ``v4`` may be a precomputed :func:`ipv4_to_long`."""
     s = c.cast("string")
-    v4 = ipv4_to_long(s)
+    v4 = ipv4_to_long(s) if v4 is None else v4
     is_v4 = v4.isNotNull()
     v6 = _ipv6_props(F.when(s.contains(":"), s))
     private = F.when(is_v4, (_in_ranges(v4, IPV4_PRIVATE_NETS)

@@ -114,10 +114,63 @@ def keyword_count(c: Column, keywords: list[str]) -> Column:
     return total
 
 
+_W = "\\p{L}\\p{N}_"
+
+
+def py_regex_to_java(pattern: str) -> str:
+    """Give Python's Unicode meaning to ``\\b \\B \\d \\D \\w \\W \\s \\S`` in a Java pattern.
+
+    Python's word class is letters + numbers + '_' (no combining marks), its
+    digits are decimal digits and its spaces follow ``str.isspace``; Java's
+    (?U) classes differ slightly, so the escapes are spelled out.
+    """
+    sp = cc.space_body()
+    inside = {"d": "\\p{Nd}", "w": _W, "s": sp}
+    out: list[str] = []
+    in_class = False
+    i = 0
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\" and i + 1 < len(pattern):
+            nxt = pattern[i + 1]
+            if in_class and nxt in inside:
+                out.append(inside[nxt])
+            elif in_class and nxt in "DWS":
+                raise ValueError("negated class escape inside a character class is not supported")
+            elif not in_class and nxt in "dws":
+                out.append(f"[{inside[nxt]}]")
+            elif not in_class and nxt in "DWS":
+                out.append(f"[^{inside[nxt.lower()]}]")
+            elif not in_class and nxt == "b":
+                out.append(f"(?:(?<=[{_W}])(?![{_W}])|(?<![{_W}])(?=[{_W}]))")
+            elif not in_class and nxt == "B":
+                out.append(f"(?:(?<=[{_W}])(?=[{_W}])|(?<![{_W}])(?![{_W}]))")
+            else:
+                out.append(ch + nxt)
+            i += 2
+            continue
+        if ch == "[" and not in_class:
+            in_class = True
+            out.append(ch)
+            if pattern[i + 1:i + 2] == "^":
+                out.append("^")
+                i += 1
+            if pattern[i + 1:i + 2] == "]":
+                out.append("\\]")
+                i += 1
+        elif ch == "]" and in_class:
+            in_class = False
+            out.append(ch)
+        else:
+            out.append(ch)
+        i += 1
+    return "".join(out)
+
+
 def java_regex(pattern: str, case_insensitive: bool = True) -> str:
-    """Python-`re` str pattern -> Java pattern with Unicode classes (and optional (?i))."""
-    flags = "iU" if case_insensitive else "U"
-    return f"(?{flags}){pattern}"
+    """Python-`re` str pattern -> Java pattern with Python's Unicode classes (and optional (?i))."""
+    flags = "iu" if case_insensitive else "u"
+    return f"(?{flags}){py_regex_to_java(pattern)}"
 
 
 def regex_match_count(c: Column, pattern: str) -> Column:

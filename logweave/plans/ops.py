@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 class RowOp:
     inputs: list[str]
     assigns: list[tuple[str, Column]]
+    pre: list[tuple[str, Column]] = field(default_factory=list)  # temporaries, dropped after
 
 
 @dataclass

@@ -66,12 +66,20 @@ class _Chain:
         for name, col in op.assigns:
             assigns.pop(name, None)
             assigns[name] = col
-        self.df = self.df.withColumns(assigns)
+        pre = dict(op.pre)
+
+        def apply(d):
+            if pre:
+                d = d.withColumns(pre)
+            d = d.withColumns(assigns)
+            return d.drop(*[c for c in pre if c not in assigns]) if pre else d
+
+        self.df = apply(self.df)
         outs = set(assigns)
         if self._needs_seal(op.inputs):
             self.tainted |= outs
         else:
-            self.pure = self.pure.withColumns(assigns)
+            self.pure = apply(self.pure)
             self.tainted -= outs
 
     def frame(self, op: FrameOp) -> None:
