@@ -286,8 +286,9 @@ def preview_step(df: DataFrame, steps: list, index: int, kind: str = "feature",
     base = df if own_rid in df.columns else with_row_id(df, own_rid)
     before = runner(base, steps[:index], rid=own_rid)
     after = runner(before, [steps[index]], rid=own_rid)
-    bcols = [c for c in before.columns if c != own_rid]
-    acols = [c for c in after.columns if c != own_rid]
+    hidden = own_rid if own_rid not in df.columns else None
+    bcols = [c for c in before.columns if c != hidden]
+    acols = [c for c in after.columns if c != hidden]
     head = max(1, min(int(limit), 50))
     return {
         "before_count": before.count(),
