@@ -6,8 +6,13 @@ whole-stage codegen (regex, length, higher-order functions); no Python UDFs.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import charclass as cc
 
@@ -114,6 +119,69 @@ def keyword_count(c: Column, keywords: list[str]) -> Column:
     return total
 
 
+CHAR_PROFILE_SCHEMA = T.StructType([T.StructField(n, T.DoubleType() if n == "entropy" else T.LongType())
+                                     for n in ("n", "entropy", "uniq", "digit", "alpha", "upper", "space", "alnum")])
+
+
+@F.pandas_udf(CHAR_PROFILE_SCHEMA)
+def _char_profile(texts: pd.Series) -> pd.DataFrame:
+    """One pass per text: code-point counts (C-speed ``Counter``), then the reference's own
+    ``str`` predicates applied once per *distinct* character."""
+    cols: dict[str, list] = {k: [] for k in ("n", "entropy", "uniq", "digit", "alpha", "upper", "space", "alnum")}
+    for t in texts:
+        t = "" if t is None else t
+        n = len(t)
+        counts = Counter(t)
+        ent = 0.0
+        dg = al = up = sp = an = 0
+        for ch, k in counts.items():
+            p = k / n
+            ent -= p * math.log2(p)
+            if ch.isdigit():
+                dg += k
+            if ch.isalpha():
+                al += k
+            if ch.isupper():
+                up += k
+            if ch.isspace():
+                sp += k
+            if ch.isalnum():
+                an += k
+        for key, v in zip(cols, (n, ent, len(counts), dg, al, up, sp, an)):
+            cols[key].append(v)
+    return pd.DataFrame(cols)
+
+
+def char_profile(c: Column) -> Column:
+    """Struct of per-text character statistics (see :data:`CHAR_PROFILE_SCHEMA`)."""
+    return _char_profile(c.cast("string"))
+
+
+def entropy_from_profile(p: Column) -> Column:
+    return F.when(p["n"] == 0, F.lit(0.0)).otherwise(p["entropy"])
+
+
+def composition_from_profile(p: Column) -> dict[str, Column]:
+    n = p["n"].cast("double")
+
+    def ratio(cnt):
+        return F.when(p["n"] == 0, F.lit(0.0)).otherwise(cnt.cast("double") / n)
+
+    return {"digit_ratio": ratio(p["digit"]), "alpha_ratio": ratio(p["alpha"]), "upper_ratio": ratio(p["upper"]),
+            "whitespace_ratio": ratio(p["space"]),
+            "special_ratio": ratio(p["n"] - p["alnum"] - p["space"] + _space_and_alnum_overlap(p))}
+
+
+def _space_and_alnum_overlap(p: Column) -> Column:
+    # no character is both alphanumeric and whitespace in Python's tables
+    return F.lit(0)
+
+
+def unique_from_profile(p: Column) -> dict[str, Column]:
+    return {"unique_char_count": p["uniq"].cast("long"),
+            "unique_char_ratio": F.when(p["n"] == 0, F.lit(0.0)).otherwise(p["uniq"].cast("double") / p["n"])}
+
+
 _W = "\\p{L}\\p{N}_"
 
 
@@ -177,10 +245,19 @@ def regex_match_count(c: Column, pattern: str) -> Column:
     return F.regexp_count(F.coalesce(_s(c), F.lit("")), F.lit(java_regex(pattern))).cast("long")
 
 
+def _relaxed(pattern: str) -> str:
+    """The pattern without word-boundary assertions: a cheap necessary condition."""
+    return pattern.replace("\\b", "").replace("\\B", "")
+
+
 def pattern_flag(c: Column, name: str) -> Column:
     pat = PATTERN_LIBRARY[name]
-    jp = java_regex(pat, case_insensitive=name in PATTERN_CASE_INSENSITIVE)
-    return F.coalesce(_s(c).rlike(jp), F.lit(False)).cast("long")
+    ci = name in PATTERN_CASE_INSENSITIVE
+    exact = _s(c).rlike(java_regex(pat, case_insensitive=ci))
+    if "\\b" in pat or "\\B" in pat:
+        # the lookaround-free superset rejects most texts before the exact regex runs
+        exact = F.when(_s(c).rlike(java_regex(_relaxed(pat), case_insensitive=ci)), exact).otherwise(F.lit(False))
+    return F.coalesce(exact, F.lit(False)).cast("long")
 
 
 def py_strip(c: Column) -> Column:

@@ -197,6 +197,7 @@ def _run(df: DataFrame, steps: list, kind: str, rid: str | None, num_partitions:
     if rid not in df.columns:
         df = with_row_id(df, rid)
         added = True
+    df = ensure_parallelism(df)
     chain = _Chain(df, rid, num_partitions)
     lineage: dict[str, dict[str, Any]] = {}
     compile_fn = compile_feature_step if kind == "feature" else compile_preprocess_step
@@ -246,6 +247,19 @@ def _run(df: DataFrame, steps: list, kind: str, rid: str | None, num_partitions:
     return ChainResult(out, lineage)
 
 
+def ensure_parallelism(df: DataFrame) -> DataFrame:
+    """Spread an input with fewer partitions than cores (one small file / row group) over all
+    cores before row-wise work.  Large inputs already scan as many splits and are left alone."""
+    sc = df.sparkSession.sparkContext
+    try:
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - some plans cannot expose an RDD cheaply
+        return df
+    if parts < sc.defaultParallelism:
+        return df.repartition(sc.defaultParallelism)
+    return df
+
+
 def run_preprocess(df: DataFrame, steps: list, rid: str | None = None,
                    num_partitions: int | None = None) -> DataFrame:
     """PIP-1: ordered preprocess chain; disabled steps skipped; unknown type -> StepError."""
