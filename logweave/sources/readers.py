@@ -22,7 +22,6 @@ from ..session import ensure_checkpoint_dir
 # The two line layouts (Python syntax) and the level keywords.
 NGINX_LINE = (r'(\S+)\s+\S+\s+\S+\s+\[([^\]]+)\]\s+"(\S+)\s+(\S+)\s+([^"]+)"\s+(\d{3})\s+(\S+)'
               r'(?:\s+"([^"]*)"\s+"([^"]*)")?')
-NGINX_TAIL = r'\s+"[^"]*"\s+"[^"]*"'
 NGINX_FIELDS = ["remote_addr", "event_time", "method", "path", "protocol", "status_code", "bytes_sent",
                 "referer", "user_agent"]
 GENERIC_LINE = (r"^(\d{4}[-/]\d{2}[-/]\d{2}[ T]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?)\s+([A-Z]+)\s+"
@@ -110,15 +109,27 @@ def normalize_scalar(c: Column) -> Column:
     return F.when(s.rlike(r"^[0-9]+$"), s.try_cast("long"))
 
 
+_SEP = "\u0001"
+
+
 def parse_nginx(lines: DataFrame, line_col: str = "line") -> DataFrame:
-    """SRC-3: access-line fields; unmatched lines keep only raw_line with log_type generic_log."""
+    """SRC-3: access-line fields; unmatched lines keep only raw_line with log_type generic_log.
+
+    Two regex passes per line: one ``rlike`` for the match and one
+    ``regexp_replace`` that rewrites a matching line into a delimited record of
+    all groups (a tail marker group tells a missing referer/agent pair apart
+    from empty quotes)."""
     line = F.col(line_col)
-    full = _j("^" + NGINX_LINE)
-    matched = line.rlike(full)
-    has_tail = line.rlike(_j("^" + NGINX_LINE.split("(?:")[0] + NGINX_TAIL))
+    head, tail = NGINX_LINE.split("(?:", 1)
+    record_pattern = _j("^" + head + "(" + tail.rsplit(")?", 1)[0] + ")?") + "(?s:.*)$"
+    # groups: 1..7 head fields, 8 tail wrapper, 9 referer, 10 user agent
+    replacement = _SEP.join(["$1", "$2", "$3", "$4", "$5", "$6", "$7", "$9", "$10", "$8"])
+    matched = line.rlike(_j("^" + NGINX_LINE))
+    rec = F.split(F.regexp_replace(line, record_pattern, replacement), _SEP, -1)
+    has_tail = F.element_at(rec, 10) != ""
     fields = {}
     for i, name in enumerate(NGINX_FIELDS, start=1):
-        v = F.regexp_extract(line, full, i)
+        v = F.element_at(rec, i)
         if name in ("referer", "user_agent"):
             v = F.when(has_tail, v)
         if name in ("status_code", "bytes_sent"):
