@@ -80,10 +80,29 @@ def infer_column_types(df: DataFrame, columns: list[str]) -> dict[str, str]:
     return types
 
 
+def pandas_header_names(raw: list[str | None]) -> list[str]:
+    """Header names as pandas' CSV reader produces them: blank -> 'Unnamed: i', repeats -> 'name.k'."""
+    names = [h if h not in (None, "") else f"Unnamed: {i}" for i, h in enumerate(raw)]
+    counts: dict[str, int] = {}
+    out = []
+    for col in names:
+        cur = counts.get(col, 0)
+        while cur > 0:
+            counts[col] = cur + 1
+            col = f"{col}.{cur}"
+            cur = counts.get(col, 0)
+        out.append(col)
+        counts[col] = cur + 1
+    return out
+
+
 def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
     """SRC-1 (+SRC-7, trap 27): header row, pandas missing-value tokens, then type inference."""
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    names = clean_header(raw.columns)
+    reader = spark.read.option("inferSchema", False)
+    header_row = reader.option("header", False).csv(path).first()
+    raw = reader.option("header", True).csv(path)
+    raw_names = list(header_row) if header_row is not None else list(raw.columns)
+    names = clean_header(pandas_header_names(raw_names))
     raw = raw.toDF(*names)
     cleaned = raw.select(*[F.when(F.col(c).isin(CSV_NA_TOKENS), F.lit(None)).otherwise(F.col(c)).alias(c)
                            for c in names])
