@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 from ..functions import timefn as tf
 from ..operators import grouping as grp
 from ..operators.columns import Step, StepError
-from ..operators.features import STEP_TASK_CATEGORY, compile_feature_step
+from ..operators.features import compile_feature_step
 from ..operators.preprocess import compile_preprocess_step
 from ..rowid import ROW_ID, with_row_id
 from ..session import reliable_checkpoint
+from . import lineage as _lineage
 from .ops import CodeOp, FrameOp, GlobalOp, GroupOp, RowOp, ScanOp
 
 
@@ -240,7 +241,7 @@ def _run(df: DataFrame, steps: list, kind: str, rid: str | None, num_partitions:
         if collect_lineage:
             for c in chain.df.columns:
                 if c not in before and c != rid:
-                    lineage[c] = lineage_entry(c, step)
+                    lineage[c] = _lineage.lineage_entry(c, step)
     out = chain.df
     if added:
         out = out.drop(rid)
@@ -273,23 +274,6 @@ def run_features(df: DataFrame, steps: list, rid: str | None = None, num_partiti
     return res if collect_lineage else res.frame
 
 
-def lineage_entry(column: str, step: Step) -> dict[str, Any]:
-    sel = step.input_selector
-    sources = list(sel.get("columns") or step.params.get("columns") or
-                   ([step.params["column"]] if step.params.get("column") else []))
-    for key in ("target_column", "time_column"):
-        if step.params.get(key) and step.params[key] not in sources:
-            sources.append(step.params[key])
-    return {
-        "source_columns": sources,
-        "step_type": step.step_type,
-        "step_id": step.step_id,
-        "task_category": STEP_TASK_CATEGORY.get(step.step_type, "custom"),
-        "recipe_id": step.params.get("recipe_id"),
-        "used_for_training": True,
-    }
-
-
 def preview_step(df: DataFrame, steps: list, index: int, kind: str = "feature", limit: int = 20,
                  rid: str | None = None) -> dict[str, Any]:
     """PIP-3: run steps before ``index`` then step ``index``; counts, column diff and first rows."""

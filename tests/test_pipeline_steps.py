@@ -176,3 +176,17 @@ def test_errors_are_step_errors(spark):
     # disabled steps are skipped
     out = run_features(df, [{"step_type": "no_such_step", "enabled": False}], rid="rid")
     assert out.columns == ["rid", "x"]
+
+
+def test_lineage_and_column_classes(spark):
+    from logweave.plans.lineage import classify_columns
+    df = spark.createDataFrame([(0, "10.0.0.1", "GET /x", 5.0)], "rid long, source_ip string, msg string, v double")
+    res = run_features(df, [{"step_type": "text_length", "input_selector": sel("msg")},
+                            {"step_type": "group_frequency", "input_selector": sel("source_ip")}],
+                       rid="rid", collect_lineage=True)
+    assert set(res.lineage) == {"msg_length", "source_ip_group_count"}
+    assert res.lineage["source_ip_group_count"]["recipe_id"] == "behavior_tracking_base"
+    classes = classify_columns(res.frame, df.columns, res.lineage)
+    assert classes["training_candidate_columns"] == ["msg_length", "source_ip_group_count"]
+    assert "source_ip" in classes["business_context_columns"] and "msg" in classes["business_context_columns"]
+    assert classes["feature_lineage"]["msg_length"]["used_for_training"] is True
