@@ -202,46 +202,36 @@ def _run(df: DataFrame, steps: list, kind: str, rid: str | None, num_partitions:
     chain = _Chain(df, rid, num_partitions)
     lineage: dict[str, dict[str, Any]] = {}
     compile_fn = compile_feature_step if kind == "feature" else compile_preprocess_step
-    for raw in steps:
-        step = Step.of(raw)
-        if not step.enabled:
-            continue
+    enabled = [st for st in (Step.of(r) for r in steps) if st.enabled]
+    k = 0
+    while k < len(enabled):
+        step = enabled[k]
         before = list(chain.df.columns)
         ops = compile_fn(chain.df, step, rid)
-        i = 0
-        while i < len(ops):
-            op = ops[i]
-            if isinstance(op, GroupOp):
-                batch = [op]
-                while i + 1 < len(ops) and isinstance(ops[i + 1], GroupOp) and ops[i + 1].sig == op.sig:
-                    i += 1
-                    batch.append(ops[i])
-                chain.groups(batch)
-            elif isinstance(op, GlobalOp):
-                batch = [op]
-                while i + 1 < len(ops) and isinstance(ops[i + 1], GlobalOp):
-                    i += 1
-                    batch.append(ops[i])
-                chain.globals_(batch)
-            elif isinstance(op, ScanOp):
-                batch = [op]
-                while i + 1 < len(ops) and isinstance(ops[i + 1], ScanOp) and ops[i + 1].sig == op.sig:
-                    i += 1
-                    batch.append(ops[i])
-                chain.scans(batch)
-            elif isinstance(op, RowOp):
-                chain.row(op)
-            elif isinstance(op, CodeOp):
-                chain.code(op)
-            elif isinstance(op, FrameOp):
-                chain.frame(op)
-            else:  # pragma: no cover
-                raise StepError(f"unknown plan fragment {op!r}")
-            i += 1
+        owners = [step] * len(ops)
+        k += 1
+        # cross-step fusion: following steps that compile to the same kind of group /
+        # dataset / scan fragment (and read none of the pending outputs) share one pass
+        kind_ = _fusable_kind(ops)
+        if kind_ is not None:
+            produced = _outputs(ops)
+            while k < len(enabled) and enabled[k].input_selector.get("mode") in (None, "explicit"):
+                try:
+                    nops = compile_fn(chain.df, enabled[k], rid)
+                except StepError:
+                    break
+                if _fusable_kind(nops) != kind_ or (set(_inputs(nops)) & produced):
+                    break
+                ops += nops
+                owners += [enabled[k]] * len(nops)
+                produced |= _outputs(nops)
+                k += 1
+        _execute(chain, ops)
         if collect_lineage:
+            owner_of = {name: st for op, st in zip(ops, owners) for name in _outputs([op])}
             for c in chain.df.columns:
                 if c not in before and c != rid:
-                    lineage[c] = _lineage.lineage_entry(c, step)
+                    lineage[c] = _lineage.lineage_entry(c, owner_of.get(c, step))
     out = chain.df
     if added:
         out = out.drop(rid)
@@ -261,6 +251,67 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
     return df
 
 
+def _fusable_kind(ops: list):
+    if not ops:
+        return None
+    if all(isinstance(o, GroupOp) for o in ops) and len({o.sig for o in ops}) == 1:
+        return ("group", ops[0].sig)
+    if all(isinstance(o, GlobalOp) for o in ops):
+        return ("global",)
+    if all(isinstance(o, ScanOp) for o in ops) and len({o.sig for o in ops}) == 1:
+        return ("scan", ops[0].sig)
+    return None
+
+
+def _outputs(ops: list) -> set[str]:
+    names: set[str] = set()
+    for o in ops:
+        if isinstance(o, (GroupOp, GlobalOp, ScanOp)):
+            names |= {n for n, _ in o.outputs}
+        elif isinstance(o, RowOp):
+            names |= {n for n, _ in o.assigns}
+        elif isinstance(o, CodeOp):
+            names.add(o.output)
+    return names
+
+
+def _inputs(ops: list) -> list[str]:
+    return [c for o in ops for c in o.inputs]
+
+
+def _execute(chain: "_Chain", ops: list) -> None:
+    i = 0
+    while i < len(ops):
+        op = ops[i]
+        if isinstance(op, GroupOp):
+            batch = [op]
+            while i + 1 < len(ops) and isinstance(ops[i + 1], GroupOp) and ops[i + 1].sig == op.sig:
+                i += 1
+                batch.append(ops[i])
+            chain.groups(batch)
+        elif isinstance(op, GlobalOp):
+            batch = [op]
+            while i + 1 < len(ops) and isinstance(ops[i + 1], GlobalOp):
+                i += 1
+                batch.append(ops[i])
+            chain.globals_(batch)
+        elif isinstance(op, ScanOp):
+            batch = [op]
+            while i + 1 < len(ops) and isinstance(ops[i + 1], ScanOp) and ops[i + 1].sig == op.sig:
+                i += 1
+                batch.append(ops[i])
+            chain.scans(batch)
+        elif isinstance(op, RowOp):
+            chain.row(op)
+        elif isinstance(op, CodeOp):
+            chain.code(op)
+        elif isinstance(op, FrameOp):
+            chain.frame(op)
+        else:  # pragma: no cover
+            raise StepError(f"unknown plan fragment {op!r}")
+        i += 1
+
+
 def run_preprocess(df: DataFrame, steps: list, rid: str | None = None,
                    num_partitions: int | None = None) -> DataFrame:
     """PIP-1: ordered preprocess chain; disabled steps skipped; unknown type -> StepError."""
