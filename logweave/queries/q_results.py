@@ -385,3 +385,29 @@ def advisor_groups(spark, d):
     return spark.createDataFrame(rows, "issue_type string, fields string, recommended_action string") \
         .unionByName(spark.createDataFrame(steps, "issue_type string, fields string")
                      .withColumn("recommended_action", F.lit("step")))
+
+
+_LOF_SQL = (
+    "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), "
+    "pairs AS (SELECT a.vec_id AS rid, b.vec_id AS nbr, list_distance(a.x, b.x) AS dist FROM e a, e b "
+    "WHERE a.vec_id <> b.vec_id), "
+    "nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY dist, nbr) AS rk FROM pairs) "
+    "WHERE rk <= 20), kd AS (SELECT rid, max(dist) AS kdist FROM nn GROUP BY rid), "
+    "lrd AS (SELECT nn.rid, 1.0 / (avg(greatest(nn.dist, kd.kdist)) + 1e-10) AS lrd FROM nn JOIN kd ON nn.nbr = kd.rid "
+    "GROUP BY nn.rid), lof AS (SELECT nn.rid, avg(l2.lrd) / l1.lrd AS lof FROM nn JOIN lrd l2 ON nn.nbr = l2.rid "
+    "JOIN lrd l1 ON nn.rid = l1.rid GROUP BY nn.rid, l1.lrd) SELECT rid AS vec_id, round(lof, 6) AS anomaly_score "
+    "FROM lof")
+
+
+@query("lof_scores", _LOF_SQL)
+def lof_scores(spark, d):
+    """TRN-9 on the embeddings: exact k-NN (k = 20) LOF; the oracle is a brute-force all-pairs SQL."""
+    from ..ml.lof import local_outlier_factor
+    out = local_outlier_factor(table(spark, d, "embeddings"), "vec_id", "embedding", 20)
+    return round6(out.select("vec_id", "anomaly_score"))
+
+
+@query("lof_labels")
+def lof_labels(spark, d):
+    from ..ml.lof import local_outlier_factor
+    return local_outlier_factor(table(spark, d, "embeddings"), "vec_id", "embedding", 20)

@@ -44,3 +44,22 @@ def test_supervised_training_runs(spark):
         assert m["accuracy"] > 0.9, algo
         assert m["train_rows"] + m["test_rows"] == 300
         assert pred.where("prediction_proba < 0.5").count() == 0
+
+
+def test_lof_matches_brute_force(spark):
+    import numpy as np
+
+    from logweave.ml.lof import local_outlier_factor
+    rng = np.random.default_rng(5)
+    X = np.vstack([rng.normal(size=(300, 3)), rng.normal(loc=6, size=(5, 3))])
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(X)], "rid long, x array<double>")
+    got = {r["rid"]: r["anomaly_score"] for r in local_outlier_factor(df, "rid", "x", 10, num_partitions=9).collect()}
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    np.fill_diagonal(D, np.inf)
+    nn = np.argsort(D, axis=1, kind="stable")[:, :10]
+    kd = D[np.arange(len(X)), nn[:, -1]]
+    reach = np.maximum(D[np.arange(len(X))[:, None], nn], kd[nn])
+    lrd = 1.0 / (reach.mean(1) + 1e-10)
+    lof = lrd[nn].mean(1) / lrd
+    for i in range(len(X)):
+        assert abs(got[i] - lof[i]) < 1e-9
