@@ -411,3 +411,12 @@ def lof_scores(spark, d):
 def lof_labels(spark, d):
     from ..ml.lof import local_outlier_factor
     return local_outlier_factor(table(spark, d, "embeddings"), "vec_id", "embedding", 20)
+
+
+@query("ocsvm_scores")
+def ocsvm_scores(spark, d):
+    """TRN-8 on the logs features (random Fourier features + linear one-class primal)."""
+    from ..ml.one_class import one_class_svm
+    feats = run_features(logs(spark, d), FLOW_STEPS, rid="row_id")
+    return one_class_svm(feats, ["value", "status_code", "dest_port", "user_id_event_time_1440m_count", "protocol"],
+                         "row_id", nu=0.1)

@@ -63,3 +63,15 @@ def test_lof_matches_brute_force(spark):
     lof = lrd[nn].mean(1) / lrd
     for i in range(len(X)):
         assert abs(got[i] - lof[i]) < 1e-9
+
+
+def test_one_class_svm_invariants(spark):
+    from logweave.ml.one_class import one_class_svm
+    random.seed(9)
+    data = [(i, random.gauss(0, 1), random.gauss(0, 1)) for i in range(1500)]
+    data += [(1500 + i, 9.0 + i, 9.0 + i) for i in range(5)]
+    df = spark.createDataFrame(data, "rid long, x double, y double")
+    rows = {r["rid"]: r for r in one_class_svm(df, ["x", "y"], "rid", nu=0.1).collect()}
+    share = sum(r["predicted_label"] == "anomaly" for r in rows.values()) / len(rows)
+    assert abs(share - 0.1) < 0.02
+    assert all(rows[1500 + i]["predicted_label"] == "anomaly" for i in range(5))
