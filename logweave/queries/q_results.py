@@ -346,7 +346,58 @@ def _selection_input(spark, d):
         .withColumn("constant_field", F.lit("x")).withColumn("empty_field", F.lit(None).cast("double"))
 
 
-@query("select_features_safe")
+_SEL_INPUT = [  # (name, numeric) of the selection input, in order (row_id is the row key)
+    ("event_time", False), ("user_id", True), ("event_type", False), ("value", True), ("source_ip", False),
+    ("dest_ip", False), ("src_port", True), ("dest_port", True), ("protocol", False), ("status_code", True),
+    ("path", False), ("label", False), ("value_copy", True), ("label_copy", False), ("session_token", False),
+    ("constant_field", False), ("empty_field", True)]
+
+
+def _selection_sql(target: str = "label", dataset_label: str = "label", max_card: int = 50) -> str:
+    from ..operators.columns import normalize_name
+    from ..operators.selection import RESERVED_TRAINING_COLUMNS, is_identifier, is_label_like, is_raw_text
+
+    def txt(c):
+        return f"coalesce(CAST({c} AS VARCHAR), '__missing__')"
+
+    names = [c for c, _ in _SEL_INPUT]
+    aggs = []
+    for i, (c, _) in enumerate(_SEL_INPUT):
+        aggs += [f"count({c}) AS n{i}", f"count(DISTINCT {c}) AS d{i}", f"count(DISTINCT CAST({c} AS VARCHAR)) AS t{i}",
+                 f"bool_and({txt(c)} = {txt(target)}) AS eqt{i}"]
+        aggs += [f"bool_and({txt(c)} = {txt(names[j])}) AS eq{i}_{j}" for j in range(i)]
+    reasons = []
+    for i, (c, numeric) in enumerate(_SEL_INPUT):
+        norm = normalize_name(c)
+        static = None
+        if c in RESERVED_TRAINING_COLUMNS:
+            static = "reserved_training_column"
+        elif c == target:
+            static = "target_column"
+        elif is_label_like(norm) and c not in {target, dataset_label}:
+            static = "label_like_column"
+        elif is_identifier(norm) and not numeric:
+            static = "identifier_column"
+        elif is_raw_text(norm) and not numeric:
+            static = "raw_text_column"
+        if static:
+            reasons.append(f"'{static}' AS r{i}")
+            continue
+        whens = [f"WHEN n{i} = 0 THEN 'empty_column'", f"WHEN d{i} <= 1 THEN 'constant_column'",
+                 f"WHEN eqt{i} THEN 'duplicates_target_column'"]
+        whens += [f"WHEN r{j} IS NULL AND eq{i}_{j} THEN 'duplicates_feature:{names[j]}'" for j in range(i)]
+        if not numeric:
+            whens.append(f"WHEN t{i} > {max_card} THEN 'high_cardinality:' || CAST(t{i} AS VARCHAR) || '>{max_card}'")
+        reasons.append(f"CASE {' '.join(whens)} END AS r{i}")
+    rows = " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS \"column\", r{i} IS NULL AS used, r{i} AS reason FROM rs"
+                              for i, (c, _) in enumerate(_SEL_INPUT))
+    src = ("SELECT *, value AS value_copy, label AS label_copy, 's-' || CAST(row_id AS VARCHAR) AS session_token, "
+           "'x' AS constant_field, CAST(NULL AS DOUBLE) AS empty_field FROM logs")
+    return with_logs("").rstrip() + f", src AS ({src}), agg AS (SELECT {', '.join(aggs)} FROM src), " \
+        f"rs AS (SELECT *, {', '.join(reasons)} FROM agg)\n{rows}"
+
+
+@query("select_features_safe", _selection_sql())
 def select_features_safe(spark, d):
     df = _selection_input(spark, d)
     sel = select_training_columns(df, None, target="label", dataset_label="label", rid="row_id")
