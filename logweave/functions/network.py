@@ -130,9 +130,10 @@ def url_path(c: Column) -> Column:
     return F.when(is_url, url_path_).otherwise(F.substring_index(s, "?", 1))
 
 
-def path_features(c: Column) -> dict[str, Column]:
+def path_features(c: Column, path: Column | None = None) -> dict[str, Column]:
+    """depth / extension / has_query; ``path`` may be a precomputed :func:`url_path`."""
     s = F.coalesce(c.cast("string"), F.lit(""))
-    p = url_path(c)
+    p = url_path(c) if path is None else path
     seg = F.substring_index(p, "/", -1)
     ext = F.when(F.instr(seg, ".") > 0, F.nullif(F.lower(F.substring_index(seg, ".", -1)), F.lit("")))
     return {

@@ -29,7 +29,7 @@ from ..operators.columns import Step, StepError
 from ..operators.features import compile_feature_step
 from ..operators.preprocess import compile_preprocess_step
 from ..rowid import ROW_ID, with_row_id
-from ..session import reliable_checkpoint
+from ..session import ensure_parallelism, reliable_checkpoint
 from . import lineage as _lineage
 from .ops import CodeOp, FrameOp, GlobalOp, GroupOp, RowOp, ScanOp
 
@@ -238,19 +238,6 @@ def _run(df: DataFrame, steps: list, kind: str, rid: str | None, num_partitions:
     return ChainResult(out, lineage)
 
 
-def ensure_parallelism(df: DataFrame) -> DataFrame:
-    """Spread an input with fewer partitions than cores (one small file / row group) over all
-    cores before row-wise work.  Large inputs already scan as many splits and are left alone."""
-    sc = df.sparkSession.sparkContext
-    try:
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - some plans cannot expose an RDD cheaply
-        return df
-    if parts < sc.defaultParallelism:
-        return df.repartition(sc.defaultParallelism)
-    return df
-
-
 def _fusable_kind(ops: list):
     if not ops:
         return None

@@ -66,3 +66,18 @@ def reliable_checkpoint(df):
     """Eager reliable checkpoint (cuts lineage; survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ensure_parallelism(df):
+    """Spread an input with fewer partitions than cores (one small file / row group) over all
+    cores before heavy row-wise work.  Large inputs already scan as many splits and are left alone."""
+    if df.isStreaming:
+        return df
+    sc = df.sparkSession.sparkContext
+    try:
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - some plans cannot expose an RDD cheaply
+        return df
+    if parts < sc.defaultParallelism:
+        return df.repartition(sc.defaultParallelism)
+    return df

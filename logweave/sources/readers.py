@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..rowid import ROW_ID
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ensure_parallelism
 
 # The two line layouts (Python syntax) and the level keywords.
 NGINX_LINE = (r'(\S+)\s+\S+\s+\S+\s+\[([^\]]+)\]\s+"(\S+)\s+(\S+)\s+([^"]+)"\s+(\d{3})\s+(\S+)'
@@ -143,8 +143,13 @@ def parse_nginx(lines: DataFrame, line_col: str = "line") -> DataFrame:
     record_pattern = _j("^" + head + "(" + tail.rsplit(")?", 1)[0] + ")?") + "(?s:.*)$"
     # groups: 1..7 head fields, 8 tail wrapper, 9 referer, 10 user agent
     replacement = _SEP.join(["$1", "$2", "$3", "$4", "$5", "$6", "$7", "$9", "$10", "$8"])
-    matched = line.rlike(_j("^" + NGINX_LINE))
-    rec = F.split(F.regexp_replace(line, record_pattern, replacement), _SEP, -1)
+    lines = ensure_parallelism(lines)
+    others = [c for c in lines.columns if c != line_col]
+    # the record is its own projection: a value used inside several CASE branches is not
+    # shared by subexpression elimination, so it would be recomputed per field
+    staged = lines.select(*others, line.alias("__line"), line.rlike(_j("^" + NGINX_LINE)).alias("__m"),
+                          F.split(F.regexp_replace(line, record_pattern, replacement), _SEP, -1).alias("__rec"))
+    rec, matched = F.col("__rec"), F.col("__m")
     has_tail = F.element_at(rec, 10) != ""
     fields = {}
     for i, name in enumerate(NGINX_FIELDS, start=1):
@@ -154,14 +159,14 @@ def parse_nginx(lines: DataFrame, line_col: str = "line") -> DataFrame:
         if name in ("status_code", "bytes_sent"):
             v = normalize_scalar(v)
         fields[name] = F.when(matched, v)
-    others = [c for c in lines.columns if c != line_col]
-    return lines.select(*others, *[v.alias(k) for k, v in fields.items()],
-                        F.when(matched, F.lit("nginx_access")).otherwise(F.lit("generic_log")).alias("log_type"),
-                        line.alias("raw_line"))
+    return staged.select(*others, *[v.alias(k) for k, v in fields.items()],
+                         F.when(matched, F.lit("nginx_access")).otherwise(F.lit("generic_log")).alias("log_type"),
+                         F.col("__line").alias("raw_line"))
 
 
 def parse_generic(lines: DataFrame, line_col: str = "line") -> DataFrame:
     """SRC-4: time / level / source / message; fallback: first level keyword, message = line."""
+    lines = ensure_parallelism(lines)
     line = F.col(line_col)
     pat = _j(GENERIC_LINE)
     matched = line.rlike(pat)
