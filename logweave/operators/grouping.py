@@ -101,7 +101,7 @@ def _null_safe_eq(a: pa.Array, b: pa.Array) -> np.ndarray:
     return pc.or_(eq, both_null).to_numpy(zero_copy_only=False)
 
 
-def _scan_partition(key_names, has_value, has_bucket):
+def _scan_partition(key_names, n_values, n_buckets, combos):
     def run(batches):
         from pyspark import TaskContext
 
@@ -110,6 +110,12 @@ def _scan_partition(key_names, has_value, has_bucket):
         run_id, lord, pos = -1, 0, 0
         held = None          # last computed row waiting for its "next" value
 
+        def shifted(ext, name, off, m):
+            col = ext.column(name)
+            cur = col.slice(off, m)
+            before = col.slice(0, m) if off else pa.concat_arrays([pa.nulls(1, col.type), col.slice(0, m - 1)])
+            return cur, before
+
         for batch in batches:
             m = batch.num_rows
             if m == 0:
@@ -121,10 +127,7 @@ def _scan_partition(key_names, has_value, has_bucket):
             for k in key_names:
                 col = ext.column(k)
                 same &= _null_safe_eq(col.slice(1), col.slice(0, ext.num_rows - 1))
-            if prev is None:
-                same_prev = np.concatenate([[False], same])
-            else:
-                same_prev = same
+            same_prev = np.concatenate([[False], same]) if prev is None else same
             new_run = ~same_prev
             runs = run_id + np.cumsum(new_run)
             idx = np.arange(m)
@@ -132,30 +135,23 @@ def _scan_partition(key_names, has_value, has_bucket):
             run_start = np.maximum.accumulate(start)
             lords = np.where(run_start >= 0, idx - run_start + 1, lord + idx + 1)
 
-            t = ext.column("__t")
-            t_cur = t.slice(off, m)
-            t_before = t.slice(0, m) if off else pa.concat_arrays([pa.nulls(1, pa.int64()), t.slice(0, m - 1)])
-            sp = pa.array(same_prev)
-            lprev = pc.if_else(sp, t_before, pa.nulls(m, pa.int64()))
-            cols = {"__lprev_t": lprev}
-            if has_value:
-                v = ext.column("__v")
-                v_cur = v.slice(off, m)
-                v_before = v.slice(0, m) if off else pa.concat_arrays([pa.nulls(1, v.type), v.slice(0, m - 1)])
-                differs = ~_null_safe_eq(v_cur, v_before)
-                chg = same_prev & differs
-                cols["__lchg"] = pa.array(chg.astype(np.int64))
-                if has_bucket:
-                    b = ext.column("__b")
-                    b_cur = b.slice(off, m)
-                    b_before = b.slice(0, m) if off else pa.concat_arrays([pa.nulls(1, b.type), b.slice(0, m - 1)])
-                    bsame = same_prev & _null_safe_eq(b_cur, b_before)
-                    cols["__lbchg"] = pa.array((bsame & differs).astype(np.int64))
+            t_cur, t_before = shifted(ext, "__t", off, m)
+            cols = {"__lprev_t": pc.if_else(pa.array(same_prev), t_before, pa.nulls(m, pa.int64()))}
+            differs = []
+            for i in range(n_values):
+                v_cur, v_before = shifted(ext, f"__v{i}", off, m)
+                differs.append(~_null_safe_eq(v_cur, v_before))
+                cols[f"__lchg{i}"] = pa.array((same_prev & differs[i]).astype(np.int64))
+            bsame = []
+            for j in range(n_buckets):
+                b_cur, b_before = shifted(ext, f"__b{j}", off, m)
+                bsame.append(same_prev & _null_safe_eq(b_cur, b_before))
+            for i, j in combos:
+                cols[f"__lbchg{i}_{j}"] = pa.array((bsame[j] & differs[i]).astype(np.int64))
             # next within this batch; the last row waits for the next batch
             same_next = np.concatenate([same_prev[1:], [False]])
             t_after = pa.concat_arrays([t_cur.slice(1), pa.nulls(1, pa.int64())])
-            lnext = pc.if_else(pa.array(same_next), t_after, pa.nulls(m, pa.int64()))
-            cols["__lnext_t"] = lnext
+            cols["__lnext_t"] = pc.if_else(pa.array(same_next), t_after, pa.nulls(m, pa.int64()))
             cols["__pid"] = pa.array(np.full(m, pid, dtype=np.int64))
             cols["__pos"] = pa.array(np.arange(pos, pos + m, dtype=np.int64))
             cols["__run"] = pa.array(runs.astype(np.int64))
@@ -183,35 +179,33 @@ def _scan_partition(key_names, has_value, has_bucket):
     return run
 
 
-def segmented_scan(narrow: DataFrame, key_names: list[str], rid: str, *, has_value: bool = False,
-                   has_bucket: bool = False, num_partitions: int | None = None) -> DataFrame:
-    """Ordered-group scan over ``narrow`` (columns: rid, keys, ``__t`` [, ``__v``] [, ``__b``]).
+def segmented_scan(narrow: DataFrame, key_names: list[str], rid: str, *, n_values: int = 0, n_buckets: int = 0,
+                   combos: list[tuple[int, int]] | tuple = (), num_partitions: int | None = None) -> DataFrame:
+    """Ordered-group scan over ``narrow`` (rid, keys, ``__t``, ``__v0..``, ``__b0..``).
 
     Order inside a group: ``__t`` ascending with nulls last, then ``rid``.
-    Returns one row per input row with ``__order`` (1-based), ``__prev_t``,
-    ``__next_t`` (epoch micros of the neighbours in the group), and when
-    ``has_value`` ``__chg`` (value differs from previous row in group) and
-    when ``has_bucket`` ``__bchg`` (same, restricted to equal ``__b``).
+    Returns one row per input row with ``__order`` (1-based), ``__prev_t`` and
+    ``__next_t`` (epoch micros of the neighbours in the group), ``__chg{i}``
+    (value ``i`` differs from the previous row of the group) and, for each
+    ``(i, j)`` in ``combos``, ``__bchg{i}_{j}`` (same, when the previous row is
+    also in the same bucket ``j``).
     """
     n = _num_scan_partitions(narrow, num_partitions)
     order = [F.col(k).asc_nulls_first() for k in key_names] + [F.col("__t").asc_nulls_last(), F.col(rid).asc()]
     ranged = narrow.repartitionByRange(n, *order).sortWithinPartitions(*order)
     extra = [T.StructField("__lprev_t", T.LongType())]
-    if has_value:
-        extra.append(T.StructField("__lchg", T.LongType()))
-        if has_bucket:
-            extra.append(T.StructField("__lbchg", T.LongType()))
+    extra += [T.StructField(f"__lchg{i}", T.LongType()) for i in range(n_values)]
+    extra += [T.StructField(f"__lbchg{i}_{j}", T.LongType()) for i, j in combos]
     extra += [T.StructField("__lnext_t", T.LongType()), T.StructField("__pid", T.LongType()),
               T.StructField("__pos", T.LongType()), T.StructField("__run", T.LongType()),
               T.StructField("__lord", T.LongType())]
     schema = T.StructType(list(narrow.schema.fields) + extra)
-    local = reliable_checkpoint(ranged.mapInArrow(_scan_partition(key_names, has_value, has_bucket), schema))
+    local = reliable_checkpoint(ranged.mapInArrow(_scan_partition(key_names, n_values, n_buckets, list(combos)),
+                                                  schema))
 
-    row_fields = [F.col(k) for k in key_names] + [F.col("__t")]
-    if has_value:
-        row_fields.append(F.col("__v"))
-    if has_bucket:
-        row_fields.append(F.col("__b"))
+    vnames = [f"__v{i}" for i in range(n_values)]
+    bnames = [f"__b{j}" for j in range(n_buckets)]
+    row_fields = [F.col(k) for k in key_names] + [F.col("__t")] + [F.col(c) for c in vnames + bnames]
     summary = local.groupBy("__pid").agg(
         F.count(F.lit(1)).alias("__n"),
         F.count_if(F.col("__run") == 0).alias("__first_len"),
@@ -228,6 +222,7 @@ def segmented_scan(narrow: DataFrame, key_names: list[str], rid: str, *, has_val
             *[F.col("__lr")[k].alias(f"__rk{i}") for i, k in enumerate(key_names)],
             F.col("__lr")["__lord"].alias("__len")))
     rk = [f"__rk{i}" for i in range(len(key_names))]
+    # one row per run at a partition edge (<= 2 per partition): bounded by the partition count
     wr = (Window.partitionBy(*rk) if rk else Window.partitionBy(F.lit(0))).orderBy("__pid", "__kind") \
         .rowsBetween(Window.unboundedPreceding, -1)
     carries = runs.withColumn("__carry", F.coalesce(F.sum("__len").over(wr), F.lit(0))) \
@@ -248,8 +243,7 @@ def segmented_scan(narrow: DataFrame, key_names: list[str], rid: str, *, has_val
         "__pid", "__n", "__last_run",
         (F.col("__plr").isNotNull() & keys_equal(F.col("__plr"), F.col("__fr"))).alias("__prev_same"),
         F.col("__plr")["__t"].alias("__ft_t"),
-        *([F.col("__plr")["__v"].alias("__ft_v")] if has_value else []),
-        *([F.col("__plr")["__b"].alias("__ft_b")] if has_bucket else []),
+        *[F.col("__plr")[c].alias(f"__ft{c}") for c in vnames + bnames],
         (F.col("__nfr").isNotNull() & keys_equal(F.col("__lr"), F.col("__nfr"))).alias("__next_same"),
         F.col("__nfr")["__t"].alias("__nt_t"),
     ).join(carries, "__pid", "left")
@@ -263,11 +257,13 @@ def segmented_scan(narrow: DataFrame, key_names: list[str], rid: str, *, has_val
         "__prev_t": F.when(first_row, F.col("__ft_t")).otherwise(F.col("__lprev_t")),
         "__next_t": F.when(last_row, F.col("__nt_t")).otherwise(F.col("__lnext_t")),
     }
-    if has_value:
-        differs = (~F.col("__v").eqNullSafe(F.col("__ft_v"))).cast("long")
-        outs["__chg"] = F.when(first_row, differs).otherwise(F.col("__lchg"))
-        if has_bucket:
-            outs["__bchg"] = F.when(first_row & F.col("__b").eqNullSafe(F.col("__ft_b")), differs) \
-                .when(F.col("__pos") == 0, F.lit(0).cast("long")).otherwise(F.col("__lbchg"))
-    keep = [rid, *key_names, "__t"] + (["__v"] if has_value else []) + (["__b"] if has_bucket else [])
+    for i, v in enumerate(vnames):
+        differs = (~F.col(v).eqNullSafe(F.col(f"__ft{v}"))).cast("long")
+        outs[f"__chg{i}"] = F.when(first_row, differs).otherwise(F.col(f"__lchg{i}"))
+    for i, jb in combos:
+        v, b = vnames[i], bnames[jb]
+        differs = (~F.col(v).eqNullSafe(F.col(f"__ft{v}"))).cast("long")
+        outs[f"__bchg{i}_{jb}"] = F.when(first_row & F.col(b).eqNullSafe(F.col(f"__ft{b}")), differs) \
+            .when(F.col("__pos") == 0, F.lit(0).cast("long")).otherwise(F.col(f"__lbchg{i}_{jb}"))
+    keep = [rid, *key_names, "__t", *vnames, *bnames]
     return j.select(*keep, *[c.alias(n) for n, c in outs.items()])

@@ -49,7 +49,8 @@ class ScanOp:
 
     @property
     def sig(self) -> tuple:
-        return (tuple(self.keys), self.time_col, self.target, self.bucket_minutes)
+        # one scan serves every target / bucket width over the same (keys, time)
+        return (tuple(self.keys), self.time_col)
 
 
 @dataclass

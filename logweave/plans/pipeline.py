@@ -151,24 +151,26 @@ class _Chain:
         cols = [F.col(rid)] + [F.col(k).alias(a) for k, a in zip(first.keys, key_alias)]
         t_us = tf.epoch_micros(F.col(first.time_col), self.pure.schema[first.time_col].dataType)
         cols.append(t_us.alias("__t"))
-        has_value = first.target is not None
-        if has_value:
-            cols.append(F.coalesce(F.col(first.target).cast("string"), F.lit("__missing__")).alias("__v"))
-        has_bucket = first.bucket_minutes is not None
-        if has_bucket:
-            cols.append(tf.bucket_id(t_us, first.bucket_minutes).alias("__b"))
+        targets = list(dict.fromkeys(o.target for o in ops if o.target is not None))
+        minutes = list(dict.fromkeys(o.bucket_minutes for o in ops if o.bucket_minutes is not None))
+        combos = list(dict.fromkeys((targets.index(o.target), minutes.index(o.bucket_minutes))
+                                    for o in ops if o.bucket_minutes is not None))
+        for i, tcol in enumerate(targets):
+            cols.append(F.coalesce(F.col(tcol).cast("string"), F.lit("__missing__")).alias(f"__v{i}"))
+        for j, m in enumerate(minutes):
+            cols.append(tf.bucket_id(t_us, m).alias(f"__b{j}"))
         narrow = self.pure.select(*cols)
-        res = grp.segmented_scan(narrow, key_alias, rid, has_value=has_value, has_bucket=has_bucket,
-                                 num_partitions=self.n)
-        outs = {}
-        kinds = {k for o in ops for _, k in o.outputs}
-        if "bucket_changes" in kinds:
-            totals = res.groupBy(*[F.col(k).alias("__c" + k) for k in key_alias],
-                                 F.col("__b").alias("__cb")).agg(F.sum("__bchg").alias("__bsum"))
-            cond = F.col("__b").eqNullSafe(F.col("__cb"))
+        res = grp.segmented_scan(narrow, key_alias, rid, n_values=len(targets), n_buckets=len(minutes),
+                                 combos=combos, num_partitions=self.n)
+        for i, jb in combos:
+            b = f"__b{jb}"
+            totals = res.groupBy(*[F.col(k).alias("__c" + k) for k in key_alias], F.col(b).alias("__cb")) \
+                .agg(F.sum(f"__bchg{i}_{jb}").alias(f"__bsum{i}_{jb}"))
+            cond = F.col(b).eqNullSafe(F.col("__cb"))
             for k in key_alias:
                 cond = cond & F.col(k).eqNullSafe(F.col("__c" + k))
-            res = res.join(totals, cond, "left")
+            res = res.join(totals, cond, "left").drop("__cb", *["__c" + k for k in key_alias])
+        outs = {}
         for o in ops:
             for name, kind in o.outputs:
                 if kind == "order":
@@ -178,9 +180,10 @@ class _Chain:
                 elif kind == "next":
                     expr = (F.col("__next_t") - F.col("__t")).cast("double") / 1e6
                 elif kind == "changed":
-                    expr = F.col("__chg").cast("long")
+                    expr = F.col(f"__chg{targets.index(o.target)}").cast("long")
                 else:
-                    expr = F.col("__bsum").cast("long")
+                    i, jb = targets.index(o.target), minutes.index(o.bucket_minutes)
+                    expr = F.col(f"__bsum{i}_{jb}").cast("long")
                 outs.pop(name, None)
                 outs[name] = expr
         tmp = self._fresh("r")

@@ -84,3 +84,35 @@ def test_window_changes_multi_key(spark):
     pdf["want"] = pdf.groupby(keys)["f"].transform("sum")
     for rid, w in zip(pdf["rid"], pdf["want"]):
         assert got[rid] == w
+
+
+def test_one_scan_many_targets_and_buckets(spark):
+    base = dt.datetime(2024, 1, 1)
+    random.seed(11)
+    data = [(i, random.choice(["a", "b", None]), base + dt.timedelta(minutes=random.randint(0, 600)),
+             random.choice(["x", "y", None]), random.choice(["p", "q"])) for i in range(600)]
+    df = spark.createDataFrame(data, "rid long, k string, t timestamp, v string, w string")
+    g = {"mode": "explicit", "columns": ["k"]}
+    steps = [{"step_type": "group_value_change_flag", "input_selector": g,
+              "params": {"time_column": "t", "target_column": tgt}, "output_mode": {"output_column": f"chg_{tgt}"}}
+             for tgt in ("v", "w")]
+    steps += [{"step_type": "window_status_change_count", "input_selector": g,
+               "params": {"time_column": "t", "target_column": tgt, "window_minutes": m},
+               "output_mode": {"output_column": f"wc_{tgt}_{m}"}} for tgt, m in (("v", 30), ("w", 60), ("v", 60))]
+    got = {r["rid"]: r.asDict() for r in run_features(df, steps, rid="rid", num_partitions=11).collect()}
+    pdf = pd.DataFrame(data, columns=["rid", "k", "t", "v", "w"]).sort_values(["k", "t", "rid"], na_position="last")
+    kk = pdf["k"].fillna("__null__")
+    for tgt in ("v", "w"):
+        val = pdf[tgt].fillna("__missing__")
+        prev = val.groupby(kk).shift(1)
+        pdf[f"chg_{tgt}"] = (prev.notna() & (prev != val)).astype(int)
+    for tgt, m in (("v", 30), ("w", 60), ("v", 60)):
+        val = pdf[tgt].fillna("__missing__")
+        b = pdf["t"].dt.floor(f"{m}min")
+        prev = val.groupby([kk, b]).shift(1)
+        flag = (prev.notna() & (prev != val)).astype(int)
+        pdf[f"wc_{tgt}_{m}"] = flag.groupby([kk, b]).transform("sum")
+    for _, r in pdf.iterrows():
+        g_ = got[r["rid"]]
+        for c in ("chg_v", "chg_w", "wc_v_30", "wc_w_60", "wc_v_60"):
+            assert g_[c] == r[c], (r["rid"], c)
