@@ -9,7 +9,7 @@ k-NN without a cross join and without a candidate cap:
    gap to the first point outside it exceeds the current k-th distance;
 3. a point whose k-th distance ``r`` reaches past its partition's key range
    asks for exactly the points of other partitions with ``|p_j - p_i| <= r``
-   (an equi-join on key buckets of width ``max r`` plus the band filter);
+   (an equi-join on key buckets of the median ``r`` plus the band filter);
 4. the merged lists give k-distance, reachability, local density and LOF as
    joins and averages.
 
@@ -116,7 +116,9 @@ def knn(points: DataFrame, rid: str, vec: str, k: int, seed: int = 42, num_parti
         .select("__rid", F.col("z.__nbrs").alias("nbr"), F.col("z.__dists").alias("dist"))
     crossing = (F.col("__p") - F.col("__r") <= F.col("__pmin")) | (F.col("__p") + F.col("__r") >= F.col("__pmax"))
     req = local.where(crossing).select("__rid", "__pid", "__x", "__p", "__r")
-    width = req.agg(F.max("__r")).first()[0]
+    # bucket width = median request radius: an isolated point with a huge radius explodes into more
+    # buckets instead of widening every bucket (which would pair all crossing points with far candidates)
+    width = req.where(F.col("__r") > 0).agg(F.percentile_approx("__r", 0.5, 10000)).first()[0]
     if kk == 0:
         return spark.createDataFrame([], "rid long, nbr long, dist double, rank int")
     if width is None or not np.isfinite(width) or width <= 0:
