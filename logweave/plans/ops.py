@@ -1,7 +1,7 @@
 """Plan fragments a step compiles to.
 
 A step never touches data itself; it describes *what* to attach and the
-interpreter (``plans.pipeline``) decides how: row-wise expressions become one
+interpreter (``plans.chain``) decides how: row-wise expressions become one
 ``withColumns``, group statistics are aggregated on a join-free frame and
 joined back (fused per key set), ordered-group features go through one
 segmented scan per (keys, time, target).

@@ -1,6 +1,6 @@
 """Built-in feature templates (PIP-7..9) and recipe generators (PIP-10..14).
 
-Templates are data: step lists run by :func:`logweave.plans.pipeline.run_features`.
+Templates are data: step lists run by :func:`logweave.plans.chain.run_features`.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import charclass as cc
 from ..operators.preprocess import apply_field_mapping
-from ..plans.pipeline import preview_step, run_features, run_preprocess
+from ..plans.chain import preview_step, run_features, run_preprocess
 from ..plans.templates import behavior_tracking_steps, quick_task_steps, template_steps
 from .common import logs, round6, table, with_logs
 from .q_features import ORACLE_PATTERNS, _ip_sql, _path_sql, _port_sql, _q

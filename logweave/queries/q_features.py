@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import charclass as cc
 from ..functions import text as tx
-from ..plans.pipeline import run_features
+from ..plans.chain import run_features
 from .common import logs, round6, table, with_logs
 from .registry import query
 

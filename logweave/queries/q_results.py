@@ -13,7 +13,7 @@ from ..operators import advisor as adv
 from ..operators import analysis as an
 from ..operators import drilldown as dd
 from ..operators.selection import feature_matrix, select_training_columns, selection_frame
-from ..plans.pipeline import run_features
+from ..plans.chain import run_features
 from .common import logs, round6, table, with_logs
 from .q_features import FLOW_STEPS
 from .registry import query
