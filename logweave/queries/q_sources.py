@@ -199,7 +199,6 @@ def _profile_sql() -> str:
         name_ts = any(h in lname for h in ["time", "timestamp", "date", "datetime", "event_time"])
         is_label = lname in {"label", "labels", "is_anomaly", "anomaly", "target", "class", "y"} or lname.endswith(
             "_label")
-        dist = "NULL" if numeric else f"count(DISTINCT {name})"
         avgl = "NULL" if numeric else f"coalesce(avg(length({txt})), 0.0)"
         parse_ok = f"(TRY_CAST(v AS TIMESTAMP) IS NOT NULL OR regexp_full_match(v, '[0-9]{{4}}'))"
         ts_rule = "true" if name_ts else (
@@ -218,7 +217,7 @@ def _profile_sql() -> str:
                  f"CASE WHEN {cat} THEN 'categorical' END, CASE WHEN {text} THEN 'text' END)")
         parts.append(
             f"SELECT {i} AS position, '{name}' AS name, '{dtype}' AS dtype, count(*) FILTER (WHERE {name} IS NULL) "
-            f"AS null_count, count({name}) AS non_null_count, CAST({dist} AS BIGINT) AS distinct_count, "
+            f"AS null_count, count({name}) AS non_null_count, "
             f"round(CAST({avgl} AS DOUBLE), 6) AS avg_length, {samples} AS sample_values, {roles} AS candidate_roles "
             "FROM logs")
     return with_logs(" UNION ALL ".join(parts))
@@ -228,6 +227,5 @@ def _profile_sql() -> str:
 def column_profile(spark, d):
     # every column is profiled, the source key included; it also orders the samples
     full = profile_columns(logs(spark, d).withColumn("__rid", F.col("row_id")), rid="__rid")
-    return round6(full.select("position", "name", "dtype", "null_count", "non_null_count", "distinct_count",
-                              "avg_length", F.array_join("sample_values", "|").alias("sample_values"),
+    return round6(full.select("position", "name", "dtype", "null_count", "non_null_count", "avg_length", F.array_join("sample_values", "|").alias("sample_values"),
                               F.array_join("candidate_roles", ",").alias("candidate_roles")))
