@@ -195,14 +195,76 @@ def _grow(names: list[str], psi: int, seed: int):
     return grow
 
 
-def isolation_forest(df: DataFrame, feature_columns: list[str], rid: str, n_trees: int = 100,
-                     max_samples: int = 256, contamination: float = 0.1, seed: int = 42,
-                     keep: list[str] | None = None) -> DataFrame:
-    """TRN-7: anomaly_score = 2^(-E[h(x)]/c(psi)) (the negated sklearn score_samples);
-    anomalies are scores above the (1 - contamination) quantile."""
-    mat, names = feature_matrix(df, feature_columns, keep=[F.col(rid)] + [F.col(c) for c in (keep or [])],
-                                prefix="__f_")
-    mat = reliable_checkpoint(mat)
+class IsolationForestModel:
+    """Fitted forest: the node table (bounded by trees x 2 x psi rows) plus the feature layout."""
+
+    def __init__(self, nodes: pd.DataFrame, feature_columns: list[str], names: list[str], psi: int,
+                 categories: dict[str, list[str]] | None = None):
+        self.nodes = nodes.sort_values(["tree", "node"]).reset_index(drop=True)
+        self.feature_columns = feature_columns
+        self.names = names
+        self.psi = psi
+
+    def _trees(self):
+        return [{k: t[k].to_numpy() for k in ("feature", "threshold", "left", "right", "size", "depth")}
+                for _, t in self.nodes.groupby("tree")]
+
+    def score(self, mat: DataFrame, keep: list[str]) -> DataFrame:
+        """Adds ``anomaly_score`` to a feature matrix holding ``names`` (Arrow batches, broadcast trees)."""
+        names, c_psi = self.names, _c(self.psi)
+        broadcast = mat.sparkSession.sparkContext.broadcast(self._trees())
+
+        def score(batches):
+            forest = broadcast.value
+            cvec = np.vectorize(_c)
+            for b in batches:
+                pdf = b.to_pandas()
+                X = pdf[names].to_numpy(dtype=float) if names else np.zeros((len(pdf), 0))
+                total = np.zeros(len(pdf))
+                for t in forest:
+                    node = np.zeros(len(pdf), dtype=np.int64)
+                    for _ in range(int(t["depth"].max()) + 1):
+                        f = t["feature"][node]
+                        internal = f >= 0
+                        if not internal.any():
+                            break
+                        xv = X[np.arange(len(pdf)), np.where(internal, f, 0)] if names else np.zeros(len(pdf))
+                        nxt = np.where(xv < t["threshold"][node], t["left"][node], t["right"][node])
+                        node = np.where(internal, nxt, node)
+                    total += t["depth"][node] + cvec(t["size"][node].astype(float))
+                s = np.power(2.0, -(total / max(len(forest), 1)) / c_psi) if c_psi > 0 else np.full(len(pdf), 0.5)
+                out = pdf[keep].copy()
+                out["anomaly_score"] = s
+                yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+
+        schema = T.StructType([mat.schema[c] for c in keep] + [T.StructField("anomaly_score", T.DoubleType())])
+        return mat.mapInArrow(score, schema)
+
+    def save(self, path: str) -> str:
+        """TRN-15: the node table as Parquet plus the layout, in a new directory."""
+        spark = SparkSessionRef.get()
+        spark.createDataFrame(self.nodes).write.mode("errorifexists").parquet(f"{path}/nodes")
+        meta = pd.DataFrame({"feature_columns": [self.feature_columns], "names": [self.names], "psi": [self.psi]})
+        spark.createDataFrame(meta).write.mode("errorifexists").parquet(f"{path}/meta")
+        return path
+
+    @staticmethod
+    def load(spark, path: str) -> "IsolationForestModel":
+        nodes = spark.read.parquet(f"{path}/nodes").toPandas()
+        meta = spark.read.parquet(f"{path}/meta").first()
+        return IsolationForestModel(nodes, list(meta["feature_columns"]), list(meta["names"]), int(meta["psi"]))
+
+
+class SparkSessionRef:
+    @staticmethod
+    def get():
+        from pyspark.sql import SparkSession
+        return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+
+
+def fit_isolation_forest(mat: DataFrame, names: list[str], rid: str, feature_columns: list[str],
+                         n_trees: int = 100, max_samples: int = 256, seed: int = 42) -> IsolationForestModel:
+    """Grow the trees: subsamples by row-id hash from a pool bounded by trees x 2 x psi rows."""
     n = mat.count()
     psi = int(min(max_samples, n))
     pool_target = min(n, 2 * psi * n_trees)
@@ -215,40 +277,33 @@ def isolation_forest(df: DataFrame, feature_columns: list[str], rid: str, n_tree
         .where(F.pmod(F.col("__h"), F.lit(1_000_000)) < F.lit(int(keep_frac * 1_000_000) + 1))
     node_schema = "tree int, node long, feature long, threshold double, left long, right long, size long, depth long"
     nodes = per_tree.groupBy("__tree").applyInPandas(_grow(names, psi, seed), node_schema)
-    table = nodes.toPandas().sort_values(["tree", "node"])  # bounded: n_trees x (2 psi) rows
-    trees = []
-    for _, t in table.groupby("tree"):
-        trees.append({k: t[k].to_numpy() for k in ("feature", "threshold", "left", "right", "size", "depth")})
-    c_psi = _c(psi)
-    broadcast = df.sparkSession.sparkContext.broadcast(trees)
-    out_names = [f.name for f in mat.schema.fields if f.name not in names]
+    return IsolationForestModel(nodes.toPandas(), feature_columns, names, psi)  # bounded: trees x 2 psi rows
+
 
-    def score(batches):
-        forest = broadcast.value
-        cvec = np.vectorize(_c)
-        for b in batches:
-            pdf = b.to_pandas()
-            X = pdf[names].to_numpy(dtype=float) if names else np.zeros((len(pdf), 0))
-            total = np.zeros(len(pdf))
-            for t in forest:
-                node = np.zeros(len(pdf), dtype=np.int64)
-                for _ in range(int(t["depth"].max()) + 1):
-                    f = t["feature"][node]
-                    internal = f >= 0
-                    if not internal.any():
-                        break
-                    xv = X[np.arange(len(pdf)), np.where(internal, f, 0)] if names else np.zeros(len(pdf))
-                    nxt = np.where(xv < t["threshold"][node], t["left"][node], t["right"][node])
-                    node = np.where(internal, nxt, node)
-                total += t["depth"][node] + cvec(t["size"][node].astype(float))
-            s = np.power(2.0, -(total / max(len(forest), 1)) / c_psi) if c_psi > 0 else np.full(len(pdf), 0.5)
-            out = pdf[out_names].copy()
-            out["anomaly_score"] = s
-            yield pa.RecordBatch.from_pandas(out, preserve_index=False)
-
-    schema = T.StructType([f for f in mat.schema.fields if f.name in out_names] +
-                          [T.StructField("anomaly_score", T.DoubleType())])
-    scored = reliable_checkpoint(mat.mapInArrow(score, schema))
+def isolation_forest(df: DataFrame, feature_columns: list[str], rid: str, n_trees: int = 100,
+                     max_samples: int = 256, contamination: float = 0.1, seed: int = 42,
+                     keep: list[str] | None = None, return_model: bool = False):
+    """TRN-7: anomaly_score = 2^(-E[h(x)]/c(psi)) (the negated sklearn score_samples);
+    anomalies are scores above the (1 - contamination) quantile."""
+    mat, names = feature_matrix(df, feature_columns, keep=[F.col(rid)] + [F.col(c) for c in (keep or [])],
+                                prefix="__f_")
+    mat = reliable_checkpoint(mat)
+    model = fit_isolation_forest(mat, names, rid, feature_columns, n_trees, max_samples, seed)
+    out_names = [f.name for f in mat.schema.fields if f.name not in names]
+    scored = reliable_checkpoint(model.score(mat, out_names))
     q = scored.agg(F.percentile_approx("anomaly_score", 1.0 - float(contamination), 100000).alias("q"))
-    return scored.crossJoin(F.broadcast(q)).withColumn(
+    result = scored.crossJoin(F.broadcast(q)).withColumn(
         "predicted_label", F.when(F.col("anomaly_score") > F.col("q"), "anomaly").otherwise("normal")).drop("q")
+    return (result, model) if return_model else result
+
+
+def save_model(model, base: str | None = None, prefix: str = "model") -> str:
+    """TRN-15: persist a fitted model to a fresh directory (older artifacts are never overwritten)."""
+    from ..session import ensure_checkpoint_dir
+    from ..sources.readers import new_artifact_path
+    spark = SparkSessionRef.get()
+    path = new_artifact_path(base or ensure_checkpoint_dir(spark), prefix)
+    if isinstance(model, IsolationForestModel):
+        return model.save(path)
+    model.write().save(path)
+    return path

@@ -75,3 +75,24 @@ def test_one_class_svm_invariants(spark):
     share = sum(r["predicted_label"] == "anomaly" for r in rows.values()) / len(rows)
     assert abs(share - 0.1) < 0.02
     assert all(rows[1500 + i]["predicted_label"] == "anomaly" for i in range(5))
+
+
+def test_model_artifacts(spark, tmp_path):
+    import random as _r
+
+    from pyspark.ml.classification import LogisticRegressionModel
+    _r.seed(4)
+    df = spark.createDataFrame([(i, _r.gauss(0, 1), _r.gauss(0, 1)) for i in range(500)], "rid long, x double, y double")
+    scored, model = ml.isolation_forest(df, ["x", "y"], "rid", n_trees=20, return_model=True)
+    path = ml.save_model(model, str(tmp_path))
+    again = ml.IsolationForestModel.load(spark, path)
+    from logweave.operators.selection import feature_matrix
+    mat, names = feature_matrix(df, ["x", "y"], keep=[df["rid"]], prefix="__f_")
+    rescored = {r["rid"]: r["anomaly_score"] for r in again.score(mat, ["rid"]).collect()}
+    for r in scored.collect():
+        assert abs(rescored[r["rid"]] - r["anomaly_score"]) < 1e-12
+    data = [(i, float(i % 10), "1" if i % 10 > 4 else "0") for i in range(200)]
+    sdf = spark.createDataFrame(data, "rid long, v double, target string")
+    fitted, _, _ = ml.train_supervised(sdf, ["v"], "target", "logistic_regression", "rid")
+    p2 = ml.save_model(fitted, str(tmp_path))
+    assert p2 != path and LogisticRegressionModel.load(p2).numFeatures == 1
