@@ -51,8 +51,11 @@ def cast_expr(c: Column, dtype: T.DataType, target: str | None) -> Column:
     return c
 
 
-def filter_condition(c: Column, operator: str, value: Any) -> Column:
+def filter_condition(c: Column, operator: str, value: Any, dtype: T.DataType | None = None) -> Column:
+    """Row predicate; comparisons on columns that are already numeric (or text equality on text
+    columns) stay plain so the Parquet scan can take them as pushed filters."""
     s = c.cast("string")
+    numeric = isinstance(dtype, T.NumericType)
     if operator == "eq":
         return s == F.lit(str(value))
     if operator == "ne":
@@ -66,9 +69,13 @@ def filter_condition(c: Column, operator: str, value: Any) -> Column:
                 raise ValueError
         except (TypeError, ValueError):
             return F.lit(False)
-        x = c.try_cast("double")
+        x = c if numeric else c.try_cast("double")
         cmp = {"gt": x > lit, "gte": x >= lit, "lt": x < lit, "lte": x <= lit}[operator]
-        return F.coalesce(cmp, F.lit(False))
+        # in a filter a null comparison already drops the row; Spark orders NaN above every
+        # number while pandas compares it as false (the pushable comparison stays separate)
+        if numeric and isinstance(dtype, (T.FloatType, T.DoubleType)):
+            return cmp & ~F.isnan(c)
+        return cmp if numeric else F.coalesce(cmp, F.lit(False))
     if operator == "is_null":
         return c.isNull()
     if operator == "not_null":
@@ -129,7 +136,7 @@ def compile_preprocess_step(df: DataFrame, step: Step, rid: str) -> list:
     if st == "filter_rows":
         if not cols:
             return []
-        cond = filter_condition(F.col(cols[0]), p.get("operator") or "eq", p.get("value"))
+        cond = filter_condition(F.col(cols[0]), p.get("operator") or "eq", p.get("value"), dtype_of(df, cols[0]))
         return [FrameOp([cols[0]], lambda d, c=cond: d.filter(c), row_changing=True, apply_to_pure=True)]
     if st == "drop_duplicates":
         subset = cols or [c for c in p.get("subset", []) if c in df.columns]
