@@ -35,12 +35,40 @@ def get_spark(app: str = "logweave", cores: int | str = "*", shuffle_partitions:
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``logweave`` importable in Python workers (UDFs, Arrow maps): zip the package once
+    per SparkContext and ``addPyFile`` it -- the same as ``--py-files`` on spark-submit."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import logweave
+    root = os.path.dirname(os.path.dirname(os.path.abspath(logweave.__file__)))
+    pkg = os.path.join(root, "logweave")
+    zpath = os.path.join(tempfile.mkdtemp(prefix="logweave-pyfiles-"), "logweave.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory, setting it from the session conf.
 
     Order: an already-set SparkContext dir, then ``spark.checkpoint.dir``; only a
     local-mode session with neither gets a fresh scratch folder.
     """
+    ship_package(spark)
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -71,6 +99,7 @@ def reliable_checkpoint(df):
 def ensure_parallelism(df):
     """Spread an input with fewer partitions than cores (one small file / row group) over all
     cores before heavy row-wise work.  Large inputs already scan as many splits and are left alone."""
+    ship_package(df.sparkSession)
     if df.isStreaming:
         return df
     sc = df.sparkSession.sparkContext
