@@ -415,22 +415,76 @@ def feature_matrix_q(spark, d):
     return mat
 
 
-@query("advisor_fields")
+def _advisor_sql() -> str:
+    """Per-field advice in SQL.  The advisor's sample (limit 10 000) holds every logs row at sf0.01."""
+    from ..operators.advisor import infer_tracking_type
+
+    sel = _selection_sql()
+    head, rows_sql = sel.rsplit("\n", 1)
+    parts = []
+    for i, (c, numeric) in enumerate(_SEL_INPUT):
+        is_dt = c == "event_time"
+        track = infer_tracking_type(c)
+        track_sql = f"'{track}'" if track else "NULL"
+        ratio = f"(SELECT count(*) FILTER (WHERE {c} IS NULL) / count(*) FROM src)"
+        castable = "false" if (c == "label" or numeric or is_dt) else (
+            f"(SELECT count({c}) > 0 AND count(*) FILTER (WHERE TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE) IS NOT NULL) "
+            f"/ count({c}) >= 0.9 FROM src)")
+        castable_dt = "false" if (c == "label" or numeric or is_dt) else (
+            f"(SELECT count({c}) > 0 AND count(*) FILTER (WHERE TRY_CAST(CAST({c} AS VARCHAR) AS TIMESTAMP) IS NOT NULL) "
+            f"/ count({c}) >= 0.9 FROM src)")
+        r = f"r{i}"
+        leak = f"{r} IN ('target_column', 'label_like_column', 'duplicates_target_column')"
+        status = (f"CASE WHEN {leak} THEN 'suspected_label_leak' WHEN {r} = 'identifier_column' THEN 'suspected_id' "
+                  f"WHEN {r} = 'raw_text_column' THEN 'raw_text' WHEN starts_with({r}, 'high_cardinality') "
+                  f"THEN 'high_cardinality_risk' WHEN {r} IN ('empty_column', 'constant_column') THEN 'suggest_delete' "
+                  f"WHEN {ratio} >= 0.98 THEN 'suggest_delete' WHEN {castable} OR {castable_dt} THEN 'suggest_convert' "
+                  f"WHEN {ratio} >= 0.3 THEN 'high_missing' ELSE 'recommended_keep' END")
+        code = (f"CASE WHEN {leak} OR {r} IN ('identifier_column', 'raw_text_column', 'empty_column', "
+                f"'constant_column') THEN {r} WHEN starts_with({r}, 'high_cardinality') THEN 'high_cardinality' "
+                f"WHEN {ratio} >= 0.98 THEN 'empty_column' WHEN {castable} THEN 'cast_numeric' "
+                f"WHEN {castable_dt} THEN 'cast_datetime' WHEN {ratio} >= 0.3 THEN 'high_missing' ELSE 'keep' END")
+        action = (f"CASE WHEN {leak} THEN 'drop_from_training' WHEN {r} = 'identifier_column' THEN "
+                  f"{'\'move_to_feature_engineering\'' if track else '\'exclude_column\''} "
+                  f"WHEN {r} = 'raw_text_column' OR starts_with({r}, 'high_cardinality') THEN "
+                  f"'move_to_feature_engineering' WHEN {r} IN ('empty_column', 'constant_column') OR {ratio} >= 0.98 "
+                  f"THEN 'exclude_column' WHEN {castable} THEN 'cast_numeric' WHEN {castable_dt} THEN 'cast_datetime' "
+                  f"WHEN {ratio} >= 0.3 THEN 'fill_null' ELSE 'keep' END")
+        conf = (f"CASE WHEN {r} IS NULL AND {ratio} < 0.98 AND ({castable} OR {castable_dt} OR {ratio} >= 0.3) "
+                f"THEN 'medium' ELSE 'high' END")
+        parts.append(f"SELECT {i} AS position, '{c}' AS field, {status} AS status, {code} AS reason_code, "
+                     f"{action} AS recommended_action, {conf} AS confidence, round({ratio}, 6) AS null_ratio, "
+                     f"{track_sql} AS tracking_type FROM rs")
+    return head + "\n" + " UNION ALL ".join(parts)
+
+
+def _advice(spark, d):
+    return adv.analyze(_selection_input(spark, d), target="label", dataset_label="label", sample_limit=10000,
+                       rid="row_id")
+
+
+@query("advisor_fields", _advisor_sql())
 def advisor_fields(spark, d):
-    res = adv.analyze(_selection_input(spark, d), target="label", dataset_label="label", sample_limit=10000,
-                      rid="row_id")
+    res = _advice(spark, d)
     rows = [(i, a["field"], a["status"], a["reason_code"], a["recommended_action"], a["confidence"],
-             float(a["null_ratio"]), a["tracking_type"], json.dumps(a["feature_handoff"], ensure_ascii=False))
-            for i, a in enumerate(res["field_advice"])]
-    return spark.createDataFrame(rows, "position int, field string, status string, reason_code string, "
-                                       "recommended_action string, confidence string, null_ratio double, "
-                                       "tracking_type string, feature_handoff string")
+             float(a["null_ratio"]), a["tracking_type"]) for i, a in enumerate(res["field_advice"])]
+    out = spark.createDataFrame(rows, "position int, field string, status string, reason_code string, "
+                                      "recommended_action string, confidence string, null_ratio double, "
+                                      "tracking_type string")
+    return round6(out)
+
+
+@query("advisor_handoff")
+def advisor_handoff(spark, d):
+    res = _advice(spark, d)
+    rows = [(a["field"], json.dumps(a["feature_handoff"], ensure_ascii=False)) for a in res["field_advice"]
+            if a["feature_handoff"]]
+    return spark.createDataFrame(rows, "field string, feature_handoff string")
 
 
 @query("advisor_groups")
 def advisor_groups(spark, d):
-    res = adv.analyze(_selection_input(spark, d), target="label", dataset_label="label", sample_limit=10000,
-                      rid="row_id")
+    res = _advice(spark, d)
     rows = [(g["issue_type"], ",".join(g["fields"]), g["recommended_action"]) for g in res["issue_groups"]]
     steps = [(s["recommendation_id"], json.dumps(s["step"])) for s in res["recommended_steps"]]
     return spark.createDataFrame(rows, "issue_type string, fields string, recommended_action string") \
