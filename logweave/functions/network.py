@@ -91,21 +91,6 @@ def ip_features(c: Column, v4: Column | None = None) -> dict[str, Column]:
     }
 
 
-def ip_features_v4_only(c: Column) -> dict[str, Column]:
-    """Same as :func:`ip_features` for columns known to hold no IPv6 values."""
-    s = c.cast("string")
-    v4 = ipv4_to_long(s)
-    is_v4 = v4.isNotNull()
-    return {
-        "is_private": F.coalesce(F.when(is_v4, (_in_ranges(v4, IPV4_PRIVATE_NETS)
-                                                & ~_in_ranges(v4, IPV4_PRIVATE_EXCEPTIONS)).cast("long")),
-                                 F.lit(0).cast("long")),
-        "is_loopback": F.coalesce(F.when(is_v4, _in_ranges(v4, ["127.0.0.0/8"]).cast("long")),
-                                  F.lit(0).cast("long")),
-        "ip_version": F.when(is_v4, F.lit(4).cast("long")),
-    }
-
-
 def try_double(c: Column) -> Column:
     return c.try_cast("double")
 

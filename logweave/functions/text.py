@@ -1,7 +1,8 @@
-"""Row-wise text features as native Spark column expressions (FTR-3..11, PRE-6/7).
+"""Row-wise text features (FTR-3..11, PRE-6/7).
 
-Everything here is a ``Column -> Column`` function that stays inside
-whole-stage codegen (regex, length, higher-order functions); no Python UDFs.
+Lengths, tokens, keyword and regex counts and pattern flags are JVM expressions
+(whole-stage codegen).  Character statistics (entropy, unique characters,
+composition) come from one Arrow-batched pass per text (:func:`char_profile`).
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from . import charclass as cc
 
 # Fixed values that must equal the reference: the token pattern and the
 # pattern-flag library (names and regexes, Python syntax).
-TOKEN_PATTERN_CHARS = "\\w\\-.:/"  # token = one or more of: word chars, '-', '.', ':', '/'
 PATTERN_LIBRARY: dict[str, str] = {
     "ip": r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
     "url": r"https?://[^\s]+",
@@ -35,6 +35,7 @@ def _s(c: Column) -> Column:
 
 
 def token_regex() -> str:
+    """A token: one or more of Python word characters, '-', '.', ':' or '/'."""
     return f"[{cc.word_class_body()}\\-.:/]+"
 
 
@@ -52,62 +53,6 @@ def token_count(c: Column) -> Column:
     return F.regexp_count(F.coalesce(_s(c), F.lit("")), F.lit(token_regex())).cast("long")
 
 
-def shannon_entropy(c: Column) -> Column:
-    """Base-2 character entropy; empty/null -> 0.0.
-
-    Counts characters by sorting the code-point array and folding run lengths,
-    O(n log n) in the JVM, no per-row Python.
-    """
-    t = F.coalesce(_s(c), F.lit(""))
-    chars = F.array_sort(F.split(t, ""))
-    n = F.length(t).cast("double")
-
-    def term(run):
-        p = run.cast("double") / n
-        return F.when(run > 0, -p * F.log2(p)).otherwise(F.lit(0.0))
-
-    init = F.struct(F.lit(None).cast("string").alias("p"), F.lit(0).cast("long").alias("r"),
-                    F.lit(0.0).alias("a"))
-
-    def merge(s, x):
-        same = s["p"].isNotNull() & (x == s["p"])
-        return F.when(same, F.struct(x.alias("p"), (s["r"] + 1).alias("r"), s["a"].alias("a"))).otherwise(
-            F.struct(x.alias("p"), F.lit(1).cast("long").alias("r"), (s["a"] + term(s["r"])).alias("a")))
-
-    total = F.aggregate(chars, init, merge, lambda s: s["a"] + term(s["r"]))
-    return F.when(F.length(t) == 0, F.lit(0.0)).otherwise(total)
-
-
-def _count_class(t: Column, klass: str) -> Column:
-    return F.regexp_count(t, F.lit(klass))
-
-
-def char_composition(c: Column) -> dict[str, Column]:
-    t = F.coalesce(_s(c), F.lit(""))
-    n = F.length(t).cast("double")
-
-    def ratio(cnt):
-        return F.when(n == 0, F.lit(0.0)).otherwise(cnt.cast("double") / n)
-
-    return {
-        "digit_ratio": ratio(_count_class(t, cc.digit_class())),
-        "alpha_ratio": ratio(_count_class(t, cc.alpha_class())),
-        "upper_ratio": ratio(_count_class(t, cc.upper_class("spark"))),
-        "whitespace_ratio": ratio(_count_class(t, cc.space_class())),
-        "special_ratio": ratio(F.length(t) - _count_class(t, cc.alnum_or_space_class())),
-    }
-
-
-def unique_chars(c: Column) -> dict[str, Column]:
-    t = F.coalesce(_s(c), F.lit(""))
-    n = F.length(t)
-    distinct = F.when(n == 0, F.lit(0)).otherwise(F.size(F.array_distinct(F.split(t, ""))))
-    return {
-        "unique_char_count": distinct.cast("long"),
-        "unique_char_ratio": F.when(n == 0, F.lit(0.0)).otherwise(distinct.cast("double") / n.cast("double")),
-    }
-
-
 def keyword_count(c: Column, keywords: list[str]) -> Column:
     """Sum of non-overlapping, case-insensitive literal occurrences."""
     kws = [str(k).lower() for k in keywords if str(k).strip()]
@@ -169,12 +114,8 @@ def composition_from_profile(p: Column) -> dict[str, Column]:
 
     return {"digit_ratio": ratio(p["digit"]), "alpha_ratio": ratio(p["alpha"]), "upper_ratio": ratio(p["upper"]),
             "whitespace_ratio": ratio(p["space"]),
-            "special_ratio": ratio(p["n"] - p["alnum"] - p["space"] + _space_and_alnum_overlap(p))}
-
-
-def _space_and_alnum_overlap(p: Column) -> Column:
-    # no character is both alphanumeric and whitespace in Python's tables
-    return F.lit(0)
+            # no character is both alphanumeric and whitespace in Python's tables
+            "special_ratio": ratio(p["n"] - p["alnum"] - p["space"])}
 
 
 def unique_from_profile(p: Column) -> dict[str, Column]:
