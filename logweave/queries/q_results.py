@@ -69,7 +69,7 @@ def pred_preview(spark, d):
                                                               "predicted_label")
 
 
-_HASH = "((sample_index * 2654435761) % 4294967296)"
+_HASH = "(((sample_index % 4294967296) * 1000003) % 4294967296)"
 _SAMPLE_CTE = (
     "cnt AS (SELECT count(*) FILTER (WHERE predicted_label = 'anomaly') AS a, "
     "count(*) FILTER (WHERE predicted_label <> 'anomaly' OR predicted_label IS NULL) AS n FROM scored), "
@@ -353,7 +353,8 @@ _SEL_INPUT = [  # (name, numeric) of the selection input, in order (row_id is th
     ("constant_field", False), ("empty_field", True)]
 
 
-def _selection_sql(target: str = "label", dataset_label: str = "label", max_card: int = 50) -> str:
+def _selection_sql(target: str = "label", dataset_label: str = "label", max_card: int = 50,
+                   sample_limit: int | None = None) -> str:
     from ..operators.columns import normalize_name
     from ..operators.selection import RESERVED_TRAINING_COLUMNS, is_identifier, is_label_like, is_raw_text
 
@@ -393,6 +394,9 @@ def _selection_sql(target: str = "label", dataset_label: str = "label", max_card
                               for i, (c, _) in enumerate(_SEL_INPUT))
     src = ("SELECT *, value AS value_copy, label AS label_copy, 's-' || CAST(row_id AS VARCHAR) AS session_token, "
            "'x' AS constant_field, CAST(NULL AS DOUBLE) AS empty_field FROM logs")
+    if sample_limit:
+        # the advisor's deterministic sample: the same id permutation as the Spark side
+        src += f" ORDER BY ((row_id % 4294967296) * 1000003) % 4294967296, row_id LIMIT {int(sample_limit)}"
     return with_logs("").rstrip() + f", src AS ({src}), agg AS (SELECT {', '.join(aggs)} FROM src), " \
         f"rs AS (SELECT *, {', '.join(reasons)} FROM agg)\n{rows}"
 
@@ -416,10 +420,10 @@ def feature_matrix_q(spark, d):
 
 
 def _advisor_sql() -> str:
-    """Per-field advice in SQL.  The advisor's sample (limit 10 000) holds every logs row at sf0.01."""
+    """Per-field advice in SQL over the advisor's deterministic 10 000-row sample."""
     from ..operators.advisor import infer_tracking_type
 
-    sel = _selection_sql()
+    sel = _selection_sql(sample_limit=10000)
     head, rows_sql = sel.rsplit("\n", 1)
     parts = []
     for i, (c, numeric) in enumerate(_SEL_INPUT):
