@@ -190,3 +190,32 @@ def test_lineage_and_column_classes(spark):
     assert classes["training_candidate_columns"] == ["msg_length", "source_ip_group_count"]
     assert "source_ip" in classes["business_context_columns"] and "msg" in classes["business_context_columns"]
     assert classes["feature_lineage"]["msg_length"]["used_for_training"] is True
+
+
+def test_steps_on_join_derived_columns_seal_the_chain(spark):
+    import pandas as pd
+    data = [(i, f"u{i % 7}", float(i % 5), "a" if i % 3 else "b") for i in range(200)]
+    df = spark.createDataFrame(data, "rid long, user string, v double, kind string")
+    out = run_features(df, [
+        {"step_type": "group_frequency", "input_selector": sel("user"), "output_mode": {"output_column": "n_user"}},
+        {"step_type": "ratio_feature", "input_selector": sel("v", "n_user"), "output_mode": {"output_column": "r"}},
+        {"step_type": "frequency_encode", "input_selector": sel("n_user")},           # reads a joined column
+        {"step_type": "group_unique_count", "input_selector": sel("n_user"), "params": {"target_column": "kind"},
+         "output_mode": {"output_column": "u"}},
+        {"step_type": "numeric_scale", "input_selector": sel("r")},                  # dataset stat on a derived column
+        {"step_type": "group_event_order", "input_selector": sel("n_user"), "params": {"time_column": "rid"},
+         "output_mode": {"output_column": "o"}}], rid="rid")
+    got = {r["rid"]: r.asDict() for r in out.collect()}
+    pdf = pd.DataFrame(data, columns=["rid", "user", "v", "kind"])
+    pdf["n_user"] = pdf.groupby("user")["user"].transform("size")
+    pdf["r"] = pdf["v"] / pdf["n_user"]
+    pdf["n_user_freq"] = pdf["n_user"].map(pdf["n_user"].value_counts())
+    pdf["u"] = pdf.groupby("n_user")["kind"].transform("nunique")
+    pdf["r_scaled"] = (pdf["r"] - pdf["r"].mean()) / pdf["r"].std()
+    pdf["o"] = pdf.sort_values("rid").groupby("n_user").cumcount() + 1
+    for _, w in pdf.iterrows():
+        g = got[w["rid"]]
+        assert g["n_user"] == w["n_user"] and abs(g["r"] - w["r"]) < 1e-12
+        assert g["n_user_freq"] == w["n_user_freq"] and g["u"] == w["u"]
+        assert abs(g["r_scaled"] - w["r_scaled"]) < 1e-9
+        assert g["o"] == w["o"]
