@@ -247,10 +247,48 @@ def drill_context(spark, d):
                                  "position int, label string, value string, is_anchor boolean")
 
 
-@query("drill_window")
+_SCORED_ORDER = ["row_id", "source_ip", "dest_ip", "protocol", "path", "event_type", "user_id", "event_time",
+                 "user_id_group_count", "user_id_event_time_1440m_count", "user_id_event_time_1440m_spike",
+                 "source_row_id", "sample_index", "anomaly_score", "predicted_label", "actual_label"]
+
+
+def _drill_window_sql() -> str:
+    base = dd.signal_base(SIGNAL)
+    cands = [c for c in dd.ANCHOR_PREFERRED if c in _SCORED_ORDER]
+    cands += [c for c in _SCORED_ORDER if base and base in c and c not in cands]
+
+    def txt(t, c):
+        return f"trim(CAST({t}.{c} AS VARCHAR))"
+
+    counts = " UNION ALL ".join(
+        f"SELECT {i} AS pos, '{c}' AS name, (SELECT count(*) FROM scored s WHERE coalesce({txt('s', c)}, '') = "
+        f"{txt('sel', c)}) AS cnt FROM sel WHERE sel.{c} IS NOT NULL AND {txt('sel', c)} <> ''"
+        for i, c in enumerate(cands))
+    mismatch = " OR ".join(f"(a.name = '{c}' AND coalesce({txt('s', c)}, '') <> {txt('sel', c)})" for c in cands)
+    win = ("win AS (SELECT s.* FROM scored s, sel WHERE s.event_time IS NOT NULL AND "
+           "epoch_us(s.event_time) // 86400000000::BIGINT = epoch_us(sel.event_time) // 86400000000::BIGINT "
+           f"AND NOT EXISTS (SELECT 1 FROM anchors a WHERE {mismatch}))")
+    after = "(w.event_time > sel.event_time OR (w.event_time = sel.event_time AND w.sample_index > sel.sample_index))"
+    before = "(w.event_time < sel.event_time OR (w.event_time = sel.event_time AND w.sample_index < sel.sample_index))"
+    rows = (f"SELECT -row_number() OVER (ORDER BY w.event_time DESC, w.sample_index DESC) AS rp, w.* FROM win w, sel "
+            f"WHERE {before} QUALIFY row_number() OVER (ORDER BY w.event_time DESC, w.sample_index DESC) <= 2 "
+            "UNION ALL SELECT 0 AS rp, w.* FROM win w, sel WHERE w.sample_index = sel.sample_index "
+            f"UNION ALL SELECT row_number() OVER (ORDER BY w.event_time, w.sample_index) AS rp, w.* FROM win w, sel "
+            f"WHERE {after} QUALIFY row_number() OVER (ORDER BY w.event_time, w.sample_index) <= 2")
+    return (with_scored("").rstrip() + f", {_SEL}, anchors AS (SELECT * FROM ({counts}) WHERE cnt > 1 "
+            f"ORDER BY cnt DESC, pos LIMIT 2), {win}, picked AS ({rows})\n"
+            "SELECT CAST(rp AS INTEGER) AS relative_position, sample_index, anomaly_score, predicted_label, "
+            "(SELECT coalesce(string_agg(name, ',' ORDER BY cnt DESC, pos), '') FROM anchors) AS anchor_columns "
+            "FROM picked")
+
+
+@query("drill_window", _drill_window_sql())
 def drill_window(spark, d):
     pred, row = _selected(spark, d)
-    return dd.window_detail(pred, row, SIGNAL, "sample_index")
+    anchors = dd.anchor_columns(pred, row, SIGNAL)
+    detail = dd.window_detail(pred, row, SIGNAL, "sample_index", anchors=anchors)
+    return detail.select("relative_position", "sample_index", "anomaly_score", "predicted_label",
+                         F.lit(",".join(anchors)).alias("anchor_columns"))
 
 
 # ------------------------------------------------------------------- models
