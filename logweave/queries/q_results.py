@@ -238,15 +238,6 @@ def drill_matches(spark, d):
     return dd.sample_matches(pred, row, _COMPARABLE)
 
 
-@query("drill_context")
-def drill_context(spark, d):
-    pred, row = _selected(spark, d)
-    pairs = dd.sample_context(row, SIGNAL)
-    anchors = dd.anchor_columns(pred, row, SIGNAL)
-    return spark.createDataFrame([(i, k, v, k in anchors) for i, (k, v) in enumerate(pairs)],
-                                 "position int, label string, value string, is_anchor boolean")
-
-
 _SCORED_ORDER = ["row_id", "source_ip", "dest_ip", "protocol", "path", "event_type", "user_id", "event_time",
                  "user_id_group_count", "user_id_event_time_1440m_count", "user_id_event_time_1440m_spike",
                  "source_row_id", "sample_index", "anomaly_score", "predicted_label", "actual_label"]
@@ -291,6 +282,29 @@ def drill_window(spark, d):
                          F.lit(",".join(anchors)).alias("anchor_columns"))
 
 
+def _drill_context_sql() -> str:
+    base = dd.signal_base(SIGNAL)
+    preferred = [c for c in dd.DEFAULT_CONTEXT if c in _SCORED_ORDER]
+    extra = [c for c in _SCORED_ORDER if c not in preferred and not c.startswith("__") and base and base in c]
+    entries = " UNION ALL ".join(
+        f"SELECT {i} AS k, '{c}' AS label, CAST(sel.{c} AS VARCHAR) AS value FROM sel "
+        f"WHERE sel.{c} IS NOT NULL AND trim(CAST(sel.{c} AS VARCHAR)) <> ''" for i, c in enumerate(preferred + extra))
+    win_sql = _drill_window_sql()
+    head = win_sql.split(", win AS (")[0]          # logs, scored, sel and anchors CTEs
+    return (head + f", ctx AS (SELECT * FROM ({entries}) ORDER BY k LIMIT 8)\n"
+            "SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS position, label, value, "
+            "label IN (SELECT name FROM anchors) AS is_anchor FROM ctx")
+
+
+@query("drill_context", _drill_context_sql())
+def drill_context(spark, d):
+    pred, row = _selected(spark, d)
+    pairs = dd.sample_context(row, SIGNAL)
+    anchors = dd.anchor_columns(pred, row, SIGNAL)
+    return spark.createDataFrame([(i, k, v, k in anchors) for i, (k, v) in enumerate(pairs)],
+                                 "position int, label string, value string, is_anchor boolean")
+
+
 # ------------------------------------------------------------------- models
 
 def _docs_labeled(spark, d):
