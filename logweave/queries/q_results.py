@@ -336,7 +336,7 @@ def binary_labels_q(spark, d):
 
 
 @query("anomaly_metrics", with_scored(
-    "SELECT count(*) AS rows, sum(CAST(predicted_label = 'anomaly' AS BIGINT)) AS anomaly_count, "
+    "SELECT count(*) AS rows, CAST(sum(CAST(predicted_label = 'anomaly' AS BIGINT)) AS BIGINT) AS anomaly_count, "
     "round(avg(CAST(predicted_label = 'anomaly' AS BIGINT)), 4) AS anomaly_ratio, round(min(anomaly_score), 4) "
     "AS score_min, round(max(anomaly_score), 4) AS score_max, round(avg(anomaly_score), 4) AS score_mean, "
     "round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 4) AS precision, "
@@ -463,9 +463,9 @@ def select_features_safe(spark, d):
 @query("feature_matrix", with_logs(
     "SELECT row_id, coalesce(value, 0.0) AS value, " + ", ".join(
         f"CAST(coalesce(protocol, 'missing') = '{v}' AS DOUBLE) AS \"protocol_{v}\"" for v in ["TCP", "icmp", "udp"])
-    + ", 0.0 AS protocol_nan, " + ", ".join(
+    + ", CAST(0.0 AS DOUBLE) AS protocol_nan, " + ", ".join(
         f"CAST(coalesce(event_type, 'missing') = '{v}' AS DOUBLE) AS \"event_type_{v}\""
-        for v in ["click", "error", "purchase", "signup", "view"]) + ", 0.0 AS event_type_nan FROM logs"))
+        for v in ["click", "error", "purchase", "signup", "view"]) + ", CAST(0.0 AS DOUBLE) AS event_type_nan FROM logs"))
 def feature_matrix_q(spark, d):
     mat, _ = feature_matrix(logs(spark, d), ["value", "protocol", "event_type"], keep=[F.col("row_id")])
     return mat
