@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +35,9 @@ def one_class_svm(df: DataFrame, feature_columns: list[str], rid: str, nu: float
     spark = df.sparkSession
     mat, names = feature_matrix(df, feature_columns, keep=[F.col(rid)], prefix="__f_")
     xs = reliable_checkpoint(mat.select(F.col(rid), F.array(*[F.col(c) for c in names]).alias("__x")))
+    # read once per solver pass: keep it on the executors (memory and disk); a lost block is
+    # rebuilt from the checkpoint, as Spark ML's iterative solvers do
+    xs = xs.persist(StorageLevel.MEMORY_AND_DISK)
     d = len(names)
     flat = xs.select(F.explode("__x").alias("v")).agg(F.count("v").alias("n"), F.avg("v").alias("m"),
                                                       F.var_pop("v").alias("var")).first()
@@ -98,7 +102,8 @@ def one_class_svm(df: DataFrame, feature_columns: list[str], rid: str, nu: float
                                              names=[rid, "anomaly_score"])
 
     out_schema = T.StructType([xs.schema[rid], T.StructField("anomaly_score", T.DoubleType())])
-    scored = xs.select(rid, "__x").mapInArrow(score, out_schema)
+    scored = reliable_checkpoint(xs.select(rid, "__x").mapInArrow(score, out_schema))
+    xs.unpersist()
     q = scored.agg(F.percentile_approx("anomaly_score", 1.0 - float(nu), 100000).alias("q"))
     return scored.crossJoin(F.broadcast(q)).select(
         rid, "anomaly_score", F.when(F.col("anomaly_score") > F.col("q"), "anomaly").otherwise("normal")
