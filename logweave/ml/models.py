@@ -198,8 +198,7 @@ def _grow(names: list[str], psi: int, seed: int):
 class IsolationForestModel:
     """Fitted forest: the node table (bounded by trees x 2 x psi rows) plus the feature layout."""
 
-    def __init__(self, nodes: pd.DataFrame, feature_columns: list[str], names: list[str], psi: int,
-                 categories: dict[str, list[str]] | None = None):
+    def __init__(self, nodes: pd.DataFrame, feature_columns: list[str], names: list[str], psi: int):
         self.nodes = nodes.sort_values(["tree", "node"]).reset_index(drop=True)
         self.feature_columns = feature_columns
         self.names = names
