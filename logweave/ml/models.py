@@ -36,7 +36,14 @@ def binary_labels(c) -> Any:
 
 
 def hash_split(df: DataFrame, rid: str, test_size: float = 0.3, seed: int = 42) -> DataFrame:
-    """TRN-1: ``__is_test`` from a per-row hash (deterministic, no shuffle)."""
+    """TRN-1: ``__is_test`` from a per-row hash (deterministic, no shuffle, stratified in expectation).
+
+    Integral ids use the same id permutation as the samples (reproducible in SQL); others xxhash64."""
+    from ..operators.analysis import HASH_MOD, pseudo_random_order
+    integral = isinstance(df.schema[rid].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    if integral:
+        return df.withColumn("__is_test", pseudo_random_order(F.col(rid) + F.lit(seed))
+                             < F.lit(int(float(test_size) * HASH_MOD)))
     bucket = F.pmod(F.xxhash64(F.col(rid), F.lit(seed)), F.lit(1_000_000))
     return df.withColumn("__is_test", bucket < F.lit(int(round(float(test_size) * 1_000_000))))
 

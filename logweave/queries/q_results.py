@@ -69,7 +69,7 @@ def pred_preview(spark, d):
                                                               "predicted_label")
 
 
-_HASH = "(((sample_index % 4294967296) * 1000003) % 4294967296)"
+_HASH = an.pseudo_random_order_sql("sample_index")
 _SAMPLE_CTE = (
     "cnt AS (SELECT count(*) FILTER (WHERE predicted_label = 'anomaly') AS a, "
     "count(*) FILTER (WHERE predicted_label <> 'anomaly' OR predicted_label IS NULL) AS n FROM scored), "
@@ -378,7 +378,9 @@ def train_metrics(spark, d):
     return metrics
 
 
-@query("split_stratified")
+@query("split_stratified", f"SELECT quality, {an.pseudo_random_order_sql('doc_id + 42')} < "
+                           f"{int(0.3 * an.HASH_MOD)} AS __is_test, count(*) AS count FROM documents "
+                           "JOIN labels USING (doc_id) GROUP BY 1, 2")
 def split_stratified(spark, d):
     return ml.hash_split(_docs_labeled(spark, d), "doc_id").groupBy("quality", "__is_test").count()
 
@@ -448,7 +450,7 @@ def _selection_sql(target: str = "label", dataset_label: str = "label", max_card
            "'x' AS constant_field, CAST(NULL AS DOUBLE) AS empty_field FROM logs")
     if sample_limit:
         # the advisor's deterministic sample: the same id permutation as the Spark side
-        src += f" ORDER BY ((row_id % 4294967296) * 1000003) % 4294967296, row_id LIMIT {int(sample_limit)}"
+        src += f" ORDER BY {an.pseudo_random_order_sql('row_id')}, row_id LIMIT {int(sample_limit)}"
     return with_logs("").rstrip() + f", src AS ({src}), agg AS (SELECT {', '.join(aggs)} FROM src), " \
         f"rs AS (SELECT *, {', '.join(reasons)} FROM agg)\n{rows}"
 
