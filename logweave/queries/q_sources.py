@@ -168,7 +168,10 @@ def staging_preview(spark, d):
     return cleaned.orderBy("row_id").limit(20)
 
 
-@query("json_records")
+@query("json_records", "SELECT CAST(to_json({'o_orderkey': o_orderkey, 'o_custkey': o_custkey, "
+                       "'o_orderstatus': o_orderstatus, 'o_totalprice': o_totalprice, "
+                       "'o_orderdate': epoch_ms(o_orderdate), 'o_orderpriority': o_orderpriority}) AS VARCHAR) "
+                       "AS record FROM orders")
 def json_records_q(spark, d):
     return rd.json_records(table(spark, d, "orders"))
 
