@@ -516,6 +516,19 @@ def _advisor_sql() -> str:
     return head + "\n" + " UNION ALL ".join(parts)
 
 
+def _advisor_groups_sql() -> str:
+    head, rows = _advisor_sql().rsplit("\n", 1)
+    issue = ("CASE WHEN recommended_action = 'keep' THEN 'direct_trainable' "
+             "WHEN recommended_action IN ('fill_null', 'cast_numeric', 'cast_datetime') THEN 'needs_cleaning' "
+             "WHEN recommended_action = 'move_to_feature_engineering' THEN 'route_to_features' "
+             "WHEN recommended_action IN ('exclude_column', 'drop_from_training') THEN 'remove_from_output' END")
+    group_action = ("CASE issue_type WHEN 'direct_trainable' THEN 'keep' WHEN 'needs_cleaning' THEN 'clean_first' "
+                    "WHEN 'route_to_features' THEN 'move_to_feature_engineering' ELSE 'exclude_or_drop' END")
+    return (head + f", adv AS ({rows}), grp AS (SELECT {issue} AS issue_type, field, position FROM adv)\n"
+            f"SELECT issue_type, string_agg(field, ',' ORDER BY position) AS fields, {group_action} "
+            "AS recommended_action FROM grp WHERE issue_type IS NOT NULL GROUP BY issue_type")
+
+
 def _advice(spark, d):
     return adv.analyze(_selection_input(spark, d), target="label", dataset_label="label", sample_limit=10000,
                        rid="row_id")
@@ -540,14 +553,18 @@ def advisor_handoff(spark, d):
     return spark.createDataFrame(rows, "field string, feature_handoff string")
 
 
-@query("advisor_groups")
+@query("advisor_groups", _advisor_groups_sql())
 def advisor_groups(spark, d):
     res = _advice(spark, d)
     rows = [(g["issue_type"], ",".join(g["fields"]), g["recommended_action"]) for g in res["issue_groups"]]
-    steps = [(s["recommendation_id"], json.dumps(s["step"])) for s in res["recommended_steps"]]
-    return spark.createDataFrame(rows, "issue_type string, fields string, recommended_action string") \
-        .unionByName(spark.createDataFrame(steps, "issue_type string, fields string")
-                     .withColumn("recommended_action", F.lit("step")))
+    return spark.createDataFrame(rows, "issue_type string, fields string, recommended_action string")
+
+
+@query("advisor_steps")
+def advisor_steps(spark, d):
+    res = _advice(spark, d)
+    steps = [(s_["recommendation_id"], json.dumps(s_["step"])) for s_ in res["recommended_steps"]]
+    return spark.createDataFrame(steps, "recommendation_id string, step string")
 
 
 _LOF_SQL = (
