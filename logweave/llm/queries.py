@@ -7,10 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .embedding_dedup import near_duplicate_vectors
 from .minhash_dedup import near_duplicates
 from .packing import pack_documents
 from .token_output import token_files
 from .tokenizer_ids import read_spec
+from .unigram import encode, read_model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -25,6 +27,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_rotation_codes(spark, sf_dir):
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 @query
 def op2_token_planes(spark, sf_dir):
     spec = read_spec(public_tokenizers.path("byte_bpe_50k.json"))
@@ -37,6 +44,12 @@ def op7_residual_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), spec, end_id=1)
 
 
+@query
+def op9_unigram_pieces(spark, sf_dir):
+    proto = read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    return encode(table(spark, sf_dir, "documents"), proto, keep_ids=False)
+
+
 @query
 def op10_minhash_index(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
