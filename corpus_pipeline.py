@@ -6,19 +6,49 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.llm import language_id, quality_qda
 from logweave.llm.minhash_dedup import near_duplicates
 from logweave.llm.packing import pack_documents
+from logweave.llm.secret_scan import redact, secret_spans
 from logweave.llm.tables import stored
 from logweave.llm.tokenizer_ids import read_spec
+from logweave.session import ship_package
 
 #: SQL cannot express the models; the stages are tested against plain versions.
 ORACLE_SQL = None
 
 
+#: Documents whose best language is less probable are rejected, as are those below the quality score.
+LEAST_LANGUAGE, LEAST_QUALITY = 0.4, 0.5
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a recognised language: no letters at all, or no language probable enough."""
+    ship_package(spark)
+    model = language_id.fit(language_id.training_rows(docs, "doc_id", "text", "lang", 4, 2))
+    found = language_id.predictor(spark, model)(F.col("text"))
+    return docs.withColumn("_language", found).filter(
+        f"_language.lang_pred <> '{language_id.UNKNOWN}' AND _language.score >= {LEAST_LANGUAGE}").drop("_language")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the quality classifier scores below one half."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    _, model = quality_qda.learn(docs, labels, "doc_id", "text", "quality", 3, 1)
+    return docs.withColumn("_score", quality_qda.scorer(spark, model)(F.col("text"))).filter(
+        f"_score >= {LEAST_QUALITY}").drop("_score")
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document (the smallest id) of each group of near duplicates: five-word shingles, 0.8."""
-    kept = near_duplicates(docs, shingle_words=5, percent=80).filter("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    gone = near_duplicates(docs, shingle_words=5, percent=80).filter("NOT kept").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace the secrets in each text by a marker; ``n_chars`` follows the new text."""
+    columns = docs.columns
+    return redact(secret_spans(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +56,9 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pack_documents(docs, read_spec(public_tokenizers.path("word_bpe_49k.json")), end_id=1)
 
 
-STAGES = [("minhash near-dedup", near_duplicate_stage), ("best-fit packing", packing_stage)]
+STAGES = [("language ID", language_stage), ("quality classifier", quality_stage),
+          ("MinHash near-dedup", near_duplicate_stage), ("secret scans", secret_stage),
+          ("best-fit packing", packing_stage)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
