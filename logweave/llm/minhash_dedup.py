@@ -8,9 +8,9 @@ similarity 0.8 differs in 9.6 positions on average (standard deviation 2.8): mor
 probability below 1e-5, and even such a pair is found unless all twelve chunks miss.
 
 Links are confirmed on the full shingle sets.  Documents with equal sets are one node.  Within a key,
-nodes are linked to the smallest one first (a star, not all pairs); only keys whose members still lie
-in several components are looked at pair by pair, in blocks, and only pairs of different components
-under the signature distance go on to the exact check.
+nodes are linked to the smallest one, the pivot, first (a star, not all pairs).  Partners of one pivot that still
+lie in several components are then compared in blocks; pairs are tested where they lie and only links
+leave a task.
 """
 
 from __future__ import annotations
@@ -25,15 +25,15 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 from .components import connected_components
 from .tables import stored
-from .textops import flat_texts, lower_ascii, mix64, segment_hashes, slices, words
+from .textops import flat_texts, lower_ascii, mix64, segment_hashes, slices, sorted_groups, words
 
 CHUNKS, WIDTH = 12, 4
 POSITIONS = CHUNKS * WIDTH
 #: Largest number of differing positions that the index guarantees to find.
 DISTANCE = 2 * CHUNKS - 1
 _MULTIPLIERS = mix64(np.arange(1001, 1001 + POSITIONS, dtype=np.uint64)) | np.uint64(1)
-#: Members of a key compared at once, and members per pivot checked in one go.
-BLOCK, CHECK_BLOCK = 1024, 64
+#: Partners of a pivot in one block, and partners per pivot checked in one go.
+BLOCK, CHECK_BLOCK = 256, 64
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,65 +162,65 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
             .mapInArrow(_check(size, percent), "a long, b long"))
 
 
-def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per (key, pair of blocks) side and member, sorted by group: close pairs of different
-    components."""
-    held: list[tuple] = []
-    group = None
+def _compare_block(size: int, percent: int):
+    """Rows sorted by (pivot, i, j): links between members of different components in a pair of blocks.
 
-    def close(rows):
-        for p in range(2):
-            yield [r for r in rows if r[0] == p]
-
-    def flush():
-        if not held:
-            return
-        left, right = close(held)
-        if not left or not right:
-            return
-        same = group[1] == group[2]
-        sl, sr = (np.frombuffer(b"".join(r[3] for r in x), np.uint16).reshape(-1, POSITIONS) for x in (left, right))
-        nl, nr = (np.array([r[1] for r in x], np.int64) for x in (left, right))
-        cl, cr = (np.array([r[2] for r in x], np.int64) for x in (left, right))
-        for i in range(len(left)):
-            ok = (cr != cl[i]) & ((sr != sl[i]).sum(1) <= DISTANCE)
-            if same:
-                ok &= nr > nl[i]
-            if ok.any():
-                partner = nr[ok]
-                yield np.minimum(nl[i], partner), np.maximum(nl[i], partner)
-
-    def out(found):
-        found = list(found)
-        a = np.concatenate([x[0] for x in found]) if found else np.zeros(0, np.int64)
-        b = np.concatenate([x[1] for x in found]) if found else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    A pair is tested on the full sets only while its two sides are still in different components, their
+    signatures are under the distance and their sizes allow the similarity.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in sorted_groups(batches, 3):
+            value, offsets = shingle_sets(*flat_texts(rows.column(7)), size)
+            side = rows.column(3).to_numpy(zero_copy_only=False)
+            node = rows.column(4).to_numpy(zero_copy_only=False)
+            comp = rows.column(5).to_numpy(zero_copy_only=False).copy()
+            sig = np.frombuffer(b"".join(rows.column(6).to_pylist()), np.uint16).reshape(-1, POSITIONS)
+            n = np.diff(offsets)
+            right = np.flatnonzero(side == 1)
+            once = rows.column(1)[0] == rows.column(2)[0]
+            a, b = [], []
+            for x in np.flatnonzero(side == 0).tolist():
+                fits = percent * np.maximum(n[right], n[x]) <= 100 * np.minimum(n[right], n[x])
+                if once:
+                    fits &= node[right] > node[x]
+                near = right[fits & (comp[right] != comp[x])]
+                near = near[(sig[near] != sig[x]).sum(1) <= DISTANCE]
+                own = value[offsets[x]:offsets[x + 1]]
+                for y in near.tolist():
+                    if comp[y] == comp[x]:
+                        continue
+                    common = len(np.intersect1d(own, value[offsets[y]:offsets[y + 1]], assume_unique=True))
+                    if 100 * common >= percent * (n[x] + n[y] - common):
+                        a.append(node[x])
+                        b.append(node[y])
+                        comp[comp == comp[y]] = comp[x]
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    return run
 
-    for batch in batches:
-        for key, i, j, side, node, comp, sig in zip(*(batch.column(k).to_pylist() for k in range(7))):
-            if (key, i, j) != group:
-                yield out(flush())
-                held, group = [], (key, i, j)
-            held.append((side, node, comp, sig))
-    yield out(flush())
 
+def _missed_links(star: DataFrame, label: DataFrame, nodes: DataFrame, texts: DataFrame, size: int,
+                  percent: int) -> DataFrame:
+    """Links that the stars left out.
 
-def _remaining_pairs(keys: DataFrame, sizes: DataFrame, label: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of different components that share a key, are under the distance and were not compared."""
-    named = keys.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    open_keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                         F.count("*").alias("n")).filter("lo <> hi and n > 2")
-    rows = (named.join(open_keys.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
-            .join(sizes.select("key", "pivot"), "key").filter("node <> pivot")
-            .withColumn("block", F.expr("int(pmod(xxhash64(node), blocks))"))
-            .join(nodes.select("node", "sig"), "node"))
+    Two nodes that share a key also share its pivot, so every such pair lies among the partners of one
+    pivot.  Only pivots whose partners are in several components are opened; their partners are laid out
+    in blocks and pairs of blocks, and a task holds one pair of blocks.
+    """
+    named = stored(star.join(label, F.col("b") == F.col("node"), "left")
+                   .select("a", "b", F.coalesce("component", "b").alias("comp")))
+    opened = named.groupBy("a").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")) \
+        .filter("lo <> hi").select("a", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     place = F.explode(F.expr("""concat(
         transform(sequence(block, blocks - 1), j -> struct(block as i, j as j, 0 as side)),
         transform(sequence(0, block), i -> struct(i as i, block as j, 1 as side)))"""))
-    laid = rows.select("key", place.alias("p"), "node", "comp", "sig") \
-        .select("key", "p.i", "p.j", "p.side", "node", "comp", "sig")
-    return (laid.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-            .mapInArrow(_cross_pairs, "a long, b long").distinct())
+    rows = (named.join(opened, "a").withColumn("block", F.expr("int(pmod(xxhash64(b), blocks))"))
+            .join(nodes.select(F.col("node").alias("b"), "sig"), "b")
+            .join(texts.select(F.col("id").alias("b"), "text"), "b")
+            .select("a", place.alias("p"), "b", "comp", "sig", "text")
+            .select("a", "p.i", "p.j", "p.side", "b", "comp", "sig", "text"))
+    return (rows.repartition("a", "i", "j").sortWithinPartitions("a", "i", "j")
+            .mapInArrow(_compare_block(size, percent), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4,
@@ -243,18 +243,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = stored(filled.groupBy(*same).agg(F.min("id").alias("node"), F.first("sig").alias("sig")))
     keys = nodes.select("node", "sig").mapInArrow(_keys, "key long, node long")
     sizes = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
-    shared = stored(keys.join(sizes, "key"))
-    sizes = shared.select("key", "pivot", "n").distinct()
-    star = shared.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    sig = nodes.select("node", "sig")
-    near = (star.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
-            .join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
+    star = stored(keys.join(sizes, "key").filter("node <> pivot")
+                  .select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+    sig = nodes.select("node", "sig", "n_shingles")
+    near = (star.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa"), F.col("n_shingles").alias("na")), "a")
+            .join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb")), "b")
+            .filter(percent * F.greatest("na", "nb") <= 100 * F.least("na", "nb"))
             .select("a", "b", "sa", "sb").mapInArrow(_near, "a long, b long"))
     links = stored(_confirm(near, texts, shingle_words, percent))
     label = connected_components(links, "a", "b")
-    rest = stored(_remaining_pairs(shared.select("key", "node"), sizes, label, nodes))
-    if not rest.isEmpty():
-        more = stored(_confirm(rest, texts, shingle_words, percent))
+    more = stored(_missed_links(star, label, nodes, texts, shingle_words, percent))
+    if not more.isEmpty():
         label = connected_components(links.unionByName(more), "a", "b")
     placed = nodes.join(label, "node", "left").select(*same, F.coalesce("component", "node").alias("c"))
     out = described.join(placed, same, "left")
