@@ -123,26 +123,40 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 #: Lead bytes of characters that can be white space outside ASCII.
 _WIDE_SPACE_LEADS = np.zeros(256, bool)
 _WIDE_SPACE_LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
-
-
-def space_chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Chunks that start at a single blank between two characters that are surely no white space.
-
-    Chunks tile each document.  A tokenizer whose words never cross such a blank gives the same ids
-    chunk by chunk as on the whole text.  Returns starts, ends and the first chunk per document.
+_STOPS = np.zeros(256, bool)
+_STOPS[list(b".,;:!?")] = True
+_LETTERS = np.zeros(256, bool)
+_LETTERS[[*range(65, 91), *range(97, 123)]] = True
+#: Second bytes of the letters U+00C0 to U+00FF.
+_LATIN_TAILS = np.zeros(256, bool)
+_LATIN_TAILS[[k for k in range(0x80, 0xC0) if k not in (0x97, 0xB7)]] = True
+
+
+def word_chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chunks that a tokenizer codes alike whether alone or in the whole text.
+
+    Cuts lie where no pre-tokenizer joins characters or looks across: before a single blank, and before and
+    after a single line break, that stands between two characters that are surely no white space; and between
+    a Latin letter and one of ``.,;:!?``.  Chunks tile each document.  Returns starts, ends and the
+    first chunk per document.
     """
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    cut = data == 0x20
     solid = ~_SPACE[data]
     lead = _WIDE_SPACE_LEADS[data]
-    cut[:-1] &= solid[1:] & ~lead[1:]
-    cut[-1] = False
-    cut[1:] &= solid[:-1]
-    cut[0] = False
-    cut[2:] &= ~lead[:-2]
-    cut[3:] &= ~(lead[:-3] & (data[:-3] != 0xC2))
+    alone = np.zeros(n, bool)
+    if n > 2:
+        # solid before (no wide white space, whose lead is two or three bytes back) and solid after
+        alone[1:-1] = solid[:-2] & solid[2:] & ~lead[2:]
+        alone[2:] &= ~lead[:-2]
+        alone[3:] &= ~(lead[:-3] & (data[:-3] != 0xC2))
+    line = alone & (data == 10)
+    cut = (alone & (data == 0x20)) | line
+    cut[1:] |= line[:-1]
+    letter = _LETTERS[data]
+    letter[1:] |= _LATIN_TAILS[data[1:]] & (data[:-1] == 0xC3)
+    cut[1:] |= letter[:-1] & _STOPS[data[1:]]
     cut[offsets[:-1][offsets[:-1] < n]] = True
     starts = np.flatnonzero(cut)
     ends = np.append(starts[1:], n)
@@ -158,15 +172,21 @@ def expand(values: np.ndarray, value_offsets: np.ndarray, pick: np.ndarray) -> t
     return values[at], out
 
 
+def ragged(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """(flat ids, lengths) of a list of id sequences."""
+    lengths = np.fromiter((len(x) for x in rows), np.int64, len(rows))
+    return np.fromiter((i for x in rows for i in x), np.uint32, int(lengths.sum())), lengths
+
+
 class ChunkCoder:
     """Encode documents through their distinct chunks.
 
-    ``encode(list_of_bytes) -> list of id sequences`` is called once per distinct chunk of a slice that
-    is not in the store.  The store holds at most ``keep`` chunks and is emptied when it is full,
+    ``encode(list_of_bytes) -> (flat ids, number of ids of each)`` is called for the distinct chunks of a
+    slice that are not in the store.  The store holds at most ``keep`` chunks and is emptied when it is full,
     so memory is bounded whatever the number of distinct chunks; it only saves time.
     """
 
-    def __init__(self, encode, chunks=space_chunks, keep: int = 600_000):
+    def __init__(self, encode, chunks=word_chunks, keep: int = 600_000):
         self.encode, self.chunks, self.keep = encode, chunks, keep
         self._clear()
 
@@ -177,10 +197,8 @@ class ChunkCoder:
         self.offsets = np.zeros(1, np.int64)
 
     def _add(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
-        coded = self.encode(pieces)
-        lengths = np.fromiter((len(x) for x in coded), np.int64, len(coded))
-        fresh = np.fromiter((i for x in coded for i in x), np.uint32, int(lengths.sum()))
-        rows = np.arange(len(self.offsets) - 1, len(self.offsets) - 1 + len(coded))
+        fresh, lengths = self.encode(pieces)
+        rows = np.arange(len(self.offsets) - 1, len(self.offsets) - 1 + len(pieces))
         self.ids = np.concatenate([self.ids, fresh])
         self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths)])
         at = np.searchsorted(self.known, hashes)

@@ -1,17 +1,29 @@
-"""Token ids of whole texts with a public tokenizer file, one call per distinct chunk."""
+"""Token ids of whole texts with a public tokenizer file, coded through their distinct chunks."""
 
 from __future__ import annotations
 
-from .textops import ChunkCoder
+import numpy as np
+
+from .textops import ChunkCoder, expand, ragged
+
+#: Chunks coded as one text, with separators that come out as one known id between them.
+JOINED = 512
+SEPARATORS = ["\n", " \x00 "]
+_CODERS: dict[str, ChunkCoder] = {}
 
 
 def tokenizer_coder(spec: str) -> ChunkCoder:
-    """Chunk coder for a byte-level tokenizer given as its JSON text.
+    """Chunk coder for a byte-level tokenizer given as its JSON text (one per worker process).
 
-    The pre-tokenizers of these files never join characters across a single blank between two
-    characters that are no white space, so coding chunk by chunk equals coding the whole text.
-    Strings that look like special tokens are ordinary text.
+    Coding chunk by chunk (``textops.word_chunks``) equals coding the whole text.  Strings that look like special tokens are ordinary text.
     """
+    if spec not in _CODERS:
+        _CODERS.clear()
+        _CODERS[spec] = ChunkCoder(_encoder(spec))
+    return _CODERS[spec]
+
+
+def _encoder(spec: str):
     import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -20,11 +32,40 @@ def tokenizer_coder(spec: str) -> ChunkCoder:
     tokenizer.no_padding()
     tokenizer.encode_special_tokens = True
 
-    def encode(chunks: list[bytes]) -> list[list[int]]:
-        texts = [c.decode("utf-8") for c in chunks]
+    def code(texts: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return ChunkCoder(encode)
+    left, right = code(["a,"])[0], code([" b"])[0]
+    separator, mark = "", None
+    for text in SEPARATORS:
+        ids = code([f"a,{text} b"])[0]
+        if len(ids) == len(left) + len(right) + 1 and ids[:len(left)] == left and ids[len(left) + 1:] == right:
+            separator, mark = text, ids[len(left)]
+            break
+    glue, barred = separator.encode(), separator.strip(" ").encode()
+
+    def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        plain, single = [], []
+        for k, c in enumerate(chunks):
+            (plain if mark is not None and barred not in c and b" " not in c[1:] else single).append(k)
+        order, parts, counts = [], [], []
+        for at in range(0, len(plain), JOINED):
+            group = plain[at:at + JOINED]
+            ids = np.array(code([glue.join([chunks[k] for k in group]).decode("utf-8")])[0], np.uint32)
+            cuts = np.flatnonzero(ids == mark)
+            if len(cuts) != len(group) - 1:
+                single += group
+                continue
+            order += group
+            parts.append(np.delete(ids, cuts))
+            counts.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
+        flat, lengths = ragged(code([chunks[k].decode("utf-8") for k in single]))
+        flat, lengths = np.concatenate([*parts, flat]), np.concatenate([*counts, lengths])
+        offsets = np.concatenate([[0], np.cumsum(lengths)])
+        back = np.empty(len(chunks), np.int64)
+        back[order + single] = np.arange(len(chunks))
+        return expand(flat, offsets, back)[0], lengths[back]
+    return encode
 
 
 def read_spec(path: str) -> str:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .textops import ChunkCoder, expand, flat_texts, slices
+from .textops import ChunkCoder, expand, flat_texts, ragged, slices
 
 MARK = "▁".encode()
 #: Fixed value of the format: what an unknown character costs below the smallest score.
@@ -149,7 +149,7 @@ class UnigramModel:
         return ids[::-1]
 
     def coder(self) -> ChunkCoder:
-        return ChunkCoder(lambda chunks: [self.segment(c.replace(b" ", MARK)) for c in chunks], blank_chunks)
+        return ChunkCoder(lambda chunks: ragged([self.segment(c.replace(b" ", MARK)) for c in chunks]), blank_chunks)
 
     def prepare(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Put the dummy blank before every text that is not empty."""
