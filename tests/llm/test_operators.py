@@ -1,0 +1,430 @@
+"""Operators against plain versions, on awkward rows and on empty tables."""
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from logweave.llm import components, embedding_dedup, language_id, line_frequency, minhash_dedup, packing
+from logweave.llm import quality_qda, secret_scan, surrogates, token_output, unigram
+from logweave.llm.textops import flat_texts
+from logweave.llm.tokenizer_ids import read_spec, tokenizer_coder
+
+from llm_samples import WORD, prose
+
+BYTE, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+
+
+def by_id(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+def union(pairs, nodes):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def shingles(text, size):
+    words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return set()
+    return {tuple(words[k:k + size]) for k in range(max(1, len(words) - size + 1))}
+
+
+@pytest.mark.parametrize("size", [4, 5])
+def test_near_duplicates_equal_brute_force(docs, rows, size):
+    sets = {r[0]: shingles(r[1], size) for r in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b]
+             and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = union(links, sets)
+    got = by_id(minhash_dedup.near_duplicates(docs, shingle_words=size))
+    assert {k: (r.n_shingles, r.component_id, r.kept) for k, r in got.items()} == \
+        {k: (len(sets[k]), want[k], want[k] == k) for k in sets}
+
+
+def test_near_duplicates_chain_and_clusters(spark):
+    """A chain of small edits whose ends differ, and a cluster of edits of one text."""
+    rng = random.Random(4)
+    words = prose(120, 9).split()
+    texts = []
+    for _ in range(30):
+        words[rng.randrange(len(words))] = f"w{rng.random():.6f}"
+        texts.append(" ".join(words))
+    base = prose(200, 10).split()
+    for _ in range(60):
+        own = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            own[rng.randrange(len(own))] = f"v{rng.random():.6f}"
+        texts.append(" ".join(own))
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    data = [(k, texts[i]) for k, i in enumerate(order)]
+    sets = {k: shingles(t, 4) for k, t in data}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = union(links, sets)
+    got = by_id(minhash_dedup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")))
+    assert {k: r.component_id for k, r in got.items()} == want
+
+
+def test_index_guarantee():
+    """Signatures that differ in DISTANCE positions share a key."""
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        a = rng.integers(0, 1 << 16, minhash_dedup.POSITIONS)
+        b = a.copy()
+        at = rng.choice(len(a), minhash_dedup.DISTANCE, replace=False)
+        b[at] += 1
+        chunks = (a != b).reshape(minhash_dedup.CHUNKS, -1).sum(1)
+        assert chunks.min() <= 1
+
+
+def test_vectors_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    centre = rng.standard_normal((4, 24))
+    data = []
+    for k in range(160):
+        v = centre[k % 4] + rng.standard_normal(24) * rng.choice([0.05, 0.2, 0.6])
+        data.append((k, v.tolist(), k % 3))
+    data += [(200, data[0][1], 0), (201, data[0][1], 0), (202, [2 * x for x in data[0][1]], 0), (203, None, 0), (204, [0.0] * 24, 0),
+             (205, [float("nan")] * 24, 0), (206, [None] + data[0][1][1:], 0), (207, data[0][1], None), (208, [], 0),
+             (209, [1.0, 2.0], 0), (210, [1.0, 2.0], 0)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int").withColumn("node", F.lit(1))
+    ok = {k: np.array(v) for k, v, lab in data if v and lab is not None and None not in v and np.isfinite(v).all() and any(v)}
+    labels = {k: lab for k, _, lab in data}
+
+    def cosine(a, b):
+        return a @ b / math.sqrt((a @ a) * (b @ b))
+    links = [(a, b) for a in ok for b in ok if a < b and labels[a] == labels[b] and len(ok[a]) == len(ok[b])
+             and cosine(ok[a], ok[b]) >= 0.93]
+    want = union(links, labels)
+    n = collections.Counter(x for p in links for x in p)
+    got = by_id(embedding_dedup.near_duplicate_vectors(df), "vec_id")
+    assert {k: (r.n_links, r.component_id, r.kept) for k, r in got.items()} == \
+        {k: (n[k], want[k], want[k] == k) for k in labels}
+    assert embedding_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
+
+
+def test_estimate_is_unbiased_within_its_bound():
+    rng = np.random.default_rng(5)
+    dim, errors, outside = 64, [], 0
+    turn = embedding_dedup.rotations(dim, dim)
+    for _ in range(2000):
+        o, q = (v / np.linalg.norm(v) for v in rng.standard_normal((2, dim)))
+        o1, q1 = turn[:dim] @ o, turn[:dim] @ q
+        x = np.sign(o1) / math.sqrt(dim)
+        f = x @ o1
+        error = x @ q1 / f - o @ q
+        errors.append(error)
+        outside += abs(error) > embedding_dedup.SIGMAS * math.sqrt((1 - f * f) / f ** 2 / (dim - 1))
+    assert outside == 0 and abs(np.mean(errors)) < 0.01
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(0, 40)] + [(100, 50), (None, 3), (7, 7)]
+    got = {r.node: r.component for r in components.connected_components(
+        spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert got == {k: 0 for k in range(41)} | {100: 50, 50: 50}
+
+
+@pytest.mark.parametrize("path", [BYTE, WORDS])
+def test_chunked_ids_equal_the_library(path):
+    import pyarrow as pa
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    rng = random.Random(6)
+    texts = ["".join(rng.choices(" \n\t.,;:!?'abcXYéÈ×ñ12 　 ́-|#\r\x00日", k=rng.randint(0, 14))) for _ in range(4000)]
+    texts += ["it's <|endoftext|> 'S 12", "ΣΑΣ İstanbul ﬁ ½"]
+    ids, at = tokenizer_coder(read_spec(path))(*flat_texts(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == \
+        [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("bits", [False, True])
+def test_planes_round_trip(bits):
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 7, 1000):
+        ids = rng.integers(0, 1 << 32, n, dtype=np.uint32)
+        assert (token_output.join_planes(token_output.split_planes(ids, bits), n, bits) == ids).all()
+
+
+@pytest.mark.parametrize("bits", [False, True])
+def test_token_files(docs, rows, bits):
+    plain = Tokenizer.from_file(BYTE)
+    got = by_id(token_output.token_files(docs, read_spec(BYTE), end_id=0, bits=bits, block=256))
+    start = 0
+    for doc, text, *_ in sorted(rows):
+        ids = np.array(plain.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
+        assert (got[doc].start, got[doc].n_tokens, got[doc].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def test_packing(docs, rows, empty):
+    plain = Tokenizer.from_file(WORDS)
+    out = packing.pack_documents(docs, read_spec(WORDS), capacity=512).collect()
+    pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
+    for r in out:
+        pieces[r.doc_id].append((r.piece, r.start, r.length, r.ids_crc32))
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for doc, text, *_ in rows:
+        ids = np.array(plain.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
+        assert sorted(pieces[doc]) == [(n, a, len(ids[a:a + 512]), zlib.crc32(ids[a:a + 512].tobytes()))
+                                       for n, a in enumerate(range(0, len(ids), 512))]
+    for own in sequences.values():
+        end = 0
+        for offset, length in sorted(own):
+            assert offset == end
+            end += length
+        assert end <= 512
+    assert len(sequences) <= math.ceil(sum(r.length for r in out) / 512) + 1
+    assert packing.pack_documents(empty, read_spec(WORDS)).count() == 0
+
+
+def test_packing_tree(spark):
+    """Many groups: gapless, nearly as few sequences as possible, also where nothing fits together."""
+    rng = random.Random(8)
+    for sizes in ([rng.randint(1, 900) for _ in range(6000)], [600] * 500):
+        df = spark.createDataFrame(list(enumerate(sizes)), "item long, size long")
+        out = packing.pack(df, "item", "size", capacity=1000, group=1000).collect()
+        own = collections.defaultdict(list)
+        for r in out:
+            own[r.sequence_id].append((r.offset, sizes[r.item]))
+        assert len(out) == len(sizes)
+        for rows_ in own.values():
+            end = 0
+            for offset, size in sorted(rows_):
+                assert offset == end
+                end += size
+            assert end <= 1000
+        least = len(sizes) if sizes[0] == 600 and len(set(sizes)) == 1 else math.ceil(sum(sizes) / 1000)
+        assert len(own) <= least * 1.02 + 2
+
+
+def line_measures(text):
+    words = WORD.findall(text or "")
+    windows = [tuple(words[k:k + 3]) for k in range(len(words) - 2)]
+    seen = collections.Counter(windows)
+    marked = {j for k, w in enumerate(windows) if seen[w] > 1 for j in (k, k + 1, k + 2)}
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(marked))
+
+
+def test_line_frequency(spark, docs, rows, empty):
+    got = by_id(line_frequency.line_frequency(docs))
+    for doc, text, *_ in rows:
+        r = got[doc]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == line_measures(text), doc
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+    assert line_frequency.line_frequency(empty).count() == 0
+    # a line that half of a host's documents hold is removed; who has little else is depleted
+    shared = "This Site 12 uses cookies and asks you to accept all of them now please"
+    data = [(k, prose(80, 300 + k) + "\n" + shared, "h") for k in range(30)]
+    data += [(100 + k, "\n".join([shared.replace("12", "99")] * 5 + [prose(10, 500 + k)]), "h") for k in range(2)]
+    data += [(200, prose(80, 900), "h"), (201, prose(80, 901) + "\n" + shared, "other")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    judged = line_frequency.line_frequency(df)
+    got = by_id(judged)
+    assert all(got[k].n_frequent_lines == 1 and got[k].kept for k in range(30))
+    assert not any(got[100 + k].kept for k in range(2))
+    assert got[200].n_frequent_lines == got[201].n_frequent_lines == 0
+    cleaned = by_id(line_frequency.remove_lines(df, judged))
+    assert cleaned[0].text == data[0][1].split("\n")[0] and 100 not in cleaned
+
+
+def base_spans(text):
+    out = []
+    for rank, (kind, pattern, group, least) in enumerate([
+            ("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
+            ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24)]):
+        for m in re.finditer(pattern, text or ""):
+            if m.end(group) - m.start(group) >= least:
+                out.append((m.start(group), rank, kind, m.end(group)))
+    return sorted(out)
+
+
+def entropy(window):
+    return -sum(c / len(window) * math.log2(c / len(window)) for c in collections.Counter(window).values())
+
+
+def test_secret_scan(spark, docs, empty):
+    rng = random.Random(7)
+    parts = ["password=", "token: \"", "Secret = '", "api_key=", "apikey:", "AKIA", "deadbeef", "0123456789abcdef", "ABCD", "é", "🙂", " ", "\n",
+             '"', "xy", "=", ":", "EXAMPLE", "aB3xK9mQ2zR7tY5wP1vL8nC4qZ", "-_-", "keitlichenlichkeitbesten"]
+    data = [(k, "".join(rng.choices(parts, k=rng.randint(1, 12)))) for k in range(1500)] + [(5000, None), (5001, ""), (5002, "token=aaaa11 " * 2000)]
+    scanned = secret_scan.secret_spans(spark.createDataFrame(data, "doc_id long, text string"))
+    got = by_id(secret_scan.span_digest(scanned))
+    extra = 0
+    for doc, text in data:
+        want = base_spans(text)
+        digest = ",".join(f"{k}:{a}:{b}" for a, _, k, b in want)
+        n = collections.Counter(k for _, _, k, _ in want)
+        r = got[doc]
+        assert (r.n_assign, r.n_access, r.n_hex) == (n["assign"], n["access"], n["hex"])
+        assert r.base_sha256 == hashlib.sha256(digest.encode()).hexdigest()
+        for span in r.spans.split(","):
+            if span.startswith("entropy"):
+                a, b = map(int, span.split(":")[1:])
+                extra += 1
+                word = text[a:b]
+                assert b - a >= 20 and max(entropy(word[k:k + 20]) for k in range(len(word) - 19)) >= 2.9
+    assert extra > 20
+    clean = by_id(secret_scan.redact(scanned))
+    assert clean[5000].text is None and clean[5001].text == "" and "aaaa11" not in clean[5002].text
+    assert len(secret_scan.secret_spans(docs).columns) == len(docs.columns)
+    assert secret_scan.span_digest(secret_scan.secret_spans(empty)).count() == 0
+
+
+@pytest.mark.parametrize("text, alphabet, limit", [("0123456789abcdef0123aaaaaaaaaaaaaaaaaaaaaaaa", "0123456789abcdef", 3.0),
+                                                   ("aaaaaaaaaaaaaaaaaaaaaaaa", "0123456789abcdef", 1.0),
+                                                   ("00112233445566778899aabb", "0123456789abcdef", 3.2)])
+def test_window_entropy(spark, text, alphabet, limit):
+    hits = [k for k in range(len(text) - 19) if entropy(text[k:k + 20]) >= limit - 1e-9]
+    r = spark.createDataFrame([(text,)], "t string").selectExpr(secret_scan.window_hits("t", alphabet, limit) + " AS w").first().w
+    assert (r.first, r.last) == ((hits[0], hits[-1] + 20) if hits else (-1, -1))
+
+
+def test_surrogates(spark, docs, rows, empty):
+    data = [(k, f"write to user{k}@site{k % 7}.example.org, card 4111 1111 1111 1111, ip 10.0.{k % 250}.{k % 9 + 1}.") for k in range(400)]
+    data += [(900, None), (901, ""), (902, "WRITE to USER5@SITE5.example.org"), (903, "Mr. Иван Петров met Frau Müller")]
+    got = by_id(surrogates.replace_entities(spark.createDataFrame(data, "doc_id long, text string"), b"k"))
+    mail = {k: re.search(r"to (\S+),", got[k].text)[1] for k in range(400)}
+    assert len(set(mail.values())) == 400                                       # distinctness
+    real = {f"user{k}@site{k % 7}.example.org" for k in range(400)}
+    assert not real & set(mail.values())                                        # no other real entity
+    assert all(re.fullmatch(r"[a-z]{4}\d{%d}@[a-z]{4}\d\.[a-z]{7}\.org" % len(str(k)), m) for k, m in mail.items())
+    assert got[902].text.lower().endswith(mail[5])                              # coreference, case kept
+    cards = {re.search(r"card ([\d ]+),", got[k].text)[1] for k in range(400)}
+    assert len(cards) == 1 and surrogates.luhn(cards.pop().replace(" ", ""))
+    assert all("ip 10." in got[k].text for k in range(400))
+    assert got[900].text is None and got[901].text == ""
+    name = got[903].text.split()[1]
+    assert name.casefold() in [g.casefold() for g in surrogates.GIVEN["cyrillic", "m"]]
+    plain = by_id(surrogates.replace_entities(docs, b"k"))
+    assert all(plain[r[0]].text == r[1] for r in rows if r[0] != 14) and "ann.lee" not in plain[14].text
+    assert surrogates.replace_entities(empty, b"k").count() == 0
+
+
+def test_clashing_surrogates_are_redrawn(spark):
+    """Two-digit local parts leave few formats, so draws clash."""
+    data = [(k, f"ip 10.7.{k // 200}.{k % 200 + 1} and c{k % 10}@d.org") for k in range(600)]
+    got = by_id(surrogates.replace_entities(spark.createDataFrame(data, "doc_id long, text string"), b"k"))
+    ips = {k: re.search(r"ip (\S+)", got[k].text)[1] for k in got}
+    mails = {re.search(r"c?(\S+@\S+)", data[k][1])[0]: re.search(r"(\S+@\S+)", got[k].text)[0] for k in got}
+    assert len(set(ips.values())) == 600 and len(set(mails.values())) == 10
+    assert not set(ips.values()) & {f"10.7.{k // 200}.{k % 200 + 1}" for k in range(600)}
+
+
+def test_quality(spark):
+    good = [(k, prose(30 + k, k), 1) for k in range(150)]
+    bad = [(200 + k, " ".join(w.upper() + "!!" for w in prose(40 + k, k).split()), 0) for k in range(60)]
+    df = spark.createDataFrame([(a, b) for a, b, _ in good + bad] + [(999, None), (998, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(a, c) for a, _, c in good + bad] + [(1, None)], "doc_id long, quality int").withColumn("id", F.lit(1))
+    got = by_id(quality_qda.quality_scores(df, labels))
+    truth = {a: c for a, _, c in good + bad}
+    held = [k for k in truth if got[k].held_out]
+    assert held and all(got[k].held_out == (zlib.crc32(str(k).encode()) % 3 == 1) for k in truth)
+    assert sum(got[k].predicted == truth[k] for k in held) >= 0.98 * len(held)
+    assert all(0 <= r.score <= 1 for r in got.values()) and got[999].score == got[998].score
+    none = quality_qda.quality_scores(df, labels.limit(0)).collect()
+    assert len(none) == len(got) and all(abs(r.score - 0.5) < 1e-9 for r in none)
+
+
+def test_density_by_cholesky():
+    rng = np.random.default_rng(1)
+    x = [rng.standard_normal((500, 3)) @ rng.standard_normal((3, 3)) + k for k in range(2)]
+    n = np.array([500.0, 500.0])
+    model = quality_qda.from_sums(n, np.array([v.sum(0) for v in x]), np.array([v.T @ v for v in x]), 0.0, 0.0)
+    point = rng.standard_normal((5, 3))
+    want = []
+    for k in range(2):
+        c = model.factors[k] @ model.factors[k].T
+        d = point - x[k].mean(0)
+        want.append(np.log(501 / 1002) - 0.5 * (np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d) + np.linalg.slogdet(c)[1]))
+    assert np.allclose(model.scores(point), 1 / (1 + np.exp(want[0] - want[1])))
+
+
+def test_language(spark, empty):
+    def text(lang, seed):
+        rng = random.Random(seed)
+        parts = {"en": ["the", "ing", "sh", "wh", "er"], "de": ["sch", "ung", "keit", "ä", "ein"], "fr": ["eau", "é", "que", "oi", "ment"]}[lang]
+        return " ".join("".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(40))
+    data = [(k, text(lang, k), lang) for k, lang in enumerate(["en", "de", "fr"] * 100)]
+    data += [(900, None, "en"), (901, "", "en"), (902, "123 456 !!", "en"), (903, text("de", 5), None)]
+    got = by_id(language_id.identify_languages(spark.createDataFrame(data, "doc_id long, text string, lang string")))
+    held = [k for k in range(300) if got[k].held_out]
+    assert held and all(got[k].held_out == (zlib.crc32(str(k).encode()) % 4 == 2) for k in range(300))
+    assert all(got[k].lang_pred == data[k][2] for k in held)
+    assert all(got[k].lang_pred == "und" and got[k].score == 0 for k in (900, 901, 902)) and got[903].lang_pred == "de"
+    assert language_id.identify_languages(empty).count() == 0
+
+
+def test_sparse_weights_and_temperature():
+    rng = np.random.default_rng(2)
+    rows = [(np.array([k % 2, 5 + k % 3]), np.array([1.0, 0.1]), k % 2) for k in range(200)]
+    weights = language_id.ftrl(rows, 2, l1=0.5)
+    assert (weights == 0).sum() > weights.size - 20
+    logits = rng.standard_normal((4000, 3)) * 2
+    p = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
+    y = np.array([rng.choice(3, p=q) for q in p])
+    assert abs(language_id.calibrate(logits * 3, y) - 3) < 0.4
+
+
+@pytest.fixture(scope="module")
+def pieces():
+    return unigram.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def test_unigram_equals_brute_force(pieces):
+    model = unigram.UnigramModel(pieces)
+    score = {model.pieces[k]: model.scores[k] for k in model.normal}
+
+    def best(text):
+        top = [0.0] + [-math.inf] * len(text)
+        for a in range(len(text)):
+            if top[a] == -math.inf:
+                continue
+            step = 1 if text[a] < 0x80 else 2 if text[a] < 0xE0 else 3 if text[a] < 0xF0 else 4
+            for b in range(a + 1, len(text) + 1):
+                if text[a:b] in score:
+                    top[b] = max(top[b], top[a] + score[text[a:b]])
+            if text[a:a + step] not in score:
+                top[a + step] = max(top[a + step], top[a] + model.lowest)
+        return top[-1]
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choices(["▁", "th", "e", "ing", "é", "日", "🙂", "\n", "x", "qu", "ß", "2"], k=rng.randint(1, 12))).encode()
+        ids, total, k = model.segment(text), 0.0, 0
+        while k < len(ids):
+            if model.is_byte[ids[k]]:
+                lead = int(model.pieces[ids[k]][3:5], 16)
+                k += 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+                total += model.lowest
+            else:
+                total += model.scores[ids[k]]
+                k += 1
+        assert abs(total - best(text)) < 1e-6
+
+
+def test_unigram_round_trip(docs, rows, empty, pieces):
+    coded = unigram.encode(docs, pieces)
+    got = by_id(coded)
+    assert all(r.round_trip for r in got.values())
+    texts = by_id(unigram.decode(coded, pieces))
+    for doc, text, *_ in rows:
+        assert texts[doc].text == (text or "") and got[doc].n_tokens == len(got[doc].ids)
+        assert got[doc].ids_crc32 == zlib.crc32(np.array(got[doc].ids, "<u4").tobytes())
+    assert unigram.encode(empty, pieces).count() == 0
