@@ -26,17 +26,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Drop documents without a recognised language: no letters at all, or no language probable enough."""
     ship_package(spark)
     model = language_id.fit(language_id.training_rows(docs, "doc_id", "text", "lang", 4, 2))
-    found = language_id.predictor(spark, model)(F.col("text"))
-    return docs.withColumn("_language", found).filter(
-        f"_language.lang_pred <> '{language_id.UNKNOWN}' AND _language.score >= {LEAST_LANGUAGE}").drop("_language")
+    return language_id.keep_recognised(docs, model, LEAST_LANGUAGE)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the quality classifier scores below one half."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     _, model = quality_qda.learn(docs, labels, "doc_id", "text", "quality", 3, 1)
-    return docs.withColumn("_score", quality_qda.scorer(spark, model)(F.col("text"))).filter(
-        f"_score >= {LEAST_QUALITY}").drop("_score")
+    return quality_qda.keep_good(docs, model, LEAST_QUALITY)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

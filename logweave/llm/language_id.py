@@ -12,9 +12,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -189,15 +188,17 @@ def _predict(model):
     return run
 
 
-def predictor(spark: SparkSession, model: LanguageModel):
-    """A column function: struct(lang_pred, score) of a text column, without moving other columns."""
-    shared = spark.sparkContext.broadcast(model)
+def keep_recognised(docs: DataFrame, model: LanguageModel, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose language is recognised with probability
+    ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in parts:
-            yield pd.DataFrame([shared.value.predict(t or "") for t in texts], columns=["lang_pred", "score"])
-    return predict
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col):
+            found = [shared.value.predict(t or "") for t in batch.column(place).to_pylist()]
+            yield batch.filter(pa.array([k != UNKNOWN and p >= least for k, p in found], pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int, held_fold: int) -> DataFrame:

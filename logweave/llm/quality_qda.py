@@ -13,9 +13,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -168,17 +167,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     return described, fit(described, known)
 
 
-def scorer(spark: SparkSession, model: Discriminant):
-    """A column function: the score of a text column, without moving other columns."""
-    shared = spark.sparkContext.broadcast(model)
+def keep_good(docs: DataFrame, model: Discriminant, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, with a score of ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
-            batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
-            yield pd.Series(np.concatenate([shared.value.scores(statistics(*flat_texts(b.column(0))))
-                                            for b in slices([batch], "text")] or [np.zeros(0)]))
-    return score
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col):
+            yield batch.filter(pa.array(shared.value.scores(statistics(*flat_texts(batch.column(place)))) >= least))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
