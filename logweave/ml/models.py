@@ -1,8 +1,7 @@
 """Model training and scoring (TRN-1..15).
 
-* Supervised: Spark ML classifiers on an assembled feature matrix; the split
-  is a deterministic per-row hash threshold (stratified in expectation, no
-  shuffle, identical on recomputation).
+* Supervised: Spark ML classifiers on a sparse feature vector; the split is
+  stratified with exact counts per class, chosen by row-id hash.
 * Isolation forest: each tree is grown by ``groupBy(tree).applyInPandas`` on a
   subsample of at most ``max_samples`` rows chosen by row-id hash (the pool is
   bounded by trees x 2 x psi, never by the data), the node table (bounded by
@@ -19,11 +18,12 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.selection import feature_matrix
+from ..functions.text import py_strip
+from ..operators.selection import feature_matrix, feature_vectors
 from ..session import reliable_checkpoint
 
 # Fixed value: label texts counted as "anomalous" ground truth.
@@ -32,36 +32,55 @@ POSITIVE_LABELS = ["1", "true", "yes", "anomaly", "attack", "malicious", "abnorm
 
 def binary_labels(c) -> Any:
     """TRN-11."""
-    return F.lower(F.trim(F.coalesce(c.cast("string"), F.lit("None")))).isin(*POSITIVE_LABELS).cast("long")
+    return F.lower(py_strip(F.coalesce(c.cast("string"), F.lit("None")))).isin(*POSITIVE_LABELS).cast("long")
 
 
-def hash_split(df: DataFrame, rid: str, test_size: float = 0.3, seed: int = 42) -> DataFrame:
-    """TRN-1: ``__is_test`` from a per-row hash (deterministic, no shuffle, stratified in expectation).
+def stratified_split(df: DataFrame, rid: str, label: str, test_size: float = 0.3, seed: int = 42) -> DataFrame:
+    """TRN-1: ``__is_test`` with exact counts per class.
 
-    Integral ids use the same id permutation as the samples (reproducible in SQL); others xxhash64."""
+    Of a class with n rows, round(test_size * n) are test rows, one at least and n - 1 at most (none of a
+    single row): those with the smallest hashes.  The cut-off hash of each class is found by two
+    counting passes (high, then low 16 bits), which combine map-side, so a class may hold most rows."""
     from ..operators.analysis import HASH_MOD, pseudo_random_order
     integral = isinstance(df.schema[rid].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
-    if integral:
-        return df.withColumn("__is_test", pseudo_random_order(F.col(rid) + F.lit(seed))
-                             < F.lit(int(float(test_size) * HASH_MOD)))
-    bucket = F.pmod(F.xxhash64(F.col(rid), F.lit(seed)), F.lit(1_000_000))
-    return df.withColumn("__is_test", bucket < F.lit(int(round(float(test_size) * 1_000_000))))
+    h = pseudo_random_order(F.col(rid) + F.lit(seed)) if integral else \
+        F.pmod(F.xxhash64(F.col(rid), F.lit(seed)), F.lit(HASH_MOD))
+    rows = df.withColumns({"__h": h.cast("long"), "__class": F.col(label).cast("string")})
+    keyed = rows.select("__class", "__h", F.shiftright("__h", 16).alias("__high"))
+    counts = keyed.groupBy("__class", "__high").agg(F.count("*").alias("n"))
+    wanted = counts.groupBy("__class").agg(F.sum("n").alias("total")).select("__class", F.greatest(
+        F.least(F.round(F.col("total") * float(test_size)).cast("long"), F.col("total") - 1),
+        F.when(F.col("total") > 1, 1).otherwise(0)).alias("want")).where("want > 0")
+    upto = Window.partitionBy("__class").orderBy("__high")
+    cell = counts.join(wanted, "__class").withColumn("cum", F.sum("n").over(upto)) \
+        .where((F.col("cum") >= F.col("want")) & (F.col("cum") - F.col("n") < F.col("want"))) \
+        .select("__class", "__high", (F.col("want") - F.col("cum") + F.col("n")).alias("need"))
+    fine = keyed.join(cell, ["__class", "__high"]).groupBy("__class", "__h", "need").agg(F.count("*").alias("n")) \
+        .withColumn("cum", F.sum("n").over(Window.partitionBy("__class").orderBy("__h"))).where("cum >= need")
+    last = fine.groupBy("__class").agg(F.min("__h").alias("__last"))
+    return rows.join(last, "__class", "left").withColumn(
+        "__is_test", F.coalesce(F.col("__h") <= F.col("__last"), F.lit(False))).drop("__h", "__class", "__last")
 
 
 # ------------------------------------------------------------------ supervised
 
-def _classifier(algorithm: str, params: dict[str, Any]):
+def _classifier(algorithm: str, params: dict[str, Any], n_train: int):
+    """TRN-2/3/4 with the penalties of the usual C parametrisation: regParam = 1 / (C * rows)."""
     from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
     algo = algorithm.lower()
+    penalty = 1.0 / (max(float(params.get("C", 1.0)), 1e-9) * max(n_train, 1))
     if algo == "logistic_regression":
-        return LogisticRegression(maxIter=int(params.get("max_iter", 500)), featuresCol="features", labelCol="label")
+        return LogisticRegression(maxIter=int(params.get("max_iter", 500)), regParam=penalty, standardization=False,
+                                  featuresCol="features", labelCol="label")
     if algo == "random_forest":
-        return RandomForestClassifier(numTrees=int(params.get("n_estimators", 200)), seed=42,
-                                      featuresCol="features", labelCol="label")
+        # 30 is the deepest tree Spark ML can hold
+        return RandomForestClassifier(numTrees=int(params.get("n_estimators", 200)), maxDepth=int(params.get("max_depth") or 30),
+                                      seed=42, featuresCol="features", labelCol="label")
     if algo == "svm":
-        # linear kernel only: exact kernel SVMs have no distributed solver here
-        svc = LinearSVC(regParam=1.0 / max(float(params.get("C", 1.0)), 1e-9) / 100, maxIter=100,
-                        featuresCol="features", labelCol="label")
+        kernel = params.get("kernel", "linear")
+        if kernel != "linear":
+            raise ValueError(f"kernel {kernel!r}: only the linear kernel has a distributed solver here")
+        svc = LinearSVC(regParam=penalty, maxIter=100, standardization=False, featuresCol="features", labelCol="label")
         return svc, OneVsRest(classifier=svc, featuresCol="features", labelCol="label")
     raise ValueError(f"Unsupported supervised algorithm: {algorithm}")
 
@@ -69,24 +88,21 @@ def _classifier(algorithm: str, params: dict[str, Any]):
 def train_supervised(df: DataFrame, feature_columns: list[str], target: str, algorithm: str, rid: str,
                      params: dict[str, Any] | None = None, context_columns: list[str] | None = None):
     """TRN-1..6/13: returns (fitted model, prediction table of the test rows, metrics row DataFrame)."""
-    from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+    from pyspark.ml.feature import IndexToString, StringIndexer
     from pyspark.ml.functions import vector_to_array
 
     params = params or {}
     base = df.where(F.col(target).isNotNull()).withColumn("__y", F.col(target).cast("string"))
-    n_classes = base.agg(F.count_distinct("__y")).first()[0]
+    n_classes = base.groupBy("__y").count().count()
     if n_classes < 2:
         raise ValueError("Supervised training needs at least two target classes")
     originals = list(dict.fromkeys([c for c in (context_columns or []) if c in base.columns] + feature_columns))
-    mat, names = feature_matrix(base, feature_columns, keep=[F.col(rid), F.col("__y")] + [F.col(c) for c in originals],
-                                prefix="__f_")
-    mat = hash_split(mat, rid, float(params.get("test_size", 0.3)))
+    mat = stratified_split(base.select(*dict.fromkeys([rid, "__y", *originals])), rid, "__y",
+                           float(params.get("test_size", 0.3)))
     indexer = StringIndexer(inputCol="__y", outputCol="label", stringOrderType="alphabetAsc").fit(mat)
-    data = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep") \
-        .transform(indexer.transform(mat))
-    data = reliable_checkpoint(data)
+    data = reliable_checkpoint(feature_vectors(indexer.transform(mat), feature_columns))
     train, test = data.where(~F.col("__is_test")), data.where(F.col("__is_test"))
-    est = _classifier(algorithm, params)
+    est = _classifier(algorithm, params, train.count())
     if isinstance(est, tuple):
         est = est[0] if n_classes == 2 else est[1]
     model = est.fit(train)
@@ -212,7 +228,8 @@ class IsolationForestModel:
         self.psi = psi
 
     def _trees(self):
-        return [{k: t[k].to_numpy() for k in ("feature", "threshold", "left", "right", "size", "depth")}
+        return [{k: t[k].to_numpy() for k in ("feature", "threshold", "left", "right", "depth")}
+                | {"path": t["depth"].to_numpy() + np.array([_c(float(n)) for n in t["size"]])}
                 for _, t in self.nodes.groupby("tree")]
 
     def score(self, mat: DataFrame, keep: list[str]) -> DataFrame:
@@ -222,7 +239,6 @@ class IsolationForestModel:
 
         def score(batches):
             forest = broadcast.value
-            cvec = np.vectorize(_c)
             for b in batches:
                 pdf = b.to_pandas()
                 X = pdf[names].to_numpy(dtype=float) if names else np.zeros((len(pdf), 0))
@@ -237,7 +253,7 @@ class IsolationForestModel:
                         xv = X[np.arange(len(pdf)), np.where(internal, f, 0)] if names else np.zeros(len(pdf))
                         nxt = np.where(xv < t["threshold"][node], t["left"][node], t["right"][node])
                         node = np.where(internal, nxt, node)
-                    total += t["depth"][node] + cvec(t["size"][node].astype(float))
+                    total += t["path"][node]
                 s = np.power(2.0, -(total / max(len(forest), 1)) / c_psi) if c_psi > 0 else np.full(len(pdf), 0.5)
                 out = pdf[keep].copy()
                 out["anomaly_score"] = s
@@ -268,6 +284,11 @@ class SparkSessionRef:
         return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
 
 
+def _below(hash64, share: float):
+    """Whether a 64-bit hash lies in the lowest ``share`` of its range."""
+    return hash64 <= F.lit(max(min(int((share - 0.5) * 2.0 ** 64), (1 << 63) - 1), -(1 << 63)))
+
+
 def fit_isolation_forest(mat: DataFrame, names: list[str], rid: str, feature_columns: list[str],
                          n_trees: int = 100, max_samples: int = 256, seed: int = 42) -> IsolationForestModel:
     """Grow the trees: subsamples by row-id hash from a pool bounded by trees x 2 x psi rows."""
@@ -275,12 +296,12 @@ def fit_isolation_forest(mat: DataFrame, names: list[str], rid: str, feature_col
     psi = int(min(max_samples, n))
     pool_target = min(n, 2 * psi * n_trees)
     frac = pool_target / n if n else 1.0
-    pool = mat.where(F.pmod(F.xxhash64(F.col(rid), F.lit(seed)), F.lit(1_000_000)) < F.lit(int(frac * 1_000_000) + 1))
+    pool = mat.where(_below(F.xxhash64(F.col(rid), F.lit(seed)), frac))
     keep_frac = min(1.0, 2.0 * psi / max(pool_target, 1))
     per_tree = pool.select(F.col(rid).alias("__rid"), *names,
                            F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("__tree")) \
         .withColumn("__h", F.xxhash64("__rid", "__tree", F.lit(seed))) \
-        .where(F.pmod(F.col("__h"), F.lit(1_000_000)) < F.lit(int(keep_frac * 1_000_000) + 1))
+        .where(_below(F.col("__h"), keep_frac))
     node_schema = "tree int, node long, feature long, threshold double, left long, right long, size long, depth long"
     nodes = per_tree.groupBy("__tree").applyInPandas(_grow(names, psi, seed), node_schema)
     return IsolationForestModel(nodes.toPandas(), feature_columns, names, psi)  # bounded: trees x 2 psi rows
@@ -303,12 +324,10 @@ def isolation_forest(df: DataFrame, feature_columns: list[str], rid: str, n_tree
     return (result, model) if return_model else result
 
 
-def save_model(model, base: str | None = None, prefix: str = "model") -> str:
+def save_model(model, base: str, prefix: str = "model") -> str:
     """TRN-15: persist a fitted model to a fresh directory (older artifacts are never overwritten)."""
-    from ..session import ensure_checkpoint_dir
     from ..sources.readers import new_artifact_path
-    spark = SparkSessionRef.get()
-    path = new_artifact_path(base or ensure_checkpoint_dir(spark), prefix)
+    path = new_artifact_path(base, prefix)
     if isinstance(model, IsolationForestModel):
         return model.save(path)
     model.write().save(path)

@@ -152,12 +152,15 @@ def compile_preprocess_step(df: DataFrame, step: Step, rid: str) -> list:
 
 
 def apply_field_mapping(df: DataFrame, mapping: dict[str, str | None]) -> DataFrame:
-    """PRF-13: copy each mapped source column to its standard name (original kept)."""
-    assigns: dict[str, Column] = {}
+    """PRF-13: copy each mapped source column to its standard name (original kept).
+
+    Entries act one after the other, so a later one reads what an earlier one wrote; the chain is
+    resolved on the names and applied as one projection."""
+    holds = {c: c for c in df.columns}
     for target, source in (mapping or {}).items():
-        if source and source in df.columns:
-            assigns.pop(target, None)
-            assigns[target] = F.col(source)
+        if source in holds:
+            holds[target] = holds[source]
+    assigns = {target: F.col(source) for target, source in holds.items() if target != source}
     return df.withColumns(assigns) if assigns else df
 
 

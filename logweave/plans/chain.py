@@ -29,7 +29,7 @@ from ..operators.columns import Step, StepError
 from ..operators.features import compile_feature_step
 from ..operators.preprocess import compile_preprocess_step
 from ..rowid import ROW_ID, with_row_id
-from ..session import ensure_parallelism, reliable_checkpoint
+from ..session import reliable_checkpoint, ship_package
 from . import lineage as _lineage
 from .ops import CodeOp, FrameOp, GlobalOp, GroupOp, RowOp, ScanOp
 
@@ -201,7 +201,7 @@ def _run(df: DataFrame, steps: list, kind: str, rid: str | None, num_partitions:
     if rid not in df.columns:
         df = with_row_id(df, rid)
         added = True
-    df = ensure_parallelism(df)
+    ship_package(df.sparkSession)
     chain = _Chain(df, rid, num_partitions)
     lineage: dict[str, dict[str, Any]] = {}
     compile_fn = compile_feature_step if kind == "feature" else compile_preprocess_step

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import charclass as cc
 from ..ml import models as ml
+from ..ml.predictions import analysis_bundle, prediction_table
 from ..operators import advisor as adv
 from ..operators import analysis as an
 from ..operators import drilldown as dd
@@ -30,10 +31,9 @@ def scored(spark, d):
     return feats.selectExpr(
         "row_id", "source_ip", "dest_ip", "protocol", "path", "event_type", "user_id", "event_time",
         "user_id_group_count", "user_id_event_time_1440m_count", "user_id_event_time_1440m_spike",
-        "CAST(row_id AS STRING) AS source_row_id", "row_id AS sample_index",
+        "CAST(row_id AS STRING) AS source_row_id", "row_id AS sample_index", "label AS actual_label",
         f"{SCORE_EXPR} AS anomaly_score").selectExpr(
-        "*", "CASE WHEN anomaly_score >= 1.1 THEN 'anomaly' ELSE 'normal' END AS predicted_label") \
-        .join(logs(spark, d).select("row_id", F.col("label").alias("actual_label")), "row_id")
+        "*", "CASE WHEN anomaly_score >= 1.1 THEN 'anomaly' ELSE 'normal' END AS predicted_label")
 
 
 _BK = "(epoch_us(event_time) // 86400000000::BIGINT)"
@@ -58,7 +58,18 @@ PRED_COLS = ["sample_index", "source_row_id", "source_ip", "user_id", "user_id_g
 
 @query("pred_table", with_scored(f"SELECT {', '.join(PRED_COLS)} FROM scored"))
 def pred_table(spark, d):
-    return scored(spark, d).select(*PRED_COLS)
+    made = prediction_table(scored(spark, d), "row_id", ["user_id_group_count"], ["source_ip", "user_id"])
+    return made.select(*PRED_COLS)
+
+
+@query("pred_layout", with_scored("SELECT CAST(0 AS BIGINT) AS first_index, count(*) - 1 AS last_index, count(*) AS n, "
+                                  "'sample_index,source_row_id,source_ip,actual_label,predicted_label,anomaly_score,"
+                                  "user_id_group_count' AS head FROM scored"))
+def pred_layout(spark, d):
+    """TRN-14: the index is dense and the columns come in the display order."""
+    made = prediction_table(scored(spark, d), "row_id", ["user_id_group_count"], ["source_ip"])
+    return made.agg(F.min("sample_index").alias("first_index"), F.max("sample_index").alias("last_index"),
+                    F.count_distinct("sample_index").alias("n"), F.lit(",".join(made.columns[:7])).alias("head"))
 
 
 @query("pred_preview", with_scored(
@@ -115,10 +126,10 @@ def _hist_sql(bins: int = 16) -> str:
     edge = (lambda b: f"CASE WHEN {b} = {bins} THEN r.hi ELSE CAST({b} AS DOUBLE) * {step} + r.lo END")
     return (
         "rng AS (SELECT lo, CASE WHEN abs(hi0 - lo) <= 1e-8 + 1e-5 * abs(hi0) THEN lo + 1.0 ELSE hi0 END AS hi "
-        "FROM (SELECT min(anomaly_score) AS lo, max(anomaly_score) AS hi0 FROM samp)), "
+        "FROM (SELECT min(anomaly_score) AS lo, max(anomaly_score) AS hi0 FROM scored)), "
         f"cnts AS (SELECT CAST({idx} AS INTEGER) AS bin, count(*) FILTER (WHERE s.predicted_label <> 'anomaly' OR "
         "s.predicted_label IS NULL) AS normal_count, count(*) FILTER (WHERE s.predicted_label = 'anomaly') "
-        "AS anomaly_count FROM samp s, rng r WHERE s.anomaly_score >= r.lo AND s.anomaly_score <= r.hi GROUP BY 1)\n"
+        "AS anomaly_count FROM scored s, rng r WHERE s.anomaly_score >= r.lo AND s.anomaly_score <= r.hi GROUP BY 1)\n"
         f"SELECT g.bin, printf('%.2f - %.2f', {edge('g.bin')}, {edge('g.bin + 1')}) AS bucket_label, "
         f"round({edge('g.bin')}, 6) AS range_start, round({edge('g.bin + 1')}, 6) AS range_end, "
         "CAST(coalesce(c.normal_count, 0) AS BIGINT) AS normal_count, "
@@ -127,15 +138,29 @@ def _hist_sql(bins: int = 16) -> str:
         "LEFT JOIN cnts c ON g.bin = c.bin")
 
 
-@query("score_hist", with_sample("").rstrip() + ", " + _hist_sql(16))
+@query("score_hist", with_scored("").rstrip() + ", " + _hist_sql(16))
 def score_hist(spark, d):
-    return round6(an.score_histogram(an.stratified_sample(scored(spark, d), 600), 16))
+    return round6(an.score_histogram(scored(spark, d), 16))
 
 
 @query("pca_2d")
 def pca_2d(spark, d):
-    sample = an.stratified_sample(scored(spark, d), 600)
-    return an.embedding_points(sample, ["user_id_group_count", "user_id_event_time_1440m_count", "protocol"])
+    return an.embedding_points(scored(spark, d), ["user_id_group_count", "user_id_event_time_1440m_count", "protocol"])
+
+
+@query("analysis_bundle", with_sample(
+    "SELECT count(*) AS sample_size, count(*) FILTER (WHERE predicted_label = 'anomaly') AS anomaly_count, "
+    "count(*) AS n_points, count(*) AS n_projected, CAST(16 AS BIGINT) AS n_bins, CAST(1 AS BIGINT) AS n_spike_signals, "
+    "CAST(2 AS BIGINT) AS n_count_signals FROM samp"))
+def analysis_bundle_q(spark, d):
+    """RES-9: one row that sums up the parts of the bundle."""
+    made = prediction_table(scored(spark, d), "row_id", ["user_id_group_count"])
+    parts = analysis_bundle(made, ["user_id_group_count", "user_id_event_time_1440m_count", "protocol"])
+    out = parts["summary"]
+    for name, part in (("n_points", "score_points"), ("n_projected", "embedding_points"), ("n_bins", "score_histogram"),
+                       ("n_spike_signals", "spike_signal_summaries"), ("n_count_signals", "count_signal_summaries")):
+        out = out.crossJoin(parts[part].agg(F.count("*").alias(name)))
+    return out
 
 
 def _signal_sql(cols: list[str], kind: str) -> str:
@@ -378,11 +403,14 @@ def train_metrics(spark, d):
     return metrics
 
 
-@query("split_stratified", f"SELECT quality, {an.pseudo_random_order_sql('doc_id + 42')} < "
-                           f"{int(0.3 * an.HASH_MOD)} AS __is_test, count(*) AS count FROM documents "
-                           "JOIN labels USING (doc_id) GROUP BY 1, 2")
+@query("split_stratified",
+       f"WITH r AS (SELECT quality, count(*) OVER (PARTITION BY quality) AS n, row_number() OVER (PARTITION BY quality "
+       f"ORDER BY {an.pseudo_random_order_sql('doc_id + 42')}) AS rk, doc_id FROM documents JOIN labels USING (doc_id)) "
+       "SELECT doc_id, quality, rk <= greatest(least(CAST(round(0.3 * n) AS BIGINT), n - 1), CASE WHEN n > 1 THEN 1 ELSE 0 END) "
+       "AS is_test FROM r")
 def split_stratified(spark, d):
-    return ml.hash_split(_docs_labeled(spark, d), "doc_id").groupBy("quality", "__is_test").count()
+    return ml.stratified_split(_docs_labeled(spark, d), "doc_id", "quality").select(
+        "doc_id", "quality", F.col("__is_test").alias("is_test"))
 
 
 @query("iforest_scores")
@@ -474,10 +502,10 @@ def feature_matrix_q(spark, d):
 
 
 def _advisor_sql() -> str:
-    """Per-field advice in SQL over the advisor's deterministic 10 000-row sample."""
+    """Per-field advice in SQL over all rows."""
     from ..operators.advisor import infer_tracking_type
 
-    sel = _selection_sql(sample_limit=10000)
+    sel = _selection_sql()
     head, rows_sql = sel.rsplit("\n", 1)
     parts = []
     for i, (c, numeric) in enumerate(_SEL_INPUT):
@@ -530,8 +558,7 @@ def _advisor_groups_sql() -> str:
 
 
 def _advice(spark, d):
-    return adv.analyze(_selection_input(spark, d), target="label", dataset_label="label", sample_limit=10000,
-                       rid="row_id")
+    return adv.analyze(_selection_input(spark, d), target="label", dataset_label="label", rid="row_id")
 
 
 @query("advisor_fields", _advisor_sql())

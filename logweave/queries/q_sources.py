@@ -149,7 +149,7 @@ def read_csv_q(spark, d):
 
 @query("projected_copy", with_logs("SELECT row_id, user_id, event_type AS kind FROM logs"))
 def projected_copy_q(spark, d):
-    path = rd.projected_copy(logs(spark, d), include=["row_id", "user_id", "event_type", "path"], exclude=["path"],
+    path = rd.projected_copy(logs(spark, d), _scratch(spark, "copies"), include=["row_id", "user_id", "event_type", "path"], exclude=["path"],
                              rename={"event_type": "kind"})
     return spark.read.parquet(path)
 

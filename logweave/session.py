@@ -94,29 +94,3 @@ def reliable_checkpoint(df):
     """Eager reliable checkpoint (cuts lineage; survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-SMALL_INPUT_BYTES = 1 << 30
-
-
-def ensure_parallelism(df):
-    """Spread a *small* input with fewer partitions than cores (one file / one row group) over all
-    cores before heavy row-wise work.  Inputs estimated above 1 GB are left alone: they already scan
-    as many splits, and reshuffling them would cost more than it buys."""
-    ship_package(df.sparkSession)
-    if df.isStreaming:
-        return df
-    sc = df.sparkSession.sparkContext
-    try:
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - some plans cannot expose an RDD cheaply
-        return df
-    if parts >= sc.defaultParallelism:
-        return df
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no estimate: keep the input as it is
-        return df
-    if size <= SMALL_INPUT_BYTES:
-        return df.repartition(sc.defaultParallelism)
-    return df

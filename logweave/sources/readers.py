@@ -7,17 +7,14 @@ a plan never uses and the work stays in the JVM.
 
 from __future__ import annotations
 
-import re
 import uuid
-from collections import Counter
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..rowid import ROW_ID
-from ..session import ensure_checkpoint_dir, ensure_parallelism
 
 # The two line layouts (Python syntax) and the level keywords.
 NGINX_LINE = (r'(\S+)\s+\S+\s+\S+\s+\[([^\]]+)\]\s+"(\S+)\s+(\S+)\s+([^"]+)"\s+(\d{3})\s+(\S+)'
@@ -41,13 +38,8 @@ def _j(pattern: str) -> str:
 
 def clean_header(names: list[str]) -> list[str]:
     """SRC-7: strip, blank -> 'unnamed', whitespace runs -> '_', duplicates get _2, _3..."""
-    seen: Counter[str] = Counter()
-    out = []
-    for raw in names:
-        base = re.sub(r"\s+", "_", str(raw).strip() or "unnamed")
-        seen[base] += 1
-        out.append(base if seen[base] == 1 else f"{base}_{seen[base]}")
-    return out
+    cleaned = ["_".join(str(n).split()) or "unnamed" for n in names]
+    return [c if k == 0 else f"{c}_{k + 1}" for c, k in zip(cleaned, (cleaned[:i].count(c) for i, c in enumerate(cleaned)))]
 
 
 # ----------------------------------------------------------------------- CSV
@@ -96,13 +88,19 @@ def pandas_header_names(raw: list[str | None]) -> list[str]:
     return out
 
 
-def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
-    """SRC-1 (+SRC-7, trap 27): header row, pandas missing-value tokens, then type inference."""
-    reader = spark.read.option("inferSchema", False)
-    header_row = reader.option("header", False).csv(path).first()
-    raw = reader.option("header", True).csv(path)
-    raw_names = list(header_row) if header_row is not None else list(raw.columns)
-    names = clean_header(pandas_header_names(raw_names))
+def read_csv(spark: SparkSession, path: str, infer: bool = True, multi_line: bool = True) -> DataFrame:
+    """SRC-1 (+SRC-7, trap 27): header row, pandas missing-value tokens, then type inference.
+
+    Quoted cells may hold separators, doubled quotes and (with ``multi_line``) line breaks.  A file with
+    line breaks in cells cannot be split; pass ``multi_line=False`` for large files without them.  The header
+    is that of the first file by name."""
+    def reader(header: bool):
+        return spark.read.options(inferSchema=False, header=header, quote='"', escape='"', multiLine=multi_line)
+
+    raw = reader(True).csv(path)
+    files = sorted(raw.inputFiles())
+    header_row = reader(False).csv(files[0]).first() if files else None
+    names = clean_header(pandas_header_names(list(header_row) if header_row is not None else list(raw.columns)))
     raw = raw.toDF(*names)
     cleaned = raw.select(*[F.when(F.col(c).isin(CSV_NA_TOKENS), F.lit(None)).otherwise(F.col(c)).alias(c)
                            for c in names])
@@ -117,9 +115,17 @@ def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str, rid: str = ROW_ID) -> DataFrame:
     """SRC-2: lines in file order, stripped, blank lines dropped; (rid, line)."""
-    df = spark.read.text(path).select(tx.py_strip(F.col("value")).alias("line"))
-    df = df.withColumn(rid, F.monotonically_increasing_id())
-    return df.where(F.length("line") > 0).select(rid, "line")
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__path"),
+                                       F.col("_metadata.file_block_start").alias("__start"),
+                                       F.monotonically_increasing_id().alias("__m"))
+    # a block lies in one partition, where ids ascend; blocks are numbered by file name and position (one
+    # row per block), so that ids follow the files whatever partitions the blocks were packed into
+    order = F.row_number().over(Window.orderBy("__path", "__start"))
+    blocks = raw.select("__path", "__start").distinct().select("__path", "__start", order.cast("long").alias("__block"))
+    low = F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    return (raw.join(blocks, ["__path", "__start"])
+            .select((F.shiftleft(F.col("__block"), 33) + low).alias(rid), tx.py_strip(F.col("value")).alias("line"))
+            .where(F.length("line") > 0))
 
 
 def normalize_scalar(c: Column) -> Column:
@@ -143,7 +149,6 @@ def parse_nginx(lines: DataFrame, line_col: str = "line") -> DataFrame:
     record_pattern = _j("^" + head + "(" + tail.rsplit(")?", 1)[0] + ")?") + "(?s:.*)$"
     # groups: 1..7 head fields, 8 tail wrapper, 9 referer, 10 user agent
     replacement = _SEP.join(["$1", "$2", "$3", "$4", "$5", "$6", "$7", "$9", "$10", "$8"])
-    lines = ensure_parallelism(lines)
     others = [c for c in lines.columns if c != line_col]
     # the record is its own projection: a value used inside several CASE branches is not
     # shared by subexpression elimination, so it would be recomputed per field
@@ -166,7 +171,6 @@ def parse_nginx(lines: DataFrame, line_col: str = "line") -> DataFrame:
 
 def parse_generic(lines: DataFrame, line_col: str = "line") -> DataFrame:
     """SRC-4: time / level / source / message; fallback: first level keyword, message = line."""
-    lines = ensure_parallelism(lines)
     line = F.col(line_col)
     pat = _j(GENERIC_LINE)
     matched = line.rlike(pat)
@@ -222,15 +226,14 @@ def new_artifact_path(base: str, prefix: str) -> str:
     return f"{base.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
 
 
-def write_parquet(df: DataFrame, base: str | None = None, prefix: str = "dataset") -> str:
+def write_parquet(df: DataFrame, base: str, prefix: str = "dataset") -> str:
     """SRC-10: write to a fresh directory, never overwriting an earlier artifact."""
-    base = base or ensure_checkpoint_dir(df.sparkSession)
     path = new_artifact_path(base, prefix)
     df.write.mode("errorifexists").parquet(path)
     return path
 
 
-def projected_copy(df: DataFrame, include=None, exclude=None, rename=None, base: str | None = None) -> str:
+def projected_copy(df: DataFrame, base: str, include=None, exclude=None, rename=None) -> str:
     """SRC-11: include / exclude / rename pushed into the scan, then copied to Parquet."""
     from ..operators.preprocess import apply_import_cleaning
     return write_parquet(apply_import_cleaning(df, include, exclude, rename), base, "staging")
