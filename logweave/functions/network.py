@@ -59,19 +59,17 @@ _IP6_SCHEMA = T.StructType([
 
 @F.pandas_udf(_IP6_SCHEMA)
 def _ipv6_props(values: pd.Series) -> pd.DataFrame:
-    priv, loop, ver = [], [], []
-    for v in values:
-        addr = None
-        if v is not None:
-            try:
-                addr = ipaddress.ip_address(v)
-            except ValueError:
-                addr = None
-        priv.append(1 if addr is not None and addr.is_private else 0)
-        loop.append(1 if addr is not None and addr.is_loopback else 0)
-        ver.append(addr.version if addr is not None else None)
-    return pd.DataFrame({"is_private": priv, "is_loopback": loop,
-                         "version": pd.array(ver, dtype="Int64")})
+    known: dict = {}
+    for v in values.dropna().unique():
+        try:
+            known[v] = ipaddress.ip_address(v)
+        except ValueError:
+            continue
+    table = pd.DataFrame({"is_private": [int(a.is_private) for a in known.values()],
+                          "is_loopback": [int(a.is_loopback) for a in known.values()],
+                          "version": [a.version for a in known.values()]}, index=list(known), dtype="Int64")
+    out = table.reindex(values).reset_index(drop=True)
+    return out.fillna({"is_private": 0, "is_loopback": 0})
 
 
 def ip_features(c: Column, v4: Column | None = None) -> dict[str, Column]:

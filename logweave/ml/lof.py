@@ -1,148 +1,142 @@
 """Local outlier factor (TRN-9) on an exact distributed k-NN.
 
-k-NN without a cross join and without a candidate cap:
-
-1. every point gets a 1-D key ``p = x . u`` (``u`` a fixed unit direction);
-   since ``|p_i - p_j| <= ||x_i - x_j||`` the key bounds every distance;
-2. rows are range-partitioned on ``p``; each task finds the exact k nearest
-   neighbours *inside its partition* with a sorted window that grows until the
-   gap to the first point outside it exceeds the current k-th distance;
-3. a point whose k-th distance ``r`` reaches past its partition's key range
-   asks for exactly the points of other partitions with ``|p_j - p_i| <= r``
-   (an equi-join on key buckets of the median ``r`` plus the band filter);
-4. the merged lists give k-distance, reachability, local density and LOF as
-   joins and averages.
-
-Work grows with the neighbourhood density along ``p``; nothing is sampled or
-capped.  ``score = LOF`` (the negated ``negative_outlier_factor``); anomalies are
-scores above the (1 - contamination) quantile.
+1. Every point goes to the cell of its nearest pivot (``PIVOTS`` points, chosen by hash of the row id).  A cell is
+   cut along the distance to its pivot into blocks of about ``BLOCK`` points, each with a range of such distances.
+2. Inside its block every point finds its k nearest; the k-th distance r bounds the true one.
+3. By the triangle inequality no point of a block can be nearer to x than the gap between d(x, pivot) and
+   the block's range.  A point asks only the blocks whose gap is at most r; a task holds one block and streams
+   the points that ask, and returns at most k neighbours for each: pairs are never written.
+4. The merged lists give k-distance, reachability, local density and LOF as joins and averages.
+
+The result is exact.  Where distances concentrate (many dimensions, no clusters) the gaps prune little and
+every block is asked: the work is then quadratic, as for any exact search; ``examined_share`` tells.
+``score = LOF`` (the negated ``negative_outlier_factor``); anomalies are scores above the (1 - contamination)
+quantile.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import reliable_checkpoint
 
 
-def _direction(dim: int, seed: int) -> np.ndarray:
-    u = np.random.default_rng(seed).normal(size=dim)
-    return u / np.linalg.norm(u)
+PIVOTS, BLOCK = 64, 512
 
 
-def _local_knn(k: int):
+def _vectors(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _nearest(x: np.ndarray, xid: np.ndarray, y: np.ndarray, yid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and ids of the k nearest rows of y for each row of x (ties by id; itself left out)."""
+    d2 = np.zeros((len(x), len(y)))
+    for j in range(x.shape[1]):
+        d2 += (x[:, j, None] - y[None, :, j]) ** 2
+    d = np.sqrt(d2)
+    d[xid[:, None] == yid[None, :]] = np.inf
+    order = np.lexsort((np.broadcast_to(yid, d.shape), d), axis=1)[:, :k]
+    return np.take_along_axis(d, order, 1), yid[order]
+
+
+def _place(pivots: np.ndarray):
     def run(batches):
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        tables = [pa.Table.from_batches([b]) for b in batches]
-        if not tables:
-            return
-        t = pa.concat_tables(tables)
-        rid = t.column("__rid").to_numpy()
-        p = t.column("__p").to_numpy()
-        X = np.array(t.column("__x").to_pylist(), dtype=float)
-        order = np.lexsort((rid, p))
-        rid, p, X = rid[order], p[order], X[order]
-        m = len(rid)
-        kk = min(k, m - 1)
-        nbr = np.full((m, max(kk, 0)), -1, dtype=np.int64)
-        dist = np.full((m, max(kk, 0)), np.inf)
-        if kk > 0:
-            todo = np.arange(m)
-            W = max(2 * kk, 8)
-            block = 256
-            while todo.size:
-                still = []
-                for s in range(0, todo.size, block):
-                    idx = todo[s:s + block]
-                    lo, hi = max(idx.min() - W, 0), min(idx.max() + W + 1, m)
-                    cand = np.arange(lo, hi)
-                    D = np.sqrt(((X[idx][:, None, :] - X[cand][None, :, :]) ** 2).sum(-1))
-                    D[cand[None, :] == idx[:, None]] = np.inf
-                    # stable order: distance, then row id
-                    keys = np.lexsort((np.broadcast_to(rid[cand], D.shape), D), axis=1)[:, :kk]
-                    dk = np.take_along_axis(D, keys, 1)
-                    gap_l = np.where(lo > 0, p[idx] - p[lo - 1] if lo > 0 else np.inf, np.inf)
-                    gap_r = np.where(hi < m, p[hi] - p[idx] if hi < m else np.inf, np.inf)
-                    done = (dk[:, -1] < np.minimum(gap_l, gap_r)) | ((lo == 0) & (hi == m))
-                    nbr[idx[done]] = rid[cand[keys[done]]]
-                    dist[idx[done]] = dk[done]
-                    still.extend(idx[~done].tolist())
-                todo = np.array(still, dtype=np.int64)
-                W *= 2
-        r = dist[:, -1] if kk > 0 else np.zeros(m)
-        yield pa.RecordBatch.from_pydict({
-            "__rid": pa.array(rid, pa.int64()), "__pid": pa.array(np.full(m, pid), pa.int64()),
-            "__x": pa.array(X.tolist(), pa.list_(pa.float64())), "__p": pa.array(p, pa.float64()),
-            "__pmin": pa.array(np.full(m, p.min()), pa.float64()), "__pmax": pa.array(np.full(m, p.max()), pa.float64()),
-            "__r": pa.array(r, pa.float64()),
-            "__nbrs": pa.array([list(x) for x in nbr], pa.list_(pa.int64())),
-            "__dists": pa.array([list(x) for x in dist], pa.list_(pa.float64())),
-        })
+        for b in batches:
+            if b.num_rows:
+                x = _vectors(b.column(1))
+                d = np.sqrt(((x[:, None, :] - pivots[None, :, :]) ** 2).sum(-1))
+                cell = d.argmin(1)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell, pa.int32()),
+                                                  pa.array(d[np.arange(len(d)), cell])], names=["rid", "x", "cell", "d"])
+    return run
+
+
+def _ask(pivots: np.ndarray, blocks: np.ndarray, k: int):
+    """Rows of one block: its own nearest lists, then the blocks each point has to ask."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, xid = np.stack(pdf["x"].to_numpy()), pdf["rid"].to_numpy()
+        own = int(pdf["block"].iloc[0])
+        d, _ = _nearest(x, xid, x, xid, k)
+        r = d[:, -1] if d.shape[1] >= k else np.full(len(x), np.inf)
+        to_pivot = np.sqrt(((x[:, None, :] - pivots[None, :, :]) ** 2).sum(-1))[:, blocks[:, 1].astype(int)]
+        gap = np.maximum(np.maximum(to_pivot - blocks[:, 3], blocks[:, 2] - to_pivot), 0)
+        asks = gap <= r[:, None] * (1 + 1e-12) + 1e-12
+        asks[:, blocks[:, 0] == own] = True
+        at, to = np.nonzero(asks)
+        return pd.DataFrame({"rid": xid[at], "x": list(x[at]), "to": blocks[to, 0].astype(np.int64)})
     return run
 
 
-def _euclid(a, b):
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v))
+def _answer(k: int):
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"rid": [], "nbr": [], "dist": []}).astype({"rid": "int64", "nbr": "int64", "dist": "float64"})
+        y, yid = np.stack(right["x"].to_numpy()), right["rid"].to_numpy()
+        out = []
+        for at in range(0, len(left), BLOCK):
+            part = left.iloc[at:at + BLOCK]
+            d, n = _nearest(np.stack(part["x"].to_numpy()), part["rid"].to_numpy(), y, yid, k)
+            out.append(pd.DataFrame({"rid": np.repeat(part["rid"].to_numpy(), d.shape[1]), "nbr": n.ravel(), "dist": d.ravel()}))
+        return pd.concat(out).query("dist < inf")
+    return run
 
 
-def knn(points: DataFrame, rid: str, vec: str, k: int, seed: int = 42, num_partitions: int | None = None) -> DataFrame:
-    """Exact k nearest neighbours (self excluded): rows (rid, nbr, dist, rank)."""
+def _requests(points: DataFrame, rid: str, vec: str, k: int, num_partitions: int | None = None):
+    """(blocked points, requests, number of points): which blocks each point has to look at."""
+    base = points.select(F.col(rid).cast("long").alias("rid"), F.col(vec).cast("array<double>").alias("x"))
+    base = reliable_checkpoint(base.repartition(num_partitions) if num_partitions else base)
+    n = base.count()
+    # the pivots: one for every BLOCK points, PIVOTS at most
+    first = base.orderBy(F.xxhash64("rid"), "rid").limit(min(PIVOTS, -(-n // BLOCK))).collect()
+    pivots = np.array([r["x"] for r in first], dtype=float)
+    placed = reliable_checkpoint(base.mapInArrow(_place(pivots), "rid long, x array<double>, cell int, d double"))
+    parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    cuts = placed.join(parts, "cell").groupBy("cell").agg(F.first("parts").alias("parts"), F.percentile_approx(
+        "d", F.lit([i / 256 for i in range(257)])).alias("q"))
+    # rings of a cell: its distances cut at quantiles, and points of equal rank spread by hash beyond them
+    ring = F.expr("int(least(parts - 1, floor(size(filter(q, v -> v <= d)) * parts / 258D)))")
+    spread = F.expr("int(pmod(xxhash64(rid), greatest(1, int(ceil(parts / 256D)))))")
+    blocked = placed.join(cuts, "cell").select("rid", "x", "cell", "d", (
+        F.col("cell").cast("long") * (1 << 40) + ring.cast("long") * (1 << 12) + spread).alias("block"))
+    blocked = reliable_checkpoint(blocked)
+    blocks = blocked.groupBy("block").agg(F.first("cell").alias("cell"), F.min("d").alias("lo"), F.max("d").alias("hi")).collect()
+    table = np.array([(r["block"], r["cell"], r["lo"], r["hi"]) for r in blocks], dtype=float)
+    requests = blocked.select("rid", "x", "block").groupBy("block").applyInPandas(
+        _ask(pivots, table, k), "rid long, x array<double>, to long")
+    return blocked, requests, n, len(table)
+
+
+def knn(points: DataFrame, rid: str, vec: str, k: int, num_partitions: int | None = None) -> DataFrame:
+    """Exact k nearest neighbours (self excluded): rows (rid, nbr, dist, rank); ties by id.
+
+    The table of blocks (a few numbers for every ``BLOCK`` points) is on the driver and in each task."""
     spark = points.sparkSession
-    first = points.select(F.size(vec).alias("d")).first()
-    dim = int(first["d"]) if first else 0
-    u = _direction(max(dim, 1), seed).tolist()
-    base = points.select(F.col(rid).cast("long").alias("__rid"),
-                         F.col(vec).cast("array<double>").alias("__x"))
-    base = base.withColumn("__p", F.aggregate(F.zip_with("__x", F.array(*[F.lit(v) for v in u]),
-                                                         lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v))
-    base = reliable_checkpoint(base)
-    n_total = base.count()
-    kk = int(min(k, max(n_total - 1, 0)))
-    n = int(num_partitions or spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = base.repartitionByRange(n, "__p", "__rid")
-    schema = T.StructType([T.StructField("__rid", T.LongType()), T.StructField("__pid", T.LongType()),
-                           T.StructField("__x", T.ArrayType(T.DoubleType())), T.StructField("__p", T.DoubleType()),
-                           T.StructField("__pmin", T.DoubleType()), T.StructField("__pmax", T.DoubleType()),
-                           T.StructField("__r", T.DoubleType()), T.StructField("__nbrs", T.ArrayType(T.LongType())),
-                           T.StructField("__dists", T.ArrayType(T.DoubleType()))])
-    local = reliable_checkpoint(ranged.mapInArrow(_local_knn(kk), schema))
-    local_pairs = local.select("__rid", F.posexplode(F.arrays_zip("__nbrs", "__dists")).alias("pos", "z")) \
-        .select("__rid", F.col("z.__nbrs").alias("nbr"), F.col("z.__dists").alias("dist"))
-    crossing = (F.col("__p") - F.col("__r") <= F.col("__pmin")) | (F.col("__p") + F.col("__r") >= F.col("__pmax"))
-    req = local.where(crossing).select("__rid", "__pid", "__x", "__p", "__r")
-    # bucket width = median request radius: an isolated point with a huge radius explodes into more
-    # buckets instead of widening every bucket (which would pair all crossing points with far candidates)
-    width = req.where(F.col("__r") > 0).agg(F.percentile_approx("__r", 0.5, 10000)).first()[0]
+    n = points.count()
+    kk = int(min(k, max(n - 1, 0)))
     if kk == 0:
         return spark.createDataFrame([], "rid long, nbr long, dist double, rank int")
-    if width is None or not np.isfinite(width) or width <= 0:
-        merged = local_pairs
-    else:
-        w = float(width)
-        reqx = req.withColumn("__b", F.explode(F.sequence(F.floor((F.col("__p") - F.col("__r")) / w).cast("long"),
-                                                    F.floor((F.col("__p") + F.col("__r")) / w).cast("long"))))
-        cand = local.select(F.col("__rid").alias("__c"), F.col("__pid").alias("__cpid"), F.col("__x").alias("__cx"),
-                            F.col("__p").alias("__cp"), F.floor(F.col("__p") / w).cast("long").alias("__b"))
-        # other partitions only (same-partition pairs are already exact in the local pass)
-        extra = reqx.join(cand, "__b").where((F.col("__cpid") != F.col("__pid"))
-                                             & (F.abs(F.col("__cp") - F.col("__p")) <= F.col("__r"))) \
-            .select("__rid", F.col("__c").alias("nbr"), _euclid(F.col("__x"), F.col("__cx")).alias("dist"))
-        merged = local_pairs.unionByName(extra)
-    w_rank = Window.partitionBy("__rid").orderBy("dist", "nbr")
-    return merged.withColumn("rank", F.row_number().over(w_rank)).where(F.col("rank") <= kk) \
-        .select(F.col("__rid").alias("rid"), "nbr", "dist", "rank")
-
-
-def local_outlier_factor(df: DataFrame, rid: str, vec: str, n_neighbors: int = 20, contamination: float = 0.1,
-                         num_partitions: int | None = None) -> DataFrame:
+    blocked, requests, _, _ = _requests(points, rid, vec, kk, num_partitions)
+    found = requests.groupBy("to").cogroup(blocked.select("block", "rid", "x").groupBy("block")).applyInPandas(
+        _answer(kk), "rid long, nbr long, dist double")
+    w_rank = Window.partitionBy("rid").orderBy("dist", "nbr")
+    return found.withColumn("rank", F.row_number().over(w_rank)).where(F.col("rank") <= kk)
+
+
+def examined_share(points: DataFrame, rid: str, vec: str, k: int) -> float:
+    """Share of the (point, block) combinations that an exact search has to examine."""
+    _, requests, n, blocks = _requests(points, rid, vec, k)
+    return requests.count() / max(n * blocks, 1)
+
+
+def local_outlier_factor(df: DataFrame, rid: str, vec: str, n_neighbors: int = 20,
+                         contamination: float = 0.1, num_partitions: int | None = None) -> DataFrame:
     """(rid, anomaly_score = LOF, predicted_label)."""
-    nn = reliable_checkpoint(knn(df, rid, vec, n_neighbors, num_partitions=num_partitions))
+    nn = reliable_checkpoint(knn(df, rid, vec, n_neighbors, num_partitions))
     kdist = nn.groupBy("rid").agg(F.max("dist").alias("kdist"))
     reach = nn.join(kdist.select(F.col("rid").alias("nbr"), F.col("kdist").alias("nbr_kdist")), "nbr") \
         .select("rid", "nbr", F.greatest("dist", "nbr_kdist").alias("reach"))

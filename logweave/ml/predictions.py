@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import analysis as an
+from ..rowid import with_dense_index
 from ..session import reliable_checkpoint
 
 ORDERED = ["actual_label", "predicted_label", "anomaly_score", "prediction_proba"]
@@ -14,21 +15,12 @@ ORDERED = ["actual_label", "predicted_label", "anomaly_score", "prediction_proba
 def prediction_table(scored: DataFrame, rid: str, feature_columns: list[str],
                      context_columns: list[str] | None = None) -> DataFrame:
     """TRN-13/14: sample_index (0, 1, ... in row-id order), source_row_id (text), context columns, labels and
-    scores, features, then what else ``scored`` holds.  Written once, in the shared checkpoint folder.
-
-    The rows are range-partitioned by row id; an index is the position in its partition plus the
-    number of rows in the partitions before it (one row per partition)."""
+    scores, features, then what else ``scored`` holds.  Written once, in the shared checkpoint folder."""
     drop = [c for c in ("sample_index",) if c in scored.columns and c != rid]
     laid = scored.drop(*drop)
     if "source_row_id" not in laid.columns:
         laid = laid.withColumn("source_row_id", F.col(rid).cast("string"))
-    laid = laid.repartitionByRange(F.col(rid)).sortWithinPartitions(rid).withColumn("__m", F.monotonically_increasing_id())
-    laid = reliable_checkpoint(laid.withColumn("__part", F.shiftright("__m", 33)))
-    sizes = laid.groupBy("__part").agg(F.count("*").alias("n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.__part") < F.col("a.__part"), "left") \
-        .groupBy(F.col("a.__part").alias("__part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("__before"))
-    low = F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
-    out = laid.join(before, "__part").withColumn("sample_index", F.col("__before") + low)
+    out = with_dense_index(laid, [F.col(rid)], "sample_index")
     columns = ["sample_index", "source_row_id", *(context_columns or []), *ORDERED, *feature_columns, *scored.columns]
     return out.select(*[c for c in dict.fromkeys(columns) if c in out.columns])
 

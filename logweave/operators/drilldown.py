@@ -13,6 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..rowid import with_dense_index
 from ..functions.text import py_strip
 
 DEFAULT_CONTEXT = ["event_time", "source_ip", "dest_ip", "host", "source_host", "dest_host", "process_name",
@@ -107,23 +108,50 @@ def time_column(row: dict[str, Any]) -> str | None:
     return next((c for c in row if "time" in c.lower() and row[c] is not None), None)
 
 
-def window_detail(pred: DataFrame, row: dict[str, Any], signal: str, key: str, anchors: list[str] | None = None,
-                  neighbours: int = 2) -> DataFrame | None:
-    """DRL-6/7: rows of the sample's tumbling window sharing its anchor values, with the
-    position relative to the sample (-2..+2 neighbourhood flagged)."""
+def _window(pred: DataFrame, row: dict[str, Any], signal: str, anchors: list[str]):
+    """(time column, rows of the sample's tumbling window, window start, window end), or None."""
     tcol = time_column(row)
     minutes = window_minutes(signal)
     if not tcol or not minutes:
         return None
-    anchors = anchor_columns(pred, row, signal) if anchors is None else anchors
     t = F.col(tcol).cast("timestamp")
-    sel_t = F.lit(row[tcol]).cast("timestamp")
     width = minutes * 60
-    start = F.timestamp_seconds(F.floor(F.unix_seconds(sel_t) / width) * width)
-    cond = t.isNotNull() & (t >= start) & (t < start + F.expr(f"INTERVAL {width} SECONDS"))
+    start = F.timestamp_seconds(F.floor(F.unix_seconds(F.lit(row[tcol]).cast("timestamp")) / width) * width)
+    end = start + F.expr(f"INTERVAL {width} SECONDS")
+    cond = t.isNotNull() & (t >= start) & (t < end)
     for c in anchors:
         cond = cond & (_display(c) == F.lit(str(row[c]).strip()))
-    window = pred.where(cond)
+    return tcol, pred.where(cond), start, end
+
+
+def window_rows(pred: DataFrame, row: dict[str, Any], signal: str, key: str, anchors: list[str] | None = None) -> DataFrame | None:
+    """DRL-6: all rows of the sample's window that share its anchor values, in time order: ``position`` (from 1),
+    ``window_rows`` (their number), ``window_start``, ``window_end``, ``is_selected``."""
+    anchors = anchor_columns(pred, row, signal) if anchors is None else anchors
+    found = _window(pred, row, signal, anchors)
+    if found is None:
+        return None
+    tcol, window, start, end = found
+    rows = with_dense_index(window, [F.col(tcol).cast("timestamp"), F.col(key)], "__i")
+    total = rows.agg(F.count("*").alias("window_rows"))
+    cols = [c for c in dict.fromkeys([key, tcol, *anchors, signal, "anomaly_score", "predicted_label", "actual_label"])
+            if c in pred.columns]
+    return rows.crossJoin(F.broadcast(total)).select(
+        (F.col("__i") + 1).alias("position"), "window_rows", start.alias("window_start"), end.alias("window_end"),
+        (F.col(key) == F.lit(row[key])).alias("is_selected"), *cols)
+
+
+def window_detail(pred: DataFrame, row: dict[str, Any], signal: str, key: str, anchors: list[str] | None = None,
+                  neighbours: int = 2) -> DataFrame | None:
+    """DRL-6/7: rows of the sample's tumbling window sharing its anchor values, with the
+    position relative to the sample (-2..+2 neighbourhood flagged)."""
+    anchors = anchor_columns(pred, row, signal) if anchors is None else anchors
+    found = _window(pred, row, signal, anchors)
+    if found is None:
+        return None
+    tcol, window, _, _ = found
+    t = F.col(tcol).cast("timestamp")
+    sel_t = F.lit(row[tcol]).cast("timestamp")
     sel_key = row[key]
     before_sel = (t < sel_t) | ((t == sel_t) & (F.col(key) < F.lit(sel_key)))
     after_sel = (t > sel_t) | ((t == sel_t) & (F.col(key) > F.lit(sel_key)))

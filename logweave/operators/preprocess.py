@@ -56,10 +56,12 @@ def filter_condition(c: Column, operator: str, value: Any, dtype: T.DataType | N
     columns) stay plain so the Parquet scan can take them as pushed filters."""
     s = c.cast("string")
     numeric = isinstance(dtype, T.NumericType)
-    if operator == "eq":
-        return s == F.lit(str(value))
-    if operator == "ne":
-        return s != F.lit(str(value))
+    if operator in ("eq", "ne"):
+        # an integral column against an integer's own text: compared as numbers, so the scan takes the filter
+        text = str(value)
+        integral = isinstance(dtype, T.IntegralType) and text.lstrip("-").isdigit() and str(int(text)) == text
+        same = c == F.lit(int(text)) if integral else s == F.lit(text)
+        return same if operator == "eq" else ~same
     if operator == "contains":
         return F.coalesce(tx.contains_ci(c, str(value)), F.lit(False))
     if operator in ("gt", "gte", "lt", "lte"):

@@ -307,6 +307,22 @@ def drill_window(spark, d):
                          F.lit(",".join(anchors)).alias("anchor_columns"))
 
 
+def _drill_rows_sql() -> str:
+    head = _drill_window_sql().split(", picked AS (")[0]
+    day = "epoch_us(sel.event_time) // 86400000000::BIGINT"
+    return (head + "\nSELECT row_number() OVER (ORDER BY w.event_time, w.sample_index) AS position, count(*) OVER () AS "
+            f"window_rows, CAST({day} * 86400 AS BIGINT) AS start_s, CAST(({day} + 1) * 86400 AS BIGINT) AS end_s, "
+            "w.sample_index = sel.sample_index AS is_selected, w.sample_index FROM win w, sel")
+
+
+@query("drill_window_rows", _drill_rows_sql())
+def drill_window_rows(spark, d):
+    pred, row = _selected(spark, d)
+    return dd.window_rows(pred, row, SIGNAL, "sample_index").select(
+        "position", "window_rows", F.unix_seconds("window_start").alias("start_s"),
+        F.unix_seconds("window_end").alias("end_s"), "is_selected", "sample_index")
+
+
 def _drill_context_sql() -> str:
     base = dd.signal_base(SIGNAL)
     preferred = [c for c in dd.DEFAULT_CONTEXT if c in _SCORED_ORDER]

@@ -153,7 +153,10 @@ def parse_nginx(lines: DataFrame, line_col: str = "line") -> DataFrame:
     # the record is its own projection: a value used inside several CASE branches is not
     # shared by subexpression elimination, so it would be recomputed per field
     staged = lines.select(*others, line.alias("__line"), line.rlike(_j("^" + NGINX_LINE)).alias("__m"),
-                          F.split(F.regexp_replace(line, record_pattern, replacement), _SEP, -1).alias("__rec"))
+                          # a line that holds the separator itself is taken apart group by group
+                          F.when(line.contains(_SEP), F.array(*[F.regexp_extract(line, record_pattern, g)
+                                                                for g in (1, 2, 3, 4, 5, 6, 7, 9, 10, 8)]))
+                          .otherwise(F.split(F.regexp_replace(line, record_pattern, replacement), _SEP, -1)).alias("__rec"))
     rec, matched = F.col("__rec"), F.col("__m")
     has_tail = F.element_at(rec, 10) != ""
     fields = {}

@@ -125,3 +125,39 @@ def test_building_a_chain_starts_no_job(spark):
                    "input_selector": {"mode": "explicit", "columns": ["text"]}, "params": {}, "output_mode": {"mode": "append_new_columns"}}],
                  rid="id")
     assert list(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == list(before)
+
+
+@pytest.mark.parametrize("clusters", [1, 30])
+def test_knn_is_exact_and_prunes(spark, clusters):
+    import numpy as np
+
+    from logweave.ml import lof
+    rng = np.random.default_rng(clusters)
+    centre = rng.normal(size=(clusters, 4)) * 50
+    x = centre[rng.integers(0, clusters, 2500)] + rng.normal(size=(2500, 4))
+    x[100:110] = x[100]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = {}
+    for r in lof.knn(df, "id", "v", 5).collect():
+        got.setdefault(r.rid, {})[r["rank"]] = r.nbr
+    for i in range(0, 2500, 61):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        assert [got[i][k] for k in range(1, 6)] == np.lexsort((np.arange(2500), d))[:5].tolist()
+    if clusters > 1:
+        assert lof.examined_share(df, "id", "v", 5) < 0.5
+
+
+def test_access_line_with_the_separator(spark):
+    line = '1.2.3.4 - - [10/Oct/2000:13:55:36 +0000] "GET /a\u0001b HTTP/1.0" 200 5 "r\u0001" "ua"'
+    row = rd.parse_nginx(spark.createDataFrame([(line,)], "line string")).first()
+    assert row.log_type == "nginx_access" and row.status_code == 200 and row.bytes_sent == 5
+
+
+def test_integer_equality_reaches_the_scan(spark, tmp_path):
+    from logweave.operators.preprocess import filter_condition
+    spark.range(10).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    kept = df.where(filter_condition(F.col("id"), "eq", "4", df.schema["id"].dataType))
+    assert kept.count() == 1 and "EqualTo(id,4)" in kept._jdf.queryExecution().toString()
+    assert df.where(filter_condition(F.col("id"), "eq", "04", df.schema["id"].dataType)).count() == 0
