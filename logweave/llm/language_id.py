@@ -22,7 +22,7 @@ from .textops import slices
 BITS = 14
 BUCKETS = 1 << BITS
 #: Largest number of documents (all languages together) the weights are fitted on.
-MAX_TRAIN = 6000
+MAX_TRAIN = 3000
 UNKNOWN = "und"
 _TABLE: list[np.ndarray] = []
 
@@ -160,10 +160,10 @@ def fit(training: DataFrame, max_train: int = MAX_TRAIN) -> LanguageModel:
         chosen = chosen | ((F.col("lang") == lang) & (ticket < int(span * min(1.0, each / sizes[lang]))))
     sample = usable.filter(chosen).select("id", "lang", "text").mapInArrow(_sampled, "id long, lang string, at binary, n binary")
     rows, apart = [], []
-    for id_, lang, at, n in sample.orderBy(F.xxhash64("id"), "id").collect():
-        at = np.frombuffer(at, np.int32).astype(np.int64)
+    for id_, lang, at, n in sample.orderBy(F.xxhash64("id"), "id").toLocalIterator():
+        at = np.frombuffer(at, np.int32)
         if len(at):
-            row = (at, tfidf(at, np.frombuffer(n, np.float64), idf), languages.index(lang))
+            row = (at, tfidf(at, np.frombuffer(n, np.float32), idf).astype(np.float32), languages.index(lang))
             (apart if len(rows) >= 4 * (len(apart) + 1) else rows).append(row)
     weights = ftrl(rows, len(languages))
     logits = np.array([weights[:, at] @ v for at, v, _ in apart]).reshape(len(apart), len(languages))
@@ -175,7 +175,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [features(t) for t in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array([a.astype(np.int32).tobytes() for a, _ in found], pa.binary()),
-             pa.array([n.tobytes() for _, n in found], pa.binary())], names=["id", "lang", "at", "n"])
+             pa.array([n.astype(np.float32).tobytes() for _, n in found], pa.binary())], names=["id", "lang", "at", "n"])
 
 
 def _predict(model):
