@@ -8,8 +8,7 @@ as sklearn's ``'scale'``), and the linear one-class primal
     min  1/2 ||w||^2 + 1/(nu n) sum_i max(0, rho - <w, z_i>) - rho
 
 is solved by full-batch averaged sub-gradient steps.  Each step is one
-distributed pass that returns per-partition partial sums (bounded by
-partitions x D numbers).  ``anomaly_score = -<w, z(x)>`` (the negated
+distributed pass whose partial sums Spark adds up (D numbers reach the driver).  ``anomaly_score = -<w, z(x)>`` (the negated
 ``score_samples``); anomalies are scores above the (1 - nu) quantile.
 """
 
@@ -39,10 +38,11 @@ def one_class_svm(df: DataFrame, feature_columns: list[str], rid: str, nu: float
     # rebuilt from the checkpoint, as Spark ML's iterative solvers do
     xs = xs.persist(StorageLevel.MEMORY_AND_DISK)
     d = len(names)
-    flat = xs.select(F.explode("__x").alias("v")).agg(F.count("v").alias("n"), F.avg("v").alias("m"),
-                                                      F.var_pop("v").alias("var")).first()
-    n_rows = xs.count()
-    var = float(flat["var"] or 0.0)
+    # the variance of all cells from the columns' own moments
+    moments = xs.agg(F.count("*"), *[f(F.col("__x")[i]) for i in range(d) for f in (F.avg, F.var_pop)]).first()
+    n_rows = moments[0]
+    means, variances = (np.array([m or 0.0 for m in moments[k::2]]) for k in (1, 2))
+    var = float(variances.mean() + means.var()) if n_rows else 0.0
     gamma = 1.0 / (d * var) if var > 0 else 1.0
     rng = np.random.default_rng(seed)
     W = rng.normal(scale=np.sqrt(2.0 * gamma), size=(n_components, d))
@@ -55,7 +55,7 @@ def one_class_svm(df: DataFrame, feature_columns: list[str], rid: str, nu: float
             acc = np.zeros(Wl.shape[0])
             cnt = 0
             for batch in batches:
-                X = np.array(batch.column("__x").to_pylist(), dtype=float).reshape(-1, d)
+                X = batch.column("__x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
                 Z = _features(Wl, bl, X)
                 if mode == "mean":
                     acc += Z.sum(0)
@@ -64,16 +64,17 @@ def one_class_svm(df: DataFrame, feature_columns: list[str], rid: str, nu: float
                     viol = Z @ w < rho
                     acc += Z[viol].sum(0)
                     cnt += int(viol.sum())
-            yield pa.RecordBatch.from_pydict({"s": pa.array([acc.tolist()], pa.list_(pa.float64())),
-                                              "c": pa.array([cnt], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"i": pa.array(range(len(acc) + 1), pa.int32()),
+                                              "v": pa.array(np.append(acc, float(cnt)))})
         return run
 
-    schema = T.StructType([T.StructField("s", T.ArrayType(T.DoubleType())), T.StructField("c", T.LongType())])
-
     def reduce(w, rho, mode):
-        parts = xs.select("__x").mapInArrow(pass_fn(w, rho, mode), schema).collect()  # one row per partition
-        s = np.sum([np.array(p["s"]) for p in parts], axis=0) if parts else np.zeros(n_components)
-        return s, sum(p["c"] for p in parts)
+        # tasks' partial sums are added up by Spark: the driver gets one number per component
+        sums = xs.select("__x").mapInArrow(pass_fn(w, rho, mode), "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
+        total = np.zeros(n_components + 1)
+        for i, v in sums.collect():
+            total[i] = v
+        return total[:-1], total[-1]
 
     mean_z, _ = reduce(np.zeros(n_components), 0.0, "mean")
     w = mean_z / max(n_rows, 1)
@@ -96,7 +97,7 @@ def one_class_svm(df: DataFrame, feature_columns: list[str], rid: str, nu: float
         Wl, bl = bc.value
         wv = bw.value
         for batch in batches:
-            X = np.array(batch.column("__x").to_pylist(), dtype=float).reshape(-1, d)
+            X = batch.column("__x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
             s = -(_features(Wl, bl, X) @ wv)
             yield pa.RecordBatch.from_arrays([batch.column(rid), pa.array(s, pa.float64())],
                                              names=[rid, "anomaly_score"])

@@ -159,40 +159,42 @@ def behavior_tracking_steps(group_key: str, time_column: str, target_columns: li
     return out
 
 
+# The quick tasks.  Each entry: step type, where its input comes from, params, what must be known.
+_MINUTES = {"window_minutes": 15}
+QUICK_TASKS: dict[str, list[tuple[str, str, dict, tuple[str, ...]]]] = {
+    "text_complexity": [
+        ("text_length", "targets", {}, ()), ("byte_length", "targets", {}, ()), ("token_count", "targets", {}, ()),
+        ("shannon_entropy", "targets", {}, ()),
+        ("keyword_count", "targets", {"keywords": ["error", "failed", "timeout", "exception", "denied"]}, ()),
+        ("pattern_flags", "targets", {}, ())],
+    "high_cardinality": [
+        ("frequency_encode", "targets", {}, ()),
+        ("time_window_count", "first target", {"time_column": "$time", **_MINUTES}, ("time",)),
+        ("window_spike_flag", "first target", {"time_column": "$time", **_MINUTES, "threshold": 10}, ("time",)),
+        ("window_target_unique_count", "first target", {"time_column": "$time", "target_column": "$group", **_MINUTES},
+         ("time", "group"))],
+    "time_behavior": [
+        ("derive_time_parts", "time or target", {}, ()),
+        ("time_window_count", "first group", {"time_column": "$time or target", **_MINUTES}, ("group",)),
+        ("window_spike_flag", "first group", {"time_column": "$time or target", **_MINUTES, "threshold": 10}, ("group",))],
+    "numeric_statistics": [
+        ("numeric_bucket", "targets", {"bins": 5}, ()), ("numeric_scale", "targets", {"method": "zscore"}, ())],
+}
+
+
 def quick_task_steps(strategy: str, target_columns: list[str], available: list[str],
                      group_columns: list[str] | None = None, time_column: str | None = None) -> list[dict]:
-    """PIP-11..14: text_complexity / high_cardinality / time_behavior / numeric_statistics."""
+    """PIP-11..14: the steps of a quick task whose columns the table has; ``$`` params are filled in."""
     targets = [c for c in target_columns if c in available]
-    groups = [c for c in (group_columns or []) if c in available]
-    tcol = time_column if time_column in available else None
     if not targets:
         return []
-    if strategy == "text_complexity":
-        return [_task("text_length", targets), _task("byte_length", targets), _task("token_count", targets),
-                _task("shannon_entropy", targets),
-                _task("keyword_count", targets, {"keywords": ["error", "failed", "timeout", "exception", "denied"]}),
-                _task("pattern_flags", targets)]
-    if strategy == "high_cardinality":
-        steps = [_task("frequency_encode", targets)]
-        if tcol:
-            steps.append(_task("time_window_count", [targets[0]], {"time_column": tcol, "window_minutes": 15}))
-            steps.append(_task("window_spike_flag", [targets[0]],
-                               {"time_column": tcol, "window_minutes": 15, "threshold": 10}))
-            if groups:
-                steps.append(_task("window_target_unique_count", [targets[0]],
-                                   {"time_column": tcol, "target_column": groups[0], "window_minutes": 15}))
-        return steps
-    if strategy == "time_behavior":
-        resolved = tcol or targets[0]
-        steps = [_task("derive_time_parts", [resolved])]
-        if groups:
-            steps.append(_task("time_window_count", [groups[0]], {"time_column": resolved, "window_minutes": 15}))
-            steps.append(_task("window_spike_flag", [groups[0]],
-                               {"time_column": resolved, "window_minutes": 15, "threshold": 10}))
-        return steps
-    if strategy == "numeric_statistics":
-        return [_task("numeric_bucket", targets, {"bins": 5}), _task("numeric_scale", targets, {"method": "zscore"})]
-    return []
+    group = next((c for c in group_columns or [] if c in available), None)
+    time = time_column if time_column in available else None
+    inputs = {"targets": targets, "first target": targets[:1], "first group": [group], "time or target": [time or targets[0]]}
+    values = {"$time": time, "$group": group, "$time or target": time or targets[0]}
+    known = {k for k, v in (("time", time), ("group", group)) if v}
+    return [_task(kind, list(inputs[source]), {k: values.get(v, v) if isinstance(v, str) else v for k, v in params.items()})
+            for kind, source, params, needs in QUICK_TASKS.get(strategy, []) if known.issuperset(needs)]
 
 
 def recommend_template(columns: list[str], log_type: str | None = None) -> str | None:
