@@ -34,6 +34,7 @@ DISTANCE = 2 * CHUNKS - 1
 _MULTIPLIERS = mix64(np.arange(1001, 1001 + POSITIONS, dtype=np.uint64)) | np.uint64(1)
 #: Partners of a pivot in one block, and partners per pivot checked in one go.
 BLOCK, CHECK_BLOCK = 256, 64
+SALTS = 16
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,15 +146,25 @@ def _check(size: int, percent: int):
     return run
 
 
+def _salt(column: str):
+    return F.expr(f"int(pmod(xxhash64({column}, 3), {SALTS}))")
+
+
+def _salted(per_pivot: DataFrame) -> DataFrame:
+    """One row per pivot and salt, so that a pivot with very many partners is joined in many tasks."""
+    return per_pivot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full shingle sets reach the similarity.
 
     Each text goes once to every block of pairs it takes part in; a task holds one pivot's set and one
     slice of partners, however many partners a pivot has.
     """
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHECK_BLOCK).cast("int").alias("blocks"))
-    placed = (pairs.join(many, "a")
-              .select("a", F.expr("int(pmod(xxhash64(b), blocks))").alias("block"), "b"))
+    many = _salted(pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > CHECK_BLOCK)
+                   .select("a", F.ceil(F.col("n") / CHECK_BLOCK).cast("int").alias("blocks")))
+    placed = (pairs.withColumn("salt", _salt("b")).join(many, ["a", "salt"], "left")
+              .select("a", F.expr("int(pmod(xxhash64(b), coalesce(blocks, 1)))").alias("block"), "b"))
     wanted = (placed.select("a", "block", F.lit(0).alias("role"), F.col("a").alias("node")).distinct()
               .unionByName(placed.select("a", "block", F.lit(1).alias("role"), F.col("b").alias("node"))))
     loaded = wanted.join(texts.select(F.col("id").alias("node"), "text"), "node") \
@@ -211,10 +222,11 @@ def _missed_links(star: DataFrame, label: DataFrame, nodes: DataFrame, texts: Da
                    .select("a", "b", F.coalesce("component", "b").alias("comp")))
     opened = named.groupBy("a").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")) \
         .filter("lo <> hi").select("a", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    opened = _salted(opened)
     place = F.explode(F.expr("""concat(
         transform(sequence(block, blocks - 1), j -> struct(block as i, j as j, 0 as side)),
         transform(sequence(0, block), i -> struct(i as i, block as j, 1 as side)))"""))
-    rows = (named.join(opened, "a").withColumn("block", F.expr("int(pmod(xxhash64(b), blocks))"))
+    rows = (named.withColumn("salt", _salt("b")).join(opened, ["a", "salt"]).withColumn("block", F.expr("int(pmod(xxhash64(b), blocks))"))
             .join(nodes.select(F.col("node").alias("b"), "sig"), "b")
             .join(texts.select(F.col("id").alias("b"), "text"), "b")
             .select("a", place.alias("p"), "b", "comp", "sig", "text")
