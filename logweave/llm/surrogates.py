@@ -45,7 +45,7 @@ PATTERNS = [
     ("email", re.compile(r"(?<![\w.+-])[^\W_][\w.+-]*@[^\W_](?:[\w-]*\.)+[^\W\d_]{2,}", re.U)),
     ("ip", re.compile(rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d|\w)")),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
-    ("card", re.compile(r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)")),
+    ("card", re.compile(r"(?<![\w.])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{4,5})(?!\w)")),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w)")),
     ("person", re.compile(rf"(?<!\w)(?:{_TITLE})\.? [^\W\d_]+(?:-[^\W\d_]+)?(?: [^\W\d_]+)?", re.U))]

@@ -308,6 +308,7 @@ def test_surrogates(spark, docs, rows, empty):
     assert all(re.fullmatch(r"[a-z]{4}\d{%d}@[a-z]{4}\d\.[a-z]{7}\.org" % len(str(k)), m) for k, m in mail.items())
     assert got[902].text.lower().endswith(mail[5])                              # coreference, case kept
     cards = {re.search(r"card ([\d ]+),", got[k].text)[1] for k in range(400)}
+    assert [x[2] for x in surrogates.find_entities("the 4495589438270767 42.73.240.87 and 3782 822463 10005")] == ["card", "ip", "card"]
     assert len(cards) == 1 and surrogates.luhn(cards.pop().replace(" ", ""))
     assert all("ip 10." in got[k].text for k in range(400))
     assert got[900].text is None and got[901].text == ""
