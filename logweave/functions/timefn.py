@@ -11,15 +11,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fallback text layouts tried after Spark's own ISO parsing, in order.
+# Text layouts tried after Spark's own ISO parsing, in order (month first where a text fits both ways).
+_CLOCK = "[ H:mm[:ss[.SSSSSS]]]"
 TEXT_TIME_LAYOUTS = [
-    "yyyy/MM/dd HH:mm:ss",
-    "yyyy-MM-dd HH:mm:ss,SSS",
+    *(f"{day}{_CLOCK}" for day in ("yyyy/M/d", "yyyy.M.d", "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "d-MMM-yyyy",
+                                   "d MMM yyyy", "d MMMM yyyy", "MMM d[,] yyyy", "MMMM d[,] yyyy")),
+    "yyyy-M-d H:mm:ss,SSSSSS",
     "dd/MMM/yyyy:HH:mm:ss Z",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy",
+    "d MMM yyyy H:mm:ss Z",
+    "MMM d H:mm:ss yyyy",
+    *(f"{day} h:mm[:ss] a" for day in ("yyyy-M-d", "yyyy/M/d", "M/d/yyyy", "d/M/yyyy")),
+    "yyyyMMdd['T'HHmmss]",
+    "yyyyMMddHHmmss",
 ]
+#: Years that a nanosecond timestamp can hold; other bare numbers (ports, ids) are no dates.
+_YEAR = r"(?:167[89]|16[89]\d|1[789]\d\d|2[01]\d\d|22[0-5]\d|226[0-2])"
+ISO_TEXT = rf"(?s)^\s*(?:{_YEAR}(?:-.*|\s*)|T?\d{{1,2}}:.*)$"
+DATED_TEXT = rf"(?:^|\D){_YEAR}"
+WEEKDAY = r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,? "
 
 # strftime directive -> Java DateTimeFormatter letters.
 STRFTIME_TO_JAVA = {
@@ -60,7 +69,9 @@ def strftime_to_java(fmt: str) -> str:
 
 
 def to_timestamp_any(c: Column, dtype: T.DataType | None = None, fmt: str | None = None) -> Column:
-    """Coerce any column to TIMESTAMP like ``pd.to_datetime(errors='coerce')`` (per row)."""
+    """Coerce any column to TIMESTAMP like ``pd.to_datetime(errors='coerce')``, each row on its own.
+
+    A text is an ISO date, one of ``TEXT_TIME_LAYOUTS`` (a weekday before it is skipped), or null."""
     if isinstance(dtype, T.TimestampType):
         return c
     if isinstance(dtype, (T.TimestampNTZType, T.DateType)):
@@ -71,8 +82,11 @@ def to_timestamp_any(c: Column, dtype: T.DataType | None = None, fmt: str | None
     s = c.cast("string")
     if fmt:
         return F.try_to_timestamp(s, F.lit(strftime_to_java(fmt)))
-    return F.coalesce(s.try_cast("timestamp"),
-                      *[F.try_to_timestamp(s, F.lit(p)) for p in TEXT_TIME_LAYOUTS])
+    # lambdas keep one copy of the input and of the layouts out of the generated code
+    dated = F.filter(F.array(s), lambda x: x.rlike(DATED_TEXT) & (F.length(x) <= 64))
+    plain = F.transform(dated, lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), r"\s+", " "), WEEKDAY, ""))
+    parsed = F.transform(plain, lambda x: F.coalesce(*[F.try_to_timestamp(x, F.lit(p)) for p in TEXT_TIME_LAYOUTS]))
+    return F.coalesce(F.when(s.rlike(ISO_TEXT), s.try_cast("timestamp")), F.get(parsed, F.lit(0)))
 
 
 def epoch_micros(c: Column, dtype: T.DataType | None = None) -> Column:

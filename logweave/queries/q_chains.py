@@ -360,3 +360,19 @@ def step_diff(spark, d):
     diff = preview_step(base, steps, 1, kind="feature", limit=20, rid="row_id")
     assert diff["added_columns"] == ["user_id_group_count"], diff["added_columns"]
     return diff["after_rows"]
+
+
+@query("step_diff_summary", with_logs(
+    "SELECT count(*) AS before_count, count(*) FILTER (WHERE event_type = 'error') AS after_count, '' AS added_columns, "
+    "'' AS removed_columns, (SELECT string_agg(row_id, ',' ORDER BY row_id) FROM (SELECT row_id FROM logs ORDER BY row_id "
+    "LIMIT 20)) AS before_rows FROM logs"))
+def step_diff_summary(spark, d):
+    """PIP-3: counts, column changes and before-rows of a step that filters rows."""
+    steps = [{"step_type": "filter_rows", "input_selector": _sel(["event_type"]),
+              "params": {"operator": "eq", "value": "error"}}]
+    diff = preview_step(logs(spark, d).select("row_id", "event_type"), steps, 0, kind="preprocess", limit=20, rid="row_id")
+    rows = ",".join(str(r["row_id"]) for r in diff["before_rows"].collect())
+    return spark.createDataFrame([(diff["before_count"], diff["after_count"], ",".join(diff["added_columns"]),
+                                   ",".join(diff["removed_columns"]), rows)],
+                                 "before_count long, after_count long, added_columns string, removed_columns string, "
+                                 "before_rows string")

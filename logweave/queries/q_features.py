@@ -37,6 +37,13 @@ def ft_text_length(spark, d):
                  "doc_id", ["doc_id"])
 
 
+@query("ft_select", with_logs("SELECT row_id, user_id, path FROM logs"))
+def ft_select(spark, d):
+    """FTR-1: only the listed columns (and the row key) stay."""
+    return run_features(logs(spark, d), [{"step_type": "select_features", "input_selector": _sel(["user_id", "path"])}],
+                        rid="row_id")
+
+
 @query("ft_byte_length", f"SELECT doc_id, CAST(strlen({DOC_TEXT}) AS BIGINT) AS text_bytes FROM documents")
 def ft_byte_length(spark, d):
     return _feat(table(spark, d, "documents"), [{"step_type": "byte_length", "input_selector": _sel(["text"])}],

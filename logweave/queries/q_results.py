@@ -13,7 +13,7 @@ from ..ml.predictions import analysis_bundle, prediction_table
 from ..operators import advisor as adv
 from ..operators import analysis as an
 from ..operators import drilldown as dd
-from ..operators.selection import feature_matrix, select_training_columns, selection_frame
+from ..operators.selection import feature_matrix, feature_vectors, select_training_columns, selection_frame
 from ..plans.chain import run_features
 from .common import logs, round6, table, with_logs
 from .q_features import FLOW_STEPS
@@ -148,6 +148,20 @@ def pca_2d(spark, d):
     return an.embedding_points(scored(spark, d), ["user_id_group_count", "user_id_event_time_1440m_count", "protocol"])
 
 
+@query("pca_pair", with_scored(
+    "SELECT * FROM (SELECT sample_index, predicted_label, round(anomaly_score, 6) AS anomaly_score, actual_label, "
+    "round(sx * (ex * (p - mp) + ey * (q - mq)), 6) AS x, round(sy * (ey * (p - mp) - ex * (q - mq)), 6) AS y FROM "
+    "(SELECT *, CASE WHEN (CASE WHEN abs(ex) >= abs(ey) THEN ex ELSE ey END) >= 0 THEN 1 ELSE -1 END AS sx, "
+    "CASE WHEN (CASE WHEN abs(ey) >= abs(ex) THEN ey ELSE -ex END) >= 0 THEN 1 ELSE -1 END AS sy FROM "
+    "(SELECT mp, mq, cos(t) AS ex, sin(t) AS ey FROM (SELECT avg(user_id_group_count) AS mp, "
+    "avg(user_id_event_time_1440m_count) AS mq, 0.5 * atan2(2 * covar_samp(user_id_group_count, "
+    "user_id_event_time_1440m_count), var_samp(user_id_group_count) - var_samp(user_id_event_time_1440m_count)) AS t "
+    "FROM scored))), (SELECT *, user_id_group_count AS p, user_id_event_time_1440m_count AS q FROM scored))"))
+def pca_pair(spark, d):
+    """RES-6 on two columns, where the axes have a closed form."""
+    return round6(an.embedding_points(scored(spark, d), ["user_id_group_count", "user_id_event_time_1440m_count"]))
+
+
 @query("analysis_bundle", with_sample(
     "SELECT count(*) AS sample_size, count(*) FILTER (WHERE predicted_label = 'anomaly') AS anomaly_count, "
     "count(*) AS n_points, count(*) AS n_projected, CAST(16 AS BIGINT) AS n_bins, CAST(1 AS BIGINT) AS n_spike_signals, "
@@ -201,7 +215,18 @@ def top_rows_q(spark, d):
     return an.top_rows(scored(spark, d), 5).select("sample_index", "anomaly_score", "predicted_label")
 
 
-@query("explain_payload")
+def _json_list(items: str) -> str:
+    """SQL for the JSON text of a list of names."""
+    return f"CASE WHEN len({items}) = 0 THEN '[]' ELSE '[\"' || array_to_string({items}, '\", \"') || '\"]' END"
+
+
+@query("explain_payload", with_scored(
+    "SELECT 'mode: unsupervised' || chr(10) || 'algorithm: fixed_score' || chr(10) || "
+    "'feature_columns: [''user_id_event_time_1440m_count'']' || chr(10) || 'Top rows: [' || string_agg("
+    "'{\"sample_index\":' || sample_index || ',\"source_ip\":\"' || source_ip || '\",\"anomaly_score\":' || anomaly_score || "
+    "',\"predicted_label\":\"' || predicted_label || '\"}', ',' ORDER BY sample_index) || ']' AS payload FROM (SELECT * FROM "
+    "scored WHERE predicted_label = 'anomaly' OR NOT EXISTS (SELECT 1 FROM scored WHERE predicted_label = 'anomaly') "
+    "ORDER BY anomaly_score DESC, sample_index LIMIT 5)"))
 def explain_payload(spark, d):
     facts = {"mode": "unsupervised", "algorithm": "fixed_score", "feature_columns": ["user_id_event_time_1440m_count"]}
     return an.explanation_payload(scored(spark, d).select("sample_index", "source_ip", "anomaly_score",
@@ -412,6 +437,23 @@ def train_svm(spark, d):
     return _train(spark, d, "svm")
 
 
+@query("model_round_trip", "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS differing "
+       "FROM documents JOIN labels USING (doc_id)")
+def model_round_trip(spark, d):
+    """TRN-15: a saved and reloaded classifier scores every row as the fitted one does."""
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    from ..session import ensure_checkpoint_dir
+    features = ["n_chars", "lang", "source", "toxic"]
+    docs = _docs_labeled(spark, d)
+    model, _, _ = ml.train_supervised(docs, features, "quality", "logistic_regression", "doc_id")
+    again = LogisticRegressionModel.load(ml.save_model(model, ensure_checkpoint_dir(spark)))
+    rows = feature_vectors(docs, features)
+    both = model.transform(rows).select("doc_id", F.col("probability").alias("p")).join(
+        again.transform(rows).select("doc_id", F.col("probability").alias("q")), "doc_id", "full")
+    return both.agg(F.count("*").alias("rows"), F.count_if(~F.col("p").eqNullSafe(F.col("q"))).alias("differing"))
+
+
 @query("train_metrics")
 def train_metrics(spark, d):
     _, _, metrics = ml.train_supervised(_docs_labeled(spark, d), ["n_chars", "lang", "source", "toxic"], "quality",
@@ -452,7 +494,7 @@ _SEL_INPUT = [  # (name, numeric) of the selection input, in order (row_id is th
 
 
 def _selection_sql(target: str = "label", dataset_label: str = "label", max_card: int = 50,
-                   sample_limit: int | None = None) -> str:
+                   sample_limit: int | None = None, generated: bool = False) -> str:
     from ..operators.columns import normalize_name
     from ..operators.selection import RESERVED_TRAINING_COLUMNS, is_identifier, is_label_like, is_raw_text
 
@@ -473,6 +515,8 @@ def _selection_sql(target: str = "label", dataset_label: str = "label", max_card
             static = "reserved_training_column"
         elif c == target:
             static = "target_column"
+        elif generated:
+            static = None
         elif is_label_like(norm) and c not in {target, dataset_label}:
             static = "label_like_column"
         elif is_identifier(norm) and not numeric:
@@ -482,10 +526,11 @@ def _selection_sql(target: str = "label", dataset_label: str = "label", max_card
         if static:
             reasons.append(f"'{static}' AS r{i}")
             continue
-        whens = [f"WHEN n{i} = 0 THEN 'empty_column'", f"WHEN d{i} <= 1 THEN 'constant_column'",
+        stage = "after_generation" if generated else "column"
+        whens = [f"WHEN n{i} = 0 THEN 'empty_{stage}'", f"WHEN d{i} <= 1 THEN 'constant_{stage}'",
                  f"WHEN eqt{i} THEN 'duplicates_target_column'"]
         whens += [f"WHEN r{j} IS NULL AND eq{i}_{j} THEN 'duplicates_feature:{names[j]}'" for j in range(i)]
-        if not numeric:
+        if not numeric and not generated:
             whens.append(f"WHEN t{i} > {max_card} THEN 'high_cardinality:' || CAST(t{i} AS VARCHAR) || '>{max_card}'")
         reasons.append(f"CASE {' '.join(whens)} END AS r{i}")
     rows = " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS \"column\", r{i} IS NULL AS used, r{i} AS reason FROM rs"
@@ -495,8 +540,10 @@ def _selection_sql(target: str = "label", dataset_label: str = "label", max_card
     if sample_limit:
         # the advisor's deterministic sample: the same id permutation as the Spark side
         src += f" ORDER BY {an.pseudo_random_order_sql('row_id')}, row_id LIMIT {int(sample_limit)}"
-    return with_logs("").rstrip() + f", src AS ({src}), agg AS (SELECT {', '.join(aggs)} FROM src), " \
-        f"rs AS (SELECT *, {', '.join(reasons)} FROM agg)\n{rows}"
+    # one step per reason: a reason that names earlier ones would otherwise be expanded over and over
+    steps = "".join(f", rs{i} AS MATERIALIZED (SELECT *, {r} FROM {f'rs{i - 1}' if i else 'agg'})" for i, r in enumerate(reasons))
+    return with_logs("").rstrip() + f", src AS MATERIALIZED ({src}), agg AS MATERIALIZED (SELECT {', '.join(aggs)} FROM src)" \
+        f"{steps}, rs AS MATERIALIZED (SELECT * FROM rs{len(reasons) - 1})\n{rows}"
 
 
 @query("select_features_safe", _selection_sql())
@@ -506,6 +553,13 @@ def select_features_safe(spark, d):
     return selection_frame(df, sel)
 
 
+@query("select_features_generated", _selection_sql(generated=True))
+def select_features_generated(spark, d):
+    """TSL-3: the rules for generated features (no name, text or cardinality rule)."""
+    df = _selection_input(spark, d)
+    return selection_frame(df, select_training_columns(df, None, target="label", rid="row_id", generated=True))
+
+
 @query("feature_matrix", with_logs(
     "SELECT row_id, coalesce(value, 0.0) AS value, " + ", ".join(
         f"CAST(coalesce(protocol, 'missing') = '{v}' AS DOUBLE) AS \"protocol_{v}\"" for v in ["TCP", "icmp", "udp"])
@@ -588,7 +642,126 @@ def advisor_fields(spark, d):
     return round6(out)
 
 
-@query("advisor_handoff")
+def _computed_once(sql: str) -> str:
+    """The shared tables of the advisor SQL, each computed once however often it is referenced."""
+    for name in ("adv", "facts", "sel", "m", "k", "s"):
+        sql = sql.replace(f", {name} AS (", f", {name} AS MATERIALIZED (")
+    return sql
+
+
+def _ranks_sql() -> tuple[str, str, str]:
+    """(CTEs up to ``facts``, SQL of the time points, SQL of the target points) of a column of the selection input."""
+    head, rows = _advisor_sql().rsplit("\n", 1)
+    when = r"(167[89]|16[89]\d|1[789]\d\d|2[01]\d\d|22[0-5]\d|226[0-2])"
+    facts = " UNION ALL ".join(
+        f"SELECT '{c}' AS name, {str(numeric).lower()} AS is_number, {str(c == 'event_time').lower()} AS is_time, "
+        f"(SELECT coalesce(count(*) FILTER (WHERE TRY_CAST(CAST({c} AS VARCHAR) AS TIMESTAMP) IS NOT NULL OR "
+        f"regexp_full_match(CAST({c} AS VARCHAR), '{when}')) / nullif(count({c}), 0), 0) FROM src) AS parsed, t{i} AS card FROM agg"
+        for i, (c, numeric) in enumerate(_SEL_INPUT))
+
+    def hinted(hints):
+        name = "regexp_replace(lower(f.name), '[^a-z0-9]', '', 'g')"
+        return "(" + " OR ".join(f"contains({name}, '{h}')" for h in hints) + ")"
+    times = (f"(3 * CAST({hinted(adv.TIME_NAME_HINTS)} AS INTEGER) + CASE WHEN f.is_time THEN 5 "
+             "WHEN f.parsed >= 0.9 THEN 2 ELSE 0 END)")
+    targets = (f"(3 * CAST({hinted(adv.TRACKING_TARGET_HINTS)} AS INTEGER) + "
+               "CAST(f.is_number OR f.card BETWEEN 2 AND 200 AS INTEGER))")
+    return head + f", adv AS ({rows}), facts AS ({facts})", times, targets
+
+
+def _handoff_sql() -> str:
+    head, times, targets = _ranks_sql()
+
+    def top(points, k, skip):
+        return (f"coalesce((SELECT list(f.name ORDER BY {points} DESC, f.name) FROM facts f WHERE {points} > 0 "
+                f"AND NOT ({skip})), [])[1:{k}]")
+    record = "".join(f" || ', \"{name}\": ' || {value}" for name, value in (
+        ("task_category", "'\"' || kind || '\"'"), ("tracking_type", "'\"' || tracking || '\"'"),
+        ("recommended_group_key", "'\"' || field || '\"'"),
+        ("recommended_time_columns", _json_list("use_times")), ("recommended_target_columns", _json_list("use_targets")),
+        ("recipe_ids", _json_list("recipes")), ("reason_code", "'\"' || reason_code || '\"'")))
+    return head + (
+        f", m AS (SELECT field, reason_code, tracking_type, {top(times, 3, 'f.name = a.field')} AS times FROM adv a "
+        "WHERE recommended_action = 'move_to_feature_engineering'), k AS (SELECT *, CASE WHEN tracking_type IS NOT NULL "
+        "AND len(times) > 0 THEN 'behavior_tracking' WHEN reason_code = 'raw_text_column' THEN 'text_complexity' "
+        "WHEN reason_code = 'high_cardinality' THEN 'high_cardinality' END AS kind FROM m), r AS (SELECT *, "
+        "CASE kind WHEN 'text_complexity' THEN 'raw_text_column' ELSE kind END AS issue, "
+        "CASE kind WHEN 'behavior_tracking' THEN tracking_type ELSE '' END AS tracking, "
+        "CASE kind WHEN 'text_complexity' THEN [] ELSE times END AS use_times, CASE kind WHEN 'text_complexity' THEN [] "
+        f"WHEN 'behavior_tracking' THEN {top(targets, 5, 'f.name = k.field OR f.name = k.times[1]')} "
+        f"ELSE {top(targets, 5, 'f.name = k.field')} END AS use_targets, CASE kind WHEN 'text_complexity' THEN "
+        "['text_complexity_core'] WHEN 'high_cardinality' THEN ['high_cardinality_frequency', 'high_cardinality_window'] "
+        "ELSE ['behavior_tracking_base', CASE tracking_type WHEN 'flow' THEN 'behavior_tracking_sequence' "
+        "ELSE 'behavior_tracking_window' END] END AS recipes FROM k WHERE kind IS NOT NULL)\n"
+        f"SELECT field, '{{\"issue_type\": \"' || issue || '\"'{record} || '}}' AS feature_handoff FROM r")
+
+
+def _steps_sql() -> str:
+    head, rows = _advisor_sql().rsplit("\n", 1)
+    numeric = ", ".join(f"'{c}'" for c, number in _SEL_INPUT if number)
+
+    def fields(where):
+        return f"coalesce((SELECT list(field ORDER BY position) FROM adv WHERE {where}), [])"
+    kinds = [("fill-null-numeric", "advisor_fill_null_numeric", "fill_null",
+              fields(f"recommended_action = 'fill_null' AND field IN ({numeric})"), '{"value": "0"}'),
+             ("fill-null-text", "advisor_fill_null_text", "fill_null",
+              fields(f"recommended_action = 'fill_null' AND field NOT IN ({numeric})"), '{"value": "missing"}'),
+             ("cast-numeric", "advisor_cast_numeric", "cast_type", fields("recommended_action = 'cast_numeric'"),
+              '{"target_type": "float"}'),
+             ("cast-datetime", "advisor_cast_datetime", "cast_type", fields("recommended_action = 'cast_datetime'"),
+              '{"target_type": "datetime"}'),
+             ("exclude-columns", "advisor_select_columns", "select_columns",
+              "CASE WHEN EXISTS (SELECT 1 FROM adv WHERE recommended_action = 'exclude_column') THEN "
+              + fields("recommended_action <> 'exclude_column'") + " ELSE [] END", "{}")]
+    table_sql = " UNION ALL ".join(f"SELECT '{rec}' AS recommendation_id, '{sid}' AS sid, '{step}' AS kind, {cols} AS cols, "
+                                   f"'{params}' AS params" for rec, sid, step, cols, params in kinds)
+    return head + (f", adv AS ({rows}), s AS ({table_sql})\nSELECT recommendation_id, '{{\"step_id\": \"' || sid || "
+                   "'\", \"step_type\": \"' || kind || '\", \"enabled\": true, \"input_selector\": {\"mode\": \"explicit\", "
+                   f"\"columns\": ' || {_json_list('cols')} || '}}, \"params\": ' || params || "
+                   "', \"output_mode\": {\"mode\": \"inplace\"}}' AS step FROM s WHERE len(cols) > 0")
+
+
+def _rankings_sql() -> str:
+    head, times, targets = _ranks_sql()
+    parts = [f"SELECT * FROM (SELECT '{kind}' AS kind, CAST(row_number() OVER (ORDER BY {points} DESC, f.name) AS INTEGER) "
+             f"AS position, f.name AS field FROM facts f WHERE {points} > 0 AND f.name <> 'user_id') WHERE position <= {k}"
+             for kind, points, k in (("time", times, 3), ("target", targets, 5))]
+    return head + "\n" + " UNION ALL ".join(parts)
+
+
+def _summary_sql() -> str:
+    head, rows = _advisor_sql().rsplit("\n", 1)
+    risky = "recommended_action IN ('drop_from_training', 'exclude_column', 'move_to_feature_engineering')"
+    used = " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS name, r{i} IS NULL AS used FROM rs"
+                              for i, (c, _) in enumerate(_SEL_INPUT))
+    return head + (f", adv AS ({rows}), sel AS ({used})\nSELECT count(*) FILTER (WHERE recommended_action = 'keep') "
+                   f"AS direct_trainable_fields, count(*) FILTER (WHERE {risky}) AS high_risk_fields, count(*) FILTER "
+                   f"(WHERE recommended_action <> 'keep' AND NOT {risky}) AS pending_fields, count(*) AS total_fields, "
+                   "'label' AS target_column, (SELECT string_agg(name, ',' ORDER BY position) FROM sel WHERE used) "
+                   "AS suggested_training_columns, (SELECT string_agg(name, ',' ORDER BY position) FROM sel WHERE NOT used) "
+                   "AS excluded_training_columns FROM adv")
+
+
+@query("advisor_rankings", _computed_once(_rankings_sql()))
+def advisor_rankings(spark, d):
+    """ADV-5/6: the best time and target columns to track users by."""
+    df = _selection_input(spark, d)
+    facts = adv.field_facts(df, [c for c, _ in _SEL_INPUT])
+    ranked = [("time", adv.find_time_columns(facts, "user_id")), ("target", adv.find_target_columns(facts, {"user_id"}))]
+    return spark.createDataFrame([(kind, k, c) for kind, names in ranked for k, c in enumerate(names, 1)],
+                                 "kind string, position int, field string")
+
+
+@query("advisor_summary", _computed_once(_summary_sql()))
+def advisor_summary(spark, d):
+    """ADV-10: the summary over all fields."""
+    res = _advice(spark, d)["summary"]
+    row = [",".join(v) if isinstance(v, list) else v for v in res.values()]
+    return spark.createDataFrame([row], ", ".join(
+        f"{k} {'long' if isinstance(v, int) else 'string'}" for k, v in res.items()))
+
+
+@query("advisor_handoff", _computed_once(_handoff_sql()))
 def advisor_handoff(spark, d):
     res = _advice(spark, d)
     rows = [(a["field"], json.dumps(a["feature_handoff"], ensure_ascii=False)) for a in res["field_advice"]
@@ -603,7 +776,7 @@ def advisor_groups(spark, d):
     return spark.createDataFrame(rows, "issue_type string, fields string, recommended_action string")
 
 
-@query("advisor_steps")
+@query("advisor_steps", _computed_once(_steps_sql()))
 def advisor_steps(spark, d):
     res = _advice(spark, d)
     steps = [(s_["recommendation_id"], json.dumps(s_["step"])) for s_ in res["recommended_steps"]]
@@ -630,10 +803,11 @@ def lof_scores(spark, d):
     return round6(out.select("vec_id", "anomaly_score"))
 
 
-@query("lof_labels")
+@query("lof_labels", "SELECT *, CASE WHEN anomaly_score > quantile_disc(anomaly_score, 0.9) OVER () THEN 'anomaly' "
+                     f"ELSE 'normal' END AS predicted_label FROM ({_LOF_SQL})")
 def lof_labels(spark, d):
     from ..ml.lof import local_outlier_factor
-    return local_outlier_factor(table(spark, d, "embeddings"), "vec_id", "embedding", 20)
+    return round6(local_outlier_factor(table(spark, d, "embeddings"), "vec_id", "embedding", 20))
 
 
 @query("ocsvm_scores")

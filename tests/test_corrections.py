@@ -161,3 +161,40 @@ def test_integer_equality_reaches_the_scan(spark, tmp_path):
     kept = df.where(filter_condition(F.col("id"), "eq", "4", df.schema["id"].dataType))
     assert kept.count() == 1 and "EqualTo(id,4)" in kept._jdf.queryExecution().toString()
     assert df.where(filter_condition(F.col("id"), "eq", "04", df.schema["id"].dataType)).count() == 0
+
+
+def test_date_texts(spark):
+    """Each text is read on its own; numbers that cannot be years are no dates."""
+    from pyspark.sql import functions as F
+
+    from logweave.functions.timefn import to_timestamp_any
+    day, clock = "2024-01-05 00:00:00", "2024-01-05 10:11:12"
+    want = {"2024-01-05": day, "2024-1-5": day, "20240105": day, "2024.01.05": day, "01/05/2024": day, "05-Jan-2024": day,
+            "5 January 2024": day, "January 5, 2024": day, "20240105101112": clock, "20240105T101112": clock,
+            "Jan 5 2024 10:11:12": clock, "Fri Jan  5 10:11:12 2024": clock, "01/05/2024 10:11:12 AM": clock,
+            "Fri, 05 Jan 2024 12:11:12 +0200": clock, "2024/01/05 10:11:12": clock, "13/01/2024": "2024-01-13 00:00:00",
+            "2024": "2024-01-01 00:00:00", "404": None, "8080": None, "65535": None, "1704067200": None, "12.5": None,
+            "v1999x": None, "2024-13-45": None, "may": None, "": None, None: None}
+    rows = spark.createDataFrame([(t,) for t in want], "t string")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    got = {r.t: r.at for r in rows.select("t", to_timestamp_any(F.col("t")).cast("string").alias("at")).collect()}
+    assert got == want
+
+
+def test_explanation_payload_and_stored_classes(spark):
+    from logweave.operators.analysis import explanation_payload
+    from logweave.plans.lineage import resolve_stored_classes
+    pred = spark.createDataFrame([(i, float(i), "anomaly" if i > 2 else "normal") for i in range(5)],
+                                 "sample_index long, anomaly_score double, predicted_label string")
+    text = explanation_payload(pred, {"mode": "x"}, 2).first().payload
+    assert text.startswith("mode: x\nTop rows: [") and '"sample_index":4' in text and '"sample_index":2' not in text
+    got = resolve_stored_classes(["a", "b", "c"], {"training_candidate_columns": ["b", "gone"], "business_context_columns": ["a"]})
+    assert got == {"training_candidate_columns": ["b"], "business_context_columns": ["a"], "analysis_retained_columns": ["c"]}
+
+
+def test_projection_axes_have_a_fixed_sign(spark):
+    from logweave.operators.analysis import embedding_points
+    rows = [(i, float(i), -2.0 * i + (i % 3)) for i in range(30)]
+    pred = spark.createDataFrame(rows, "sample_index long, a double, b double")
+    pts = {r.sample_index: r for r in embedding_points(pred, ["a", "b"]).collect()}
+    assert pts[0].x > pts[29].x  # b has the largest loading on the first axis and falls
