@@ -4,8 +4,9 @@ Candidate strings are the runs of 20 or more characters of ``[A-Za-z0-9+/_=-]``
 A window of 20 characters slides over a candidate; the counts per character are updated by the one that
 enters and the one that leaves, and with them S = sum c * log2 c, so that the window's entropy is
 log2 20 - S / 20.  A candidate is a secret from the first to the last window that reaches the limit of its
-character class (hexadecimal digits; letters and digits of one case; mixed).  The allow-list suppresses
-identifiers, placeholders and paths, and what a fixed pattern has already found.
+character class (hexadecimal digits; letters and digits of one case; mixed).  The allow-list suppresses whole
+values only: identifiers and paths of plain words, UUIDs, and values without a window that reaches the limit and
+holds no part of a placeholder word.  What a fixed pattern has already found is suppressed too.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ WINDOW = 20
 CLASSES = {"hex": ("0123456789abcdef", 2.9),
            "single": ("0123456789abcdefghijklmnopqrstuvwxyz+/_=-", 3.5),
            "mixed": ("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-", 3.7)}
-ALLOWED = [r"(?i)example|placeholder|changeme|dummy|sample|xxxxx|00000|12345",
-           r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$",
-           r"^[-=_+/]|[-=_+/]{3,}",
-           r"^([A-Za-z]+[-_/+=])+[A-Za-z]*[0-9]{0,4}$"]
+#: Shapes of whole values after leading separators; possessive, so that long values need no backtracking or stack.
+ALLOWED = [r"(?i)^[-=_+/]*+[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$",
+           r"^[-=_+/]*+(?:[A-Za-z]++[-_/+=]++)++[A-Za-z]*+[0-9]{0,4}$"]
+PLACEHOLDER = r"(?i)example|placeholder|changeme|dummy|sample|xxxxx|00000|12345"
 
 
 def _literal(pattern: str) -> str:
@@ -99,9 +100,15 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                            f"WHEN m rlike '[a-z]' AND m rlike '[A-Z]' THEN 'mixed' ELSE 'single' END AS class)), "
                            f"r -> {ok.replace('m rlike', 'r.m rlike')} AND NOT exists(base, b -> b.start < r.end AND r.start < b.end)) "
                            f"END AS runs")
-    case = "".join(f" WHEN r.class = '{c}' THEN " + window_hits("r.m" if c == "mixed" else "lower(r.m)", a, h)
-                   for c, (a, h) in CLASSES.items())
-    rows = rows.selectExpr("_all", "base", f"CASE WHEN size(runs) > 0 THEN transform(runs, r -> struct(r.start AS at, CASE{case} END AS w)) "
+
+    def hits(m: str) -> str:
+        return "CASE" + "".join(f" WHEN r.class = '{c}' THEN " + window_hits(m if c == "mixed" else f"lower({m})", a, h)
+                                for c, (a, h) in CLASSES.items()) + " END"
+    # a placeholder word excuses the windows that touch it, not the rest of the run
+    rows = rows.selectExpr("_all", "base", f"filter(runs, r -> NOT r.m rlike {_literal(PLACEHOLDER)} OR exists("
+                                           f"filter(split(r.m, {_literal(PLACEHOLDER)}, -1), p -> length(p) >= {WINDOW}), "
+                                           f"p -> ({hits('p')}).last >= 0)) AS runs")
+    rows = rows.selectExpr("_all", "base", f"CASE WHEN size(runs) > 0 THEN transform(runs, r -> struct(r.start AS at, {hits('r.m')} AS w)) "
                                            f"ELSE array() END AS hits")
     extra = (f"transform(filter(hits, h -> h.w.last >= 0), h -> struct(h.at + h.w.first AS start, "
              f"{KINDS.index('entropy')} AS rank, 'entropy' AS kind, h.at + h.w.last AS end))")

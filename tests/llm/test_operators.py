@@ -288,6 +288,36 @@ def test_secret_scan(spark, docs, empty):
     assert secret_scan.span_digest(secret_scan.secret_spans(empty)).count() == 0
 
 
+def brute_entropy(run):
+    """(first, end) of the windows of a run that reach the limit of its class, or None."""
+    hexa = re.fullmatch("[0-9a-f]+|[0-9A-F]+", run)
+    mixed = re.search("[a-z]", run) and re.search("[A-Z]", run)
+    limit = 2.9 if hexa else 3.7 if mixed else 3.5
+    hits = [k for k in range(len(run) - 19) if entropy(run[k:k + 20]) >= limit - 1e-9]
+    return (hits[0], hits[-1] + 20) if hits else None
+
+
+def entropy_spans(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(secret_scan.span_digest(secret_scan.secret_spans(df)))
+    return [[tuple(map(int, x.split(":")[1:])) for x in got[k].spans.split(",") if x.startswith("entropy")] for k in range(len(texts))]
+
+
+def test_allow_list_keeps_random_secrets(spark):
+    """Separators at the start or in a row and placeholder words do not hide a secret; spans equal the unfiltered brute force."""
+    rng = random.Random(17)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    shapes = [re.compile(p) for p in secret_scan.ALLOWED]
+    keys = ["".join(rng.choices(base64, k=n)) for n in [40] * 300 + [2000] * 6 + [8000] * 2]
+    keys += ["/+-" + keys[0], keys[1][:20] + "+/=" + keys[1][20:], "dummy" + keys[2], keys[3] + "12345" + keys[4], "EXAMPLE/" + keys[5]]
+    keys = [k for k in keys if re.search("[0-9]", k) and not re.search(r"AKIA|[0-9a-f]{24}", k) and not any(p.search(k) for p in shapes)]
+    assert len(keys) > 300
+    assert entropy_spans(spark, keys) == [[brute_entropy(k)] for k in keys]
+    allowed = ["123e4567-e89b-12d3-a456-426614174000", "/usr/local/lib/some/python3", "--word-joined_identifier-long12", "your-example-key-12345-dummy",
+               "a/" * 30_000 + "b1"]
+    assert entropy_spans(spark, allowed) == [[] for _ in allowed]
+
+
 @pytest.mark.parametrize("text, alphabet, limit", [("0123456789abcdef0123aaaaaaaaaaaaaaaaaaaaaaaa", "0123456789abcdef", 3.0),
                                                    ("aaaaaaaaaaaaaaaaaaaaaaaa", "0123456789abcdef", 1.0),
                                                    ("00112233445566778899aabb", "0123456789abcdef", 3.2)])
