@@ -6,7 +6,8 @@ enters and the one that leaves, and with them S = sum c * log2 c, so that the wi
 log2 20 - S / 20.  A candidate is a secret from the first to the last window that reaches the limit of its
 character class (hexadecimal digits; letters and digits of one case; mixed).  The allow-list suppresses whole
 values only: identifiers and paths of plain words, UUIDs, and values without a window that reaches the limit and
-holds no part of a placeholder word.  What a fixed pattern has already found is suppressed too.
+holds no part of a placeholder word.  What a fixed pattern has found is cut out of a candidate, and each
+remaining piece of 20 or more characters is a candidate of its own.
 """
 
 from __future__ import annotations
@@ -93,13 +94,23 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 f"'{kind}' AS kind, e AS end)), x -> x.end - x.start >= {least}), array())")
     rows = rows.selectExpr("*", f"concat({spans('assign', 'assign_v', 6)}, {spans('access', 'access_m', 20)}, "
                                 f"{spans('hex', 'hex_m', 24)}) AS base")
-    ok = " AND ".join([usable, *(f"NOT m rlike {_literal(p)}" for p in ALLOWED)])
-    rows = rows.selectExpr("_all", "t", "base",
-                           f"CASE WHEN run_e IS NOT NULL THEN filter(transform(run_m, (m, k) -> struct(m, run_e[k] - length(m) AS start, "
-                           f"run_e[k] AS end, CASE WHEN m rlike '^[0-9a-f]+$' OR m rlike '^[0-9A-F]+$' THEN 'hex' "
-                           f"WHEN m rlike '[a-z]' AND m rlike '[A-Z]' THEN 'mixed' ELSE 'single' END AS class)), "
-                           f"r -> {ok.replace('m rlike', 'r.m rlike')} AND NOT exists(base, b -> b.start < r.end AND r.start < b.end)) "
-                           f"END AS runs")
+    usable = usable.replace("m rlike", "r.m rlike")
+    rows = rows.selectExpr("_all", "t", "base", f"CASE WHEN run_e IS NOT NULL THEN filter(transform(run_m, (m, k) -> struct(m, "
+                                                f"run_e[k] - length(m) AS start, run_e[k] AS end)), r -> {usable}) END AS runs")
+    # the gaps between the base spans of a run: from the end of each (or of an earlier, longer one) to the start of the next
+    overlap = "filter(base, b -> b.start < r.end AND r.start < b.end)"
+    gaps = (f"aggregate(sort_array({overlap}), struct(r.start AS at, cast(array() AS array<struct<a:bigint,b:bigint>>) AS out), "
+            f"(z, b) -> struct(greatest(z.at, b.end) AS at, CASE WHEN b.start - z.at >= {WINDOW} "
+            f"THEN array_append(z.out, struct(z.at AS a, b.start AS b)) ELSE z.out END AS out), "
+            f"z -> CASE WHEN r.end - z.at >= {WINDOW} THEN array_append(z.out, struct(z.at AS a, r.end AS b)) ELSE z.out END)")
+    pieces = (f"flatten(transform(runs, r -> CASE WHEN NOT exists(base, b -> b.start < r.end AND r.start < b.end) THEN array(r) ELSE "
+              f"filter(transform({gaps}, g -> struct(substring(r.m, int(g.a - r.start) + 1, int(g.b - g.a)) AS m, "
+              f"g.a AS start, g.b AS end)), r -> {usable}) END))")
+    rows = rows.selectExpr("_all", "base", f"CASE WHEN size(base) > 0 AND size(runs) > 0 THEN {pieces} ELSE runs END AS runs")
+    ok = " AND ".join(f"NOT r.m rlike {_literal(p)}" for p in ALLOWED)
+    rows = rows.selectExpr("_all", "base", f"transform(filter(runs, r -> {ok}), r -> struct(r.m, r.start, r.end, "
+                                           f"CASE WHEN r.m rlike '^[0-9a-f]+$' OR r.m rlike '^[0-9A-F]+$' THEN 'hex' "
+                                           f"WHEN r.m rlike '[a-z]' AND r.m rlike '[A-Z]' THEN 'mixed' ELSE 'single' END AS class)) AS runs")
 
     def hits(m: str) -> str:
         return "CASE" + "".join(f" WHEN r.class = '{c}' THEN " + window_hits(m if c == "mixed" else f"lower({m})", a, h)
