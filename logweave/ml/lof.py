@@ -4,8 +4,9 @@
    cut along the distance to its pivot into blocks of about ``BLOCK`` points, each with a range of such distances.
 2. Inside its block every point finds its k nearest; the k-th distance r bounds the true one.
 3. By the triangle inequality no point of a block can be nearer to x than the gap between d(x, pivot) and
-   the block's range.  A point asks only the blocks whose gap is at most r; a task holds one block and streams
-   the points that ask, and returns at most k neighbours for each: pairs are never written.
+   the block's range.  A point asks only the blocks whose gap is at most r: a join of points and blocks by cell,
+   with the range as condition.  The points that ask one block are cut into slices of about ``SLICE``, each with
+   a copy of the block; a call holds one block and one slice and returns at most k neighbours for each point.
 4. The merged lists give k-distance, reachability, local density and LOF as joins and averages.
 
 The result is exact.  Where distances concentrate (many dimensions, no clusters) the gaps prune little and
@@ -26,6 +27,8 @@ from ..session import reliable_checkpoint
 
 
 PIVOTS, BLOCK = 64, 512
+#: Points that ask one block in one call, and parts into which the points of a cell are dealt to find their blocks.
+SLICE, SALTS = 4096, 32
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -56,19 +59,14 @@ def _place(pivots: np.ndarray):
     return run
 
 
-def _ask(pivots: np.ndarray, blocks: np.ndarray, k: int):
-    """Rows of one block: its own nearest lists, then the blocks each point has to ask."""
+def _radii(pivots: np.ndarray, k: int):
+    """Rows of one block: the bound of the k-th distance, from its own nearest lists, and the distances to all pivots."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, xid = np.stack(pdf["x"].to_numpy()), pdf["rid"].to_numpy()
-        own = int(pdf["block"].iloc[0])
         d, _ = _nearest(x, xid, x, xid, k)
         r = d[:, -1] if d.shape[1] >= k else np.full(len(x), np.inf)
-        to_pivot = np.sqrt(((x[:, None, :] - pivots[None, :, :]) ** 2).sum(-1))[:, blocks[:, 1].astype(int)]
-        gap = np.maximum(np.maximum(to_pivot - blocks[:, 3], blocks[:, 2] - to_pivot), 0)
-        asks = gap <= r[:, None] * (1 + 1e-12) + 1e-12
-        asks[:, blocks[:, 0] == own] = True
-        at, to = np.nonzero(asks)
-        return pd.DataFrame({"rid": xid[at], "x": list(x[at]), "to": blocks[to, 0].astype(np.int64)})
+        to_pivot = np.sqrt(((x[:, None, :] - pivots[None, :, :]) ** 2).sum(-1))
+        return pd.DataFrame({"rid": xid, "own": pdf["block"].to_numpy(), "r": r, "to_pivot": list(to_pivot)})
     return run
 
 
@@ -87,7 +85,9 @@ def _answer(k: int):
 
 
 def _requests(points: DataFrame, rid: str, vec: str, k: int, num_partitions: int | None = None):
-    """(blocked points, requests, number of points): which blocks each point has to look at."""
+    """(blocks in copies, requests, number of points, number of blocks): which blocks each point has to look at.
+
+    Requests are rows (rid, x, to, slice); each slice of a block's requests has its copy of the block."""
     base = points.select(F.col(rid).cast("long").alias("rid"), F.col(vec).cast("array<double>").alias("x"))
     base = reliable_checkpoint(base.repartition(num_partitions) if num_partitions else base)
     n = base.count()
@@ -104,24 +104,34 @@ def _requests(points: DataFrame, rid: str, vec: str, k: int, num_partitions: int
     blocked = placed.join(cuts, "cell").select("rid", "x", "cell", "d", (
         F.col("cell").cast("long") * (1 << 40) + ring.cast("long") * (1 << 12) + spread).alias("block"))
     blocked = reliable_checkpoint(blocked)
-    blocks = blocked.groupBy("block").agg(F.first("cell").alias("cell"), F.min("d").alias("lo"), F.max("d").alias("hi")).collect()
-    table = np.array([(r["block"], r["cell"], r["lo"], r["hi"]) for r in blocks], dtype=float)
-    requests = blocked.select("rid", "x", "block").groupBy("block").applyInPandas(
-        _ask(pivots, table, k), "rid long, x array<double>, to long")
-    return blocked, requests, n, len(table)
+    blocks = blocked.groupBy("block").agg(F.first("cell").alias("cell"), F.min("d").alias("lo"), F.max("d").alias("hi"))
+    radii = blocked.select("rid", "x", "block").groupBy("block").applyInPandas(
+        _radii(pivots, k), "rid long, own long, r double, to_pivot array<double>")
+    asking = radii.select("rid", "own", "r", F.posexplode("to_pivot").alias("cell", "at")) \
+        .withColumn("salt", F.expr(f"int(pmod(xxhash64(rid), {SALTS}))"))
+    asked = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    gap = F.greatest(F.col("at") - F.col("hi"), F.col("lo") - F.col("at"), F.lit(0.0))
+    pairs = reliable_checkpoint(asking.join(asked, ["cell", "salt"]).where(
+        (gap <= F.col("r") * (1 + 1e-12) + 1e-12) | (F.col("block") == F.col("own"))).select("rid", F.col("block").alias("to")))
+    slices = pairs.groupBy("to").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+    requests = pairs.join(slices, "to").withColumn("slice", F.expr("int(pmod(xxhash64(rid), slices))")) \
+        .join(blocked.select("rid", "x"), "rid").select("rid", "x", "to", "slice")
+    # both sides of the later cogroup come from ``blocked``: fresh columns keep them apart
+    copies = blocked.join(slices, blocked["block"] == slices["to"]).select(
+        F.col("rid").alias("rid"), F.col("x").alias("x"), F.col("block").alias("to"),
+        F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    return copies, requests, n, blocks.count()
 
 
 def knn(points: DataFrame, rid: str, vec: str, k: int, num_partitions: int | None = None) -> DataFrame:
-    """Exact k nearest neighbours (self excluded): rows (rid, nbr, dist, rank); ties by id.
-
-    The table of blocks (a few numbers for every ``BLOCK`` points) is on the driver and in each task."""
+    """Exact k nearest neighbours (self excluded): rows (rid, nbr, dist, rank); ties by id."""
     spark = points.sparkSession
     n = points.count()
     kk = int(min(k, max(n - 1, 0)))
     if kk == 0:
         return spark.createDataFrame([], "rid long, nbr long, dist double, rank int")
-    blocked, requests, _, _ = _requests(points, rid, vec, kk, num_partitions)
-    found = requests.groupBy("to").cogroup(blocked.select("block", "rid", "x").groupBy("block")).applyInPandas(
+    copies, requests, _, _ = _requests(points, rid, vec, kk, num_partitions)
+    found = requests.groupBy("to", "slice").cogroup(copies.groupBy("to", "slice")).applyInPandas(
         _answer(kk), "rid long, nbr long, dist double")
     w_rank = Window.partitionBy("rid").orderBy("dist", "nbr")
     return found.withColumn("rank", F.row_number().over(w_rank)).where(F.col("rank") <= kk)

@@ -148,6 +148,25 @@ def test_knn_is_exact_and_prunes(spark, clusters):
         assert lof.examined_share(df, "id", "v", 5) < 0.5
 
 
+def test_knn_slices_are_bounded(spark, monkeypatch):
+    """Where every block is asked by every point, a call still gets one slice of the asking points; the result is exact."""
+    import numpy as np
+
+    from logweave.ml import lof
+    monkeypatch.setattr(lof, "SLICE", 100)
+    x = np.random.default_rng(4).normal(size=(1500, 24))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    copies, requests, n, blocks = lof._requests(df, "id", "v", 5)
+    sizes = [r["count"] for r in requests.groupBy("to", "slice").count().collect()]
+    assert n == 1500 and sum(sizes) > 0.95 * 1500 * blocks and max(sizes) < 200
+    assert max(r["count"] for r in copies.groupBy("to", "slice").count().collect()) <= 2 * lof.BLOCK
+    got = {(r.rid, r["rank"]): r.nbr for r in lof.knn(df, "id", "v", 5).collect()}
+    for i in range(0, 1500, 61):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        assert [got[i, k] for k in range(1, 6)] == np.lexsort((np.arange(1500), d))[:5].tolist()
+
+
 def test_access_line_with_the_separator(spark):
     line = '1.2.3.4 - - [10/Oct/2000:13:55:36 +0000] "GET /a\u0001b HTTP/1.0" 200 5 "r\u0001" "ua"'
     row = rd.parse_nginx(spark.createDataFrame([(line,)], "line string")).first()
