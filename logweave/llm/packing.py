@@ -60,7 +60,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
 
 def _pieces(spec, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokenizer_coder(spec.value)
+        coder = tokenizer_coder(spec.value, added_as_text=False)
         for batch in slices(batches, "text"):
             ids, offsets = coder(*flat_texts(batch.column(1)))
             out: list[tuple] = []

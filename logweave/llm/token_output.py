@@ -155,7 +155,7 @@ def _write_shards(spec, folder: str, end_id: int, bits: bool, block: int):
         from pyspark import TaskContext
         part, shard = TaskContext.get().partitionId(), 0
         store, path = open_folder(folder)
-        coder = tokenizer_coder(spec.value)
+        coder = tokenizer_coder(spec.value, added_as_text=False)
         writer = name = None
 
         def close():

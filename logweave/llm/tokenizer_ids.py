@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 from .textops import ChunkCoder, expand, ragged
@@ -9,28 +11,40 @@ from .textops import ChunkCoder, expand, ragged
 #: Chunks coded as one text, with separators that come out as one known id between them.
 JOINED = 512
 SEPARATORS = ["\n", " \x00 "]
-_CODERS: dict[str, ChunkCoder] = {}
+_CODERS: dict[tuple[str, bool], ChunkCoder] = {}
 
 
-def tokenizer_coder(spec: str) -> ChunkCoder:
+def tokenizer_coder(spec: str, added_as_text: bool = True) -> ChunkCoder:
     """Chunk coder for a byte-level tokenizer given as its JSON text (one per worker process).
 
-    Coding chunk by chunk (``textops.word_chunks``) equals coding the whole text.  Strings that look like special tokens are ordinary text.
+    Coding chunk by chunk (``textops.word_chunks``) equals coding the whole text.  Strings of added tokens (such as an end-of-text
+    marker) get the added id, as by the library's default, or are ordinary text (``added_as_text``).
     """
-    if spec not in _CODERS:
+    if (spec, added_as_text) not in _CODERS:
         _CODERS.clear()
-        _CODERS[spec] = ChunkCoder(_encoder(spec))
-    return _CODERS[spec]
+        _CODERS[spec, added_as_text] = ChunkCoder(_encoder(spec, added_as_text))
+    return _CODERS[spec, added_as_text]
+
+
+def _added(tokenizer) -> re.Pattern | None:
+    """Pattern of the added tokens' strings; None if there is none."""
+    tokens = tokenizer.get_added_tokens_decoder().values()
+    for t in tokens:
+        # chunks are cut at white space and stops only, so that a cut cannot touch any other added token
+        if t.lstrip or t.rstrip or t.single_word or t.normalized or re.search(r"[\s.,;:!?]", t.content):
+            raise ValueError(f"added token {t.content!r} can lie across a cut between chunks")
+    return re.compile(b"|".join(re.escape(t.content.encode()) for t in tokens)) if tokens else None
 
 
-def _encoder(spec: str):
+def _encoder(spec: str, added_as_text: bool):
     import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_str(spec)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = added_as_text
+    added = None if added_as_text else _added(tokenizer)
 
     def code(texts: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -47,7 +61,8 @@ def _encoder(spec: str):
     def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         plain, single = [], []
         for k, c in enumerate(chunks):
-            (plain if mark is not None and barred not in c and b" " not in c[1:] else single).append(k)
+            joins = mark is not None and barred not in c and b" " not in c[1:] and not (added and added.search(c))
+            (plain if joins else single).append(k)
         order, parts, counts = [], [], []
         for at in range(0, len(plain), JOINED):
             group = plain[at:at + JOINED]

@@ -154,6 +154,28 @@ def test_chunked_ids_equal_the_library(path):
         [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORDS])
+def test_added_tokens_equal_the_library_default(path):
+    import pyarrow as pa
+    rng = random.Random(16)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext", "|>", " ", "\n", ".", "a", "B.", "'s", "é", "\u0301", "　", "\x00", "1"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(4000)] + ["a <|endoftext|> b"]
+    ids, at = tokenizer_coder(read_spec(path), added_as_text=False)(*flat_texts(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == \
+        [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_operators_code_added_tokens_as_the_library(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>.\n<|startoftext|> it's", "plain"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for path, end, got in ((BYTE, 0, by_id(token_output.token_files(df, read_spec(BYTE), end_id=0))),
+                           (WORDS, 1, by_id(packing.pack_documents(df, read_spec(WORDS))))):
+        plain = Tokenizer.from_file(path)
+        for k, text in enumerate(texts):
+            ids = np.array(plain.encode(text, add_special_tokens=False).ids + [end], "<u4")
+            assert got[k].ids_crc32 == zlib.crc32(ids.tobytes())
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_planes_round_trip(bits):
     rng = np.random.default_rng(2)
