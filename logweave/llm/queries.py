@@ -7,11 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe_tree import code_digest, decode_ids, encode_texts
+from .conversation_repair import damage, repair_digest
 from .embedding_dedup import near_duplicate_vectors
 from .language_id import identify_languages
 from .line_frequency import line_frequency
 from .minhash_dedup import near_duplicates
 from .packing import pack_documents
+from .periodic_runs import periodic_runs, plant_periods, run_digest
 from .quality_qda import quality_scores
 from .secret_scan import secret_spans, span_digest
 from .surrogates import replace_entities
@@ -86,3 +89,20 @@ def op9_unigram_pieces(spark, sf_dir):
 @query
 def op10_minhash_index(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
+
+
+@query
+def op11_bpe_tree(spark, sf_dir):
+    spec = read_spec(public_tokenizers.path("byte_bpe_50k.json"))
+    return code_digest(decode_ids(encode_texts(table(spark, sf_dir, "documents"), spec), spec))
+
+
+@query
+def op12_periodic_runs(spark, sf_dir):
+    return run_digest(periodic_runs(plant_periods(table(spark, sf_dir, "documents"))))
+
+
+@query
+def op13_conversation_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return repair_digest(rows, damage(rows))
