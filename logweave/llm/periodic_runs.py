@@ -16,6 +16,7 @@ that a run's fragments always touch.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -276,18 +277,29 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return short.unionByName(joined).withColumnRenamed("id", id_col)
 
 
+def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        texts = batch.column(1).to_pylist()
+        for k, key in enumerate(batch.column(0).to_pylist()):
+            h = zlib.crc32(str(key).encode())
+            if key is None or h % 10 or not (own := (texts[k] or "").encode().split()):
+                continue
+            n, g = len(own), h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            root = own[a:a + p]
+            texts[k] = b" ".join(own[:a] + (root * (1 + (n - a) // p))[:n - a]).decode()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
+
+
 def plant_periods(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text) with periodic endings in the documents whose crc32 h of the decimal id ends in 0 (a null id: none).
 
     With g = h div 10, n words, a = g mod n and p = 1 + (n - a) div (3 + g mod 8), word i >= a becomes word
     a + (i - a) mod p; the new text is the words joined by one space."""
-    out = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")) \
-        .withColumn("h", F.crc32(F.col(id_col).cast("long").cast("string")))
-    out = out.withColumn("w", F.expr(r"CASE WHEN h % 10 = 0 THEN filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '') END")) \
-        .withColumn("a", F.expr("CASE WHEN size(w) > 0 THEN int((h div 10) % size(w)) END")) \
-        .withColumn("p", F.expr("int(1 + (size(w) - a) div (3 + (h div 10) % 8))"))
-    text = F.expr("CASE WHEN a IS NULL THEN text ELSE array_join(transform(w, (x, i) -> CASE WHEN i < a THEN x ELSE w[a + (i - a) % p] END), ' ') END")
-    return out.select(F.col(id_col), text.alias(text_col))
+    ship_package(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(_plant, "id long, text string").toDF(id_col, text_col)
 
 
 def run_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
