@@ -18,6 +18,7 @@ Strings of added tokens (such as an end-of-text marker) cut a text first, as in
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -49,8 +50,32 @@ def _byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class TreeCoder:
-    """Leaves, joins and decoding with one tokenizer file (its JSON text)."""
+class TokenBytes:
+    """The bytes of every token of a tokenizer file (its JSON text), without the tokenizer itself."""
+
+    def __init__(self, spec: str):
+        parts = json.loads(spec)
+        names = parts["model"]["vocab"] | {a["content"]: a["id"] for a in parts["added_tokens"]}
+        chars = _byte_chars()
+        self.text = [""] * (max(names.values(), default=-1) + 1)
+        for text, k in names.items():
+            self.text[k] = text
+        tokens = [bytes(chars[c] for c in t) if all(c in chars for c in t) else t.encode() for t in self.text]
+        self.bytes, self.lengths = ragged(tokens)
+        self.bytes, self.offsets = self.bytes.astype(np.uint8), np.concatenate([[0], np.cumsum(self.lengths)])
+
+    def raw(self, ids: np.ndarray) -> bytes:
+        """Bytes of the tokens; ids without a token have none."""
+        ids = ids[ids < len(self.text)]
+        return expand(self.bytes, self.offsets, ids.astype(np.int64))[0].tobytes()
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of ids; bytes that are no UTF-8 become the replacement character."""
+        return self.raw(ids).decode("utf-8", "replace")
+
+
+class TreeCoder(TokenBytes):
+    """Leaves and joins with one tokenizer file (its JSON text)."""
 
     def __init__(self, spec: str):
         import os
@@ -69,17 +94,7 @@ class TreeCoder:
             raise ValueError("an added token looks at its neighbours")
         names = sorted((a.content for a in added.values()), key=len, reverse=True)
         self.added = re.compile(f"({'|'.join(map(re.escape, names))})") if names else None
-        chars = _byte_chars()
-        vocab = t.get_vocab(with_added_tokens=True)
-        tokens: list[bytes] = [b""] * (max(vocab.values(), default=-1) + 1)
-        for text, k in vocab.items():
-            known = all(c in chars for c in text)
-            tokens[k] = bytes(chars[c] for c in text) if known else text.encode()
-        self.text = [""] * len(tokens)
-        for text, k in vocab.items():
-            self.text[k] = text
-        self.bytes, self.lengths = ragged(tokens)
-        self.bytes, self.offsets = self.bytes.astype(np.uint8), np.concatenate([[0], np.cumsum(self.lengths)])
+        super().__init__(spec)
 
     def segments(self, text: str) -> list[str]:
         """The texts between added tokens, and these, in order."""
@@ -92,15 +107,6 @@ class TreeCoder:
         first[1:] = word[1:] != word[:-1]
         return Node(np.array(e.ids, np.uint32), first)
 
-    def raw(self, ids: np.ndarray) -> bytes:
-        """Bytes of the tokens; ids without a token have none."""
-        ids = ids[ids < len(self.text)]
-        return expand(self.bytes, self.offsets, ids.astype(np.int64))[0].tobytes()
-
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids; bytes that are no UTF-8 become the replacement character."""
-        return self.raw(ids).decode("utf-8", "replace")
-
     def _merge(self, piece: str) -> np.ndarray:
         return np.array([t.id for t in self.model.tokenize(piece)], np.uint32)
 
@@ -162,15 +168,15 @@ class TreeCoder:
         return nodes[0]
 
 
-_CODERS: dict[str, TreeCoder] = {}
+_CODERS: dict[tuple[type, str], TokenBytes] = {}
 
 
-def tree_coder(spec: str) -> TreeCoder:
-    """The coder of a file, one per worker process."""
-    if spec not in _CODERS:
+def tree_coder(spec: str, kind: type = TreeCoder):
+    """The coder of a file, one per worker process; ``TokenBytes`` is enough for decoding."""
+    if (kind, spec) not in _CODERS:
         _CODERS.clear()
-        _CODERS[spec] = TreeCoder(spec)
-    return _CODERS[spec]
+        _CODERS[kind, spec] = kind(spec)
+    return _CODERS[kind, spec]
 
 
 def _whole(spec):
@@ -282,7 +288,7 @@ def encode_texts(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: s
 
 def _decode(spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tree_coder(spec.value)
+        coder = tree_coder(spec.value, TokenBytes)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
