@@ -65,23 +65,13 @@ def stratified_split(df: DataFrame, rid: str, label: str, test_size: float = 0.3
 # ------------------------------------------------------------------ supervised
 
 def _classifier(algorithm: str, params: dict[str, Any], n_train: int):
-    """TRN-2/3/4 with the penalties of the usual C parametrisation: regParam = 1 / (C * rows)."""
-    from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
+    """TRN-2 with the penalty of the usual C parametrisation: regParam = 1 / (C * rows)."""
+    from pyspark.ml.classification import LogisticRegression
     algo = algorithm.lower()
     penalty = 1.0 / (max(float(params.get("C", 1.0)), 1e-9) * max(n_train, 1))
     if algo == "logistic_regression":
         return LogisticRegression(maxIter=int(params.get("max_iter", 500)), regParam=penalty, standardization=False,
                                   featuresCol="features", labelCol="label")
-    if algo == "random_forest":
-        # 30 is the deepest tree Spark ML can hold
-        return RandomForestClassifier(numTrees=int(params.get("n_estimators", 200)), maxDepth=int(params.get("max_depth") or 30),
-                                      seed=42, featuresCol="features", labelCol="label")
-    if algo == "svm":
-        kernel = params.get("kernel", "linear")
-        if kernel != "linear":
-            raise ValueError(f"kernel {kernel!r}: only the linear kernel has a distributed solver here")
-        svc = LinearSVC(regParam=penalty, maxIter=100, standardization=False, featuresCol="features", labelCol="label")
-        return svc, OneVsRest(classifier=svc, featuresCol="features", labelCol="label")
     raise ValueError(f"Unsupported supervised algorithm: {algorithm}")
 
 
@@ -102,20 +92,24 @@ def train_supervised(df: DataFrame, feature_columns: list[str], target: str, alg
     indexer = StringIndexer(inputCol="__y", outputCol="label", stringOrderType="alphabetAsc").fit(mat)
     data = reliable_checkpoint(feature_vectors(indexer.transform(mat), feature_columns))
     train, test = data.where(~F.col("__is_test")), data.where(F.col("__is_test"))
-    est = _classifier(algorithm, params, train.count())
-    if isinstance(est, tuple):
-        est = est[0] if n_classes == 2 else est[1]
-    model = est.fit(train)
-    scored = model.transform(test)
-    pred = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=indexer.labels).transform(scored)
-    if "probability" in pred.columns:
-        proba = F.array_max(vector_to_array(F.col("probability")))
-    elif "rawPrediction" in pred.columns:
-        margin = vector_to_array(F.col("rawPrediction"))
-        p1 = 1.0 / (1.0 + F.exp(-margin[1]))
-        proba = F.greatest(p1, 1.0 - p1)
+    if algorithm.lower() == "svm":
+        from .svm import fit_svm
+        model = fit_svm(train, feature_columns, rid, "label", list(indexer.labels), str(params.get("kernel", "rbf")),
+                        float(params.get("C", 1.0)), params.get("gamma", "scale"), int(params.get("n_components", 512)))
+        scored = model.transform(test.drop("features"))
+        proba = F.array_max("probability")
+    elif algorithm.lower() == "random_forest":
+        from .forest import fit_forest
+        depth = params.get("max_depth")
+        model = fit_forest(train, feature_columns, rid, "label", list(indexer.labels), int(params.get("n_estimators", 200)),
+                           int(depth) if depth else None, int(params.get("local_rows", 100_000)))
+        scored = model.transform(test.drop("features"), rid)
+        proba = F.array_max("probability")
     else:
-        proba = F.lit(None).cast("double")
+        model = _classifier(algorithm, params, train.count()).fit(train)
+        scored = model.transform(test)
+        proba = F.array_max(vector_to_array(F.col("probability")))
+    pred = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=indexer.labels).transform(scored)
     ctx = [c for c in (context_columns or []) if c in pred.columns]
     out = pred.select(*ctx, *[c for c in feature_columns if c in pred.columns and c not in ctx],
                       F.col(rid).cast("string").alias("source_row_id"), F.col(rid).alias("__rid"),
@@ -328,7 +322,8 @@ def save_model(model, base: str, prefix: str = "model") -> str:
     """TRN-15: persist a fitted model to a fresh directory (older artifacts are never overwritten)."""
     from ..sources.readers import new_artifact_path
     path = new_artifact_path(base, prefix)
-    if isinstance(model, IsolationForestModel):
-        return model.save(path)
-    model.write().save(path)
+    if hasattr(model, "write"):
+        model.write().save(path)
+    else:
+        model.save(path)
     return path

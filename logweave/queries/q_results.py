@@ -415,9 +415,9 @@ def anomaly_metrics_q(spark, d):
     return ml.anomaly_metrics(scored(spark, d))
 
 
-def _train(spark, d, algo):
+def _train(spark, d, algo, **params):
     df = _docs_labeled(spark, d)
-    _, pred, _ = ml.train_supervised(df, ["n_chars", "lang", "source", "toxic"], "quality", algo, "doc_id",
+    _, pred, _ = ml.train_supervised(df, ["n_chars", "lang", "source", "toxic"], "quality", algo, "doc_id", params,
                                      context_columns=["doc_id"])
     return pred.drop("__rid")
 
@@ -434,7 +434,12 @@ def train_rf(spark, d):
 
 @query("train_svm")
 def train_svm(spark, d):
-    return _train(spark, d, "svm")
+    return _train(spark, d, "svm", kernel="linear")
+
+
+@query("train_svm_rbf")
+def train_svm_rbf(spark, d):
+    return _train(spark, d, "svm", kernel="rbf")
 
 
 @query("model_round_trip", "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS differing "
