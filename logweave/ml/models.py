@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import py_strip
-from ..operators.selection import feature_matrix, feature_vectors
+from ..operators.selection import feature_vectors
 from ..session import reliable_checkpoint
+from .rows import Layout, blocks
 
 # Fixed value: label texts counted as "anomalous" ground truth.
 POSITIVE_LABELS = ["1", "true", "yes", "anomaly", "attack", "malicious", "abnormal"]
@@ -176,37 +177,40 @@ def _c(n: float) -> float:
     return 2.0 * (math.log(n - 1.0) + 0.5772156649015329) - 2.0 * (n - 1.0) / n
 
 
-def _grow(names: list[str], psi: int, seed: int):
+def _grow(numeric: int, psi: int, seed: int):
+    """One tree of a subsample; a node's candidates are the numeric columns and the slots (0/1 columns) that vary in it."""
     depth_limit = int(math.ceil(math.log2(max(psi, 2))))
 
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(pdf):
         tree = int(pdf["__tree"].iloc[0])
         pdf = pdf.sort_values(["__h", "__rid"]).head(psi)
-        X = pdf[names].to_numpy(dtype=float)
+        num = np.array(pdf["__num"].tolist(), float).reshape(len(pdf), -1)
+        cat = np.array(pdf["__cat"].tolist(), np.int64).reshape(len(pdf), -1)
         rng = np.random.default_rng([seed, tree])
-        rows = []  # node_id, feature, threshold, left, right, size, depth
+        rows = []  # node_id, feature, slot, threshold, left, right, size, depth
 
         def build(idx, depth):
             node = len(rows)
-            rows.append([node, -1, 0.0, -1, -1, len(idx), depth])
+            rows.append([node, -1, 0, 0.0, -1, -1, len(idx), depth])
             if depth >= depth_limit or len(idx) <= 1:
                 return node
-            sub = X[idx]
-            lo, hi = sub.min(axis=0), sub.max(axis=0)
-            cand = np.flatnonzero(hi > lo)
-            if cand.size == 0:
+            lo, hi = (f(num[idx], axis=0) for f in (np.min, np.max))
+            varying = [(int(f), 0) for f in np.flatnonzero(hi > lo)]
+            for c in range(cat.shape[1]):
+                values = np.unique(cat[idx, c])
+                varying += [(numeric + c, int(v)) for v in values] if len(values) > 1 else []
+            if not varying:
                 return node
-            f = int(rng.choice(cand))
-            thr = float(rng.uniform(lo[f], hi[f]))
-            left = idx[sub[:, f] < thr]
-            right = idx[sub[:, f] >= thr]
-            rows[node][1], rows[node][2] = f, thr
-            rows[node][3] = build(left, depth + 1)
-            rows[node][4] = build(right, depth + 1)
+            f, slot = varying[int(rng.integers(len(varying)))]
+            x = num[idx, f] if f < numeric else (cat[idx, f - numeric] == slot).astype(float)
+            thr = float(rng.uniform(x.min(), x.max()))
+            rows[node][1:4] = [f, slot, thr]
+            rows[node][4] = build(idx[x < thr], depth + 1)
+            rows[node][5] = build(idx[x >= thr], depth + 1)
             return node
 
-        build(np.arange(len(X)), 0)
-        out = pd.DataFrame(rows, columns=["node", "feature", "threshold", "left", "right", "size", "depth"])
+        build(np.arange(len(pdf)), 0)
+        out = pd.DataFrame(rows, columns=["node", "feature", "slot", "threshold", "left", "right", "size", "depth"])
         out.insert(0, "tree", tree)
         return out
     return grow
@@ -215,60 +219,65 @@ def _grow(names: list[str], psi: int, seed: int):
 class IsolationForestModel:
     """Fitted forest: the node table (bounded by trees x 2 x psi rows) plus the feature layout."""
 
-    def __init__(self, nodes: pd.DataFrame, feature_columns: list[str], names: list[str], psi: int):
+    def __init__(self, nodes: pd.DataFrame, feature_columns: list[str], layout: Layout, psi: int):
         self.nodes = nodes.sort_values(["tree", "node"]).reset_index(drop=True)
         self.feature_columns = feature_columns
-        self.names = names
+        self.layout = layout
         self.psi = psi
 
     def _trees(self):
-        return [{k: t[k].to_numpy() for k in ("feature", "threshold", "left", "right", "depth")}
+        return [{k: t[k].to_numpy() for k in ("feature", "slot", "threshold", "left", "right", "depth")}
                 | {"path": t["depth"].to_numpy() + np.array([_c(float(n)) for n in t["size"]])}
                 for _, t in self.nodes.groupby("tree")]
 
-    def score(self, mat: DataFrame, keep: list[str]) -> DataFrame:
-        """Adds ``anomaly_score`` to a feature matrix holding ``names`` (Arrow batches, broadcast trees)."""
-        names, c_psi = self.names, _c(self.psi)
-        broadcast = mat.sparkSession.sparkContext.broadcast(self._trees())
+    def score(self, df: DataFrame, keep: list[str]) -> DataFrame:
+        """``keep`` and ``anomaly_score`` of rows that have the feature columns (Arrow batches, broadcast trees)."""
+        layout, numeric, c_psi = self.layout, len(self.layout.numeric), _c(self.psi)
+        sent = df.sparkSession.sparkContext.broadcast(self._trees())
+        rows = df.select(*keep, *layout.columns())
 
         def score(batches):
-            forest = broadcast.value
+            forest = sent.value
             for b in batches:
-                pdf = b.to_pandas()
-                X = pdf[names].to_numpy(dtype=float) if names else np.zeros((len(pdf), 0))
-                total = np.zeros(len(pdf))
-                for t in forest:
-                    node = np.zeros(len(pdf), dtype=np.int64)
-                    for _ in range(int(t["depth"].max()) + 1):
-                        f = t["feature"][node]
-                        internal = f >= 0
-                        if not internal.any():
-                            break
-                        xv = X[np.arange(len(pdf)), np.where(internal, f, 0)] if names else np.zeros(len(pdf))
-                        nxt = np.where(xv < t["threshold"][node], t["left"][node], t["right"][node])
-                        node = np.where(internal, nxt, node)
-                    total += t["path"][node]
-                s = np.power(2.0, -(total / max(len(forest), 1)) / c_psi) if c_psi > 0 else np.full(len(pdf), 0.5)
-                out = pdf[keep].copy()
-                out["anomaly_score"] = s
-                yield pa.RecordBatch.from_pandas(out, preserve_index=False)
-
-        schema = T.StructType([mat.schema[c] for c in keep] + [T.StructField("anomaly_score", T.DoubleType())])
-        return mat.mapInArrow(score, schema)
+                n, parts = b.num_rows, []
+                for _, num, cat in blocks(b, layout, 1 << 14):
+                    total, every = np.zeros(len(num)), np.arange(len(num))
+                    for t in forest:
+                        node = np.zeros(len(num), dtype=np.int64)
+                        for _ in range(int(t["depth"].max()) + 1):
+                            f = t["feature"][node]
+                            internal = f >= 0
+                            if not internal.any():
+                                break
+                            x = np.zeros(len(num))
+                            isnum = internal & (f < numeric)
+                            x[isnum] = num[every[isnum], f[isnum]]
+                            istext = internal & (f >= numeric)
+                            x[istext] = cat[every[istext], f[istext] - numeric] == t["slot"][node[istext]]
+                            node = np.where(internal, np.where(x < t["threshold"][node], t["left"][node], t["right"][node]), node)
+                        total += t["path"][node]
+                    parts.append(np.power(2.0, -(total / max(len(forest), 1)) / c_psi) if c_psi > 0 else np.full(len(num), 0.5))
+                s = np.concatenate(parts) if parts else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], pa.array(s, pa.float64())], names=[*keep, "anomaly_score"])
+
+        schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("anomaly_score", T.DoubleType())])
+        return rows.mapInArrow(score, schema)
 
     def save(self, path: str) -> str:
         """TRN-15: the node table as Parquet plus the layout, in a new directory."""
         spark = SparkSessionRef.get()
         spark.createDataFrame(self.nodes).write.mode("errorifexists").parquet(f"{path}/nodes")
-        meta = pd.DataFrame({"feature_columns": [self.feature_columns], "names": [self.names], "psi": [self.psi]})
-        spark.createDataFrame(meta).write.mode("errorifexists").parquet(f"{path}/meta")
+        meta = [(self.feature_columns, self.layout.numeric, self.layout.text, self.psi)]
+        shape = "feature_columns array<string>, numeric array<string>, txt array<string>, psi int"
+        spark.createDataFrame(meta, shape).write.mode("errorifexists").parquet(f"{path}/meta")
         return path
 
     @staticmethod
     def load(spark, path: str) -> "IsolationForestModel":
         nodes = spark.read.parquet(f"{path}/nodes").toPandas()
         meta = spark.read.parquet(f"{path}/meta").first()
-        return IsolationForestModel(nodes, list(meta["feature_columns"]), list(meta["names"]), int(meta["psi"]))
+        layout = Layout(list(meta["numeric"]), list(meta["txt"]))
+        return IsolationForestModel(nodes, list(meta["feature_columns"]), layout, int(meta["psi"]))
 
 
 class SparkSessionRef:
@@ -283,35 +292,34 @@ def _below(hash64, share: float):
     return hash64 <= F.lit(max(min(int((share - 0.5) * 2.0 ** 64), (1 << 63) - 1), -(1 << 63)))
 
 
-def fit_isolation_forest(mat: DataFrame, names: list[str], rid: str, feature_columns: list[str],
-                         n_trees: int = 100, max_samples: int = 256, seed: int = 42) -> IsolationForestModel:
+def fit_isolation_forest(df: DataFrame, rid: str, feature_columns: list[str], n_trees: int = 100,
+                         max_samples: int = 256, seed: int = 42) -> IsolationForestModel:
     """Grow the trees: subsamples by row-id hash from a pool bounded by trees x 2 x psi rows."""
-    n = mat.count()
+    layout = Layout.of(df, feature_columns)
+    n = df.count()
     psi = int(min(max_samples, n))
     pool_target = min(n, 2 * psi * n_trees)
     frac = pool_target / n if n else 1.0
-    pool = mat.where(_below(F.xxhash64(F.col(rid), F.lit(seed)), frac))
+    pool = df.where(_below(F.xxhash64(F.col(rid), F.lit(seed)), frac))
     keep_frac = min(1.0, 2.0 * psi / max(pool_target, 1))
-    per_tree = pool.select(F.col(rid).alias("__rid"), *names,
-                           F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("__tree")) \
+    per_tree = pool.select(F.col(rid).alias("__rid"), *layout.columns()) \
+        .withColumn("__tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))) \
         .withColumn("__h", F.xxhash64("__rid", "__tree", F.lit(seed))) \
         .where(_below(F.col("__h"), keep_frac))
-    node_schema = "tree int, node long, feature long, threshold double, left long, right long, size long, depth long"
-    nodes = per_tree.groupBy("__tree").applyInPandas(_grow(names, psi, seed), node_schema)
-    return IsolationForestModel(nodes.toPandas(), feature_columns, names, psi)  # bounded: trees x 2 psi rows
+    node_schema = "tree int, node long, feature long, slot long, threshold double, left long, right long, size long, depth long"
+    nodes = per_tree.groupBy("__tree").applyInPandas(_grow(len(layout.numeric), psi, seed), node_schema)
+    return IsolationForestModel(nodes.toPandas(), feature_columns, layout, psi)  # bounded: trees x 2 psi rows
 
 
 def isolation_forest(df: DataFrame, feature_columns: list[str], rid: str, n_trees: int = 100,
                      max_samples: int = 256, contamination: float = 0.1, seed: int = 42,
                      keep: list[str] | None = None, return_model: bool = False):
     """TRN-7: anomaly_score = 2^(-E[h(x)]/c(psi)) (the negated sklearn score_samples);
-    anomalies are scores above the (1 - contamination) quantile."""
-    mat, names = feature_matrix(df, feature_columns, keep=[F.col(rid)] + [F.col(c) for c in (keep or [])],
-                                prefix="__f_")
-    mat = reliable_checkpoint(mat)
-    model = fit_isolation_forest(mat, names, rid, feature_columns, n_trees, max_samples, seed)
-    out_names = [f.name for f in mat.schema.fields if f.name not in names]
-    scored = reliable_checkpoint(model.score(mat, out_names))
+    anomalies are scores above the (1 - contamination) quantile.  A text column is one slot per value, however many."""
+    kept = list(dict.fromkeys([rid, *(keep or [])]))
+    base = reliable_checkpoint(df.select(*dict.fromkeys([*kept, *feature_columns])))
+    model = fit_isolation_forest(base, rid, feature_columns, n_trees, max_samples, seed)
+    scored = reliable_checkpoint(model.score(base, kept))
     q = scored.agg(F.percentile_approx("anomaly_score", 1.0 - float(contamination), 100000).alias("q"))
     result = scored.crossJoin(F.broadcast(q)).withColumn(
         "predicted_label", F.when(F.col("anomaly_score") > F.col("q"), "anomaly").otherwise("normal")).drop("q")

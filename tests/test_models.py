@@ -77,6 +77,63 @@ def test_one_class_svm_invariants(spark):
     assert all(rows[1500 + i]["predicted_label"] == "anomaly" for i in range(5))
 
 
+def test_text_columns_of_any_width(spark):
+    """A column with a value of its own in every row adds no column; a rare value makes a row stand out; kernels are told apart."""
+    from logweave.ml.one_class import one_class_svm
+    rng = random.Random(6)
+    data = [(i, rng.gauss(0, 1), f"own-{i}", "rare" if i % 500 == 7 else "usual") for i in range(3000)]
+    df = spark.createDataFrame(data, "rid long, x double, name string, kind string").repartition(3)
+    out = {r.rid: r for r in ml.isolation_forest(df, ["x", "kind"], "rid", n_trees=60).collect()}
+    rare = [out[k].anomaly_score for k in out if k % 500 == 7]
+    usual = [out[k].anomaly_score for k in out if k % 500 != 7]
+    assert min(rare) > sorted(usual)[len(usual) // 2]
+    assert ml.isolation_forest(df, ["x", "name"], "rid", n_trees=10).count() == 3000
+    assert one_class_svm(df, ["x", "name"], "rid").count() == 3000
+    rows = {r.rid: r for r in one_class_svm(df, ["kind"], "rid").collect()}
+    assert min(rows[k].anomaly_score for k in rows if k % 500 == 7) > max(rows[k].anomaly_score for k in rows if k % 500 != 7)
+
+
+def test_one_class_objective(spark):
+    """The solver reaches the value of the objective that a long plain descent reaches."""
+    import numpy as np
+
+    from logweave.ml import one_class as oc
+    from logweave.ml.rows import Layout
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(400, 2))
+    df = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(x)], "rid long, x double, y double")
+    model = oc.fit_one_class_svm(df, ["x", "y"], "rid", nu=0.2, n_components=64)
+    z = model.features.map(x, np.zeros((400, 0), np.int64))
+
+    def value(w, rho):
+        return 0.5 * w @ w + np.maximum(0, rho - z @ w).sum() / (0.2 * 400) - rho
+    w, best = z.mean(0), None
+    rho = float(np.quantile(z @ w, 0.2))
+    for t in range(20_000):
+        bad = z @ w < rho
+        eta = 0.3 / np.sqrt(t + 1)
+        w, rho = w - eta * (w - z[bad].sum(0) / 80), rho - eta * (bad.sum() / 80 - 1)
+        best = min(best or 1e9, value(w, rho))
+    rho = float(np.quantile(z @ model.weights, 0.2))
+    assert value(model.weights, rho) < best + 0.01 * abs(best)
+    assert Layout.of(df, ["x", "y"]).numeric == ["x", "y"]
+    with __import__("pytest").raises(ValueError):
+        oc.one_class_svm(df, ["x"], "rid", kernel="precomputed")
+
+
+def test_one_class_kernels(spark):
+    from logweave.ml.one_class import one_class_svm
+    rng = random.Random(8)
+    data = [(i, rng.gauss(5, 0.5), rng.gauss(5, 0.5)) for i in range(600)] + [(600, -5.0, -5.0), (601, 0.1, 0.1)]
+    df = spark.createDataFrame(data, "rid long, x double, y double")
+    for kernel in ("rbf", "linear", "poly"):
+        rows = {r.rid: r for r in one_class_svm(df, ["x", "y"], "rid", nu=0.1, kernel=kernel).collect()}
+        share = sum(r.predicted_label == "anomaly" for r in rows.values()) / len(rows)
+        assert abs(share - 0.1) < 0.03, kernel
+        if kernel in ("rbf", "linear"):
+            assert rows[600].predicted_label == rows[601].predicted_label == "anomaly", kernel
+
+
 def test_model_artifacts(spark, tmp_path):
     import random as _r
 
@@ -86,9 +143,7 @@ def test_model_artifacts(spark, tmp_path):
     scored, model = ml.isolation_forest(df, ["x", "y"], "rid", n_trees=20, return_model=True)
     path = ml.save_model(model, str(tmp_path))
     again = ml.IsolationForestModel.load(spark, path)
-    from logweave.operators.selection import feature_matrix
-    mat, names = feature_matrix(df, ["x", "y"], keep=[df["rid"]], prefix="__f_")
-    rescored = {r["rid"]: r["anomaly_score"] for r in again.score(mat, ["rid"]).collect()}
+    rescored = {r["rid"]: r["anomaly_score"] for r in again.score(df, ["rid"]).collect()}
     for r in scored.collect():
         assert abs(rescored[r["rid"]] - r["anomaly_score"]) < 1e-12
     data = [(i, float(i % 10), "1" if i % 10 > 4 else "0") for i in range(200)]
