@@ -7,6 +7,8 @@ a plan never uses and the work stays in the JVM.
 
 from __future__ import annotations
 
+import csv
+import io
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -88,22 +90,26 @@ def pandas_header_names(raw: list[str | None]) -> list[str]:
     return out
 
 
-def read_csv(spark: SparkSession, path: str, infer: bool = True, multi_line: bool = True) -> DataFrame:
+CSV_OPTIONS = {"quote": '"', "escape": '"', "multiLine": "true"}
+
+
+def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
     """SRC-1 (+SRC-7, trap 27): header row, pandas missing-value tokens, then type inference.
 
-    Quoted cells may hold separators, doubled quotes and (with ``multi_line``) line breaks.  A file with
-    line breaks in cells cannot be split; pass ``multi_line=False`` for large files without them.  The header
-    is that of the first file by name."""
-    def reader(header: bool):
-        return spark.read.options(inferSchema=False, header=header, quote='"', escape='"', multiLine=multi_line)
-
-    raw = reader(True).csv(path)
-    files = sorted(raw.inputFiles())
-    header_row = reader(False).csv(files[0]).first() if files else None
-    names = clean_header(pandas_header_names(list(header_row) if header_row is not None else list(raw.columns)))
-    raw = raw.toDF(*names)
-    cleaned = raw.select(*[F.when(F.col(c).isin(CSV_NA_TOKENS), F.lit(None)).otherwise(F.col(c)).alias(c)
-                           for c in names])
+    Quoted cells may hold separators, doubled quotes and line breaks; files are read by all their splits at once
+    (``csv_records``).  The header is that of the first file by name, every file's first record is its header; cells
+    beyond the header are left out, missing ones are null.  UTF-8, records end with a line feed."""
+    from .csv_records import csv_records, header_record
+    records, first = csv_records(spark, path)
+    header = header_record(spark, first) if first is not None else None
+    if header is None:
+        return spark.createDataFrame([], T.StructType([]))
+    cells = next(csv.reader(io.StringIO(header, newline="")), [])
+    count, names = len(cells), clean_header(pandas_header_names(cells))
+    shape = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(count)])
+    parsed = records.where("NOT head").select(F.from_csv("record", shape.simpleString()[7:-1].replace(":", " "), CSV_OPTIONS).alias("c"))
+    cleaned = parsed.select(*[F.when(F.col(f"c.c{k}").isin(CSV_NA_TOKENS), F.lit(None)).otherwise(F.col(f"c.c{k}")).alias(n)
+                              for k, n in enumerate(names)])
     if not infer:
         return cleaned
     types = infer_column_types(cleaned, names)

@@ -92,7 +92,7 @@ def test_every_model_feeds_the_prediction_table(spark):
     made = prediction_table(pred, "__rid", ["x"])
     assert made.columns[:6] == ["sample_index", "source_row_id", "actual_label", "predicted_label", "prediction_proba", "x"]
     with pytest.raises(ValueError):
-        ml.train_supervised(df, ["x"], "y", "svm", "id", {"kernel": "rbf"})
+        ml.train_supervised(df, ["x"], "y", "svm", "id", {"kernel": "precomputed"})
 
 
 def test_advisor_uses_all_rows(spark):
