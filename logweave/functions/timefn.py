@@ -83,8 +83,10 @@ def to_timestamp_any(c: Column, dtype: T.DataType | None = None, fmt: str | None
     if fmt:
         return F.try_to_timestamp(s, F.lit(strftime_to_java(fmt)))
     # lambdas keep one copy of the input and of the layouts out of the generated code
-    dated = F.filter(F.array(s), lambda x: x.rlike(DATED_TEXT) & (F.length(x) <= 64))
-    plain = F.transform(dated, lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), r"\s+", " "), WEEKDAY, ""))
+    # white space around and between the parts does not count; no layout is longer than 64 characters without it
+    dated = F.filter(F.array(s), lambda x: x.rlike(DATED_TEXT))
+    single = F.filter(F.transform(dated, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: F.length(x) <= 64)
+    plain = F.transform(single, lambda x: F.regexp_replace(x, WEEKDAY, ""))
     parsed = F.transform(plain, lambda x: F.coalesce(*[F.try_to_timestamp(x, F.lit(p)) for p in TEXT_TIME_LAYOUTS]))
     return F.coalesce(F.when(s.rlike(ISO_TEXT), s.try_cast("timestamp")), F.get(parsed, F.lit(0)))
 

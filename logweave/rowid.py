@@ -9,7 +9,7 @@ without moving rows (never ``row_number()`` over an unpartitioned window).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROW_ID = "__row_id"
@@ -30,7 +30,7 @@ def with_dense_index(df: DataFrame, order: list, name: str) -> DataFrame:
     laid = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
     laid = reliable_checkpoint(laid.withColumn("__part", F.shiftright("__m", 33)))
     sizes = laid.groupBy("__part").agg(F.count("*").alias("n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.__part") < F.col("a.__part"), "left") \
-        .groupBy(F.col("a.__part").alias("__part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("__before"))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over one row per partition
+    before = sizes.select("__part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
     low = F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
     return laid.join(before, "__part").withColumn(name, F.col("__before") + low).drop("__m", "__part", "__before")

@@ -217,3 +217,18 @@ def test_projection_axes_have_a_fixed_sign(spark):
     pred = spark.createDataFrame(rows, "sample_index long, a double, b double")
     pts = {r.sample_index: r for r in embedding_points(pred, ["a", "b"]).collect()}
     assert pts[0].x > pts[29].x  # b has the largest loading on the first axis and falls
+
+
+def test_white_space_around_dates_does_not_count(spark):
+    from logweave.functions.timefn import to_timestamp_any
+    texts = ["03/04/2024 10:00:00", "03/04/2024 10:00:00" + " " * 60, "  03/04/2024\t " + " " * 80 + "10:00:00", "03/04/2024 10:00:00" + "x" * 60]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = [r.ts for r in df.select("k", to_timestamp_any(F.col("t")).alias("ts")).orderBy("k").collect()]
+    assert got[0] is not None and got[0] == got[1] == got[2] and got[3] is None
+
+
+def test_dense_index_over_many_partitions(spark):
+    from logweave.rowid import with_dense_index
+    df = spark.range(500, numPartitions=9).withColumn("x", F.xxhash64("id"))
+    rows = with_dense_index(df, [F.col("x")], "k").orderBy("k").collect()
+    assert [r.k for r in rows] == list(range(500)) and [r.x for r in rows] == sorted(r.x for r in rows)
