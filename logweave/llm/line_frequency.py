@@ -1,9 +1,11 @@
 """Quality rules by cross-document line frequency, in DataFrame operations only.
 
-Lines are normalised (lower case, digits alike, no white space) and hashed.  Per host, the distinct documents
-that hold a line are counted; documents with equal text vote once, so copies of one document do not
-make its own lines frequent.  A line is frequent when it is held by more than ``share`` of the host's
-distinct documents, and by at least ``least`` of them.  Frequent lines are removed, and a document
+Lines are normalised (lower case, digits alike, no white space) and hashed.  Per host, and over all hosts, the distinct
+documents that hold a line are counted.  Near copies vote once: a document's voter is the smallest hash of its three-word windows, which
+copies share unless an edit touches or undercuts just that window, so that a document with many copies does not make its own lines
+frequent.  A line is frequent from a fixed number of voters on, in its host or in the corpus, so that a passage is judged alike in
+hosts of any size; fewer are enough for a long line than for a short one.  A line that more than ``share`` of a host's
+documents hold, and ``least`` of them, is frequent there as well.  Frequent lines are removed, and a document
 that keeps less than ``keep_share`` of its words, or fewer than ``keep_words``, is depleted.
 
 The text is read once; what is shuffled are 64-bit hashes.  Counting combines on the map side and is dealt by
@@ -19,6 +21,9 @@ from .tables import stored
 
 SPACE = r"[ \\t\\n\\x0B\\f\\r]"
 SALTS = 32
+#: Words from which a line is long, and the voters that make a long and a short line frequent in a host and in the corpus.
+LONG_WORDS = 8
+HOST_LIMITS, CORPUS_LIMITS = (50, 500), (60, 1000)
 
 
 def text_measures(docs: DataFrame) -> DataFrame:
@@ -36,6 +41,7 @@ def text_measures(docs: DataFrame) -> DataFrame:
     out = out.withColumn("win", F.expr(
         "CASE WHEN size(h) < 3 THEN array() ELSE transform(sequence(0, size(h) - 3), "
         "i -> xxhash64(h[i], h[i + 1], h[i + 2])) END").cast("array<bigint>"))
+    out = out.withColumn("voter", F.coalesce(F.array_min("win"), F.xxhash64(F.col("text"), F.lit(1))))
     # only texts that repeat a window sort their windows
     out = out.withColumn("s", F.expr("CASE WHEN size(array_distinct(win)) < size(win) "
                                      "THEN sort_array(transform(win, (x, i) -> struct(x AS v, i AS i))) END")) \
@@ -50,16 +56,25 @@ def text_measures(docs: DataFrame) -> DataFrame:
         f"size(filter(split(l, '{SPACE}+'), w -> w <> '')) AS words))".replace("\\x0B", "\\u000B"))).drop("lines")
 
 
-def frequent_lines(measured: DataFrame, share: float, least: int) -> DataFrame:
-    """(host, hash) of the lines above the limit; ``measured`` has host, content, hashes."""
-    hosts = measured.groupBy("host").agg(F.countDistinct("content").alias("docs"))
-    votes = (measured.select("host", "content", F.explode(F.array_distinct("line.hash")).alias("hash"))
-             .groupBy("host", "hash").agg(F.countDistinct("content").alias("votes")).filter(F.col("votes") >= least))
-    return votes.join(hosts, "host").filter(F.col("votes") > share * F.col("docs")).select("host", "hash")
+def frequent_lines(measured: DataFrame, share: float, least: int, host_limits: tuple[int, int] = HOST_LIMITS,
+                   corpus_limits: tuple[int, int] = CORPUS_LIMITS) -> DataFrame:
+    """(host, hash) of the lines above a limit; ``measured`` has host, voter and line (hash, words)."""
+    limit = lambda pair: F.when(F.col("words") >= LONG_WORDS, pair[0]).otherwise(pair[1])
+    hosts = measured.groupBy("host").agg(F.countDistinct("voter").alias("docs"))
+    cells = (measured.select("host", "voter", F.explode(F.array_distinct("line")).alias("l"))
+             .select("host", "voter", "l.hash", "l.words").groupBy("hash", "host", "voter").agg(F.max("words").alias("words")))
+    votes = cells.groupBy("hash", "host").agg(F.count("*").alias("votes"), F.max("words").alias("words"))
+    corpus = (cells.groupBy("hash", "voter").agg(F.max("words").alias("words"))
+              .groupBy("hash").agg(F.count("*").alias("everywhere"), F.max("words").alias("words"))
+              .filter(F.col("everywhere") >= limit(corpus_limits)).select("hash", "everywhere"))
+    judged = votes.join(hosts, "host").join(corpus, "hash", "left")
+    return judged.filter(F.col("everywhere").isNotNull() | (F.col("votes") >= limit(host_limits))
+                         | ((F.col("votes") >= least) & (F.col("votes") > share * F.col("docs")))).select("host", "hash")
 
 
 def line_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-                   share: float = 0.01, least: int = 10, keep_share: float = 0.3, keep_words: int = 20) -> DataFrame:
+                   share: float = 0.01, least: int = 10, keep_share: float = 0.3, keep_words: int = 20,
+                   host_limits: tuple[int, int] = HOST_LIMITS, corpus_limits: tuple[int, int] = CORPUS_LIMITS) -> DataFrame:
     """One row per row of ``docs``: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, n_frequent_lines, n_words_left, kept, and ``frequent``, the distinct hashes of its
     frequent lines (for ``remove_lines``).
@@ -70,9 +85,8 @@ def line_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.xxhash64(F.col(host_col)), F.lit(0)).alias("host"),
                        F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    measured = text_measures(rows).withColumn("content", F.xxhash64(F.col("text"), F.length("text"))).drop("text")
-    measured = stored(measured)
-    frequent = frequent_lines(measured, share, least).withColumn(
+    measured = stored(text_measures(rows).drop("text"))
+    frequent = frequent_lines(measured, share, least, host_limits, corpus_limits).withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     lines = measured.select("row", "host", F.explode("line").alias("l"),
                             F.expr(f"int(pmod(xxhash64(row), {SALTS}))").alias("salt")) \
@@ -83,7 +97,7 @@ def line_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("gone", F.lit(0))
     depleted = (left < keep_share * F.col("n_words")) | (left < keep_words)
-    return measured.drop("line", "content").join(removed, "row", "left").select(
+    return measured.drop("line", "voter").join(removed, "row", "left").select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed.alias("base_failed"), F.coalesce("n_frequent_lines", F.lit(0)).alias("n_frequent_lines"),
         left.alias("n_words_left"), (~base_failed & ~depleted).alias("kept"),

@@ -210,8 +210,8 @@ def find_entities(text: str) -> list[Mention]:
             continue
         free = text
         if kind == "phone":  # a number goes no further than the next entity
-            for a in found:
-                free = free[:a.start] + "\x00" * (a.end - a.start) + free[a.end:]
+            ends = [0, *(a.end for a in found)]
+            free = "".join(x for e, a in zip(ends, found) for x in (text[e:a.start], "\x00" * (a.end - a.start))) + text[ends[-1]:]
         for m in pattern.finditer(free):
             surface = _phone(m[0]) if kind == "phone" else m[0]
             value = canonical(kind, surface)

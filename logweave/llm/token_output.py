@@ -33,6 +33,8 @@ from .tokenizer_ids import tokenizer_coder
 MAGIC = b"IDPLANE1"
 TAIL = struct.Struct("<QQBB8s")
 BLOCK_IDS = 1 << 16
+#: The number that stands for a null id in the chunk index; no document may have it.
+NO_ID = -(1 << 63)
 #: Ids after which a task starts another file.
 FILE_IDS = 1 << 26
 
@@ -84,8 +86,8 @@ class PlaneWriter:
             self._write(frame)
         self.blocks.append(entry)
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
-        self.docs.append(doc_id)
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        self.docs.append(NO_ID if doc_id is None else doc_id)
         self.counts.append(len(ids))
         self.held.append(ids)
         self.n_held += len(ids)
@@ -135,7 +137,7 @@ class PlaneReader:
         planes = [self.unpack(raw[a - first:a - first + c]) for a, c in zip(places[::2], places[1::2])]
         return join_planes(planes, n, self.planes == 32)
 
-    def documents(self) -> Iterator[tuple[int, np.ndarray]]:
+    def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
         held, at = np.zeros(0, np.uint32), 0
         for doc, count in zip(self.docs.tolist(), self.counts.tolist()):
             parts = [held]
@@ -146,7 +148,7 @@ class PlaneReader:
                 at += 1
             if len(parts) > 1:
                 held = np.concatenate(parts)
-            yield doc, held[:count]
+            yield None if doc == NO_ID else doc, held[:count]
             held = held[count:]
 
 
@@ -188,14 +190,14 @@ def write_token_files(docs: DataFrame, folder: str, spec: str, id_col: str = "do
                       end_id: int = 0, bits: bool = False, block: int = BLOCK_IDS) -> DataFrame:
     """Write the token ids of every text (null: empty) into ``folder``, in ascending id order; returns
     the manifest: one row per file (part, shard, name, n_docs, n_ids).  ``end_id`` follows each
-    document.  Rows with a null id have no place in the
-    order and are left out; repeated ids are kept, in any order among themselves.  Other columns are ignored."""
+    document.  Rows with a null id come last; repeated and null ids are kept, in any order among themselves.  Other
+    columns are ignored."""
     spark = docs.sparkSession
     ship_package(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")) \
-        .filter("id is not null")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid = rows.repartitionByRange(parts, "id").sortWithinPartitions("id")
+    order = F.col("id").asc_nulls_last()
+    laid = rows.repartitionByRange(parts, order).sortWithinPartitions(order)
     return stored(laid.mapInArrow(_write_shards(spark.sparkContext.broadcast(spec), folder, end_id, bits, block),
                                   MANIFEST))
 

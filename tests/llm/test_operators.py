@@ -195,6 +195,17 @@ def test_token_files(docs, rows, bits):
         start += len(ids)
 
 
+def test_token_files_keep_null_and_repeated_ids(spark):
+    rows = [(3, "c"), (None, "n one"), (1, "a"), (None, "n two"), (1, "a"), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(token_output.token_files(df, read_spec(BYTE), end_id=0).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [1, 1, 2, 3, None, None]
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(6)]
+    plain = Tokenizer.from_file(BYTE)
+    crc = lambda t: zlib.crc32(np.array(plain.encode(t or "", add_special_tokens=False).ids + [0], "<u4").tobytes())
+    assert sorted(r.ids_crc32 for r in got) == sorted(crc(t) for _, t in rows)
+
+
 def test_packing(docs, rows, empty):
     plain = Tokenizer.from_file(WORDS)
     out = packing.pack_documents(docs, read_spec(WORDS), capacity=512).collect()
