@@ -27,6 +27,7 @@ from .textops import slices
 
 #: Draws after which a format grows by one character, digit or octet.
 DRAWS_PER_WIDTH = 6
+SALTS = 16
 
 # Titles with their gender, and given names and family-name syllables by script.
 TITLES = {"Mr": "m", "Mister": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Mrs": "f", "Ms": "f", "Miss": "f",
@@ -428,8 +429,13 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
                       .selectExpr("kind", "value", "CASE WHEN size(told) = 1 THEN told[0] ELSE 'n' END AS gender"))
     chosen = resolve_clashes(entities, key)
     # a text needs to be told what it cannot compute by itself: later draws, and genders learnt elsewhere
-    special = (mentions.withColumnRenamed("gender", "local").join(chosen, ["kind", "value"])
-               .filter("number > 0 OR (kind = 'person' AND gender <> local)")
-               .groupBy("text_hash").agg(F.collect_set(F.struct("kind", "value", "surrogate")).alias("moved")))
-    ready = rows.withColumn("text_hash", F.xxhash64("text")).join(special, "text_hash", "left").select("id", "text", "moved")
+    special = stored(mentions.withColumnRenamed("gender", "local").join(chosen, ["kind", "value"])
+                     .filter("number > 0 OR (kind = 'person' AND gender <> local)")
+                     .groupBy("text_hash").agg(F.collect_set(F.struct("kind", "value", "surrogate")).alias("moved")))
+    if special.isEmpty():
+        ready = rows.withColumn("moved", F.lit(None).cast(special.schema["moved"].dataType))
+    else:  # copies of one text are dealt to several tasks
+        salted = special.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        ready = (rows.withColumn("text_hash", F.xxhash64("text")).withColumn("salt", F.expr(f"int(pmod(xxhash64(id), {SALTS}))"))
+                 .join(salted, ["text_hash", "salt"], "left").select("id", "text", "moved"))
     return ready.mapInArrow(_replace(key), "id long, n_entities long, text string").withColumnRenamed("id", id_col)
