@@ -52,6 +52,8 @@ def test_equal_to_brute_force_where_documents_are_rejected(spark):
         own += rng.sample(notices, rng.choice([0, 1, 2, 10]))
         rng.shuffle(own)
         rows.append((k, "\n".join(own), rng.choice(["big", "big", "big", "mid", f"small{k % 40}"])))
+    longest = sorted(notices, key=len)[-6:]
+    rows += [(900 + k, "\n".join([prose(8, 50_000 + k), *longest]), "big") for k in range(40)]  # little of their own
     limits = dict(host_limits=(12, 20), corpus_limits=(30, 40), share=0.05, least=8)
     got = judged(spark, rows, **limits)
     measured = lf.text_measures(spark.createDataFrame([(k, 0, k, t) for k, t, _ in rows], "row long, host long, id long, text string"))
