@@ -11,7 +11,7 @@ def normal(line):
     return "".join("0" if c in "0123456789" else c for c in line.lower() if c not in " \t\x0b\f\r")
 
 
-def brute(rows, voters, share=0.01, least=10, host_limits=lf.HOST_LIMITS, corpus_limits=lf.CORPUS_LIMITS):
+def brute(rows, voters, share=0.01, least=10, keep_share=0.3, host_limits=lf.HOST_LIMITS, corpus_limits=lf.CORPUS_LIMITS):
     host_votes, votes, docs = collections.defaultdict(set), collections.defaultdict(set), collections.defaultdict(set)
     held = {}
     for k, text, host in rows:
@@ -33,7 +33,7 @@ def brute(rows, voters, share=0.01, least=10, host_limits=lf.HOST_LIMITS, corpus
         twice = collections.Counter(windows)
         repeated = len({j + i for j, w in enumerate(windows) if twice[w] > 1 for i in range(3)})
         left = n - sum(w for _, w in gone)
-        out[k] = len(gone), left, n >= 50 and 100 * repeated <= 50 * n and left >= 0.3 * n and left >= 20
+        out[k] = len(gone), left, n >= 50 and 100 * repeated <= 50 * n and left >= keep_share * n and left >= 20
     return out
 
 
@@ -54,7 +54,7 @@ def test_equal_to_brute_force_where_documents_are_rejected(spark):
         rows.append((k, "\n".join(own), rng.choice(["big", "big", "big", "mid", f"small{k % 40}"])))
     longest = sorted(notices, key=len)[-6:]
     rows += [(900 + k, "\n".join([prose(8, 50_000 + k), *longest]), "big") for k in range(40)]  # little of their own
-    limits = dict(host_limits=(12, 20), corpus_limits=(30, 40), share=0.05, least=8)
+    limits = dict(host_limits=(12, 20), corpus_limits=(30, 40), share=0.05, least=8, keep_share=0.5)
     got = judged(spark, rows, **limits)
     measured = lf.text_measures(spark.createDataFrame([(k, 0, k, t) for k, t, _ in rows], "row long, host long, id long, text string"))
     voters = {r.id: r.voter for r in measured.collect()}
