@@ -110,53 +110,35 @@ def _task(step_type: str, columns: list[str], params: dict | None = None,
     return _step(f"{step_type}_{'_'.join(columns)}", step_type, columns, params, om)
 
 
+# The behaviour recipes.  Each entry: recipe, step type, output name, parameters; {g} is the group key, {t} the first
+# target column, and an entry that names a target applies only where there is one.
+BEHAVIOR_RECIPES: list[tuple[str, str, str, tuple[str, ...]]] = [
+    ("base", "group_frequency", "{g}_event_count", ()),
+    ("base", "group_duration", "{g}_duration_seconds", ("time_column",)),
+    ("base", "group_unique_count", "{g}_{t}_unique_count", ("time_column", "target_column")),
+    ("window", "time_window_count", "{g}_15m_count", ("time_column", "window_minutes")),
+    ("window", "window_spike_flag", "{g}_15m_spike", ("time_column", "window_minutes", "threshold")),
+    ("window", "window_target_unique_count", "{g}_{t}_15m_unique_count", ("time_column", "target_column", "window_minutes")),
+    ("sequence", "group_event_order", "{g}_event_order", ("time_column",)),
+    ("sequence", "time_since_previous_event", "{g}_seconds_since_previous", ("time_column",)),
+    ("sequence", "time_until_next_event", "{g}_seconds_until_next", ("time_column",)),
+    ("sequence", "group_value_change_flag", "{g}_{t}_changed", ("time_column", "target_column")),
+    ("flow", "window_status_change_count", "{g}_{t}_15m_change_count", ("time_column", "target_column", "window_minutes"))]
+SPIKE_THRESHOLDS = {"entity": 10}
+
+
 def behavior_tracking_steps(group_key: str, time_column: str, target_columns: list[str],
                             recipe_kinds: set[str], tracking_type: str, available: list[str]) -> list[dict]:
-    """PIP-10: base / window / sequence step sets around one group key."""
-    if group_key not in available or time_column not in available:
+    """PIP-10: the entries of ``BEHAVIOR_RECIPES`` that the asked recipes and the known columns allow."""
+    if not {group_key, time_column} <= set(available):
         return []
-    targets = [c for c in target_columns if c in available and c not in (group_key, time_column)]
-    tgt = targets[0] if targets else None
-    steps: list[dict] = []
-    if "base" in recipe_kinds:
-        steps.append(_task("group_frequency", [group_key], output_column=f"{group_key}_event_count"))
-        steps.append(_task("group_duration", [group_key], {"time_column": time_column},
-                           f"{group_key}_duration_seconds"))
-        if tgt:
-            steps.append(_task("group_unique_count", [group_key], {"time_column": time_column, "target_column": tgt},
-                               f"{group_key}_{tgt}_unique_count"))
-    if "window" in recipe_kinds:
-        steps.append(_task("time_window_count", [group_key], {"time_column": time_column, "window_minutes": 15},
-                           f"{group_key}_15m_count"))
-        steps.append(_task("window_spike_flag", [group_key],
-                           {"time_column": time_column, "window_minutes": 15,
-                            "threshold": 10 if tracking_type == "entity" else 6}, f"{group_key}_15m_spike"))
-        if tgt:
-            steps.append(_task("window_target_unique_count", [group_key],
-                               {"time_column": time_column, "target_column": tgt, "window_minutes": 15},
-                               f"{group_key}_{tgt}_15m_unique_count"))
-    if "sequence" in recipe_kinds:
-        steps.append(_task("group_event_order", [group_key], {"time_column": time_column},
-                           f"{group_key}_event_order"))
-        steps.append(_task("time_since_previous_event", [group_key], {"time_column": time_column},
-                           f"{group_key}_seconds_since_previous"))
-        steps.append(_task("time_until_next_event", [group_key], {"time_column": time_column},
-                           f"{group_key}_seconds_until_next"))
-        if tgt:
-            steps.append(_task("group_value_change_flag", [group_key],
-                               {"time_column": time_column, "target_column": tgt}, f"{group_key}_{tgt}_changed"))
-    if tracking_type == "flow" and tgt and ({"sequence", "window"} & set(recipe_kinds)):
-        steps.append(_task("window_status_change_count", [group_key],
-                           {"time_column": time_column, "target_column": tgt, "window_minutes": 15},
-                           f"{group_key}_{tgt}_15m_change_count"))
-    seen, out = set(), []
-    for s in steps:
-        fp = (s["step_type"], tuple(s["input_selector"]["columns"]), s["params"].get("target_column"),
-              s["params"].get("time_column"), s["output_mode"].get("output_column"))
-        if fp not in seen:
-            seen.add(fp)
-            out.append(s)
-    return out
+    target = next((c for c in target_columns if c in available and c not in (group_key, time_column)), None)
+    asked = set(recipe_kinds) | ({"flow"} if tracking_type == "flow" and {"window", "sequence"} & set(recipe_kinds) else set())
+    values = {"time_column": time_column, "target_column": target, "window_minutes": 15,
+              "threshold": SPIKE_THRESHOLDS.get(tracking_type, 6)}
+    return [_task(step, [group_key], {n: values[n] for n in names}, output.format(g=group_key, t=target))
+            for recipe, step, output, names in BEHAVIOR_RECIPES
+            if recipe in asked and (target is not None or "target_column" not in names)]
 
 
 # The quick tasks.  Each entry: step type, where its input comes from, params, what must be known.
