@@ -3,15 +3,17 @@
 Candidate strings are the runs of 20 or more characters of ``[A-Za-z0-9+/_=-]`` that hold a digit and a letter.
 A window of 20 characters slides over a candidate; the counts per character are updated by the one that
 enters and the one that leaves, and with them S = sum c * log2 c, so that the window's entropy is
-log2 20 - S / 20.  A candidate is a secret from the first to the last window that reaches the limit of its
+log2 20 - S / 20.  A candidate is a secret, from end to end, when a window reaches the limit of its
 character class (hexadecimal digits; letters and digits of one case; mixed).  The allow-list suppresses whole
-values only: identifiers and paths of plain words, UUIDs, and values without a window that reaches the limit and
-holds no part of a placeholder word.  What a fixed pattern has found is cut out of a candidate, and each
+values only: identifiers and paths of plain words and short numbers, UUIDs, and values without a window that
+reaches the limit and holds no part of a placeholder word.  What a fixed pattern has found is cut out of a candidate, and each
 remaining piece of 20 or more characters is a candidate of its own.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,13 +25,15 @@ KINDS = ["assign", "access", "hex", "entropy"]
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
+#: Counts held in one long, and the unit in which S is summed.
+PER_LONG, UNIT = 12, 1 << 40
 #: Alphabet and least entropy (bits) per character class.
 CLASSES = {"hex": ("0123456789abcdef", 2.9),
            "single": ("0123456789abcdefghijklmnopqrstuvwxyz+/_=-", 3.5),
            "mixed": ("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-", 3.7)}
 #: Shapes of whole values after leading separators; possessive, so that long values need no backtracking or stack.
 ALLOWED = [r"(?i)^[-=_+/]*+[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$",
-           r"^[-=_+/]*+(?:[A-Za-z]++[-_/+=]++)++[A-Za-z]*+[0-9]{0,4}$"]
+           r"^[-=_+/]*+(?:(?:[A-Za-z]++|[0-9]{1,4}+)[-_/+=]++)++[A-Za-z]*+[0-9]{0,4}$"]
 PLACEHOLDER = r"(?i)example|placeholder|changeme|dummy|sample|xxxxx|00000|12345"
 
 
@@ -44,25 +48,36 @@ def _ends(gaps: str, matches: str) -> str:
 
 
 def window_hits(run: str, alphabet: str, limit: float) -> str:
-    """SQL for struct(first, last): first window start and last window end that reach the limit."""
-    size = len(alphabet)
-    f = "(CASE WHEN {0} > 0 THEN {0} * log2({0}) ELSE 0D END)"
-    code = f"instr('{alphabet}', substring({run}, {{0}}, 1)) - 1"
-    enter, leave = code.format("i"), code.format(f"i - {WINDOW}")
-    step = f"""CASE WHEN i > {WINDOW} AND z.o = z.n THEN struct(a.c AS c, a.s AS s)
-        ELSE struct(transform(a.c, (v, k) -> v + CASE WHEN k = z.n THEN 1 WHEN k = z.o THEN -1 ELSE 0 END) AS c,
-        a.s + {f.format('(a.c[z.n] + 1)')} - {f.format('a.c[z.n]')}
-        + CASE WHEN z.o >= 0 THEN {f.format('(a.c[z.o] - 1)')} - {f.format('a.c[z.o]')} ELSE 0D END AS s) END"""
+    """SQL for struct(first, last): first window start and last window end that reach the limit.
+
+    The characters are numbered once.  Counts are at most 20, so twelve of them share a long, five bits each, and
+    a step touches no more than a few longs, whatever the alphabet; S is kept in units of 2**-40, so it is exact
+    and does not depend on how far the window has come.  The work is linear in the length of the run.
+    """
+    words = range(-(-len(alphabet) // PER_LONG))
+    terms = "array(" + ",".join(f"{round(c * math.log2(c) * UNIT) if c else 0}L" for c in range(WINDOW + 2)) + ")"
+    most = math.floor(WINDOW * (math.log2(WINDOW) - limit + 1e-9) * UNIT)
+    bit = f"shiftleft(1L, 5 * ({{0}} % {PER_LONG}))"
+    count = "int(shiftright(CASE {0} div %d %s END, 5 * ({0} %% %d)) & 31L)" % (
+        PER_LONG, " ".join(f"WHEN {k} THEN a.w{k}" for k in words), PER_LONG)
+    moved = ", ".join(f"a.w{k} + CASE WHEN z.n div {PER_LONG} = {k} THEN {bit.format('z.n')} ELSE 0L END "
+                      f"- CASE WHEN z.o div {PER_LONG} = {k} AND z.o >= 0 THEN {bit.format('z.o')} ELSE 0L END AS w{k}" for k in words)
+    same = ", ".join(f"a.w{k} AS w{k}" for k in words)
+    step = f"""CASE WHEN z.o = z.n THEN struct({same}, a.s AS s) ELSE transform(array(struct({count.format('z.n')} AS p,
+        CASE WHEN z.o >= 0 THEN {count.format('z.o')} ELSE 0 END AS q)), y -> struct({moved},
+        a.s + {terms}[y.p + 1] - {terms}[y.p] + CASE WHEN y.q > 0 THEN {terms}[y.q - 1] - {terms}[y.q] ELSE 0L END AS s))[0] END"""
     # one-element arrays hold intermediate values, so that each is computed once
-    step = (f"transform(array(struct({enter} AS n, CASE WHEN i > {WINDOW} THEN {leave} ELSE -1 END AS o)), "
-            f"z -> {step})[0]")
-    reach = f"i >= {WINDOW} AND log2({WINDOW}) - y.s / {WINDOW} >= {limit}D - 1e-9D"
-    return (f"aggregate(sequence(1, length({run})), "
-            f"struct(transform(sequence(1, {size}), x -> 0) AS c, 0D AS s, -1 AS first, -1 AS last), "
-            f"(a, i) -> transform(array({step}), y -> struct(y.c AS c, y.s AS s, "
-            f"CASE WHEN a.first < 0 AND {reach} THEN i - {WINDOW} ELSE a.first END AS first, "
-            f"CASE WHEN {reach} THEN i ELSE a.last END AS last))[0], "
-            f"a -> struct(a.first AS first, a.last AS last))")
+    step = f"transform(array(struct(c[i] AS n, CASE WHEN i >= {WINDOW} THEN c[i - {WINDOW}] ELSE -1 END AS o)), z -> {step})[0]"
+    reach = f"i >= {WINDOW - 1} AND y.s <= {most}L"
+    zero = ", ".join(f"0L AS w{k}" for k in words)
+    kept = ", ".join(f"y.w{k} AS w{k}" for k in words)
+    scan = (f"CASE WHEN size(c) >= {WINDOW} THEN aggregate(sequence(0, size(c) - 1), "
+            f"struct({zero}, 0L AS s, -1 AS first, -1 AS last), "
+            f"(a, i) -> transform(array({step}), y -> struct({kept}, y.s AS s, "
+            f"CASE WHEN a.first < 0 AND {reach} THEN i - {WINDOW - 1} ELSE a.first END AS first, "
+            f"CASE WHEN {reach} THEN i + 1 ELSE a.last END AS last))[0], "
+            f"a -> struct(a.first AS first, a.last AS last)) ELSE struct(-1 AS first, -1 AS last) END")
+    return f"transform(array(transform(split({run}, ''), x -> instr('{alphabet}', x) - 1)), c -> {scan})[0]"
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,10 +134,10 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.selectExpr("_all", "base", f"filter(runs, r -> NOT r.m rlike {_literal(PLACEHOLDER)} OR exists("
                                            f"filter(split(r.m, {_literal(PLACEHOLDER)}, -1), p -> length(p) >= {WINDOW}), "
                                            f"p -> ({hits('p')}).last >= 0)) AS runs")
-    rows = rows.selectExpr("_all", "base", f"CASE WHEN size(runs) > 0 THEN transform(runs, r -> struct(r.start AS at, {hits('r.m')} AS w)) "
+    rows = rows.selectExpr("_all", "base", f"CASE WHEN size(runs) > 0 THEN transform(runs, r -> struct(r.start, r.end, {hits('r.m')} AS w)) "
                                            f"ELSE array() END AS hits")
-    extra = (f"transform(filter(hits, h -> h.w.last >= 0), h -> struct(h.at + h.w.first AS start, "
-             f"{KINDS.index('entropy')} AS rank, 'entropy' AS kind, h.at + h.w.last AS end))")
+    extra = (f"transform(filter(hits, h -> h.w.last >= 0), h -> struct(h.start, "
+             f"{KINDS.index('entropy')} AS rank, 'entropy' AS kind, h.end))")
     return rows.selectExpr("_all.*", f"sort_array(concat(base, {extra})) AS secrets")
 
 

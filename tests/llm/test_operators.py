@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -322,12 +323,12 @@ def test_secret_scan(spark, docs, empty):
 
 
 def brute_entropy(run):
-    """(first, end) of the windows of a run that reach the limit of its class, or None."""
+    """(0, length) of a run with a window that reaches the limit of its class, or None."""
     hexa = re.fullmatch("[0-9a-f]+|[0-9A-F]+", run)
     mixed = re.search("[a-z]", run) and re.search("[A-Z]", run)
     limit = 2.9 if hexa else 3.7 if mixed else 3.5
     hits = [k for k in range(len(run) - 19) if entropy(run[k:k + 20]) >= limit - 1e-9]
-    return (hits[0], hits[-1] + 20) if hits else None
+    return (0, len(run)) if hits else None
 
 
 def entropy_spans(spark, texts):
@@ -340,14 +341,14 @@ def test_allow_list_keeps_random_secrets(spark):
     """Separators at the start or in a row and placeholder words do not hide a secret; spans equal the unfiltered brute force."""
     rng = random.Random(17)
     base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-    shapes = [re.compile(r"[-=_+/]*([A-Za-z]+[-_/+=]+)+[A-Za-z]*[0-9]{0,4}$")]
+    shapes = [re.compile(r"[-=_+/]*(([A-Za-z]+|[0-9]{1,4})[-_/+=]+)+[A-Za-z]*[0-9]{0,4}$")]
     keys = ["".join(rng.choices(base64, k=n)) for n in [40] * 300 + [2000] * 6 + [8000] * 2]
     keys += ["/+-" + keys[0], keys[1][:20] + "+/=" + keys[1][20:], "dummy" + keys[2], keys[3] + "12345" + keys[4], "EXAMPLE/" + keys[5]]
     keys = [k for k in keys if re.search("[0-9]", k) and not re.search(r"AKIA|[0-9a-f]{24}", k) and not any(p.match(k) for p in shapes)]
     assert len(keys) > 300
     assert entropy_spans(spark, keys) == [[brute_entropy(k)] for k in keys]
     allowed = ["123e4567-e89b-12d3-a456-426614174000", "/usr/local/lib/some/python3", "--word-joined_identifier-long12", "your-example-key-12345-dummy",
-               "a/" * 30_000 + "b1"]
+               "/assets/2023/11/24/header-image-large", "a/" * 30_000 + "b1"]
     assert entropy_spans(spark, allowed) == [[] for _ in allowed]
 
 
@@ -387,6 +388,29 @@ def test_window_entropy(spark, text, alphabet, limit):
     assert (r.first, r.last) == ((hits[0], hits[-1] + 20) if hits else (-1, -1))
 
 
+@pytest.mark.parametrize("kind", list(secret_scan.CLASSES))
+def test_window_entropy_of_random_runs(spark, kind):
+    """First and last hit equal the entropy of every window, for alphabets of one to six packed longs."""
+    alphabet, limit = secret_scan.CLASSES[kind]
+    rng = random.Random(29)
+    runs = ["".join(rng.choices(alphabet[:rng.randint(1, len(alphabet))], k=rng.choice([0, 1, 19, 20, 21, 60, 300]))) for _ in range(150)]
+    want = []
+    for run in runs:
+        hits = [k for k in range(len(run) - 19) if entropy(run[k:k + 20]) >= limit - 1e-9]
+        want.append((hits[0], hits[-1] + 20) if hits else (-1, -1))
+    df = spark.createDataFrame(list(enumerate(runs)), "k int, t string")
+    got = df.selectExpr("k", secret_scan.window_hits("t", alphabet, limit) + " AS w").orderBy("k").collect()
+    assert [(r.w.first, r.w.last) for r in got] == want and len(set(want)) > 8
+
+
+def test_entropy_of_a_run_of_a_megabyte(spark):
+    """The work is linear in the run: a megabyte of low entropy with one key at its end is found whole."""
+    run = "xy1" * 330_000 + "aB3xK9mQ2zR7tY5wP1vL8nC4qZ"
+    started = time.monotonic()
+    assert entropy_spans(spark, [run, run[:-26] + "xy1" * 9]) == [[(0, len(run))], []]
+    assert time.monotonic() - started < 60
+
+
 def test_surrogates(spark, docs, rows, empty):
     data = [(k, f"write to user{k}@site{k % 7}.example.org, card 4111 1111 1111 1111, ip 10.0.{k % 250}.{k % 9 + 1}.") for k in range(400)]
     data += [(900, None), (901, ""), (902, "WRITE to USER5@SITE5.example.org"), (903, "Mr. Иван Петров met Frau Müller")]
