@@ -54,30 +54,30 @@ def window_hits(run: str, alphabet: str, limit: float) -> str:
     a step touches no more than a few longs, whatever the alphabet; S is kept in units of 2**-40, so it is exact
     and does not depend on how far the window has come.  The work is linear in the length of the run.
     """
-    words = range(-(-len(alphabet) // PER_LONG))
-    terms = "array(" + ",".join(f"{round(c * math.log2(c) * UNIT) if c else 0}L" for c in range(WINDOW + 2)) + ")"
+    f = [round(c * math.log2(c) * UNIT) if c else 0 for c in range(WINDOW + 2)]
     most = math.floor(WINDOW * (math.log2(WINDOW) - limit + 1e-9) * UNIT)
-    bit = f"shiftleft(1L, 5 * ({{0}} % {PER_LONG}))"
-    count = "int(shiftright(CASE {0} div %d %s END, 5 * ({0} %% %d)) & 31L)" % (
-        PER_LONG, " ".join(f"WHEN {k} THEN a.w{k}" for k in words), PER_LONG)
-    moved = ", ".join(f"a.w{k} + CASE WHEN z.n div {PER_LONG} = {k} THEN {bit.format('z.n')} ELSE 0L END "
-                      f"- CASE WHEN z.o div {PER_LONG} = {k} AND z.o >= 0 THEN {bit.format('z.o')} ELSE 0L END AS w{k}" for k in words)
-    same = ", ".join(f"a.w{k} AS w{k}" for k in words)
-    step = f"""CASE WHEN z.o = z.n THEN struct({same}, a.s AS s) ELSE transform(array(struct({count.format('z.n')} AS p,
-        CASE WHEN z.o >= 0 THEN {count.format('z.o')} ELSE 0 END AS q)), y -> struct({moved},
-        a.s + {terms}[y.p + 1] - {terms}[y.p] + CASE WHEN y.q > 0 THEN {terms}[y.q - 1] - {terms}[y.q] ELSE 0L END AS s))[0] END"""
+    packs = range(-(-len(alphabet) // PER_LONG))
+    table = lambda values: "array(" + ",".join(map(str, values)) + ")"  # noqa: E731  (folded to one constant)
+    # by character number, 0 for none: its long, its place in it, and what one more of it adds to each long
+    pack = table([0] + [k // PER_LONG for k in range(len(alphabet))])
+    place = table([5 * PER_LONG] + [5 * (k % PER_LONG) for k in range(len(alphabet))])
+    one = [table(["0L"] + [f"{1 << 5 * (k % PER_LONG) if k // PER_LONG == j else 0}L" for k in range(len(alphabet))]) for j in packs]
+    more, less = (table(f"{v}L" for v in d) for d in ([f[c + 1] - f[c] for c in range(WINDOW + 1)],
+                                                      [0] + [f[c - 1] - f[c] for c in range(1, WINDOW + 1)]))
+    count = lambda x: (f"int(shiftright(CASE {pack}[{x}] " + " ".join(f"WHEN {j} THEN a.w{j}" for j in packs)
+                       + f" END, {place}[{x}]) & 31L)")
+    total = f"CASE WHEN z.o = z.n THEN a.s ELSE a.s + {more}[{count('z.n')}] + {less}[{count('z.o')}] END"
+    counts = ", ".join(f"a.w{j} + {one[j]}[z.n] - {one[j]}[z.o] AS w{j}" for j in packs)
+    reach = f"i >= {WINDOW - 1} AND s <= {most}L"
     # one-element arrays hold intermediate values, so that each is computed once
-    step = f"transform(array(struct(c[i] AS n, CASE WHEN i >= {WINDOW} THEN c[i - {WINDOW}] ELSE -1 END AS o)), z -> {step})[0]"
-    reach = f"i >= {WINDOW - 1} AND y.s <= {most}L"
-    zero = ", ".join(f"0L AS w{k}" for k in words)
-    kept = ", ".join(f"y.w{k} AS w{k}" for k in words)
-    scan = (f"CASE WHEN size(c) >= {WINDOW} THEN aggregate(sequence(0, size(c) - 1), "
-            f"struct({zero}, 0L AS s, -1 AS first, -1 AS last), "
-            f"(a, i) -> transform(array({step}), y -> struct({kept}, y.s AS s, "
+    step = (f"transform(array(struct(c[i] AS n, CASE WHEN i >= {WINDOW} THEN c[i - {WINDOW}] ELSE 0 END AS o)), "
+            f"z -> transform(array({total}), s -> struct({counts}, s AS s, "
             f"CASE WHEN a.first < 0 AND {reach} THEN i - {WINDOW - 1} ELSE a.first END AS first, "
-            f"CASE WHEN {reach} THEN i + 1 ELSE a.last END AS last))[0], "
+            f"CASE WHEN {reach} THEN i + 1 ELSE a.last END AS last))[0])[0]")
+    scan = (f"CASE WHEN size(c) >= {WINDOW} THEN aggregate(sequence(0, size(c) - 1), "
+            f"struct({', '.join(f'0L AS w{j}' for j in packs)}, 0L AS s, -1 AS first, -1 AS last), (a, i) -> {step}, "
             f"a -> struct(a.first AS first, a.last AS last)) ELSE struct(-1 AS first, -1 AS last) END")
-    return f"transform(array(transform(split({run}, ''), x -> instr('{alphabet}', x) - 1)), c -> {scan})[0]"
+    return f"transform(array(transform(split({run}, ''), x -> instr('{alphabet}', x))), c -> {scan})[0]"
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
