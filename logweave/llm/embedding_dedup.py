@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .components import connected_components
+from .row_keys import decide_per_row
 from .tables import stored
 from .textops import mix64, sorted_groups
 
@@ -193,14 +194,19 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     Two vectors are linked when their labels are equal and not null, they have the same length and
     their cosine in double precision is at least ``threshold``.  Vectors that are null, empty, zero or
     hold null or non-finite components link with nothing.  Equal vectors of a label are one node with a
-    multiplicity, so a vector that occurs very often costs one row.  Ids are unique integers; rows
-    with a null id come back without links and with a null component.  Other columns are ignored.
+    multiplicity, so a vector that occurs very often costs one row.  Ids are integers; rows with a repeated or
+    null id are vectors of their own, and one row of a component is kept (see ``decide_per_row``).  Other columns are ignored.
     """
-    spark = vectors.sparkSession
-    ship_package(spark)
+    ship_package(vectors.sparkSession)
     label = F.col(label_col).cast("string")
     values = F.transform(F.col(vector_col), lambda x: F.coalesce(x.cast("double"), F.lit(float("nan"))))
-    rows = stored(vectors.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), values.alias("vec"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), values.alias("vec"))
+    return decide_per_row(rows, lambda own: _components(own, threshold)).withColumnRenamed("id", id_col)
+
+
+def _components(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(id, n_links, component_id, kept) of (id, label, vec) with unique ids."""
+    rows = stored(vectors.select("id", "label", "vec")
                   .mapInArrow(_clean, "id long, label string, dim int, vec binary"))
     same = ["label", "dim", "vec"]
     counted = rows.filter("vec is not null").groupBy(*same).agg(F.min("id").alias("node"), F.count("*").alias("many"))
@@ -231,6 +237,5 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
                      F.coalesce("component", "node").alias("c")))
     out = rows.join(named, same, "left")
     component_id = F.coalesce("c", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-                      component_id.alias("component_id"),
-                      F.coalesce(component_id == F.col("id"), F.lit(True)).alias("kept"))
+    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+                      component_id.alias("component_id"), (component_id == F.col("id")).alias("kept"))

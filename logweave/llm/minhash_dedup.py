@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .components import connected_components
+from .row_keys import decide_per_row, ids_are_keys, keyed
 from .tables import stored
 from .textops import flat_texts, lower_ascii, mix64, segment_hashes, slices, sorted_groups, words
 
@@ -242,16 +243,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Shingles are runs of ``shingle_words`` words of the text with A-Z in lower case; a shorter text is
     one shingle; a null text or one without words has none and links with nothing.  Two documents
     are linked when 100 * intersection >= percent * union of their shingle sets.  ``component_id`` is
-    the smallest id reachable by links.  Ids are unique integers; rows with a null id come back
-    with null component and ``kept`` true.  Other columns of ``docs`` are ignored, so their names cannot clash.
+    the smallest id reachable by links.  Ids are integers; rows with a repeated or null id are documents of their own,
+    and one row of a component is kept (see ``decide_per_row``).  Other columns of ``docs`` are ignored, so their
+    names cannot clash.
     """
-    spark = docs.sparkSession
-    ship_package(spark)
+    ship_package(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return decide_per_row(texts, lambda rows: _components(rows, shingle_words, percent)).withColumnRenamed("id", id_col)
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5,
+                         percent: int = 80) -> DataFrame:
+    """One row of each group of near duplicates, with all columns: the one with the smallest id, nulls last.
+
+    Rows with a repeated or null id are told apart; a column may have any name."""
+    ship_package(docs.sparkSession)
+    rows = docs.select(F.struct("*").alias("_doc"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    if not ids_are_keys(rows.select("id")):
+        rows = keyed(rows).drop("id").withColumnRenamed("key", "id")
+    gone = _components(rows.select("id", "text"), shingle_words, percent).filter("NOT kept").select("id")
+    return rows.select("id", "_doc").join(gone, "id", "left_anti").select("_doc.*")
+
+
+def _components(texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """(id, n_shingles, component_id, kept) of (id, text) with unique ids."""
+    texts = texts.select("id", "text")
     described = stored(texts.mapInArrow(
         _describe(shingle_words), "id long, n_shingles long, set_a long, set_b long, sig binary"))
     same = ["n_shingles", "set_a", "set_b"]
-    filled = described.filter("n_shingles > 0 and id is not null")
+    filled = described.filter("n_shingles > 0")
     nodes = stored(filled.groupBy(*same).agg(F.min("id").alias("node"), F.first("sig").alias("sig")))
     keys = nodes.select("node", "sig").mapInArrow(_keys, "key long, node long")
     sizes = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
@@ -269,6 +289,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         label = connected_components(links.unionByName(more), "a", "b")
     placed = nodes.join(label, "node", "left").select(*same, F.coalesce("component", "node").alias("c"))
     out = described.join(placed, same, "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),
-                      F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    component = F.coalesce("c", "id")
+    return out.select("id", "n_shingles", component.alias("component_id"), (component == F.col("id")).alias("kept"))

@@ -58,6 +58,25 @@ def test_near_duplicates_equal_brute_force(docs, rows, size):
         {k: (len(sets[k]), want[k], want[k] == k) for k in sets}
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    """Rows with one id are documents of their own; one row of a group is kept, component_id is its smallest id."""
+    a, b, c = (" ".join(f"{w}{k}" for k in range(30)) for w in "abc")
+    data = [(1, a), (1, a), (1, b), (None, a), (None, b), (None, c), (None, c), (7, b), (None, None), (None, ""), (9, None)]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(4)).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == collections.Counter(
+        [(1, 27, 1, True), (1, 27, 1, True), (1, 27, 1, False), (None, 27, 1, False), (None, 27, 1, False), (7, 27, 1, False),
+         (None, 27, None, True), (None, 27, None, False), (None, 0, None, True), (None, 0, None, True), (9, 0, 9, True)])
+
+
+def test_vectors_of_repeated_and_null_ids(spark):
+    data = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (None, [1.0, 0.01], 1), (None, [-1.0, 0.0], 1),
+            (None, [-1.0, 0.0], 1), (4, None, 1), (None, None, None)]
+    got = embedding_dedup.near_duplicate_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")).collect()
+    assert collections.Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == collections.Counter(
+        [(1, 2, 1, True), (1, 2, 1, False), (1, 0, 1, True), (None, 2, 1, False), (None, 1, None, True), (None, 1, None, False),
+         (4, 0, 4, True), (None, 0, None, True)])
+
+
 def test_near_duplicates_chain_and_clusters(spark):
     """A chain of small edits whose ends differ, and a cluster of edits of one text."""
     rng = random.Random(4)
