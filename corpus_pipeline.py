@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.llm import language_id, quality_qda
-from logweave.llm.minhash_dedup import near_duplicates
+from logweave.llm.minhash_dedup import drop_near_duplicates
 from logweave.llm.packing import pack_documents
 from logweave.llm.secret_scan import redact, secret_spans
 from logweave.llm.tables import stored
@@ -38,8 +38,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document (the smallest id) of each group of near duplicates: five-word shingles, 0.8."""
-    gone = near_duplicates(docs, shingle_words=5, percent=80).filter("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return drop_near_duplicates(docs, shingle_words=5, percent=80)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
