@@ -15,6 +15,7 @@ from ..operators import analysis as an
 from ..operators import drilldown as dd
 from ..operators.selection import feature_matrix, feature_vectors, select_training_columns, selection_frame
 from ..plans.chain import run_features
+from ..plans.training_input import choice_frame, choose_training_columns
 from .common import logs, round6, table, with_logs
 from .q_features import FLOW_STEPS
 from .registry import query
@@ -565,6 +566,56 @@ def select_features_generated(spark, d):
     return selection_frame(df, select_training_columns(df, None, target="label", rid="row_id", generated=True))
 
 
+_CANDIDATES = ["value_copy", "empty_field", "value_again", "one", "label_code"]
+
+
+def _choice_input(spark, d):
+    return _selection_input(spark, d).withColumns({
+        "value_again": F.col("value"), "one": F.lit(1), "label_code": F.col("label").cast("string") == "x"})
+
+
+def _choice_sql() -> str:
+    """Reasons of the candidates from the data, all other columns excluded; used ones first, then the others by schema."""
+    facts = ("SELECT count(value) AS n, count(DISTINCT value) AS k, count(DISTINCT (label = 'x')) AS l, count(label) AS m FROM logs")
+    value = "CASE WHEN n = 0 THEN 'empty_after_generation' WHEN k < 2 THEN 'constant_after_generation' END"
+    rows = [("value_copy", value), ("empty_field", "'empty_after_generation'"),
+            ("value_again", f"coalesce({value}, 'duplicates_feature:value_copy')"), ("one", "'constant_after_generation'"),
+            ("label_code", "CASE WHEN m = 0 THEN 'empty_after_generation' WHEN l < 2 THEN 'constant_after_generation' END")]
+    others = [c for c, _ in _SEL_INPUT if c not in _CANDIDATES]
+    rows += [(c, "'not_in_training_candidates'") for c in others]
+    return with_logs(" UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", ({r}) IS NULL AS used, {r} AS reason, 'feature_pipeline_candidates' AS source FROM ({facts})"
+        for c, r in rows))
+
+
+@query("select_features_pipeline", _choice_sql())
+def select_features_pipeline(spark, d):
+    """TSL-1, TSL-5: candidates of a feature pipeline found from the schema, other columns excluded, the source recorded."""
+    df = _choice_input(spark, d)
+    choice = choose_training_columns(df, target="label", rid="row_id", feature_pipeline={},
+                                     dataset_columns=logs(spark, d).columns)
+    return choice_frame(df, choice).drop("position")
+
+
+@query("retrain_versions", "SELECT 2 AS runs, TRUE AS same_columns, TRUE AS first_kept, count(*) AS rows_seen "
+       "FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL")
+def retrain_versions(spark, d):
+    """TRN-15: a configuration trained on the table, then on a version of it with lengths counted anew; both runs stay."""
+    from ..ml import runs
+    from ..session import ensure_checkpoint_dir
+    docs = _docs_labeled(spark, d)
+    base = ensure_checkpoint_dir(spark)
+    config = {"algorithm": "logistic_regression", "target": "quality", "rid": "doc_id",
+              "selection": {"requested": ["n_chars", "lang", "source", "toxic"]}}
+    first = runs.train_run(docs, config, base)
+    before = spark.read.parquet(f"{first}/predictions").count()
+    second = runs.retrain(docs.withColumn("n_chars", F.length("text")), first, base)
+    kept = spark.read.parquet(f"{first}/predictions").count() == before
+    one, two = (runs.read_run(spark, p)["choice"]["used_feature_columns"] for p in (first, second))
+    seen = spark.read.parquet(f"{second}/metrics").select((F.col("train_rows") + F.col("test_rows")).alias("rows_seen"))
+    return seen.select(F.lit(2).alias("runs"), F.lit(one == two).alias("same_columns"), F.lit(kept).alias("first_kept"), "rows_seen")
+
+
 @query("feature_matrix", with_logs(
     "SELECT row_id, coalesce(value, 0.0) AS value, " + ", ".join(
         f"CAST(coalesce(protocol, 'missing') = '{v}' AS DOUBLE) AS \"protocol_{v}\"" for v in ["TCP", "icmp", "udp"])
