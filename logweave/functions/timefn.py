@@ -1,5 +1,8 @@
 """Date/time helpers (FTR-2, PRE-5/8, bucket arithmetic for TWN-*).
 
+A text's shape (digit runs as ``0``, letter runs as ``a``, the rest as it is) tells which layouts can fit it, so a
+text is parsed by the one or two layouts of its shape and by none if it has the shape of no layout.
+
 Time arithmetic is done on epoch microseconds; buckets floor relative to the
 epoch (as pandas ``dt.floor`` does), never with ``F.window`` (which drops null
 times).
@@ -7,6 +10,8 @@ times).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,6 +73,32 @@ def strftime_to_java(fmt: str) -> str:
     return "".join(out)
 
 
+def _layout_shapes(layout: str) -> set[str]:
+    """The shapes of the texts that a layout can fit, one for each choice of its optional parts."""
+    optional = re.search(r"\[([^\[\]]*)\]", layout)
+    if optional:
+        before, after = layout[:optional.start()], layout[optional.end():]
+        return _layout_shapes(before + optional.group(1) + after) | _layout_shapes(before + after)
+    letters = re.sub(r"'[^']*'|MMMM?|a", "\0", layout)
+    zones = [letters.replace("Z", sign + "mmmm") for sign in "+-"] if "Z" in letters else [letters]
+    digits = (re.sub(r"[yMdHhmsS]+", lambda run: "0" * max(len(run.group()), 1), z) for z in zones)
+    return {re.sub(SHORT_RUN, "0", d).replace("\0", "a") for d in digits}
+
+
+#: A run of digits that is no compact date; its length is no part of a shape.
+SHORT_RUN = r"(?<!0)0{1,7}(?!0)"
+#: Layouts by the shapes they can fit; the sets of any two families are disjoint, a family's layouts are tried in order.
+LAYOUT_FAMILIES: dict[frozenset[str], list[str]] = {}
+for _layout in TEXT_TIME_LAYOUTS:
+    LAYOUT_FAMILIES.setdefault(frozenset(_layout_shapes(_layout)), []).append(_layout)
+
+
+def text_shape(c: Column) -> Column:
+    """``03/Apr/2024 9:15`` has the shape ``0/a/0 0:0``; runs of eight digits or more keep their length."""
+    zeros = F.translate(F.regexp_replace(c, "[A-Za-z]+", "a"), "123456789", "000000000")
+    return F.regexp_replace(zeros, SHORT_RUN, "0")
+
+
 def to_timestamp_any(c: Column, dtype: T.DataType | None = None, fmt: str | None = None) -> Column:
     """Coerce any column to TIMESTAMP like ``pd.to_datetime(errors='coerce')``, each row on its own.
 
@@ -87,7 +118,12 @@ def to_timestamp_any(c: Column, dtype: T.DataType | None = None, fmt: str | None
     dated = F.filter(F.array(s), lambda x: x.rlike(DATED_TEXT))
     single = F.filter(F.transform(dated, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: F.length(x) <= 64)
     plain = F.transform(single, lambda x: F.regexp_replace(x, WEEKDAY, ""))
-    parsed = F.transform(plain, lambda x: F.coalesce(*[F.try_to_timestamp(x, F.lit(p)) for p in TEXT_TIME_LAYOUTS]))
+    # a family's shapes are one literal: a list of them for every column makes wide plans slow to compile
+    shaped = F.transform(plain, lambda x: F.struct(x.alias("text"), F.concat(F.lit("|"), text_shape(x), F.lit("|")).alias("shape")))
+    parsed = F.transform(shaped, lambda x: F.coalesce(*[
+        F.when(F.lit("|".join(["", *sorted(shapes), ""])).contains(x["shape"]),
+               F.coalesce(*[F.try_to_timestamp(x["text"], F.lit(layout)) for layout in layouts]))
+        for shapes, layouts in LAYOUT_FAMILIES.items()]))
     return F.coalesce(F.when(s.rlike(ISO_TEXT), s.try_cast("timestamp")), F.get(parsed, F.lit(0)))
 
 
