@@ -7,6 +7,8 @@
   row per (group, bucket) once the watermark passes the bucket end.  Buckets
   are epoch-aligned like the batch operator; rows without a time cannot be
   placed in an event-time window and are not counted.
+* :func:`window_distinct` is the streaming form of ``window_unique_count`` / ``window_target_unique_count``.
+* :func:`logweave.streaming.ordered.ordered_features` is the streaming form of the ordered group steps.
 """
 
 from __future__ import annotations
@@ -57,3 +59,23 @@ def window_counts(stream: DataFrame, group_columns: list[str], time_column: str,
     if threshold is not None:
         out = out.withColumn(f"{m}m_spike", (F.col(f"{m}m_count") >= max(int(threshold), 1)).cast("long"))
     return out
+
+
+def window_distinct(stream: DataFrame, group_columns: list[str], time_column: str, target_column: str, window_minutes: int = 15,
+                    watermark: str = "10 minutes") -> DataFrame:
+    """Exact number of distinct non-null targets per (group, tumbling bucket), once the watermark passes the bucket's end.
+
+    Two aggregates: one state row per (group, bucket, target), so a group that holds a third of the stream is dealt by its
+    values, then their number per (group, bucket).  The state of a bucket goes when the watermark passes its end; rows
+    without a time or behind the watermark are not counted."""
+    m = max(int(window_minutes), 1)
+    # names of the two aggregates' own: the columns of the stream may have any name
+    keys = [F.col(c).alias(f"__g{i}") for i, c in enumerate(group_columns)]
+    rows = stream.select(*keys, F.col(time_column).cast("timestamp").alias("__at"), F.col(target_column).alias("__target"))
+    named = [f"__g{i}" for i in range(len(group_columns))]
+    values = (rows.withWatermark("__at", watermark).groupBy(*named, F.window("__at", f"{m} minutes").alias("__w"), "__target")
+              .agg(F.count(F.lit(1)).alias("__n")))
+    counts = (values.groupBy(*named, F.window(F.window_time("__w"), f"{m} minutes").alias("__b"))
+              .agg(F.count("__target").alias("__u")))
+    return counts.select(*[F.col(g).alias(c) for g, c in zip(named, group_columns)], F.col("__b.start").alias("bucket_start"),
+                         F.col("__b.end").alias("bucket_end"), F.col("__u").alias(f"{m}m_unique_count"))
