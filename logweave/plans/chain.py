@@ -20,7 +20,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import timefn as tf
@@ -315,9 +315,20 @@ def run_features(df: DataFrame, steps: list, rid: str | None = None, num_partiti
     return res if collect_lineage else res.frame
 
 
+def _counted_head(frame: DataFrame, rid: str, columns: list[str], head: int) -> tuple[int, DataFrame]:
+    """Number of rows and the first ``head`` by row id, from one run of the plan: the count is observed as the rows pass."""
+    seen = Observation()
+    first = frame.observe(seen, F.count(F.lit(1)).alias("rows")).orderBy(rid).limit(head).select(*columns)
+    rows = first.collect()  # at most ``head``; as a table of their own they do not run the chain again
+    count = seen.get["rows"] if rows else 0  # a plan known to be empty reports nothing
+    return count, frame.sparkSession.createDataFrame(rows, first.schema)
+
+
 def preview_step(df: DataFrame, steps: list, index: int, kind: str = "feature", limit: int = 20,
                  rid: str | None = None) -> dict[str, Any]:
-    """PIP-3: run steps before ``index`` then step ``index``; counts, column diff and first rows."""
+    """PIP-3: run steps before ``index`` then step ``index``; counts, column diff and first rows.
+
+    Each side's plan runs once, when the function is called."""
     if index < 0 or index >= len(steps):
         raise StepError("step index out of range")
     runner = run_features if kind == "feature" else run_preprocess
@@ -329,13 +340,15 @@ def preview_step(df: DataFrame, steps: list, index: int, kind: str = "feature",
     bcols = [c for c in before.columns if c != hidden]
     acols = [c for c in after.columns if c != hidden]
     head = max(1, min(int(limit), 50))
+    before_count, before_rows = _counted_head(before, own_rid, bcols, head)
+    after_count, after_rows = _counted_head(after, own_rid, acols, head)
     return {
-        "before_count": before.count(),
-        "after_count": after.count(),
+        "before_count": before_count,
+        "after_count": after_count,
         "before_columns": bcols,
         "after_columns": acols,
         "added_columns": [c for c in acols if c not in bcols],
         "removed_columns": [c for c in bcols if c not in acols],
-        "before_rows": before.orderBy(own_rid).limit(head).select(*bcols),
-        "after_rows": after.orderBy(own_rid).limit(head).select(*acols),
+        "before_rows": before_rows,
+        "after_rows": after_rows,
     }
