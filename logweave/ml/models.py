@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import py_strip
 from ..operators.selection import feature_vectors
-from ..session import reliable_checkpoint
+from ..session import ensure_checkpoint_dir, reliable_checkpoint
 from .rows import Layout, blocks
 
 # Fixed value: label texts counted as "anomalous" ground truth.
@@ -76,6 +76,18 @@ def _classifier(algorithm: str, params: dict[str, Any], n_train: int):
     raise ValueError(f"Unsupported supervised algorithm: {algorithm}")
 
 
+def _without_summary(model):
+    """The fitted model as its saved form gives it back, for scoring.
+
+    A fitted model keeps its training summary, which holds the session; once any query of the session has observed
+    metrics, the session cannot be sent to tasks, and neither can a scoring function of that model."""
+    path = save_model(model, ensure_checkpoint_dir(SparkSessionRef.get()), "fitted")
+    again = type(model).load(path)
+    if (again.coefficientMatrix, again.interceptVector) != (model.coefficientMatrix, model.interceptVector):
+        raise ValueError("The saved model differs from the fitted one")
+    return again
+
+
 def train_supervised(df: DataFrame, feature_columns: list[str], target: str, algorithm: str, rid: str,
                      params: dict[str, Any] | None = None, context_columns: list[str] | None = None):
     """TRN-1..6/13: returns (fitted model, prediction table of the test rows, metrics row DataFrame)."""
@@ -107,7 +119,7 @@ def train_supervised(df: DataFrame, feature_columns: list[str], target: str, alg
         scored = model.transform(test.drop("features"), rid)
         proba = F.array_max("probability")
     else:
-        model = _classifier(algorithm, params, train.count()).fit(train)
+        model = _without_summary(_classifier(algorithm, params, train.count()).fit(train))
         scored = model.transform(test)
         proba = F.array_max(vector_to_array(F.col("probability")))
     pred = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=indexer.labels).transform(scored)

@@ -151,3 +151,15 @@ def test_model_artifacts(spark, tmp_path):
     fitted, _, _ = ml.train_supervised(sdf, ["v"], "target", "logistic_regression", "rid")
     p2 = ml.save_model(fitted, str(tmp_path))
     assert p2 != path and LogisticRegressionModel.load(p2).numFeatures == 1
+
+
+def test_classifier_scores_after_observed_metrics(spark):
+    """A session that has observed metrics cannot be serialized; a fitted model must not drag it along."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+    seen = Observation("rows")
+    sdf = spark.range(60).selectExpr("id AS rid", "cast(id % 7 AS double) AS v", "if(id % 7 > 3, 'b', 'a') AS target")
+    assert sdf.observe(seen, F.count("*").alias("n")).collect() and seen.get["n"] == 60
+    model, pred, _ = ml.train_supervised(sdf, ["v"], "target", "logistic_regression", "rid")
+    assert not model.hasSummary
+    assert all(r.predicted_label == r.actual_label and r.prediction_proba > 0.5 for r in pred.collect())
