@@ -67,14 +67,38 @@ CHAR_PROFILE_SCHEMA = T.StructType([T.StructField(n, T.DoubleType() if n == "ent
                                      for n in ("n", "entropy", "uniq", "digit", "alpha", "upper", "space", "alnum")])
 
 
-@F.pandas_udf(CHAR_PROFILE_SCHEMA)
-def _char_profile(texts: pd.Series) -> pd.DataFrame:
-    """Counts per (text, character) over the code points of the whole batch; Python's own ``str``
-    predicates are asked once per distinct character of the batch."""
-    strings = ["" if t is None else t for t in texts]
+#: Characters counted at once.
+PIECE = 1 << 19
+
+
+def _stretches(lengths: list[int]):
+    """Stretches of texts (first, end) with at most ``PIECE`` characters together; a longer text is one of its own."""
+    first, total = 0, 0
+    for k, n in enumerate(lengths):
+        if k > first and total + n > PIECE:
+            yield first, k
+            first, total = k, 0
+        total += n
+    if len(lengths) > first:
+        yield first, len(lengths)
+
+
+def _cells(strings: list[str], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text number << 21 | code point, ascending, and how often each occurs; a long text is counted in pieces."""
+    joined, ends = "".join(strings), np.cumsum(n)
+    cells, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for at in range(0, len(joined), PIECE):
+        points = np.frombuffer(joined[at:at + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        owner = np.searchsorted(ends, np.arange(at, at + len(points)), "right")
+        more, times = np.unique(owner << 21 | points, return_counts=True)
+        cells, back = np.unique(np.concatenate([cells, more]), return_inverse=True)
+        count = np.bincount(back, np.concatenate([count, times]), len(cells)).astype(np.int64)
+    return cells, count
+
+
+def _profile(strings: list[str]) -> pd.DataFrame:
     n = np.array([len(t) for t in strings], np.int64)
-    points = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    cells, count = np.unique(np.repeat(np.arange(len(n)), n) << 21 | points, return_counts=True)
+    cells, count = _cells(strings, n)
     row = cells >> 21
     chars, which = np.unique(cells & 0x1FFFFF, return_inverse=True)
     share = count / n[row]
@@ -89,6 +113,15 @@ def _char_profile(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
+@F.pandas_udf(CHAR_PROFILE_SCHEMA)
+def _char_profile(texts: pd.Series) -> pd.DataFrame:
+    """Counts per (text, character), a stretch of texts at a time; Python's own ``str``
+    predicates are asked once per distinct character of a stretch."""
+    strings = ["" if t is None else t for t in texts]
+    parts = [_profile(strings[a:b]) for a, b in _stretches([len(t) for t in strings])]
+    return pd.concat(parts, ignore_index=True) if parts else _profile([])
+
+
 def char_profile(c: Column) -> Column:
     """Struct of per-text character statistics (see :data:`CHAR_PROFILE_SCHEMA`)."""
     return _char_profile(c.cast("string"))

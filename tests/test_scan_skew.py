@@ -116,3 +116,22 @@ def test_one_scan_many_targets_and_buckets(spark):
         g_ = got[r["rid"]]
         for c in ("chg_v", "chg_w", "wc_v_30", "wc_w_60", "wc_v_60"):
             assert g_[c] == r[c], (r["rid"], c)
+
+
+def test_character_statistics_hold_few_characters_at_once(monkeypatch):
+    """A batch of long texts, or one very long text, is counted in pieces: memory follows the piece, not the batch."""
+    import tracemalloc
+
+    import pandas as pd
+
+    from logweave.functions import text as tx
+    profile = tx._char_profile.func
+    texts = pd.Series(["aé中😀 1" * 40_000] + ["ab C9" * 600] * 2_000 + ["", None])
+    tracemalloc.start()
+    whole = profile(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * sum(len(t or "") for t in texts)
+    assert whole.iloc[0].tolist()[:1] == [240_000] and whole.iloc[-1].tolist() == [0] * 8
+    monkeypatch.setattr(tx, "PIECE", 1000)
+    pd.testing.assert_frame_equal(profile(texts[:50]), whole[:50], check_exact=True)
