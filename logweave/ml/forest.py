@@ -11,6 +11,7 @@ broadcast; the subtrees stay a table.  Scoring routes a row through the first, t
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,9 +57,9 @@ class Tops:
         return left, left + 1
 
     def route(self, tree: int, num: np.ndarray, cat: np.ndarray) -> np.ndarray:
-        return descend(self._arrays(tree), num, cat)
+        return descend(self.arrays(tree), num, cat)
 
-    def _arrays(self, tree: int):
+    def arrays(self, tree: int):
         columns = list(zip(*self.trees[tree]))
         return [np.array(c) for c in columns]
 
@@ -97,8 +98,11 @@ def grow(num: np.ndarray, cat: np.ndarray, y: np.ndarray, weight: np.ndarray, cl
     A node tries sqrt(width) of the columns of the one-hot matrix that vary in it, drawn at random; cuts lie halfway between
     neighbouring values."""
     rng = np.random.default_rng(seed)
-    hot = np.eye(classes)
     tries = max(1, int(np.sqrt(width)))
+    numeric = num.shape[1]
+    spread = np.eye(classes)[y] * weight[:, None]
+    # per column: its values in order, and the rank of each row's value
+    ranked = [np.unique(column, return_inverse=True) for column in (*num.T, *cat.T)]
     nodes: list[list] = []
     todo = [(np.arange(len(y)), 0, None, 0)]
     while todo:
@@ -106,44 +110,60 @@ def grow(num: np.ndarray, cat: np.ndarray, y: np.ndarray, weight: np.ndarray, cl
         node = len(nodes)
         if parent is not None:
             nodes[parent][side] = node
-        counts = np.bincount(y[rows], weight[rows], classes)
-        nodes.append([node, -1, 0, 0.0, -1, -1, (counts / counts.sum()).tolist()])
-        if (counts > 0).sum() < 2 or depth_limit is not None and depth >= depth_limit:
+        weights = spread[rows]
+        counts = np.add.reduce(weights, 0)
+        nodes.append([node, -1, 0, 0.0, -1, -1, (counts / np.add.reduce(counts)).tolist()])
+        if np.count_nonzero(counts) < 2 or depth_limit is not None and depth >= depth_limit:
             continue
-        own_num, own_cat = num[rows], cat[rows]
-        numbers = np.flatnonzero(own_num.min(0) < own_num.max(0)) if num.shape[1] else []
-        columns = [(int(f), 0) for f in numbers]
-        for c in range(cat.shape[1]):
-            values = np.unique(own_cat[:, c])
-            if len(values) > 1:
-                columns += [(num.shape[1] + c, int(v)) for v in values]
-        if not columns:
+        # a number is one column of the one-hot matrix, a text one for each of its values
+        own = [ranks[rows] for _, ranks in ranked]
+        choice: list[tuple[int, np.ndarray | None]] = []
+        upto = [0]
+        for f, ranks in enumerate(own):
+            if f < numeric:
+                if ranks.min() < ranks.max():
+                    choice.append((f, None))
+                    upto.append(upto[-1] + 1)
+            else:
+                present = _present(ranks, len(ranked[f][0]))
+                if len(present) > 1:
+                    choice.append((f, present))
+                    upto.append(upto[-1] + len(present))
+        if not choice:
             continue
-        picks = rng.choice(len(columns), min(tries, len(columns)), replace=False)
-        weights = hot[y[rows]] * weight[rows, None]
         best = (-1.0, None)
-        for f, slot in (columns[k] for k in picks):
-            if f < num.shape[1]:
-                order = np.argsort(own_num[:, f], kind="stable")
-                x = own_num[order, f]
-                cuts = np.flatnonzero(x[1:] > x[:-1])
-                gain = _gini_gain(np.cumsum(weights[order], 0)[cuts], counts)
-                k = int(np.argmax(gain))
-                low, high = x[cuts[k]], x[cuts[k] + 1]
-                middle = low + (high - low) / 2
-                found = (float(gain[k]), (f, 0, float(middle if low <= middle < high else low)))
+        for k in rng.choice(upto[-1], min(tries, upto[-1]), replace=False).tolist():
+            at = bisect_right(upto, k) - 1
+            f, present = choice[at]
+            if present is None:
+                order = own[f].argsort(kind="stable")
+                ranks = own[f][order]
+                cuts = np.flatnonzero(ranks[1:] > ranks[:-1])
+                gains = _gini_gain(np.cumsum(weights[order], 0)[cuts], counts)
+                j = int(gains.argmax())
+                if gains[j] > best[0]:
+                    low, high = (ranked[f][0][ranks[at]] for at in (cuts[j], cuts[j] + 1))
+                    middle = low + (high - low) / 2
+                    best = (float(gains[j]), (f, 0, float(middle if low <= middle < high else low), own[f] <= ranks[cuts[j]]))
             else:
-                inside = own_cat[:, f - num.shape[1]] == slot
-                found = (float(_gini_gain(weights[inside].sum(0)[None], counts)[0]), (f, slot, 0.0))
-            if found[0] > best[0]:
-                best = found
-        f, slot, cut = best[1]
-        go = own_num[:, f] <= cut if f < num.shape[1] else own_cat[:, f - num.shape[1]] == slot
+                slot = present[k - upto[at]]
+                inside = own[f] == slot
+                gain = float(_gini_gain(np.add.reduce(weights[inside], 0)[None], counts)[0])
+                if gain > best[0]:
+                    best = (gain, (f, int(ranked[f][0][slot]), 0.0, inside))
+        f, slot, cut, go = best[1]
         nodes[node][1:4] = [f, slot, cut]
         todo += [(rows[~go], depth + 1, node, 5), (rows[go], depth + 1, node, 4)]
     return nodes
 
 
+def _present(ranks: np.ndarray, size: int) -> np.ndarray:
+    """The ranks (below ``size``) that occur, ascending."""
+    if size <= 64 + 4 * len(ranks):
+        return np.flatnonzero(np.bincount(ranks, minlength=size))
+    return np.unique(ranks)
+
+
 _ROW_TYPES = [("tree", pa.int32()), ("sub", pa.int64()), ("key", pa.int64()), ("y", pa.int32()), ("w", pa.int32()),
               ("__num", pa.list_(pa.float64())), ("__cat", pa.list_(pa.int64()))]
 
@@ -170,12 +190,30 @@ class ForestModel:
             return pd.DataFrame({"depth": [int(depth.max())]})
         return self.nodes.groupBy("tree", "sub").applyInPandas(walk, "depth int").agg(F.max("depth")).first()[0]
 
+    def _slices(self, rows: DataFrame, sent) -> DataFrame:
+        """(tree, sub, slices): a subtree is copied once for every ``slice_rows`` rows of its own, not of all rows."""
+        layout = self.layout
+
+        def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rows that a task sends to each subtree."""
+            arrays = [sent.value.arrays(t) for t in range(len(sent.value.trees))]
+            held = [np.zeros(len(nodes), np.int64) for nodes in sent.value.trees]
+            for batch in batches:
+                num, cat = _arrays_of(batch, layout)
+                for own, total in zip(arrays, held):
+                    total += np.bincount(descend(own, num, cat), minlength=len(total))
+            for tree, total in enumerate(held):
+                sub = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sub), tree), pa.int32()), pa.array(sub, pa.int64()),
+                                                  pa.array(total[sub], pa.int64())], names=["tree", "sub", "n"])
+        return rows.mapInArrow(sizes, "tree int, sub long, n long").groupBy("tree", "sub").agg(
+            F.ceil(F.sum("n") / self.slice_rows).cast("int").alias("slices"))
+
     def transform(self, df: DataFrame, rid: str) -> DataFrame:
         """Adds ``probability`` (mean class shares over the trees) and ``prediction``; ``rid`` is a unique row key."""
         layout, classes, tops = self.layout, len(self.labels), self.tops
         sent = df.sparkSession.sparkContext.broadcast(tops)
         rows = df.select(F.col(rid).alias("rid"), *layout.columns())
-        slices = max(1, rows.count() // self.slice_rows)
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Rows to every tree's subtree; one output batch per tree."""
@@ -195,9 +233,11 @@ class ForestModel:
             share = np.array(nodes["share"].tolist(), float)[at]
             return pd.DataFrame({"rid": own["rid"].to_numpy(), **{f"p{k}": share[:, k] for k in range(classes)}})
         kind = df.schema[rid].dataType.simpleString()
+        slices = reliable_checkpoint(self._slices(rows, sent))
         placed = rows.mapInArrow(place, f"tree int, sub long, rid {kind}, __num array<double>, __cat array<bigint>") \
-            .withColumn("slice", F.expr(f"int(pmod(xxhash64(rid), {slices}))"))
-        copies = self.nodes.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+            .join(F.broadcast(slices), ["tree", "sub"]).withColumn("slice", F.expr("int(pmod(xxhash64(rid), slices))")).drop("slices")
+        copies = self.nodes.join(F.broadcast(slices), ["tree", "sub"]).withColumn(
+            "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
         by = ["tree", "sub", "slice"]
         votes = placed.groupBy(*by).cogroup(copies.groupBy(*by)).applyInPandas(
             vote, f"rid {kind}, " + ", ".join(f"p{k} double" for k in range(classes)))
@@ -227,6 +267,16 @@ class ForestModel:
         return ForestModel(Layout(list(meta["num"]), list(meta["txt"])), tops, spark.read.parquet(f"{path}/nodes"), list(meta["labels"]))
 
 
+def _totals(cells: np.ndarray, weight: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells (numbers below ``size``) that occur, ascending, and the weight in each."""
+    if size <= 1024 + 8 * len(cells):
+        total = np.bincount(cells, weight, size)
+        found = np.flatnonzero(total)
+        return found, total[found]
+    found, back = np.unique(cells, return_inverse=True)
+    return found, np.bincount(back, weight, len(found))
+
+
 def _first_phase(rows: DataFrame, layout: Layout, trees: int, classes: int, width: int, local_rows: int, seed: int) -> Tops:
     """Split nodes of more than ``local_rows`` rows level by level."""
     spark = rows.sparkSession
@@ -243,24 +293,29 @@ def _first_phase(rows: DataFrame, layout: Layout, trees: int, classes: int, widt
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             top, wanted, cuts = sent.value
-            subs: dict[int, list[int]] = {}
-            for t, node in wanted:
-                subs.setdefault(t, []).append(node)
+            numbers = [np.full(len(nodes), -1) for nodes in top.trees]  # of the open nodes of a tree
+            opened = [[node for tree, node in wanted if tree == t] for t in range(trees)]
+            for number, nodes in zip(numbers, opened):
+                number[nodes] = np.arange(len(nodes))
+            arrays = [top.arrays(t) if nodes else None for t, nodes in enumerate(opened)]
             for batch in batches:
                 num, cat = _arrays_of(batch, layout)
                 key, y = (batch.column(batch.schema.names.index(c)).to_numpy() for c in ("key", "y"))
                 out = []
-                bins = [np.searchsorted(e, num[:, k], "left") for k, e in enumerate(cuts)]
-                for t, nodes in subs.items():
-                    at, w = top.route(t, num, cat), bag_weights(key, t, seed)
-                    for f in range(num.shape[1] + cat.shape[1]):
-                        value = bins[f].astype(np.int64) if f < num.shape[1] else cat[:, f - num.shape[1]]
-                        own = np.flatnonzero((w > 0) & np.isin(at, nodes))
-                        if not len(own):
-                            continue
-                        cells, back = np.unique(np.stack([at[own], value[own], y[own]]), axis=1, return_inverse=True)
-                        total = np.bincount(back.ravel(), w[own])
-                        out.append((np.full(cells.shape[1], t), cells[0], np.full(cells.shape[1], f), cells[1], cells[2], total))
+                coded = [(np.arange(len(e) + 1), np.searchsorted(e, num[:, k], "left")) for k, e in enumerate(cuts)]
+                coded += [np.unique(column, return_inverse=True) for column in cat.T]
+                for t, nodes in enumerate(opened):
+                    if not nodes:
+                        continue
+                    w = bag_weights(key, t, seed)
+                    place = numbers[t][descend(arrays[t], num, cat)]
+                    own = np.flatnonzero((w > 0) & (place >= 0))
+                    for f, (values, code) in enumerate(coded):
+                        cells, total = _totals((place[own] * len(values) + code[own]) * classes + y[own], w[own],
+                                               len(nodes) * len(values) * classes)
+                        node, value = np.divmod(cells // classes, len(values))
+                        out.append((np.full(len(cells), t), np.array(nodes)[node], np.full(len(cells), f), values[value],
+                                    cells % classes, total))
                 columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0)] * 6
                 types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(columns, types)],
@@ -269,9 +324,9 @@ def _first_phase(rows: DataFrame, layout: Layout, trees: int, classes: int, widt
         def choose(key, pdf):
             """The best cut of one node on one column: (gain, slot or edge, weight)."""
             t, node, f = (int(k) for k in key)
-            table = pdf.pivot_table(index="value", columns="y", values="w", aggfunc="sum", fill_value=0.0).reindex(
-                columns=range(classes), fill_value=0.0).sort_index()
-            values, w = table.index.to_numpy(), table.to_numpy(float)
+            values, at = np.unique(pdf["value"].to_numpy(), return_inverse=True)
+            w = np.zeros((len(values), classes))
+            np.add.at(w, (at, pdf["y"].to_numpy()), pdf["w"].to_numpy())
             total = w.sum(0)
             numeric = f < len(layout.numeric)
             left = np.cumsum(w, 0)[:-1] if numeric else w

@@ -2,6 +2,7 @@
 import numpy as np
 import pytest
 
+from logweave.ml import forest
 from logweave.ml import models as ml
 from logweave.ml.forest import ForestModel, bag_weights, descend, fit_forest, grow
 
@@ -93,3 +94,17 @@ def test_deep_trees_through_spark(spark):
         assert 0.6 < seen.mean() < 0.66
         right.append(np.mean([r.prediction == r.label for r, s in zip(found, seen) if s]))
     assert right[0] == 1.0 and right[1] < 0.9
+
+
+def test_subtrees_are_copied_by_their_own_rows(spark):
+    """Copies of a subtree follow the rows that end in it, so that all copies together grow with the rows."""
+    from pyspark.sql import functions as F
+
+    from logweave.ml.rows import Layout
+    sdf = spark.range(400).selectExpr("id AS rid", "cast(id AS double) AS x", "cast(id % 3 = 0 AS int) AS y")
+    tops = forest.Tops(2)
+    tops.split(0, 0, 0, 0, 99.0)
+    sdf = sdf.select("*", F.array("x").alias("__num"), F.array().cast("array<bigint>").alias("__cat"))
+    model = forest.ForestModel(Layout(["x"], []), tops, sdf, ["0", "1"], slice_rows=100)
+    found = {(r.tree, r.sub): r.slices for r in model._slices(sdf.select("rid", "__num", "__cat"), spark.sparkContext.broadcast(tops)).collect()}
+    assert found == {(0, 1): 1, (0, 2): 3, (1, 0): 4}
