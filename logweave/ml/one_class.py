@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import reliable_checkpoint
-from .rows import Fourier, Layout, blocks, lbfgs, summed
+from .rows import CACHED, Fourier, Layout, blocks, lbfgs, summed
 
 DEGREE = 3
 #: Where the hinge is rounded off, as a share of |mean feature|^2.
@@ -59,6 +59,9 @@ class Signs(Fourier):
     def map(self, num: np.ndarray, cat: np.ndarray) -> np.ndarray:
         return self._project(num, cat).reshape(len(num), self.degree, self.width).prod(1) * self.factor
 
+    def quick(self, num: np.ndarray, cat: np.ndarray) -> np.ndarray:
+        return self.map(num, cat)
+
 
 class Linear(Signs):
     """The numbers as they are, and sign projections of the slots where there are text columns."""
@@ -128,15 +131,16 @@ def fit_one_class_svm(df: DataFrame, feature_columns: list[str], rid: str, nu: f
 
         def partial(batches):
             own, w, rho = sent.value
-            out = np.zeros(size + 2)
+            out, w = np.zeros(size + 2), w / unit
             for batch in batches:
-                for _, num, cat in blocks(batch, layout):
-                    z = own.map(num, cat) / unit
-                    gap = rho - z @ w
+                for _, num, cat in blocks(batch, layout, CACHED):
+                    z = own.quick(num, cat)
+                    gap = rho - z @ w.astype(z.dtype)
                     slope = np.clip(gap / soft, 0.0, 1.0)
-                    out[:size] += slope @ z
+                    out[:size] += slope.astype(z.dtype) @ z
                     out[size] += slope.sum()
                     out[size + 1] += np.where(gap < soft, slope * gap / 2, gap - soft / 2).sum()
+            out[:size] /= unit
             return out
         s = summed(rows, partial, size + 2) / (nu * max(n, 1))
         sent.destroy()

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from ..operators.cardinality import distinct_counts
 from ..operators.selection import _is_numeric, _number
 
-#: Rows that a task maps at once.
-CHUNK = 2048
+#: Rows that a task maps at once, and in the passes of a solver, whose blocks shall stay in the processor's cache.
+CHUNK, CACHED = 2048, 256
 
 
 @dataclass
@@ -98,6 +98,23 @@ class Fourier:
                 out += table[c]
         return np.sqrt(2.0 / self.size) * np.cos(out)
 
+    def quick(self, num: np.ndarray, cat: np.ndarray) -> np.ndarray:
+        """``map`` in single precision, for the sums of many passes.  The phase is brought into one turn in double
+        precision first, so an element is off by some 1e-7 of its range, however large the numbers are."""
+        turn = 2 * np.pi
+        out = num @ (self.numeric / turn) + self.shift / turn
+        if cat.shape[1]:
+            values, at = np.unique(cat, return_inverse=True)
+            table = np.array([self._slot(int(s)) for s in values]) / turn
+            for c in at.reshape(cat.shape).T:
+                out += table[c]
+        out -= np.rint(out)
+        phase = out.astype(np.float32)
+        phase *= np.float32(turn)
+        np.cos(phase, out=phase)
+        phase *= np.float32(np.sqrt(2.0 / self.size))
+        return phase
+
 
 def summed(rows: DataFrame, partial: Callable, size: int) -> np.ndarray:
     """``size`` numbers added up over all rows: ``partial(batches)`` gives a task's sums, Spark adds the tasks'."""
