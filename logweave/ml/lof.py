@@ -37,14 +37,43 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 
 def _nearest(x: np.ndarray, xid: np.ndarray, y: np.ndarray, yid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distances and ids of the k nearest rows of y for each row of x (ties by id; itself left out)."""
-    d2 = np.zeros((len(x), len(y)))
+    """Distances and ids of the k nearest rows of y for each row of x (ties by id; itself left out).
+
+    A matrix product gives squared distances up to a bounded rounding error; only the rows of y that may be among the k
+    nearest by them get their exact distance."""
+    k = min(k, len(y))
+    if not len(x) or not k:
+        return np.zeros((len(x), k)), np.zeros((len(x), k), np.int64)
+    own = xid[:, None] == yid[None, :]
+    center = y.mean(0)
+    with np.errstate(all="ignore"):
+        a, b = x - center, y - center
+        xx, yy = (a * a).sum(1), (b * b).sum(1)
+        # rounding of the products and sums, and of the shift by the center, at most per row of x
+        wide = np.sqrt(xx) + np.sqrt(yy.max()) + np.abs(x).max(1) + np.abs(y).max()
+        slack = 4.0 * (x.shape[1] + 4) * np.finfo(float).eps * wide * wide + np.finfo(float).tiny
+        rough = a @ (-2.0 * b.T)
+        rough += xx[:, None]
+        rough += yy[None, :]
+    if not (np.isfinite(rough).all() and np.isfinite(slack).all()):
+        return _ranked(x, own, y, yid, np.ones(own.shape, bool), k)
+    rough[own] = np.inf
+    bound = np.partition(rough, k - 1, 1)[:, k - 1] + 2.0 * slack
+    return _ranked(x, own, y, yid, (rough <= bound[:, None]) | own, k)
+
+
+def _ranked(x: np.ndarray, own: np.ndarray, y: np.ndarray, yid: np.ndarray, near: np.ndarray, k: int):
+    """The k nearest of the rows of y marked in ``near``, by exact distance and id; every row of x has k marked ones."""
+    row, col = np.nonzero(near)
+    d2 = np.zeros(len(row))
     for j in range(x.shape[1]):
-        d2 += (x[:, j, None] - y[None, :, j]) ** 2
+        d2 += (x[row, j] - y[col, j]) ** 2
     d = np.sqrt(d2)
-    d[xid[:, None] == yid[None, :]] = np.inf
-    order = np.lexsort((np.broadcast_to(yid, d.shape), d), axis=1)[:, :k]
-    return np.take_along_axis(d, order, 1), yid[order]
+    d[own[row, col]] = np.inf
+    order = np.lexsort((yid[col], d, row))
+    start = np.searchsorted(row, np.arange(len(x)))
+    pick = order[start[:, None] + np.arange(k)[None, :]]
+    return d[pick], yid[col[pick]]
 
 
 def _place(pivots: np.ndarray):

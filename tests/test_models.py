@@ -163,3 +163,24 @@ def test_classifier_scores_after_observed_metrics(spark):
     model, pred, _ = ml.train_supervised(sdf, ["v"], "target", "logistic_regression", "rid")
     assert not model.hasSummary
     assert all(r.predicted_label == r.actual_label and r.prediction_proba > 0.5 for r in pred.collect())
+
+
+def test_nearest_by_matrix_product_is_exact(monkeypatch):
+    """Few pairs get their distance term by term; ties, copies and large offsets keep the exact answer."""
+    import numpy as np
+
+    from logweave.ml import lof
+    rng, marked, ranked = np.random.default_rng(2), [], lof._ranked
+    monkeypatch.setattr(lof, "_ranked", lambda x, own, y, yid, near, k: marked.append(near.mean()) or ranked(x, own, y, yid, near, k))
+    for offset, digits in ((0.0, 9), (0.0, 0), (1e6, 1)):
+        x = np.round(rng.normal(size=(400, 64)), digits) + offset
+        x[200:210] = x[0]
+        d = np.zeros((400, 400))
+        for j in range(64):
+            d += (x[:, j, None] - x[None, :, j]) ** 2
+        d = np.sqrt(d)
+        d[np.arange(400), np.arange(400)] = np.inf
+        order = np.lexsort((np.broadcast_to(np.arange(400), d.shape), d), axis=1)[:, :20]
+        found, ids = lof._nearest(x, np.arange(400), x, np.arange(400), 20)
+        assert (ids == order).all() and (found == np.take_along_axis(d, order, 1)).all()
+    assert max(marked) < 0.1
