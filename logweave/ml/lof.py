@@ -23,6 +23,8 @@ quantile.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -226,8 +228,8 @@ def _pack(most: int, kind: str):
         def row():
             nonlocal made
             made += 1
-            return pa.RecordBatch.from_arrays([pa.array([task << 32 | made], pa.int64()), pa.array([np.concatenate(ids).tobytes()], pa.binary()),
-                                               pa.array([np.concatenate(xs).tobytes()], pa.binary())], names=["slice", "ids", "xs"])
+            packed = {"slice": [task << 32 | made], "ids": [np.concatenate(ids).tobytes()], "xs": [np.concatenate(xs).tobytes()]}
+            return pa.RecordBatch.from_pydict(packed)
         for b in batches:
             at, x, xid = 0, _vectors(b.column(1)).astype(kind), b.column(0).to_numpy(zero_copy_only=False)
             while at < len(x):
@@ -457,19 +459,41 @@ def examined_share(points: DataFrame, rid: str, vec: str, k: int) -> float:
     return _pairs(blocked, blocks, pivots, k).count() / max(n * blocks.count(), 1)
 
 
-def local_outlier_factor(df: DataFrame, rid: str, vec: str, n_neighbors: int = 20,
-                         contamination: float = 0.1, num_partitions: int | None = None) -> DataFrame:
-    """(rid, anomaly_score = LOF, predicted_label)."""
+def _quantile(scores: DataFrame, name: str, above: float) -> float | None:
+    """The least value that at most the share ``above`` of the rows exceed (SQL's discrete quantile), exact for any number of
+    rows: two approximate ones bound it, and only the values between them are counted one by one."""
+    margin, at = 2e-5, F.col(name)
+    while True:
+        ends = [max(0.0, 1.0 - above - margin), min(1.0, 1.0 - above + margin)]
+        n, bounds = scores.agg(F.count(name), F.percentile_approx(name, F.lit(ends), 100000)).first()
+        if not n:
+            return None
+        rank, seen = max(1, n - int(Decimal(str(above)) * n)), 0
+        counts = scores.where(at <= bounds[1]).groupBy(F.when(at >= bounds[0], at).alias("v")).count()
+        for r in counts.orderBy(F.col("v").asc_nulls_first()).collect():
+            seen += r["count"]
+            if seen >= rank and r["v"] is not None:
+                return r["v"]
+            if seen >= rank:
+                break  # it is below the bounds
+        margin *= 50
+
+
+def local_outlier_factor(df: DataFrame, rid: str, vec: str, n_neighbors: int = 20, contamination: float = 0.1,
+                         num_partitions: int | None = None, digits: int | None = None) -> DataFrame:
+    """(rid, anomaly_score = LOF, predicted_label).  With ``digits`` scores are rounded before they are compared."""
     lists = reliable_checkpoint(_lists(df, rid, vec, n_neighbors, num_partitions))
     nn = lists.select("rid", F.inline("near"))
     kdist = lists.select(F.col("rid").alias("nbr"), F.element_at("near", -1)["dist"].alias("nbr_kdist"))
     reach = nn.join(kdist, "nbr").select("rid", "nbr", F.greatest("dist", "nbr_kdist").alias("reach"))
     lrd = reach.groupBy("rid").agg((1.0 / (F.avg("reach") + 1e-10)).alias("lrd"))
+    score = F.col("avg_nbr_lrd") / F.col("lrd")
+    if digits is not None:
+        score = F.round(score * 10.0 ** digits, 0) / 10.0 ** digits
     lof = reliable_checkpoint(
         nn.join(lrd.select(F.col("rid").alias("nbr"), F.col("lrd").alias("nbr_lrd")), "nbr")
         .groupBy("rid").agg(F.avg("nbr_lrd").alias("avg_nbr_lrd"))
-        .join(lrd, "rid").select("rid", (F.col("avg_nbr_lrd") / F.col("lrd")).alias("anomaly_score")))
-    q = lof.agg(F.percentile_approx("anomaly_score", 1.0 - float(contamination), 100000).alias("q"))
-    return lof.crossJoin(F.broadcast(q)).select(
-        F.col("rid").alias(rid), "anomaly_score",
-        F.when(F.col("anomaly_score") > F.col("q"), "anomaly").otherwise("normal").alias("predicted_label"))
+        .join(lrd, "rid").select("rid", score.alias("anomaly_score")))
+    q = _quantile(lof, "anomaly_score", float(contamination))
+    return lof.select(F.col("rid").alias(rid), "anomaly_score",
+                      F.when(F.col("anomaly_score") > F.lit(q), "anomaly").otherwise("normal").alias("predicted_label"))

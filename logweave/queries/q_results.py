@@ -863,7 +863,8 @@ def lof_scores(spark, d):
                      f"ELSE 'normal' END AS predicted_label FROM ({_LOF_SQL})")
 def lof_labels(spark, d):
     from ..ml.lof import local_outlier_factor
-    return round6(local_outlier_factor(table(spark, d, "embeddings"), "vec_id", "embedding", 20))
+    # the oracle's quantile is one of the rounded scores
+    return round6(local_outlier_factor(table(spark, d, "embeddings"), "vec_id", "embedding", 20, digits=6))
 
 
 @query("ocsvm_scores")

@@ -98,3 +98,40 @@ def test_kernel_leaves_few_pairs_open(monkeypatch):
     for at in range(0, 4000, 500):
         best.look(np.arange(at, at + 500), x[at:at + 500])
     assert sum(added) < 0.05 * 500 * 4000
+
+
+def test_labels_write_in_proportion(spark):
+    """From the vectors to the labels, what is written follows the points, not points x blocks."""
+    x = np.random.default_rng(12).normal(size=(6000, 48))
+    df = frame(spark, x, range(6000)).repartition(4)
+    out, labels = [], []
+
+    def work():
+        out.append(lof.local_outlier_factor(df, "id", "v", 5))
+        labels.extend(r.predicted_label for r in out[0].collect())
+    size = written(spark, work)
+    assert labels.count("anomaly") == 600
+    assert size < 8 * x.nbytes, size / x.nbytes
+
+
+def test_labels_match_the_oracle_where_scores_are_equal_when_rounded(spark):
+    """At sf0.1 the score after the quantile rounds to the same number: it is not above it."""
+    import duckdb
+
+    import __spark_entry__ as entry
+    d = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{d}/embeddings.parquet')")
+    want = {r[0]: r[2] for r in con.sql("SELECT vec_id, anomaly_score, predicted_label FROM (" + entry.oracle_sql()["lof_labels"] + ")").fetchall()}
+    got = {r.vec_id: r.predicted_label for r in entry.queries()["lof_labels"](spark, d).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("above", [0.1, 0.25, 0.0, 1.0])
+def test_quantile_is_exact(spark, above):
+    from pyspark.sql import functions as F
+    for n, kinds in ((400_000, 1 << 40), (400_000, 7), (10, 1 << 40), (1, 5)):
+        df = spark.range(n).select((F.pmod(F.xxhash64("id"), F.lit(kinds)) / 8.0).alias("v"))
+        want = np.sort(df.toPandas()["v"].to_numpy())[max(1, n - int(n * above)) - 1]
+        assert lof._quantile(df, "v", above) == want
+    assert lof._quantile(spark.createDataFrame([], "v double"), "v", 0.1) is None
